@@ -9,6 +9,7 @@ cell holds the answers of all of them.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLOTS = 65_536  # draws made by one task row
+BLOCK = 50  # iterations drawn together
 
 
 def joint_cells(predictions: DataFrame, series: list[str]) -> DataFrame:
@@ -28,28 +30,18 @@ def joint_cells(predictions: DataFrame, series: list[str]) -> DataFrame:
     return text.groupBy("y_true", "cell").agg(F.count(F.lit(1)).alias("n"))
 
 
-def strata(cells: DataFrame) -> DataFrame:
-    """One row per class: its cells in order, with cumulated counts."""
-    order = Window.partitionBy("y_true").orderBy("cell")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ordered = F.array_sort(F.collect_list(F.struct("upto", "cell", "n")))
-    return (
-        cells.withColumn("upto", upto)
-        .groupBy("y_true")
-        .agg(ordered.alias("cells"), F.sum("n").alias("n_class"))
-    )
-
-
-def hash_draws(groups: DataFrame, iterations: int, seed: int) -> DataFrame:
+def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     """Reproducible draws, one hash per slot: (iteration, y_true, cell, times).
 
     Slot i of a class draws a position below its size; positions number the items
-    of the class in cell order. Slots are generated in bounded runs, so a large
-    class is spread over many tasks.
+    of the class in cell order. Slots are generated in bounded runs and found
+    again by an equi-join on (class, position), so a large class is spread over
+    many tasks. The work is iterations times items; ``multinomial_draws`` is the
+    plan for large inputs.
     """
+    groups = cells.groupBy("y_true").agg(F.sum("n").alias("n_class"))
     runs = groups.select(
         "y_true",
-        "cells",
         "n_class",
         F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"),
     ).select(
@@ -62,46 +54,81 @@ def hash_draws(groups: DataFrame, iterations: int, seed: int) -> DataFrame:
     first = F.col("run").cast("bigint") * SLOTS
     last = F.least(first + SLOTS, F.col("n_class")) - 1
     slots = spread.select(
-        "iteration", "y_true", "cells", "n_class", F.explode(F.sequence(first, last)).alias("slot")
+        "iteration", "y_true", "n_class", F.explode(F.sequence(first, last)).alias("slot")
     )
     text = F.md5(F.concat_ws("~", F.lit(str(seed)), "iteration", "y_true", "slot"))
     number = F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")
-    drawn = number % F.col("n_class")
-    cell = F.element_at(F.filter("cells", lambda c: c["upto"] > drawn), 1)["cell"]
+    drawn = slots.select("iteration", "y_true", (number % F.col("n_class")).alias("position"))
+    order = Window.partitionBy("y_true").orderBy("cell")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ranges = cells.withColumn("upto", upto).select(
+        "y_true",
+        "cell",
+        F.explode(F.sequence(F.floor((F.col("upto") - F.col("n")) / SLOTS), F.floor((F.col("upto") - 1) / SLOTS))).alias("run"),
+        (F.col("upto") - F.col("n")).alias("first"),
+        F.col("upto").alias("end"),
+    )
+    bounded = ranges.select(
+        "y_true",
+        "cell",
+        F.greatest("first", F.col("run") * SLOTS).alias("first"),
+        F.least("end", (F.col("run") + 1) * SLOTS).alias("end"),
+    )
+    positions = bounded.select(
+        "y_true", "cell", F.explode(F.sequence(F.col("first"), F.col("end") - 1)).alias("position")
+    )
     return (
-        slots.select("iteration", "y_true", cell.alias("cell"))
+        drawn.join(positions, ["y_true", "position"])
         .groupBy("iteration", "y_true", "cell")
         .agg(F.count(F.lit(1)).alias("times"))
     )
 
 
-def multinomial_draws(groups: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """The same distribution drawn per class at once; the cost does not depend on the items."""
-    runs = groups.select(
+def multinomial_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """Resampled confusion cells drawn per class at once.
+
+    Same distribution as ``hash_draws``; the cost depends on classes, cells and
+    iterations but not on the number of items. The cells of one class (distinct
+    answer tuples) travel as one row, a block of iterations at a time.
+    """
+    per_class = cells.groupBy("y_true").agg(
+        F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells")
+    )
+    blocks = per_class.select(
         "y_true",
         F.transform("cells", lambda c: c["cell"]).alias("cell"),
         F.transform("cells", lambda c: c["n"]).alias("size"),
-        F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"),
-    ).withColumn("_seed", F.pmod(F.xxhash64(F.lit(seed), "iteration", "y_true"), F.lit(2**31 - 1)))
-    spread = runs.repartition("iteration", "y_true")
+        F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK))).alias("block"),
+    ).withColumn("draw_seed", F.pmod(F.xxhash64(F.lit(seed), "block", "y_true"), F.lit(2**31 - 1)))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
                 size = np.asarray(row.size, dtype=np.int64)
-                times = np.random.default_rng(int(row._4)).multinomial(size.sum(), size / size.sum())
-                taken = times > 0
-                yield pd.DataFrame(
-                    {
-                        "iteration": row.iteration,
-                        "y_true": row.y_true,
-                        "cell": np.asarray(row.cell, dtype=object)[taken],
-                        "times": times[taken],
-                    }
-                )
-
-    columns = spread.select("y_true", "cell", "size", "iteration", "_seed")
-    return columns.mapInPandas(draw, "iteration int, y_true string, cell string, times bigint")
+                first = row.block * BLOCK
+                rounds = min(BLOCK, iterations - first)
+                rng = np.random.default_rng(int(row.draw_seed))
+                times = rng.multinomial(size.sum(), size / size.sum(), size=rounds)
+                answers = [json.loads(c) for c in row.cell]
+                for series in answers[0]:
+                    given, code = np.unique([a[series] for a in answers], return_inverse=True)
+                    counts = np.zeros((rounds, len(given)), dtype=np.int64)
+                    np.add.at(counts.T, code, times.T)
+                    it, col = np.nonzero(counts)
+                    yield pd.DataFrame(
+                        {
+                            "iteration": (it + first).astype(np.int32),
+                            "series": series,
+                            "y_true": row.y_true,
+                            "y_pred": given[col],
+                            "n": counts[it, col],
+                        }
+                    )
+
+    columns = blocks.repartition("y_true", "block").select("y_true", "cell", "size", "block", "draw_seed")
+    return columns.mapInPandas(
+        draw, "iteration int, series string, y_true string, y_pred string, n bigint"
+    )
 
 
 def resampled_cells(draws: DataFrame) -> DataFrame:
