@@ -1,6 +1,6 @@
 """Registered queries and their ANSI SQL twins."""
 
 from shotline.plans.base import QUERIES, SQL
-from shotline.plans import metric_queries, vector_queries
+from shotline.plans import event_queries, metric_queries, vector_queries
 
 __all__ = ["QUERIES", "SQL"]
