@@ -103,9 +103,13 @@ def slug(name: Column) -> Column:
 def result_name(stage1: Column, d_gallery: Column, species: Column, d_centroid: Column, name: Column) -> Column:
     rejected = F.format_string("dino%.4f_%s", d_gallery, name)
     label = F.replace(species, F.lit(" "), F.lit("_"))
-    return F.when(stage1 == "RECHAZADO", rejected).otherwise(
-        F.format_string("%s_bio%.4f_%s", label, d_centroid, name)
-    )
+    accepted = F.format_string("%s_bio%.4f_%s", label, d_centroid, name)
+    return F.when(stage1 == "RECHAZADO", rejected).when(species.isNotNull(), accepted)
+
+
+def decimals(number: Column, pattern: str, missing: str = "—") -> Column:
+    """Formatted number, or the text for a missing one."""
+    return F.when(number.isNotNull(), F.format_string(pattern, number)).otherwise(missing)
 
 
 def frame_number(seconds: Column, fps: Column) -> Column:

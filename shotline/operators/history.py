@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotline.functions import labels
+from shotline.operators import scan
+
+SPAN = 1 << 20  # records of one file handled by one task
 
 
 def run_rows(runs: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,7 +84,7 @@ def latency_export(latency: DataFrame) -> DataFrame:
         labels.motion_mode(F.col("motion_filter_mode"), F.lit(False)).alias("filtro_mog2"),
         F.coalesce(F.col("frames_processed").cast("string"), F.lit("—")).alias("frames_analizados"),
         labels.clock(F.col("processing_sec")).alias("tiempo_procesamiento"),
-        F.coalesce(F.format_string("%.2f×", factor), F.lit("—")).alias("factor"),
+        labels.decimals(factor, "%.2f×").alias("factor"),
     )
 
 
@@ -163,18 +166,22 @@ def overall(history: DataFrame, session_records: DataFrame) -> DataFrame:
     return facts.unionByName(session).agg(F.sum("record").alias("n_records"), F.sum("ok").alias("n_validations"))
 
 
-def file_intervals(records: DataFrame) -> DataFrame:
-    """Species count and joined interval texts of each file."""
-    return records.groupBy("filename").agg(
-        F.count_distinct(F.when(F.col("species") != "", F.col("species"))).alias("n_species"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("start_time", "record_id", labels.interval(F.col("start_time"), F.col("end_time"), "–").alias("t")))),
-                lambda x: x["t"],
-            ),
-            ", ",
-        ).alias("intervals"),
+def file_intervals(records: DataFrame, per_row: int = 1000) -> DataFrame:
+    """Species count of each file and its interval texts, ``per_row`` joined per row.
+
+    An ordinary file has one row (``part`` 0); a file with very many events
+    continues in further rows instead of one unbounded text.
+    """
+    text = labels.interval(F.col("start_time"), F.col("end_time"), "–")
+    numbered = scan.numbered(records.withColumn("_text", text), ["filename"], "record_id", SPAN, "_pos")
+    parts = numbered.groupBy("filename", F.floor((F.col("_pos") - 1) / per_row).alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_text"))).alias("t")
     )
+    species = records.groupBy("filename").agg(
+        F.count_distinct(F.when(F.col("species") != "", F.col("species"))).alias("n_species")
+    )
+    joined = F.array_join(F.transform("t", lambda x: x["_text"]), ", ")
+    return parts.join(species, "filename").select("filename", "part", "n_species", joined.alias("intervals"))
 
 
 def known_files(files: DataFrame, latency: DataFrame) -> DataFrame:
@@ -187,9 +194,5 @@ def new_files(files: DataFrame, latency: DataFrame) -> DataFrame:
 
 
 def events_by_file(records: DataFrame) -> DataFrame:
-    """Records regrouped by file, in record order: (filename, position-free event rows)."""
-    return records.groupBy("filename").agg(
-        F.count(F.lit(1)).alias("n_events"),
-        F.min("record_id").alias("first_record"),
-        F.max("record_id").alias("last_record"),
-    )
+    """Records regrouped by file: each with its position in the file's list."""
+    return scan.numbered(records, ["filename"], "record_id", SPAN, "position")

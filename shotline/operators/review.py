@@ -7,10 +7,11 @@ distance, level, ambiguous, decisor, start_time, end_time, top5), the validation
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.functions import labels
+from shotline.operators.scan import running
 
 
 def categorise(records: DataFrame, catalogue: DataFrame, typed: str) -> DataFrame:
@@ -103,21 +104,29 @@ def category_counts(records: DataFrame) -> DataFrame:
     return axis.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def unknown_species(records: DataFrame) -> DataFrame:
-    """Typed species outside the catalogue with their records and files.
+def unknown_species(records: DataFrame, per_row: int = 1000) -> DataFrame:
+    """Typed species outside the catalogue with their record count and sorted files.
 
-    Files are made distinct before they are listed, so repeated files cost nothing.
+    Files are made distinct first and listed ``per_row`` at a time (column
+    ``part``), so a species seen in very many files stays spread over tasks.
     """
     rows = records.where(
         (F.col("state") == "validated")
         & (F.col("category") == "Desconocida")
         & (F.coalesce("custom_species", F.lit("")) != "")
+    ).withColumnRenamed("custom_species", "especie_ingresada")
+    per_file = rows.groupBy("especie_ingresada", "filename").agg(F.count(F.lit(1)).alias("n"))
+    numbered = running(
+        per_file, ["especie_ingresada"], ["filename"], F.substring("filename", 1, 8), sums={"_pos": F.lit(1)}
     )
-    per_file = rows.groupBy("custom_species", "filename").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy(F.col("custom_species").alias("especie_ingresada")).agg(
-        F.sum("n").alias("cantidad_registros"),
+    listed = numbered.groupBy(
+        "especie_ingresada", F.floor((F.col("_pos") - 1) / per_row).alias("part")
+    ).agg(
+        F.sum("n").alias("_n"),
         F.array_join(F.sort_array(F.collect_list("filename")), ", ").alias("archivos"),
     )
+    total = F.sum("_n").over(Window.partitionBy("especie_ingresada"))
+    return listed.select("especie_ingresada", "part", total.alias("cantidad_registros"), "archivos")
 
 
 def top_species(records: DataFrame, n: int) -> DataFrame:
@@ -141,7 +150,7 @@ def _decisor():
 
 
 def _distance():
-    return F.coalesce(F.format_string("%.4f", F.col("dist")), F.lit("—"))
+    return labels.decimals(F.col("dist"), "%.4f")
 
 
 def validation_export(records: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def all_frames(spark, d):
     pair = lambda s, gap: F.struct(s.alias("species"), (F.col("dist") + gap).alias("cosine_distance"))
     return numbered.select(
         "video_id",
+        "event_id",
         index.alias("frame_idx"),
         (index / 4.0).alias("ts"),
         "species",
@@ -45,9 +46,9 @@ def all_frames(spark, d):
 _types = "[" + ", ".join(f"'{t}'" for t in TYPES) + "]"
 cte(
     "fr",
-    f"""SELECT video_id, frame_idx, frame_idx / 4.0::DOUBLE AS ts, species, dist, CASE WHEN dist <= 30 THEN 'alta' WHEN dist >= {REJECT} THEN 'rechazado' ELSE 'baja' END AS level,
+    f"""SELECT video_id, event_id, frame_idx, frame_idx / 4.0::DOUBLE AS ts, species, dist, CASE WHEN dist <= 30 THEN 'alta' WHEN dist >= {REJECT} THEN 'rechazado' ELSE 'baja' END AS level,
     {_types}[k % 5 + 1] AS c1, {_types}[(k + 2) % 5 + 1] AS c2, k * 10.0::DOUBLE AS area, k::DOUBLE AS luminance, k < 10 AS motion_filtered
-    FROM (SELECT user_id AS video_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_idx, event_type AS species,
+    FROM (SELECT user_id AS video_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS frame_idx, event_type AS species,
       value AS dist, json_extract_string(props, '$.k')::INT AS k FROM events)""",
 )
 # rejected frames leave before any consensus
