@@ -59,6 +59,12 @@ def block(table: pa.Table | pa.RecordBatch, width: int = 0) -> Block:
     )
 
 
+def nothing(width: int = 0) -> Block:
+    """A block without rows."""
+    none = np.array([], dtype=object)
+    return Block(none, none, np.zeros((0, 1)), np.zeros((0, width), dtype=bool) if width else None)
+
+
 def by_id(side: Block) -> Block:
     order = np.argsort(side.ids, kind="stable")
     return Block(

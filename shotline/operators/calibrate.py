@@ -114,15 +114,32 @@ def calibrate(distances: DataFrame, excluded: DataFrame, variants: dict[str, str
     """Thresholds with their statistics for several intra-distance columns.
 
     ``variants`` maps a variant name to its column; the inter distance is the one
-    to the nearest gallery item of another class for every variant.
+    to the nearest gallery item of another class for every variant. All
+    percentiles come from one pass over the distances in long form, all shares
+    from a second one.
     """
-    parts = []
-    for variant, column in variants.items():
-        rows = included(distances, excluded, column)
-        wide = global_percentiles(rows, column)
-        stats = threshold_stats(rows, long_thresholds(wide, ["n"]), column, "d_other")
-        parts.append(stats.select(F.lit(variant).alias("variant"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    rows = distances.join(excluded.select("species"), "species", "left_anti")
+    series = {**variants, "_inter": "d_other"}
+    pairs = [F.struct(F.lit(k).alias("series"), F.col(c).alias("value")) for k, c in series.items()]
+    long = rows.select(F.inline(F.array(*pairs)))
+    marks = exact_percentiles(long, ["series"], "value", {**PERCENTILES, "median": 0.5})
+    found = {r["series"]: r for r in marks.collect()}  # one row per series
+    grid = [(v, c, p, found[v][p]) for v, c in variants.items() for p in PERCENTILES]
+    share = lambda name, t: F.avg((F.col(name) <= t).cast("double"))
+    shares = rows.agg(
+        *[share(c, t).alias(f"c{i}") for i, (_, c, _, t) in enumerate(grid)],
+        *[share("d_other", t).alias(f"x{i}") for i, (_, _, _, t) in enumerate(grid)],
+    )
+    middle = found["_inter"]["median"]
+    out = [
+        F.struct(
+            F.lit(v).alias("variant"),
+            F.lit(p).alias("percentile"),
+            F.lit(t).alias("threshold"),
+            F.round(F.col(f"c{i}"), 6).alias("coverage"),
+            F.round(F.col(f"x{i}"), 6).alias("inter_contamination"),
+            F.round(F.lit(middle - t), 6).alias("separation_gap"),
+        )
+        for i, (v, _, p, t) in enumerate(grid)
+    ]
+    return shares.select(F.inline(F.array(*out)))

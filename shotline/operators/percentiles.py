@@ -1,19 +1,18 @@
 """Exact percentiles with linear interpolation over any number of rows.
 
 The built-in ``percentile`` keeps every distinct value of a group in one task.
-Here equal values are counted first, a bounded sketch supplies cut points, and
-the values around the wanted ranks are found by a running count over the
-resulting chunks.
+Here equal values are counted first, a bounded sketch supplies cut points, the
+parts between them are counted, and only the parts that contain a wanted rank are
+sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotline.operators.scan import running
-
-CUTS = 63
+HALVES = (32, 16, 8, 4, 2, 1)
+CUTS = sum(HALVES)
 
 
 def exact_percentiles(
@@ -34,12 +33,30 @@ def exact_percentiles(
         F.sum("_count").alias("n"),
     )
     keyed = counts.join(cuts, keys_in)
-    cumulated = running(
-        keyed,
-        keys_in,
-        ["_value"],
-        F.size(F.filter("_cuts", lambda c: c < F.col("_value"))),
-        sums={"_upto": F.col("_count")},
+    # binary search for the number of cuts below the value, in plain comparisons
+    chunked = keyed.withColumn("_part", F.lit(0))
+    for half in HALVES:
+        above = F.col("_value") > F.get("_cuts", F.col("_part") + (half - 1))
+        chunked = chunked.withColumn("_part", F.col("_part") + F.when(above, half).otherwise(0))
+    chunked = chunked.drop("_cuts")
+    # only the parts that hold a wanted rank are sorted
+    by_part = Window.partitionBy(*keys_in).orderBy("_part")
+    sizes = chunked.groupBy(*keys_in, "_part", "n").agg(F.sum("_count").alias("_size"))
+    before = F.coalesce(
+        F.sum("_size").over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    offsets = sizes.withColumn("_before", before)
+    ranks = {p: F.lit(p) * (F.col("n") - 1) for p in probabilities.values()}
+    wanted = F.lit(False)
+    for rank in ranks.values():
+        end = F.col("_before") + F.col("_size")
+        wanted = wanted | ((F.col("_before") <= F.ceil(rank)) & (F.floor(rank) < end))
+    offsets = offsets.where(wanted).select(*keys_in, "_part", "_before")
+    inside = Window.partitionBy(*keys_in, "_part").orderBy("_value")
+    cumulated = (
+        chunked.join(offsets, [*keys_in, "_part"])
+        .withColumn("_upto", F.sum("_count").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("_upto", F.col("_upto") + F.col("_before"))
     )
     below = F.col("_upto") - F.col("_count")
 
@@ -49,7 +66,7 @@ def exact_percentiles(
 
     picks, results = [], []
     for name, p in probabilities.items():
-        rank = F.lit(p) * (F.col("n") - 1)
+        rank = ranks[p]
         picks += [
             at_rank(F.floor(rank)).alias(f"_lo_{name}"),
             at_rank(F.ceil(rank)).alias(f"_hi_{name}"),

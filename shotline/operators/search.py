@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shotline.functions import blocks
 
@@ -34,7 +35,8 @@ Kernel = Callable[[pa.RecordBatch, blocks.Block, blocks.Block], pa.Table]
 
 
 def _side(df: DataFrame, extra: list[str]) -> DataFrame:
-    return df.select("item_id", "species", "vec", *extra)
+    # fresh column identities: both sides may come from the same table
+    return df.select(*[F.col(c).alias(c) for c in ("item_id", "species", "vec", *extra)])
 
 
 def compare(
@@ -75,10 +77,12 @@ def compare(
 
     def pair(left_rows: pa.Table, right_rows: pa.Table) -> pa.Table:
         batch = left_rows.combine_chunks()
-        return kernel(
-            batch, blocks.block(batch, width), blocks.by_id(blocks.block(right_rows, width))
-        )
+        if batch.num_rows == 0:
+            return target.empty_table()
+        found = blocks.block(right_rows, width) if right_rows.num_rows else blocks.nothing(width)
+        return kernel(batch, blocks.block(batch, width), blocks.by_id(found))
 
+    target = to_arrow_schema(schema)
     joined = left.groupBy("_qb", "_gb").cogroup(right.groupBy("_qb", "_gb"))
     return joined.applyInArrow(pair, schema), False
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotline.operators import centroid, splits
+from shotline.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -114,12 +115,26 @@ cte(
 )
 
 
-def gallery(spark: SparkSession, folder: str) -> DataFrame:
-    return split2(spark, folder).where("split = 'gallery'")
+def parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Held-out and gallery rows of one stored split."""
+    rows = materialize(split2(spark, folder))
+    return rows.where("split = 'query'"), rows.where("split = 'gallery'")
+
+
+def centroid_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Held-out rows and unit centroids of the gallery (cosine search)."""
+    queries, gallery = parts(spark, folder)
+    return queries, centroid.centroids(gallery)
 
 
-def held_out(spark: SparkSession, folder: str) -> DataFrame:
-    return split2(spark, folder).where("split = 'query'")
+def mean_parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Normalised held-out rows and plain mean centroids (Euclidean search)."""
+    queries, gallery = parts(spark, folder)
+    return centroid.normalised(queries), centroid.centroids(gallery, renormalise=False)
+
+
+def gallery(spark: SparkSession, folder: str) -> DataFrame:
+    return split2(spark, folder).where("split = 'gallery'")
 
 
 cte(
@@ -164,16 +179,3 @@ cte(
     "qry",
     "centp",
 )
-
-
-def cosine_centroids(spark: SparkSession, folder: str) -> DataFrame:
-    return centroid.centroids(split2(spark, folder))
-
-
-def mean_centroids(spark: SparkSession, folder: str) -> DataFrame:
-    return centroid.centroids(split2(spark, folder), renormalise=False)
-
-
-def unit_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Held-out rows, normalised (Euclidean search against plain mean centroids)."""
-    return centroid.normalised(held_out(spark, folder))

@@ -171,7 +171,7 @@ query("a3_macro_scores_true_labels", twin(_MACRO.format(where="WHERE n_true > 0"
     ),
 )
 def a4(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.cosine_centroids(spark, d), 5)
+    near = search.nearest(*base.centroid_parts(spark, d), 5)
     ranked = cascade.candidate_array(near, 5).select(
         F.col("species").alias("y_true"), F.transform("top5", lambda t: t["species"]).alias("labels")
     )

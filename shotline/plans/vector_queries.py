@@ -8,6 +8,7 @@ from shotline.functions import vectors
 from shotline.operators import cascade, centroid, search, splits
 from shotline.plans import base
 from shotline.plans.base import query, twin
+from shotline.session import materialize
 
 
 def _round(*names: str):
@@ -136,12 +137,12 @@ _LONG = """SELECT species, n, generate_subscripts(c, 1) AS pos, round(unnest(c),
 
 @query("v6_centroids_unit", twin(_LONG + "cent", "cent"))
 def v6(spark, d):
-    return _long(base.cosine_centroids(spark, d))
+    return _long(centroid.centroids(base.split2(spark, d)))
 
 
 @query("v7_centroids_mean", twin(_LONG + "centp", "centp"))
 def v7(spark, d):
-    return _long(base.mean_centroids(spark, d))
+    return _long(centroid.centroids(base.split2(spark, d), renormalise=False))
 
 
 @query(
@@ -191,7 +192,7 @@ def v9(spark, d):
     ),
 )
 def j11(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.gallery(spark, d), 1)
+    near = search.nearest(*base.parts(spark, d), 1)
     return near.select(
         "item_id", "species", "neighbour_id", F.col("neighbour").alias("y_pred"), *_round("distance")
     )
@@ -209,7 +210,7 @@ base.cte("topg", _TOPK, "qg")
     ),
 )
 def j12(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.gallery(spark, d), 5)
+    near = search.nearest(*base.parts(spark, d), 5)
     return near.select(
         "item_id", F.col("rank").cast("bigint").alias("rank"), "neighbour_id", "neighbour", *_round("distance")
     )
@@ -225,7 +226,7 @@ def j12(spark, d):
 def j12_blocked(spark, d):
     """The two-sided block plan, forced by a zero broadcast limit."""
     near = search.nearest(
-        base.held_out(spark, d), base.gallery(spark, d), 3, broadcast_rows=0, block_rows=256
+        *base.parts(spark, d), 3, broadcast_rows=0, block_rows=256
     )
     return near.select(
         "item_id", F.col("rank").cast("bigint").alias("rank"), "neighbour_id", "neighbour", *_round("distance")
@@ -239,7 +240,7 @@ _VOTE = """SELECT k, item_id, species, arg_min(gsp, struct_pack(n := -n, s := gs
 
 @query("j13_knn_vote", twin(_VOTE, "topg"))
 def j13(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.gallery(spark, d), 5)
+    near = search.nearest(*base.parts(spark, d), 5)
     return cascade.majority_vote(near, [1, 3, 5])
 
 
@@ -253,7 +254,7 @@ def j13(spark, d):
     ),
 )
 def j14(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.gallery(spark, d), 5)
+    near = search.nearest(*base.parts(spark, d), 5)
     return cascade.ranked_labels(near, 5).select(
         "item_id", F.array_join("labels", ",").alias("labels")
     )
@@ -274,7 +275,7 @@ base.cte(
     ),
 )
 def j15(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.cosine_centroids(spark, d), 5)
+    near = search.nearest(*base.centroid_parts(spark, d), 5)
     return near.select(
         "item_id",
         "species",
@@ -294,7 +295,7 @@ def j15(spark, d):
 )
 def j15_mean(spark, d):
     near = search.nearest(
-        base.unit_queries(spark, d), base.mean_centroids(spark, d), 1, metric="euclidean"
+        *base.mean_parts(spark, d), 1, metric="euclidean"
     )
     return near.select("item_id", "species", F.col("neighbour").alias("y_pred"), *_round("distance"))
 
@@ -308,7 +309,7 @@ def j15_mean(spark, d):
     ),
 )
 def j16(spark, d):
-    out = search.label_minima(base.held_out(spark, d), base.gallery(spark, d))
+    out = search.label_minima(*base.parts(spark, d))
     return out.select("item_id", "species", *_round("d_same", "d_other"))
 
 
@@ -322,8 +323,8 @@ def j16(spark, d):
     ),
 )
 def j17(spark, d):
-    cents = base.cosine_centroids(spark, d).where("species <> 'sp3'")
-    out = cascade.own_centroid_distance(base.held_out(spark, d), cents)
+    rows, cents = base.centroid_parts(spark, d)
+    out = cascade.own_centroid_distance(rows, cents.where("species <> 'sp3'"))
     return out.select("item_id", "species", *_round("d_centroid"))
 
 
@@ -335,7 +336,7 @@ def j17(spark, d):
     ),
 )
 def j18(spark, d):
-    out = search.label_minima(base.held_out(spark, d), base.cosine_centroids(spark, d))
+    out = search.label_minima(*base.centroid_parts(spark, d))
     return out.select("item_id", "species", *_round("d_other"))
 
 
@@ -344,7 +345,7 @@ def j18(spark, d):
     twin("SELECT item_id, round(min(d), 6) AS distance FROM qg GROUP BY item_id", "qg"),
 )
 def j19(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.gallery(spark, d), 1)
+    near = search.nearest(*base.parts(spark, d), 1)
     return near.select("item_id", *_round("distance"))
 
 
@@ -355,7 +356,7 @@ _WEIGHTED = """SELECT item_id, species, arg_min(gsp, struct_pack(w := -w, s := g
 
 @query("j20_weighted_knn", twin(_WEIGHTED, "topg"))
 def j20(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.gallery(spark, d), 5)
+    near = search.nearest(*base.parts(spark, d), 5)
     return cascade.weighted_vote(near).select("item_id", "species", "y_pred", *_round("weight"))
 
 
@@ -385,13 +386,9 @@ base.cte(
     ),
 )
 def j21(spark, d):
-    out = cascade.three_zone(
-        base.held_out(spark, d),
-        base.cosine_centroids(spark, d),
-        base.gallery(spark, d),
-        CONFIDENT,
-        REJECTED,
-    )
+    rows, gallery = base.parts(spark, d)
+    cents = materialize(centroid.centroids(gallery))
+    out = cascade.three_zone(rows, cents, gallery, CONFIDENT, REJECTED)
     names = F.array_join(F.transform("top5", lambda t: t["species"]), ",")
     return out.select(
         "item_id",
@@ -420,14 +417,8 @@ GATE = 0.55
     ),
 )
 def j22(spark, d):
-    out = cascade.two_stage(
-        base.held_out(spark, d),
-        base.gallery(spark, d),
-        base.held_out(spark, d),
-        base.cosine_centroids(spark, d),
-        GATE,
-        CONFIDENT,
-    )
+    rows, gallery = base.parts(spark, d)
+    out = cascade.two_stage(rows, gallery, rows, centroid.centroids(gallery), GATE, CONFIDENT)
     return out.select("item_id", *_round("d_gallery"), "stage1", "predicted", *_round("d_centroid"), "stage2")
 
 
@@ -453,7 +444,7 @@ def x1(spark, d):
     ),
 )
 def x6(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.cosine_centroids(spark, d), 5)
+    near = search.nearest(*base.centroid_parts(spark, d), 5)
     arrays = cascade.candidate_array(near, 5)
     return arrays.select("item_id", F.inline("top5")).select(
         "item_id", "species", *_round("cosine_distance")
@@ -468,7 +459,7 @@ def x6(spark, d):
     ),
 )
 def l7(spark, d):
-    near = search.nearest(base.held_out(spark, d), base.cosine_centroids(spark, d), 5)
+    near = search.nearest(*base.centroid_parts(spark, d), 5)
     arrays = cascade.candidate_array(near, 5)
     return arrays.select(
         "item_id", F.array_join(F.transform("top5", lambda t: t["species"]), ",").alias("candidates")
