@@ -5,12 +5,14 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 import traceback
 
 import duckdb
 import pandas as pd
+from pyspark.sql import SparkSession
 
 from shotline.plans import QUERIES, SQL
 from shotline.session import local_session
@@ -60,7 +62,10 @@ def main() -> int:
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     prefixes = sys.argv[2:]
     names = [n for n in QUERIES if not prefixes or any(n.startswith(p) for p in prefixes)]
-    spark, con, bad = local_session(), connect(folder), 0
+    # CHECK_PLAIN=1: a session without the recommended settings
+    plain = SparkSession.builder.master("local[8]").config("spark.ui.showConsoleProgress", "false")
+    spark = plain.getOrCreate() if os.environ.get("CHECK_PLAIN") else local_session()
+    con, bad = connect(folder), 0
     for name in names:
         start = time.time()
         try:
