@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotline.functions.vectors import as_double, dot, unit
-from shotline.operators.search import nearest
+from shotline.operators.search import BROADCAST_ROWS, nearest
+from shotline.session import lookup
 
 EPSILON = 1e-6
 
@@ -68,7 +69,7 @@ def candidate_array(near: DataFrame, k: int) -> DataFrame:
 
 def own_centroid_distance(queries: DataFrame, centroids: DataFrame) -> DataFrame:
     """Cosine distance to the centroid of the item's own class; null if there is none."""
-    own = centroids.select("species", F.col("vec").alias("_c"))
+    own = lookup(centroids.select("species", F.col("vec").alias("_c")), BROADCAST_ROWS)
     joined = queries.join(own, "species", "left")
     return joined.select(
         "item_id",

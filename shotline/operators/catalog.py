@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions.labels import normal_name, second_candidate
 from shotline.operators.taxonomy import score_category
+from shotline.session import lookup as small
 
 IMAGE_TYPES = ["jpg", "jpeg", "png", "bmp"]
 
@@ -66,6 +67,7 @@ def with_scores(items: DataFrame, lookup: DataFrame) -> DataFrame:
     alias. After both: direct match of the folder, direct match of the second
     name (which also becomes the display name), else score 0.
     """
+    lookup = small(lookup)
     a = normal_name(F.col("folder"))
     named = items.withColumn("_a", a).withColumn("_b", second_candidate(a, normal_name(F.col("genus"))))
     for side in ("a", "b"):

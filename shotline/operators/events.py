@@ -205,24 +205,35 @@ def sliding_members(
     Motion-filtered frames count as misses but are no members.
     """
     rows = materialize(annotate(frames, closing, threshold, span))
-    opened = (
-        rows.where(F.col("hit_run") == quorum)
-        .groupBy("video_id", "seg")
-        .agg((F.min("rn") - (quorum - 1)).alias("start_rn"))
-    )
+    opens = F.min(F.when(F.col("hit_run") == quorum, F.col("rn"))) - (quorum - 1)
+    segments = rows.groupBy("video_id", "seg").agg(opens.alias("start_rn"), F.max("rn").alias("end_rn"))
+    opened = segments.where(F.col("start_rn").isNotNull())
     ends = rows.groupBy("video_id").agg(
         F.max_by(F.struct("rn", "hit", "seg", "hit_run"), "rn").alias("e")
     )
     tails = (
         ends.where(F.col("e")["hit"])
-        .select("video_id", F.col("e")["seg"].alias("seg"), (F.col("e")["rn"] - F.col("e")["hit_run"] + 1).alias("start_rn"))
+        .select(
+            "video_id",
+            F.col("e")["seg"].alias("seg"),
+            (F.col("e")["rn"] - F.col("e")["hit_run"] + 1).alias("start_rn"),
+            F.col("e")["rn"].alias("end_rn"),
+        )
         .join(opened, ["video_id", "seg"], "left_anti")
     )
     spans = opened.withColumn("ambiguous", F.lit(False)).unionByName(
         tails.withColumn("ambiguous", F.lit(True))
     )
-    return rows.join(spans, ["video_id", "seg"]).where(
-        (F.col("rn") >= F.col("start_rn")) & ~F.col("motion_filtered")
+    # a long event meets its frames chunk by chunk, not as one join key
+    part = lambda c: F.floor(F.col(c) / F.lit(span))
+    spread = spans.select(
+        "video_id", "seg", "start_rn", "ambiguous", F.explode(F.sequence(part("start_rn"), part("end_rn"))).alias("_part")
+    )
+    return (
+        rows.withColumn("_part", part("rn"))
+        .join(spread, ["video_id", "seg", "_part"])
+        .where((F.col("rn") >= F.col("start_rn")) & ~F.col("motion_filtered"))
+        .drop("_part")
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions.vectors import as_double, dot, euclidean, unit
 from shotline.operators import centroid, search
-from shotline.session import materialize
+from shotline.session import lookup, materialize
 
 
 def confusion(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -110,7 +110,7 @@ def davies_bouldin(rows: DataFrame) -> DataFrame:
     """Mean over classes of the worst (S_i + S_j) / M_ij, on normalised rows."""
     rows = centroid.normalised(rows)
     means = materialize(centroid.as_gallery(centroid.class_sums(rows), renormalise=False))
-    own = means.select("species", F.col("vec").alias("_c"))
+    own = lookup(means.select("species", F.col("vec").alias("_c")), search.BROADCAST_ROWS)
     spread = (
         rows.join(own, "species")
         .groupBy("species")
@@ -148,7 +148,7 @@ def calinski_harabasz(rows: DataFrame) -> DataFrame:
 
 def own_mean_distance(rows: DataFrame, means: DataFrame) -> DataFrame:
     """Euclidean distance of normalised rows to the plain mean of their class."""
-    own = means.select("species", F.col("vec").alias("_c"))
+    own = lookup(means.select("species", F.col("vec").alias("_c")), search.BROADCAST_ROWS)
     return rows.join(own, "species").select(
         "item_id", "species", euclidean(unit(as_double(F.col("vec"))), F.col("_c")).alias("distance")
     )

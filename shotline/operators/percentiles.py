@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HALVES = (32, 16, 8, 4, 2, 1)
+HALVES = (128, 64, 32, 16, 8, 4, 2, 1)
 CUTS = sum(HALVES)
 
 
@@ -29,7 +29,7 @@ def exact_percentiles(
     )
     marks = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
     cuts = counts.groupBy(*keys_in).agg(
-        F.percentile_approx("_value", marks, 2000).alias("_cuts"),
+        F.percentile_approx("_value", marks, 4000).alias("_cuts"),
         F.sum("_count").alias("n"),
     )
     keyed = counts.join(cuts, keys_in)

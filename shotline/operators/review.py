@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from shotline.functions import labels
 from shotline.operators.scan import running
+from shotline.session import lookup
 
 
 def categorise(records: DataFrame, catalogue: DataFrame, typed: str) -> DataFrame:
     """Category of a typed label: unknown, among the candidates, or known otherwise."""
     text = F.lower(F.trim(typed))
     known = catalogue.select(F.lower("species").alias("_key")).where("_key <> ''").distinct()
-    joined = records.withColumn("_key", text).join(known.withColumn("_in", F.lit(True)), "_key", "left")
+    joined = records.withColumn("_key", text).join(lookup(known.withColumn("_in", F.lit(True))), "_key", "left")
     listed = F.exists("top5", lambda t: F.lower(t["species"]) == text)
     category = (
         F.when(F.col("_in").isNull(), "Desconocida")
@@ -54,7 +55,7 @@ def resolved_species(records: DataFrame, catalogue: DataFrame) -> DataFrame:
     )
     listed = F.coalesce(labels.clean(F.col("_n.nombre_comun_es_ar")), labels.clean(F.col("_n.nombre_comun_en")))
     own = F.coalesce(labels.clean(F.col("es")), labels.clean(F.col("en")))
-    joined = records.withColumn("_chosen", usable).join(names, "_chosen", "left")
+    joined = records.withColumn("_chosen", usable).join(lookup(names), "_chosen", "left")
     common = F.when(
         F.col("_chosen").isNotNull(),
         F.coalesce(listed, F.when(F.col("_chosen") == F.col("species"), own), F.lit("")),

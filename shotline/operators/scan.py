@@ -69,14 +69,19 @@ def digest(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws("~", F.lit(str(seed)), *[i.cast("string") for i in ids]))
 
 
-def shuffled_rank(rows: DataFrame, keys: list[str], item: str, seed: int, name: str = "rank") -> DataFrame:
-    """Rank rows 1..n inside each key in seeded order; chunks are digest prefixes."""
+def shuffled_rank(
+    rows: DataFrame, keys: list[str], item: str, seed: int, name: str = "rank", digits: int = 3
+) -> DataFrame:
+    """Rank rows 1..n inside each key in seeded order.
+
+    Chunks are digest prefixes, hence even: 16 ** ``digits`` of them per key.
+    """
     rows = rows.withColumn("_digest", digest(seed, F.col(item)))
     ranked = running(
         rows,
         keys,
         ["_digest", item],
-        F.substring("_digest", 1, 2),
+        F.substring("_digest", 1, digits),
         sums={name: F.lit(1)},
     )
     return ranked.drop("_digest")

@@ -28,7 +28,7 @@ from shotline.functions import blocks
 
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 128 << 20
-BLOCK_ROWS = 32_768
+BLOCK_ROWS = 16_384
 
 # (queries, gallery) -> columns of the result, as an Arrow table
 Kernel = Callable[[pa.RecordBatch, blocks.Block, blocks.Block], pa.Table]

@@ -6,12 +6,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.operators.scan import digest, shuffled_rank
+from shotline.session import lookup
 
 SEED = 29
 
 
-def _with_class_size(rows: DataFrame) -> DataFrame:
-    return rows.join(rows.groupBy("species").agg(F.count(F.lit(1)).alias("_n")), "species")
+def _cut_rows(rows: DataFrame, seed: int, wanted) -> DataFrame:
+    """Last row of the first ``wanted(n)`` rows of every species in seeded order.
+
+    Works on ids and labels only. The result has one row per species, so the split
+    is then a comparison with it and the wide rows are not shuffled at all.
+    """
+    ids = shuffled_rank(rows.select("item_id", "species"), ["species"], "item_id", seed, "_rank")
+    sizes = rows.groupBy("species").agg(F.count(F.lit(1)).alias("_n"))
+    placed = ids.join(sizes, "species").where(F.col("_rank") == wanted(F.col("_n")))
+    return placed.select(
+        "species", digest(seed, F.col("item_id")).alias("_digest"), F.col("item_id").alias("_item")
+    )
+
+
+def _up_to_cut(seed: int):
+    here = F.struct(digest(seed, F.col("item_id")).alias("_digest"), F.col("item_id").alias("_item"))
+    return F.coalesce(here <= F.struct("_digest", "_item"), F.lit(False))
 
 
 def gallery_query(rows: DataFrame, seed: int = SEED) -> DataFrame:
@@ -20,18 +36,19 @@ def gallery_query(rows: DataFrame, seed: int = SEED) -> DataFrame:
     A fifth of the class, at least one, at least two from five items on; classes
     of two and three items give one and two. A single item goes to the gallery.
     """
-    n = F.col("_n")
-    fifth = F.floor(n * F.lit(0.20))
-    wanted = (
-        F.when(n == 2, 1)
-        .when(n == 3, 2)
-        .when((n >= 5) & (fifth < 2), 2)
-        .otherwise(F.greatest(F.lit(1), fifth))
-    )
-    ranked = shuffled_rank(rows, ["species"], "item_id", seed, "_rank")
-    placed = _with_class_size(ranked)
-    side = F.when(F.col("_rank") <= wanted, "gallery").otherwise("query")
-    return placed.select(*rows.columns, side.alias("split"))
+
+    def wanted(n):
+        fifth = F.floor(n * F.lit(0.20))
+        return (
+            F.when(n == 2, 1)
+            .when(n == 3, 2)
+            .when((n >= 5) & (fifth < 2), 2)
+            .otherwise(F.greatest(F.lit(1), fifth))
+        )
+
+    cuts = lookup(_cut_rows(rows, seed, wanted))
+    side = F.when(_up_to_cut(seed), "gallery").otherwise("query")
+    return rows.join(cuts, "species", "left").select(*rows.columns, side.alias("split"))
 
 
 def dev_test(rows: DataFrame, seed: int = SEED, fraction: float = 0.3) -> DataFrame:
@@ -40,13 +57,19 @@ def dev_test(rows: DataFrame, seed: int = SEED, fraction: float = 0.3) -> DataFr
     Test takes the half-even rounded fraction, at least one and never all; a
     class with a single query item stays in dev (see ``dev_test_excluded``).
     """
-    query = rows.where(F.col("split") == "query")
-    ranked = shuffled_rank(query, ["species"], "item_id", seed + 1, "_rank")
-    n = F.col("_n")
-    wanted = F.least(n - 1, F.greatest(F.lit(1), F.bround(F.lit(fraction) * n).cast("bigint")))
-    side = F.when((n > 1) & (F.col("_rank") <= wanted), "query_test").otherwise("query_dev")
-    parts = _with_class_size(ranked).withColumn("split", side).select(*rows.columns)
-    return rows.where(F.col("split") != "query").unionByName(parts)
+
+    def wanted(n):
+        share = F.greatest(F.lit(1), F.bround(F.lit(fraction) * n).cast("bigint"))
+        return F.when(n > 1, F.least(n - 1, share))
+
+    cuts = lookup(_cut_rows(rows.where(F.col("split") == "query"), seed + 1, wanted))
+    side = (
+        F.when(F.col("split") != "query", F.col("split"))
+        .when(_up_to_cut(seed + 1), "query_test")
+        .otherwise("query_dev")
+    )
+    joined = rows.join(cuts, "species", "left").withColumn("split", side)
+    return joined.select(*rows.columns)
 
 
 def dev_test_excluded(rows: DataFrame) -> DataFrame:

@@ -1346,6 +1346,28 @@ def b9(spark, d):
     )
 
 
+@query(
+    "x2_own_classifier",
+    twin(
+        """SELECT item_id, species AS y_true, arg_max(csp, struct_pack(d := d, s := csp)) AS y_pred FROM qc GROUP BY item_id, species""",
+        "qc",
+    ),
+)
+def x2(spark, d):
+    """A caller's classifier is a function (gallery, queries) -> predictions."""
+    from shotline.operators.classifiers import REGISTRY, evaluate
+
+    def farthest(gallery, queries):
+        cents = centroid.centroids(gallery, gallery_only=False)
+        near = search.nearest(queries, cents, 10_000)
+        last = F.max_by("neighbour", F.struct("distance", "neighbour")).alias("y_pred")
+        return near.groupBy("item_id", F.col("species").alias("y_true")).agg(last)
+
+    REGISTRY["Farthest Centroid"] = farthest
+    out = evaluate(materialize(base.split2(spark, d)), "full", ["Farthest Centroid"])
+    return out.select("item_id", "y_true", "y_pred")
+
+
 @query("b10_linear_svm")
 def b10(spark, d):
     from shotline.operators.classifiers import evaluate

@@ -10,6 +10,7 @@ from shotline.plans import base
 from shotline.plans.base import cte, query, twin
 from shotline.plans.event_queries import TYPES, _types
 from shotline.sources import tables
+from shotline.streaming.drain import shared_folder
 
 
 def r6(*names: str):
@@ -697,3 +698,45 @@ def s6(spark, d):
     """Threshold tables to JSON documents and back."""
     documents = tables.threshold_documents(threshold_table(spark, d), ["model"])
     return tables.read_threshold_documents(documents, ["model"])
+
+
+@query(
+    "s5_csv_sink",
+    "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+)
+def s5(spark, d):
+    """Written as CSV and read back with its schema."""
+    rows = base.table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    target = shared_folder(spark)
+    tables.write_csv(rows, target)
+    return tables.read_csv(spark, target, rows.schema)
+
+
+@query(
+    "s7_partitioned_arrays",
+    "SELECT l_returnflag AS model, l_linestatus AS metric, l_orderkey, l_linenumber, l_discount AS distance FROM lineitem WHERE l_returnflag = 'N'",
+)
+def s7(spark, d):
+    """Written by model and metric, read back with the partitions pruned."""
+    rows = base.table(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("model"),
+        F.col("l_linestatus").alias("metric"),
+        "l_orderkey",
+        "l_linenumber",
+        F.col("l_discount").alias("distance"),
+    )
+    target = shared_folder(spark)
+    tables.write_long_arrays(rows, target)
+    return spark.read.parquet(target).where("model = 'N'")
+
+
+@query(
+    "x5_builtin_aggregates",
+    """SELECT l_returnflag AS label, round(sum(1 / (l_discount + 1e-6)), 2) AS weight, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY 1""",
+)
+def x5(spark, d):
+    """Weighted votes as built-in aggregates, no user-defined ones."""
+    return base.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("label")).agg(
+        F.round(F.sum(1 / (F.col("l_discount") + 1e-6)), 2).alias("weight"),
+        F.round(F.avg("l_quantity"), 6).alias("mean"),
+    )

@@ -94,6 +94,41 @@ def t2(spark, d):
     )
 
 
+@query("t3_end_of_video_flush", twin("SELECT video_id, species, n_hits FROM sev2 WHERE ambiguous", "sev2"))
+def t3(spark, d):
+    """Events that exist only because a video ended before the quorum."""
+    found = detect_events(
+        _kept(frame_stream(spark, d)), event_queries.QUORUM, event_queries.CLOSING, event_queries.THRESHOLD
+    )
+    return drain(found).where("ambiguous").select("video_id", "species", "n_hits")
+
+
+@query(
+    "t4_out_of_order_frames",
+    twin("SELECT video_id, species, ambiguous, n_frames, n_hits FROM sev2", "sev2"),
+)
+def t4(spark, d):
+    """All frames in four shuffled batches; the watermark delay covers the disorder."""
+    target = shared_folder(spark)
+    rows = base.table(spark, d, "events")
+    for i in range(4):
+        mine = F.pmod(F.xxhash64("event_id"), F.lit(4)) == i
+        rows.where(mine).write.parquet(f"{target}/{i}")
+    far = rows.orderBy(F.desc("ts")).limit(1).withColumns(
+        {"user_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 900 DAYS"), "value": F.lit(0.0)}
+    )
+    far.write.parquet(f"{target}/4")
+    shuffled = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
+    found = detect_events(
+        _kept(_frames(shuffled)),
+        event_queries.QUORUM,
+        event_queries.CLOSING,
+        event_queries.THRESHOLD,
+        delay="400 days",
+    )
+    return drain(found).select("video_id", "species", "ambiguous", "n_frames", "n_hits")
+
+
 def _records(spark, d):
     """The record columns the history needs, from the event stream."""
     k = F.get_json_object("props", "$.k").cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the library is tuned for. None of them is needed for right results.
 RECOMMENDED = {
@@ -52,3 +53,16 @@ def materialize(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="shotline-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+LOOKUP_ROWS = 100_000
+
+
+def lookup(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """Dimension side of a join, broadcast only when it is counted to be small.
+
+    The rows are stored once, so counting and joining do not compute them twice.
+    Above the limit the join is left to the optimizer and its skew handling.
+    """
+    stored = materialize(df)
+    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
