@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotline.operators import centroid, splits
-from shotline.session import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -116,8 +115,8 @@ cte(
 
 
 def parts(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Held-out and gallery rows of one stored split."""
-    rows = materialize(split2(spark, folder))
+    """Held-out and gallery rows; only the cut rows of the split are stored."""
+    rows = split2(spark, folder)
     return rows.where("split = 'query'"), rows.where("split = 'gallery'")
 
 

@@ -403,7 +403,7 @@ def excluded_classes(spark, d):
 
 def distances(spark, d):
     """Per held-out item: nearest same-class, nearest other-class and own-centroid distance."""
-    rows = materialize(base.split2(spark, d))
+    rows = base.split2(spark, d)
     query_rows, gallery_rows = rows.where("split = 'query'"), rows.where("split = 'gallery'")
     cents = centroid.centroids(rows)
     near = search.label_minima(query_rows, gallery_rows)
@@ -525,7 +525,7 @@ cte(
 
 
 def final_distances(spark, d):
-    rows = materialize(base.split3(spark, d))
+    rows = base.split3(spark, d)
     cents = materialize(centroid.centroids(rows))
     held = rows.where("split <> 'gallery'")
     near = search.label_minima(held, cents).select("item_id", "d_same", "d_other")
@@ -1163,7 +1163,7 @@ def a45(spark, d):
     ),
 )
 def b5(spark, d):
-    rows = materialize(base.split2(spark, d))
+    rows = base.split2(spark, d)
     gallery = rows.where("split = 'gallery'")
     means = materialize(centroid.centroids(rows, renormalise=False))
     limit = openset.outlier_threshold(gallery, means).select(F.lit(0).alias("_all"), "threshold")
@@ -1195,7 +1195,7 @@ cte(
     twin(_BINARY.replace("SELECT tn", "SELECT round(t, 6) AS threshold, tn").replace("FROM bin", "FROM bin_open"), "bin_open"),
 )
 def b6(spark, d):
-    rows = materialize(base.split2(spark, d))
+    rows = base.split2(spark, d)
     out = openset.open_set(rows.where("split = 'gallery'"), rows.where("split = 'query'"))
     return out.select(*r6("threshold"), "tn", "fp", "fn", "tp", *r6("precision", "recall", "f1", "false_alarm_rate"))
 
@@ -1243,7 +1243,7 @@ cte(
     ),
 )
 def b7(spark, d):
-    rows = materialize(base.split2(spark, d))
+    rows = base.split2(spark, d)
     out = openset.scalability(rows.where("split = 'gallery'"), rows.where("split = 'query'"), STEPS, REPEATS, 29)
     return out.select("num_classes", "samples", *r6("accuracy", "f1", "precision", "recall", "outlier_rate"))
 
@@ -1301,7 +1301,7 @@ _grid = " UNION ALL ".join(
     ),
 )
 def b8(spark, d):
-    rows = materialize(base.split2(spark, d))
+    rows = base.split2(spark, d)
     parts = []
     for model, dims in (("full", 64), ("half", 32)):
         cut = rows.withColumn("vec", F.slice("vec", 1, dims))
@@ -1337,7 +1337,7 @@ cte(
 def b9(spark, d):
     from shotline.operators.classifiers import evaluate
 
-    rows = materialize(base.split2(spark, d))
+    rows = base.split2(spark, d)
     done = rows.select(F.lit("full").alias("model"), F.lit("Random Forest").alias("classifier")).distinct()
     names = ["Nearest Centroid", "KNN (k=1)", "KNN (k=3)", "KNN (k=5)", "Random Forest"]
     preds = evaluate(rows, "full", names, done)
@@ -1364,7 +1364,7 @@ def x2(spark, d):
         return near.groupBy("item_id", F.col("species").alias("y_true")).agg(last)
 
     REGISTRY["Farthest Centroid"] = farthest
-    out = evaluate(materialize(base.split2(spark, d)), "full", ["Farthest Centroid"])
+    out = evaluate(base.split2(spark, d), "full", ["Farthest Centroid"])
     return out.select("item_id", "y_true", "y_pred")
 
 
@@ -1372,14 +1372,14 @@ def x2(spark, d):
 def b10(spark, d):
     from shotline.operators.classifiers import evaluate
 
-    return evaluate(materialize(base.split2(spark, d)), "full", ["Linear SVM"])
+    return evaluate(base.split2(spark, d), "full", ["Linear SVM"])
 
 
 @query("b11_random_forest")
 def b11(spark, d):
     from shotline.operators.classifiers import evaluate
 
-    return evaluate(materialize(base.split2(spark, d)), "full", ["Random Forest"])
+    return evaluate(base.split2(spark, d), "full", ["Random Forest"])
 
 
 @query("b12_final_evaluation")
@@ -1387,7 +1387,7 @@ def b12(spark, d):
     """Both final classifiers on the test split: accuracy, macro F1 and severity shares."""
     from shotline.operators.classifiers import evaluate
 
-    rows = materialize(splits.select_split(base.split3(spark, d), "query_test"))
+    rows = splits.select_split(base.split3(spark, d), "query_test")
     preds = materialize(evaluate(rows, "full", ["Nearest Centroid", "Linear SVM"]))
     counts = metrics.confusion(preds, ["classifier"])
     species = rows.select("species", "genus", "family").distinct()

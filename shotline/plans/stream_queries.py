@@ -182,7 +182,7 @@ def t7(spark, d):
     ),
 )
 def t8(spark, d):
-    catalogue = materialize(base.split2(spark, d))
+    catalogue = base.split2(spark, d)
     wanted = catalogue.where("split = 'query'").select("item_id", "species")
     vectors = (
         stream(spark, d, "embeddings")
