@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotline.operators.percentiles import exact_percentiles
+from shotline.session import side_by_side
 
 PERCENTILES = {"p90": 0.90, "p95": 0.95, "p97": 0.97, "p99": 0.99}
 MIN_SUPPORT = 3
@@ -53,11 +54,9 @@ def threshold_stats(
     tested = distances.agg(
         *[share(intra, r["threshold"]).alias(f"c{i}") for i, r in enumerate(rows)],
         *[share(inter, r["threshold"]).alias(f"x{i}") for i, r in enumerate(rows)],
-    ).withColumn("_all", F.lit(0))
-    middle = exact_percentiles(distances, [], inter, {"median": 0.5}).select(
-        F.lit(0).alias("_all"), "median"
     )
-    joined = tested.join(middle, "_all")
+    middle = exact_percentiles(distances, [], inter, {"median": 0.5}).select("median")
+    joined = side_by_side(tested, middle)
     one = lambda i, r: F.struct(
         F.lit(r["percentile"]).alias("percentile"),
         F.lit(r["threshold"]).alias("threshold"),
@@ -75,12 +74,12 @@ def frozen_validation(distances: DataFrame, excluded: DataFrame, threshold: floa
     ).withColumn("_in", F.col("_out").isNull() & F.col("d_centroid").isNotNull())
     counts = flagged.agg(
         F.count_if("_in").alias("n_included"), F.count_if(~F.col("_in")).alias("n_excluded")
-    ).withColumn("_all", F.lit(0))
+    )
     fixed = distances.sparkSession.range(1).select(
         F.lit("frozen").alias("percentile"), F.lit(threshold).alias("threshold")
     )
     stats = threshold_stats(flagged.where("_in"), fixed, "d_centroid", "d_other")
-    return stats.withColumn("_all", F.lit(0)).join(counts, "_all").drop("_all", "percentile")
+    return side_by_side(stats.drop("percentile"), counts)
 
 
 def class_coverage(distances: DataFrame, value: str, threshold: float) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions import labels
 from shotline.operators import scan
+from shotline.session import side_by_side
 
 SPAN = 1 << 20  # records of one file handled by one task
 
@@ -26,14 +27,14 @@ def run_rows(runs: DataFrame, files: DataFrame) -> DataFrame:
 
 def totals(runs: DataFrame, files: DataFrame, records: DataFrame) -> DataFrame:
     """Runs, frames (one for a file without a count), records and validations."""
-    one = F.lit(0).alias("_all")
-    a = runs.agg(F.count(F.lit(1)).alias("total_runs")).select(one, "*")
-    b = files.agg(F.sum(F.coalesce("frames", F.lit(1))).alias("total_frames")).select(one, "*")
-    c = records.agg(
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if(F.col("state") == "validated").alias("total_validations"),
-    ).select(one, "*")
-    return a.join(b, "_all").join(c, "_all").drop("_all")
+    return side_by_side(
+        runs.agg(F.count(F.lit(1)).alias("total_runs")),
+        files.agg(F.sum(F.coalesce("frames", F.lit(1))).alias("total_frames")),
+        records.agg(
+            F.count(F.lit(1)).alias("total_records"),
+            F.count_if(F.col("state") == "validated").alias("total_validations"),
+        ),
+    )
 
 
 def species_counts(records: DataFrame) -> DataFrame:
@@ -151,12 +152,11 @@ def copy_counters(results: DataFrame) -> DataFrame:
 
 def running_progress(files: DataFrame, records: DataFrame) -> DataFrame:
     """Distinct species seen and frames processed (one for a file without a count)."""
-    one = F.lit(0).alias("_all")
     seen = records.where(F.coalesce("species", F.lit("")) != "").agg(
         F.count_distinct("species").alias("species_seen")
     )
     frames = files.agg(F.sum(F.coalesce("frames", F.lit(1))).alias("total_frames"))
-    return seen.select(one, "*").join(frames.select(one, "*"), "_all").drop("_all")
+    return side_by_side(seen, frames)
 
 
 def overall(history: DataFrame, session_records: DataFrame) -> DataFrame:

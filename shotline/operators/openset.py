@@ -11,10 +11,10 @@ from shotline.operators.scan import digest
 from shotline.session import materialize
 
 
-def outlier_threshold(gallery: DataFrame, means: DataFrame, probability: float = 0.95) -> DataFrame:
+def outlier_threshold(gallery: DataFrame, means: DataFrame, probability: float = 0.95) -> float:
     """Percentile of the gallery's distances to the plain mean of their own class."""
     own = metrics.own_mean_distance(gallery, means)
-    return exact_percentiles(own, [], "distance", {"threshold": probability})
+    return exact_percentiles(own, [], "distance", {"threshold": probability}).first()["threshold"]
 
 
 def known_classes(gallery: DataFrame, share: float = 0.8) -> DataFrame:
@@ -33,15 +33,14 @@ def open_set(gallery: DataFrame, queries: DataFrame, share: float = 0.8) -> Data
     known = materialize(known_classes(gallery, share))
     seen = gallery.join(known, "species", "left_semi")
     means = materialize(centroid.centroids(seen, renormalise=False, gallery_only=False))
-    limit = outlier_threshold(seen, means).select(F.lit(0).alias("_all"), "threshold")
+    limit = outlier_threshold(seen, means)
     near = search.nearest(centroid.normalised(queries), means, 1, metric="euclidean")
     marked = known.withColumn("_known", F.lit(1))
     rows = (
         near.join(marked, "species", "left")
         .withColumn("truth", F.when(F.col("_known").isNull(), 1).otherwise(0))
-        .withColumn("_all", F.lit(0))
-        .join(limit, "_all")
-        .withColumn("guess", (F.col("distance") > F.col("threshold")).cast("int"))
+        .withColumn("threshold", F.lit(limit))
+        .withColumn("guess", (F.col("distance") > limit).cast("int"))
     )
     return metrics.binary_scores(rows, "truth", "guess", ["threshold"])
 
@@ -70,7 +69,7 @@ def scalability(
 ) -> DataFrame:
     """Accuracy and macro scores against the number of classes, all variants in one job."""
     means = materialize(centroid.centroids(gallery, renormalise=False, gallery_only=False))
-    limit = outlier_threshold(gallery, means).select(F.lit(0).alias("_all"), "threshold")
+    limit = outlier_threshold(gallery, means)
     choices = materialize(class_choices(gallery, steps, repeats, seed))
     flags = choices.groupBy("species").agg(F.sort_array(F.collect_list("subset")).alias("subsets"))
     found = search.nearest_per_subset(
@@ -79,12 +78,8 @@ def scalability(
         len(steps) * repeats,
     ).withColumnsRenamed({"species": "y_true", "neighbour": "y_pred"})
     cells = materialize(
-        found.withColumn("_all", F.lit(0))
-        .join(limit, "_all")
-        .groupBy("subset", "y_true", "y_pred")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(F.col("distance") > F.col("threshold")).alias("n_out"),
+        found.groupBy("subset", "y_true", "y_pred").agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.col("distance") > limit).alias("n_out")
         )
     )
     scores = (

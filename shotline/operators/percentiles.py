@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 HALVES = (128, 64, 32, 16, 8, 4, 2, 1)
 CUTS = sum(HALVES)
+ACCURACY = 4000
 
 
 def exact_percentiles(
@@ -28,11 +29,15 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_count"))
     )
     marks = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
-    cuts = counts.groupBy(*keys_in).agg(
-        F.percentile_approx("_value", marks, 4000).alias("_cuts"),
-        F.sum("_count").alias("n"),
-    )
-    keyed = counts.join(cuts, keys_in)
+    sketch = F.percentile_approx("_value", marks, ACCURACY).alias("_cuts")
+    if keys:
+        cuts = counts.groupBy(*keys_in).agg(sketch, F.sum("_count").alias("n"))
+        keyed = counts.join(cuts, keys_in)
+    else:
+        # a single group: its few cut points come back as constants
+        found = counts.agg(sketch, F.sum("_count").alias("n")).first()
+        cut_points = F.array(*[F.lit(c) for c in found["_cuts"] or []])
+        keyed = counts.withColumns({"_cuts": cut_points, "n": F.lit(found["n"]).cast("bigint")})
     # binary search for the number of cuts below the value, in plain comparisons
     chunked = keyed.withColumn("_part", F.lit(0))
     for half in HALVES:

@@ -8,6 +8,7 @@ from shotline.functions import labels
 from shotline.operators import calibrate, catalog, splits, taxonomy
 from shotline.plans import base
 from shotline.plans.base import cte, query, twin
+from shotline.session import side_by_side
 from shotline.plans.metric_queries import FAMILIES, SCORE_SQL, collapsed_species, species_table
 
 ALIASES = {"old gizmo": "old bolt", "large plate": "large ring", "economy plate": "missing name"}
@@ -276,8 +277,7 @@ def w6(spark, d):
     after = splits.dev_test(before)
     bad = splits.split_violations(before, after).agg(F.count(F.lit(1)).alias("n_violations"))
     rows = after.agg(F.count(F.lit(1)).alias("n_rows"))
-    one = F.lit(0).alias("_all")
-    return rows.select(one, "*").join(bad.select(one, "*"), "_all").drop("_all")
+    return side_by_side(rows, bad)
 
 
 @query(

@@ -66,3 +66,11 @@ def lookup(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
     """
     stored = materialize(df)
     return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+
+
+def side_by_side(*frames: DataFrame) -> DataFrame:
+    """Columns of several one-row results in one row, without joining them."""
+    stacked = frames[0]
+    for frame in frames[1:]:
+        stacked = stacked.unionByName(frame, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
