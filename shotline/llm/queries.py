@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shotline.llm.common import table
 
@@ -22,3 +23,63 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     from shotline.llm import simhash
 
     return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
+@query
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import rules
+
+    docs = table(spark, folder, "documents")
+    return rules.judge(docs, rules.fit(docs, table(spark, folder, "labels")))
+
+
+@query
+def op3_factorisation_machine(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import factors
+
+    docs = table(spark, folder, "documents")
+    model = factors.fit(
+        docs, table(spark, folder, "labels"), usable=lambda doc_id: ~factors.held_out(doc_id, 5, 0)
+    )
+    return factors.classify(docs, model).withColumn("held_out", factors.held_out(F.col("doc_id"), 5, 0))
+
+
+@query
+def op9_byte_network(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import factors, language
+
+    docs = table(spark, folder, "documents")
+    net = language.fit(docs, usable=lambda doc_id: ~factors.held_out(doc_id, 4, 2))
+    return language.identify(docs, net).withColumn("held_out", factors.held_out(F.col("doc_id"), 4, 2))
+
+
+@query
+def op5_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    from shotline.llm import packing
+
+    return packing.pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_norm_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import topk
+
+    rows = topk.usable(table(spark, folder, "embeddings"))
+    rows = rows.select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v"))
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
+SQL["op7_norm_buckets"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, p.vec_id, CAST(list_inner_product(q.v, p.v) AS BIGINT) AS score
+  FROM v q JOIN v p ON q.vec_id % 50 = 0 AND q.vec_id <> p.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
