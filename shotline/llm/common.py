@@ -56,6 +56,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of narrow rows, marked for broadcast only if it is counted to be small.
+
+    Above the bound the join shuffles both sides and leaves skew to the optimizer.
+    """
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
     """The values of a string column as UTF-8, one at a time and without a copy of the whole."""
     if column.type not in (pa.binary(), pa.large_binary()):

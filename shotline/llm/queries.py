@@ -83,3 +83,26 @@ s AS (
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op10_deletion_lines(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import lines
+
+    return lines.report(table(spark, folder, "documents"))
+
+
+@query
+def op6_interval_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import suffixes
+
+    rows = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op8_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import substrings
+
+    rows = substrings.remove_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
