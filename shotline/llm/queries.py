@@ -106,3 +106,10 @@ def op8_seed_extend(spark: SparkSession, folder: str) -> DataFrame:
 
     rows = substrings.remove_repeats(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op4_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import mixing
+
+    return mixing.report(table(spark, folder, "documents"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import components, stored, text_slices
+from shotline.llm.common import broadcast_small, components, fresh, stored, text_slices
 from shotline.llm.hashing import xxh64
 
 HEAD_ROWS = 16_384
@@ -254,16 +254,38 @@ def links(distinct: DataFrame, bits: int = 2, head_rows: int = HEAD_ROWS) -> Dat
     return out
 
 
-def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    marked = stored(docs.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fp")), "fingerprints")
-    classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+def _classes(distinct: DataFrame, bits: int) -> DataFrame:
+    """(fp, root, least) for the distinct fingerprints (fp, least)."""
+    classes = stored(distinct, "classes")
     roots = components(links(classes, bits), "simhash")
-    named = classes.join(roots, classes["fp"] == roots["node"], "left").select(
+    return classes.join(roots, classes["fp"] == roots["node"], "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "least"
     )
+
+
+def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of ``docs``."""
+    marked = stored(docs.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fp")), "fingerprints")
+    named = _classes(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), bits)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(named.join(smallest, "root").select("fp", "component_id"), "members")
     return marked.join(of, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, bits: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
+    """One row of ``docs`` for each component: the one with the smallest doc_id (null last), then text hash."""
+    oid, tid = fresh(docs, "_oid"), fresh(docs, "_tid")
+    key = {oid: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), tid: F.xxhash64("text")}
+    marked = stored(
+        docs.select(key[oid].alias("oid"), key[tid].alias("tid"), fingerprint(F.col("text"), words, seed).alias("fp")),
+        "fingerprints",
+    )
+    named = _classes(marked.groupBy("fp").agg(F.min(F.struct("oid", "tid")).alias("least")), bits)
+    chosen = stored(named.groupBy("root").agg(F.min("least").alias("one")).select("one.*"), "chosen")
+    repeated = marked.groupBy("oid", "tid").count().where("count > 1")
+    kept = docs.withColumns(key).join(broadcast_small(chosen.toDF(oid, tid)), [oid, tid], "left_semi")
+    if not repeated.join(chosen, ["oid", "tid"], "left_semi").isEmpty():
+        kept = kept.dropDuplicates([oid, tid])
+    return kept.drop(oid, tid)
