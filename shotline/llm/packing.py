@@ -24,6 +24,7 @@ sequence of its own, marked ``oversize``.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -41,57 +42,77 @@ SEGMENTS = 128
 RUN_TOKENS = 1 << 20
 RUN_PIECES = 2_000
 END = 2
-CACHE = 400_000  # words whose ids a worker remembers
+CACHE = 500_000  # words whose ids a worker remembers
 
-#: What one-by-one encoding of a word leaves unchanged: plain and Latin-1 letters, digits, marks.
-PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+#: Letters whose lower case and composition do not depend on their neighbours.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"[!-~{LETTERS}]+")
+
+
+class Remembered(dict):
+    """Values of ``make`` by key; of ``most`` keys and more, those not used lately are forgotten."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 class Encoder:
     """Ids of a text by a tokenizer that never joins across white space.
 
     A text's ids are those of its words in order, so each distinct word is encoded
-    once. Words of plain letters go straight to the merges; any other word runs
-    through the whole tokenizer.
+    once. Words of plain letters go straight to the merges, piece by piece; any
+    other word runs through the whole tokenizer.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, cache: int = CACHE):
         import json
 
-        import regex
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole = Tokenizer.from_str(definition)
         steps = json.loads(definition)
         pattern = steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
-        self.pieces = regex.compile(pattern)
-        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.special = [t["content"] for t in steps["added_tokens"]]
+        # among plain words the classes of the pattern are these characters
+        self.pieces = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9"))
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in steps["added_tokens"]) or "(?!)")
+        mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [c for c in map(chr, range(0xC0, 0x100)) if PLAIN.fullmatch(c)]
+        self.letters = str.maketrans({c: mapped.pre_tokenize_str(c)[0][0] for c in letters})
         self.model = self.whole.model
-        self.known: dict[bytes, bytes] = {}
+        self.of_piece = Remembered(self._piece, cache // 4)
+        self.of_word = Remembered(self._word, cache)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-            ids: list[int] = []
-            for piece in self.pieces.findall(text.lower()):
-                mapped = piece if piece.isascii() else self.bytes.pre_tokenize_str(piece)[0][0]
-                ids += [t.id for t in self.model.tokenize(mapped)]
-        else:
-            ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        plain = text.isprintable() if text.isascii() else PLAIN.fullmatch(text)
+        if plain and not ("<" in text and self.special.search(text)):
+            low = text.lower()
+            if text.isascii() and low.isalpha():
+                return self.of_piece[low]
+            if text.isascii() and low[:-1].isalpha():  # one mark or digit at the end
+                return self.of_piece[low[:-1]] + self.of_piece[low[-1]]
+            return b"".join([self.of_piece[p] for p in self.pieces.findall(low)])
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes | None) -> np.ndarray:
         """Little-endian unsigned 32-bit ids."""
-        known, parts = self.known, []
-        for word in (text or b"").split():
-            ids = known.get(word)
-            if ids is None:
-                if len(known) >= CACHE:
-                    known.clear()
-                ids = known[word] = self._word(word)
-            parts.append(ids)
-        return np.frombuffer(b"".join(parts), "<u4")
+        return np.frombuffer(b"".join(map(self.of_word.__getitem__, (text or b"").split())), "<u4")
 
 
 @dataclass

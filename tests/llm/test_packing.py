@@ -17,9 +17,11 @@ def test_word_by_word_ids_equal_the_tokenizer():
         "It's we'll THE İstanbul ΣΑΣ naïve  nbsp em x<|endoftext|>y 12 3,4 é ﬁ ½ ª º µ ß ÿ × ÷ 'S I'M don't''t",
         "á b ́c zero​width \x1c sep \x85 nel",
     ]
+    texts += ["".join(c + e for e in (" ", ". ", "x ", "' ")) for c in map(chr, range(1, 0x250))]
+    texts += [f"a{c}b {c}{c} A{c}'s {c}5" for c in map(chr, range(0x20, 0x180))]
     whole = Tokenizer.from_file(PATH)
-    encoder = packing.Encoder(open(PATH, encoding="utf-8").read())
-    for t in texts:
+    encoder = packing.Encoder(open(PATH, encoding="utf-8").read(), cache=200)
+    for t in texts * 2:
         assert encoder.encode(t.encode()).tolist() == whole.encode(t, add_special_tokens=False).ids, t[:60]
 
 
