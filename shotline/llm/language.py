@@ -160,23 +160,28 @@ def fit(
 ) -> Network:
     """Fit on at most ``size`` rows of ``docs`` with text and lang for which ``usable(doc_id)`` holds.
 
-    Languages share the sample evenly: rows are taken by their place in each
-    language's hash order, found from a bounded number of rows of each.
+    Languages share the sample evenly. Ids are chosen first, without their texts, by
+    hash order in each language; only the chosen texts leave the scan, as windows.
     """
     usable = usable or (lambda doc_id: F.lit(True))
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).where(usable(F.col("doc_id")))
+    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.where(usable(F.col("doc_id"))).select("doc_id", "lang", "text")
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
-    texts, y = [], []
-    for number, language in enumerate(languages):
-        order = F.xxhash64("doc_id")
-        part = rows.where(F.col("lang") == language).select("doc_id", "text").orderBy(order, "doc_id", F.xxhash64("text"))
-        # all windows of a text are candidates: equally spaced ones over its whole length
-        for r in part.limit(max(1, size // len(languages))).select(spaced(per_row)(F.col("text")).alias("w")).toLocalIterator():
-            for w in r.w or []:
-                texts.append(np.frombuffer(bytes(w), np.uint8))
-                y.append(number)
-    data = np.stack(texts) if texts else np.zeros((0, WINDOW), np.uint8)
-    return learn(data, np.array(y, np.int64), languages)
+    if not languages:
+        return learn(np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), [])
+    share = max(1, size // len(languages))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    picked = None
+    for language in languages:
+        part = rows.where(F.col("lang") == language).select("doc_id", "lang").orderBy(*order).limit(share)
+        picked = part if picked is None else picked.union(part)
+    chosen = rows.join(F.broadcast(picked.distinct()), ["doc_id", "lang"])
+    chosen = chosen.select("doc_id", "lang", spaced(per_row)(F.col("text")).alias("w"))
+    found = chosen.orderBy(*order, "lang", "w").limit(size).collect()
+    number = {language: i for i, language in enumerate(languages)}
+    texts = [np.frombuffer(bytes(w), np.uint8) for r in found for w in r.w]
+    y = [number[r.lang] for r in found for _ in r.w]
+    return learn(np.stack(texts), np.array(y, np.int64), languages)
 
 
 def spaced(most: int):
