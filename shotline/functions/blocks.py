@@ -7,6 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+EPS = float(np.finfo(float).eps)
 PRECISION = 10  # decimals kept before ranking, so that equal vectors tie exactly
 SLICE = 512  # query rows per matrix product
 PAIRS = 200_000  # pairs per exact re-computation
@@ -87,17 +88,38 @@ def prepared(matrix: np.ndarray, metric: str, gallery: bool) -> np.ndarray:
     return matrix
 
 
-def screen(q: np.ndarray, g: np.ndarray, metric: str) -> np.ndarray:
-    """Distances by matrix product, good to about 1e-7 near zero."""
-    if metric.startswith("cosine"):
-        return 1.0 - q @ g.T
+def screen(q: np.ndarray, g: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values that order like the distances, and a bound of their error for each query row.
+
+    The values of the Euclidean metrics are squared distances from a matrix product.
+    Their error follows the squared lengths of the vectors, not the distance, so it
+    is bounded from those; ``candidates`` leaves the decision to exact distances.
+    """
+    dims = q.shape[1] + 8
     if metric == "manhattan":
         total = np.zeros((len(q), len(g)))
         for j in range(q.shape[1]):
             total += np.abs(q[:, j, None] - g[None, :, j])
-        return total
-    squares = (q * q).sum(1)[:, None] + (g * g).sum(1)[None, :] - 2.0 * (q @ g.T)
-    return np.sqrt(np.maximum(squares, 0.0))
+        return total, EPS * dims * total.max(1, initial=0.0)
+    q2, g2 = (q * q).sum(1), (g * g).sum(1)
+    longest = g2.max(initial=0.0)
+    if metric.startswith("cosine"):
+        return 1.0 - q @ g.T, EPS * dims * (1.0 + np.sqrt(q2 * longest))
+    squares = np.maximum(q2[:, None] + g2[None, :] - 2.0 * (q @ g.T), 0.0)
+    return squares, 2 * EPS * dims * (q2 + longest)
+
+
+def slack(bound: np.ndarray, error: np.ndarray, metric: str) -> np.ndarray:
+    """How far from ``bound`` a screened value can be and still tie with it after rounding."""
+    grain = 2 * 10.0**-PRECISION
+    if metric.startswith("euclidean"):
+        grain = grain * (2 * np.sqrt(np.maximum(bound + error, 0.0)) + grain)
+    return 2 * error + grain
+
+
+def candidates(rough: np.ndarray, bound: np.ndarray, error: np.ndarray, metric: str) -> np.ndarray:
+    """Which screened values may be at or below ``bound`` (one per row)."""
+    return rough <= (bound + slack(bound, error, metric))[:, None]
 
 
 def paired(q: np.ndarray, g: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
@@ -118,18 +140,18 @@ def paired(q: np.ndarray, g: np.ndarray, rows: np.ndarray, cols: np.ndarray, met
 def top_k(q: Block, g: Block, k: int, metric: str):
     """Yield (query rows, gallery rows, distance, rank) of the k nearest, ties by id.
 
-    ``g`` must be sorted by id. The matrix product only screens; everything
-    within tolerance of the k-th value is measured again exactly.
+    ``g`` must be sorted by id. The matrix product only screens; everything within its
+    error of the k-th value is measured again exactly.
     """
     if len(q) == 0 or len(g) == 0:
         return
     gm = prepared(g.matrix, metric, True)
     for start in range(0, len(q), SLICE):
         qm = prepared(q.matrix[start : start + SLICE], metric, False)
-        rough = screen(qm, gm, metric)
+        rough, error = screen(qm, gm, metric)
         if len(g) > k:
             kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-            rows, cols = np.nonzero(rough <= (kth + 1e-6)[:, None])
+            rows, cols = np.nonzero(candidates(rough, kth, error, metric))
         else:
             rows, cols = np.nonzero(np.ones_like(rough, dtype=bool))
         exact = paired(qm, gm, rows, cols, metric)
@@ -150,30 +172,59 @@ def same_and_other(q: Block, g: Block, metric: str):
             yield start, np.full(len(labels), np.nan), np.full(len(labels), np.nan)
             continue
         qm = prepared(q.matrix[start : start + SLICE], metric, False)
-        rough = np.round(screen(qm, gm, metric), PRECISION)
+        rough, error = screen(qm, gm, metric)
         same = labels[:, None] == g.labels[None, :]
-        near = np.where(same, rough, np.inf).min(1)
-        far = np.where(same, np.inf, rough).min(1)
-        near[np.isinf(near)] = np.nan
-        far[np.isinf(far)] = np.nan
-        yield start, near, far
+        yield start, *(least(qm, gm, np.where(side, rough, np.inf), error, metric) for side in (same, ~same))
+
+
+def least(qm: np.ndarray, gm: np.ndarray, rough: np.ndarray, error: np.ndarray, metric: str) -> np.ndarray:
+    """Exact smallest distance of each row; infinite values are no candidates, a row without any gives nan."""
+    bound = rough.min(1)
+    rows, cols = np.nonzero(candidates(rough, bound, error, metric) & np.isfinite(rough))
+    out = np.full(len(qm), np.inf)
+    np.minimum.at(out, rows, paired(qm, gm, rows, cols, metric))
+    return np.where(np.isinf(out), np.nan, out)
+
+
+def farthest(q: Block, g: Block, metric: str):
+    """Yield (query rows, gallery rows, distance) of the farthest gallery row, ties to the larger label."""
+    if len(q) == 0 or len(g) == 0:
+        return
+    gm = prepared(g.matrix, metric, True)
+    code = np.unique(g.labels.astype(str), return_inverse=True)[1]
+    for start in range(0, len(q), SLICE):
+        qm = prepared(q.matrix[start : start + SLICE], metric, False)
+        rough, error = screen(qm, gm, metric)
+        high = rough.max(1)
+        rows, cols = np.nonzero(rough >= (high - slack(high, error, metric))[:, None])
+        exact = paired(qm, gm, rows, cols, metric)
+        order = np.lexsort((-code[cols], -exact, rows))
+        rows, cols, exact = rows[order], cols[order], exact[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        yield rows[first] + start, cols[first], exact[first]
 
 
 def nearest_per_subset(q: Block, g: Block, metric: str):
-    """Yield (query rows, subset, gallery rows, distance): nearest gallery row of each subset."""
+    """Yield (query rows, subset, gallery rows, distance): nearest gallery row of each subset, ties by label."""
     if len(q) == 0 or len(g) == 0:
         return
     gm = prepared(g.matrix, metric, True)
+    code = np.unique(g.labels.astype(str), return_inverse=True)[1]
     for start in range(0, len(q), SLICE):
         qm = prepared(q.matrix[start : start + SLICE], metric, False)
-        rough = np.round(screen(qm, gm, metric), PRECISION)
+        rough, error = screen(qm, gm, metric)
         for s in range(q.subsets.shape[1]):
             rows = np.nonzero(q.subsets[start : start + SLICE, s])[0]
             cols = np.nonzero(g.subsets[:, s])[0]
-            if len(rows) and len(cols):
-                part = rough[np.ix_(rows, cols)]
-                best = part.argmin(1)
-                yield rows + start, s, cols[best], part[np.arange(len(rows)), best]
+            if not len(rows) or not len(cols):
+                continue
+            part = rough[np.ix_(rows, cols)]
+            i, j = np.nonzero(candidates(part, part.min(1), error[rows], metric))
+            exact = paired(qm, gm, rows[i], cols[j], metric)
+            order = np.lexsort((code[cols[j]], exact, i))
+            i, j, exact = i[order], j[order], exact[order]
+            first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            yield rows[i[first]] + start, s, cols[j[first]], exact[first]
 
 
 def worst_ratio(q: Block, g: Block):
@@ -181,7 +232,10 @@ def worst_ratio(q: Block, g: Block):
     out = np.full(len(q), np.nan)
     for start in range(0, len(q), SLICE):
         rows = slice(start, start + SLICE)
-        gaps = screen(q.matrix[rows], g.matrix, "euclidean")
+        gaps, error = screen(q.matrix[rows], g.matrix, "euclidean")
+        close = np.nonzero(gaps <= 1e6 * error[:, None])  # too near for the product: measured again
+        gaps = np.sqrt(gaps)
+        gaps[close] = paired(q.matrix[rows], g.matrix, *close, "euclidean")
         other = q.labels[rows][:, None] != g.labels[None, :]
         sums = q.scale[rows][:, None] + g.scale[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):

@@ -9,25 +9,39 @@ cell holds the answers of all of them.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotline.operators.scan import running
+from shotline.session import materialize
+
 SLOTS = 65_536  # draws made by one task row
 BLOCK = 50  # iterations drawn together
 
 
 def joint_cells(predictions: DataFrame, series: list[str]) -> DataFrame:
-    """Cells (y_true, answers, n): ``answers`` maps each series to its prediction."""
-    name = F.concat_ws("|", *series)
-    answers = F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "y_pred"))))
-    items = predictions.groupBy("item_id", "y_true").agg(answers.alias("answers"))
-    text = items.withColumn("cell", F.to_json("answers"))
-    return text.groupBy("y_true", "cell").agg(F.count(F.lit(1)).alias("n"))
+    """Cells (y_true, cell, answers, n): the answers of all series, as text and as an array.
+
+    Items with the same true label and the same answers are one cell.
+    """
+    answer = F.struct(F.concat_ws("|", *series).alias("series"), F.col("y_pred"))
+    items = predictions.groupBy("item_id", "y_true").agg(F.array_sort(F.collect_list(answer)).alias("answers"))
+    text = F.array_join(F.transform("answers", lambda a: F.concat(a["series"], F.lit("="), a["y_pred"])), ",")
+    return items.groupBy("y_true", text.alias("cell")).agg(F.first("answers").alias("answers"), F.count(F.lit(1)).alias("n"))
+
+
+def placed_cells(cells: DataFrame) -> DataFrame:
+    """Cells with ``upto``: the items of their class up to them, in the order of md5(cell).
+
+    Hash prefixes cut a class into even chunks, so a class is never one task.
+    """
+    return running(
+        cells.withColumn("_h", F.md5("cell")), ["y_true"], ["_h", "cell"], F.substring("_h", 1, 2), sums={"upto": F.col("n")}
+    ).drop("_h")
 
 
 def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
@@ -36,7 +50,7 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     Slot i of a class draws a position below its size; positions number the items
     of the class in cell order. Slots are generated in bounded runs and found
     again by an equi-join on (class, position), so a large class is spread over
-    many tasks. The work is iterations times items; ``multinomial_draws`` is the
+    many tasks. The work is iterations times items; ``multinomial_cells`` is the
     plan for large inputs.
     """
     groups = cells.groupBy("y_true").agg(F.sum("n").alias("n_class"))
@@ -59,9 +73,7 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     text = F.md5(F.concat_ws("~", F.lit(str(seed)), "iteration", "y_true", "slot"))
     number = F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")
     drawn = slots.select("iteration", "y_true", (number % F.col("n_class")).alias("position"))
-    order = Window.partitionBy("y_true").orderBy("cell")
-    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranges = cells.withColumn("upto", upto).select(
+    ranges = placed_cells(cells.select("y_true", "cell", "n")).select(
         "y_true",
         "cell",
         F.explode(F.sequence(F.floor((F.col("upto") - F.col("n")) / SLOTS), F.floor((F.col("upto") - 1) / SLOTS))).alias("run"),
@@ -85,57 +97,56 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
 
 
 def multinomial_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """Resampled confusion cells drawn per class at once.
+    """Draws (iteration, y_true, cell, times) with the distribution of ``hash_draws``.
 
-    Same distribution as ``hash_draws``; the cost depends on classes, cells and
-    iterations but not on the number of items. The cells of one class (distinct
-    answer tuples) travel as one row, a block of iterations at a time.
+    A class is cut into ranges of about ``SLOTS`` items. One multinomial draw divides the
+    class among its ranges, one more divides each range among its cells; a task holds
+    the cells of one range and a block of iterations, never a whole class.
     """
-    per_class = cells.groupBy("y_true").agg(
-        F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells")
+    ranged = placed_cells(cells.select("y_true", "cell", "n")).withColumn(
+        "range", F.floor((F.col("upto") - 1) / SLOTS)
+    )
+    ranged = materialize(ranged.drop("upto"))
+    totals = ranged.groupBy("y_true", "range").agg(F.sum("n").alias("size"))
+    per_class = totals.groupBy("y_true").agg(F.array_sort(F.collect_list(F.struct("range", "size"))).alias("ranges"))
+    inside = ranged.groupBy("y_true", "range").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    tasks = inside.join(per_class, "y_true").withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK)))
     )
-    blocks = per_class.select(
-        "y_true",
-        F.transform("cells", lambda c: c["cell"]).alias("cell"),
-        F.transform("cells", lambda c: c["n"]).alias("size"),
-        F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK))).alias("block"),
-    ).withColumn("draw_seed", F.pmod(F.xxhash64(F.lit(seed), "block", "y_true"), F.lit(2**31 - 1)))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                size = np.asarray(row.size, dtype=np.int64)
                 first = row.block * BLOCK
                 rounds = min(BLOCK, iterations - first)
-                rng = np.random.default_rng(int(row.draw_seed))
-                times = rng.multinomial(size.sum(), size / size.sum(), size=rounds)
-                answers = [json.loads(c) for c in row.cell]
-                for series in answers[0]:
-                    given, code = np.unique([a[series] for a in answers], return_inverse=True)
-                    counts = np.zeros((rounds, len(given)), dtype=np.int64)
-                    np.add.at(counts.T, code, times.T)
-                    it, col = np.nonzero(counts)
-                    yield pd.DataFrame(
-                        {
-                            "iteration": (it + first).astype(np.int32),
-                            "series": series,
-                            "y_true": row.y_true,
-                            "y_pred": given[col],
-                            "n": counts[it, col],
-                        }
-                    )
-
-    columns = blocks.repartition("y_true", "block").select("y_true", "cell", "size", "block", "draw_seed")
-    return columns.mapInPandas(
-        draw, "iteration int, series string, y_true string, y_pred string, n bigint"
-    )
-
-
-def resampled_cells(draws: DataFrame) -> DataFrame:
+                sizes = np.array([r["size"] for r in row.ranges], dtype=np.int64)
+                mine = [r["range"] for r in row.ranges].index(row.range)
+                # the same class draw in every task of the class
+                rng = np.random.default_rng([seed, row.block, *row.y_true.encode()])
+                share = rng.multinomial(sizes.sum(), sizes / sizes.sum(), size=rounds)[:, mine]
+                rng = np.random.default_rng([seed, row.block, row.range + 1, *row.y_true.encode()])
+                n = np.array([c["n"] for c in row.cells], dtype=np.int64)
+                times = np.stack([rng.multinomial(k, n / n.sum()) for k in share])
+                it, col = np.nonzero(times)
+                yield pd.DataFrame(
+                    {
+                        "iteration": (it + first).astype(np.int32),
+                        "y_true": row.y_true,
+                        "cell": np.array([c["cell"] for c in row.cells], dtype=object)[col],
+                        "times": times[it, col],
+                    }
+                )
+
+    spread = tasks.select("y_true", "range", "cells", "ranges", "block").repartition("y_true", "range", "block")
+    return spread.mapInPandas(draw, "iteration int, y_true string, cell string, times bigint")
+
+
+def resampled_cells(draws: DataFrame, cells: DataFrame) -> DataFrame:
     """Confusion cells of every series in every iteration: (iteration, series, y_true, y_pred, n)."""
-    answers = F.from_json("cell", "map<string,string>")
+    answers = cells.select("y_true", "cell", "answers")
     return (
-        draws.select("iteration", "y_true", "times", F.explode(answers).alias("series", "y_pred"))
+        draws.join(answers, ["y_true", "cell"])
+        .select("iteration", "y_true", "times", F.inline("answers"))
         .groupBy("iteration", "series", "y_true", "y_pred")
         .agg(F.sum("times").alias("n"))
     )

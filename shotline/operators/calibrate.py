@@ -91,6 +91,13 @@ def class_coverage(distances: DataFrame, value: str, threshold: float) -> DataFr
     return shares.join(medians.select("species", "median"), "species")
 
 
+def value_range(rows: DataFrame, value: str) -> tuple[float, float]:
+    """Smallest and largest value; a range of one when there is only one value, or none."""
+    low, high = rows.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
+    low = 0.0 if low is None else low
+    return low, high if high is not None and high > low else low + 1.0
+
+
 def histogram(rows: DataFrame, value: Column, low: float, high: float, bins: int, by: list[str]) -> DataFrame:
     """Equal-width bins; the upper edge belongs to the last bin. Empty bins are absent."""
     width = (high - low) / bins

@@ -55,7 +55,7 @@ def _fitted(make: Callable[[int], Estimator]) -> Classifier:
 
 def _linear_svm(n: int) -> Estimator:
     # the solver averages the loss, so a cost of 1 is a penalty of 1 / n
-    solver = LinearSVC(maxIter=100, tol=1e-4, regParam=1.0 / max(n, 1), standardization=False)
+    solver = LinearSVC(maxIter=2_000, tol=1e-4, regParam=1.0 / max(n, 1), standardization=False)
     return OneVsRest(classifier=solver, parallelism=8)
 
 
@@ -70,21 +70,27 @@ REGISTRY: dict[str, Classifier] = {
 
 
 def evaluate(
-    rows: DataFrame, model: str, names: list[str], done: DataFrame | None = None
+    rows: DataFrame,
+    model: str,
+    names: list[str],
+    done: DataFrame | None = None,
+    own: dict[str, Classifier] | None = None,
 ) -> DataFrame:
     """Long predictions (model, classifier, item_id, y_true, y_pred) of the named classifiers.
 
-    Pairs listed in ``done`` (model, classifier) are not run again.
+    ``own`` adds a caller's classifiers. Pairs listed in ``done`` (model, classifier) are
+    not run again.
     """
+    known = {**REGISTRY, **(own or {})}
     if done is not None:
-        finished = done.where(F.col("model") == model).select("classifier").distinct().limit(len(REGISTRY) + 1)
-        skip = {r["classifier"] for r in finished.collect()}
+        asked = done.where((F.col("model") == model) & F.col("classifier").isin(names))
+        skip = {r["classifier"] for r in asked.select("classifier").distinct().collect()}
         names = [n for n in names if n not in skip]
     gallery = rows.where(F.col("split") == "gallery")
     queries = rows.where(F.col("split") != "gallery")
     out = None
     for name in names:
-        part = REGISTRY[name](gallery, queries).select(
+        part = known[name](gallery, queries).select(
             F.lit(model).alias("model"), F.lit(name).alias("classifier"), "item_id", "y_true", "y_pred"
         )
         out = part if out is None else out.unionByName(part)

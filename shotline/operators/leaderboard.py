@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.operators import metrics
 from shotline.operators.percentiles import exact_percentiles
 
-# Column spellings met in stored result files, and the one name used afterwards.
+# Column spellings are fixed by the stored result files; the right side is the one name used afterwards.
 CANONICAL = {
     "F1-Macro": "F1_Macro",
     "F1 Score Macro": "F1_Macro",
@@ -85,12 +85,9 @@ def pending_pairs(wanted: DataFrame, done: DataFrame) -> DataFrame:
     return wanted.join(done.select("model", "classifier"), ["model", "classifier"], "left_anti")
 
 
-def exclude_patterns(rows: DataFrame, models: bool = True, classifiers: bool = True) -> DataFrame:
-    if models and "model" in rows.columns:
-        rows = rows.where(~F.coalesce(F.lower("model").contains("_gap"), F.lit(False)))
-    if classifiers and "classifier" in rows.columns:
-        rows = rows.where(~F.coalesce(F.lower("classifier").contains("faiss"), F.lit(False)))
-    return rows
+def lacks(column: str, part: str) -> Column:
+    """Whether a name does not contain ``part``, whatever its case; true for null."""
+    return ~F.coalesce(F.lower(column).contains(part), F.lit(False))
 
 
 def canonical_columns(rows: DataFrame) -> DataFrame:
@@ -115,7 +112,7 @@ def architecture(rows: DataFrame) -> DataFrame:
 def custom_order(rows: DataFrame, column: str, first: list[str]) -> DataFrame:
     """Listed values first, in list order; the rest after them by name."""
     place = F.array_position(F.array(*[F.lit(v) for v in first]), F.col(column))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.when(place > 0, place).otherwise(99), column)
+    order = Window.partitionBy(F.lit(0)).orderBy(F.when(place > 0, place).otherwise(len(first) + 1), column)
     return rows.withColumn("position", F.row_number().over(order).cast("bigint"))
 
 
@@ -158,15 +155,16 @@ def alignment(truths: DataFrame, reference: str) -> DataFrame:
 
 
 def forest_table(ci: DataFrame) -> DataFrame:
+    best = ci.agg(F.max("mean")).scalar()
     return ci.select(
         "series",
         "mean",
         (F.col("mean") - F.col("ci_lower")).alias("err_lo"),
         (F.col("ci_upper") - F.col("mean")).alias("err_hi"),
-        F.max("mean").over(Window.partitionBy(F.lit(0))).alias("best_mean"),
+        best.alias("best_mean"),
     ).orderBy(F.desc("mean"), "series")
 
 
 def at_largest(rows: DataFrame, size: str, metric: str) -> DataFrame:
-    top = F.max(size).over(Window.partitionBy(F.lit(0)))
-    return rows.withColumn("_top", top).where(F.col(size) == F.col("_top")).drop("_top").orderBy(F.desc(metric))
+    top = rows.agg(F.max(size).alias(size))
+    return rows.join(top, size, "left_semi").orderBy(F.desc(metric))

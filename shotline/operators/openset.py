@@ -20,12 +20,7 @@ def outlier_threshold(gallery: DataFrame, means: DataFrame, probability: float =
 def known_classes(gallery: DataFrame, share: float = 0.8) -> DataFrame:
     """The first share of the sorted classes."""
     names = gallery.select("species").distinct()
-    order = Window.partitionBy(F.lit(0)).orderBy("species")
-    ranked = names.withColumn("_r", F.row_number().over(order))
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    return ranked.withColumn("_n", total).where(
-        F.col("_r") <= F.floor(F.col("_n") * F.lit(share))
-    ).select("species")
+    return names.orderBy("species").limit(int(names.count() * share))
 
 
 def open_set(gallery: DataFrame, queries: DataFrame, share: float = 0.8) -> DataFrame:
@@ -46,22 +41,24 @@ def open_set(gallery: DataFrame, queries: DataFrame, share: float = 0.8) -> Data
 
 
 def class_choices(gallery: DataFrame, steps: list[int], repeats: int, seed: int) -> DataFrame:
-    """Seeded class samples: (subset, step, repeat, species); a step beyond the total means all."""
+    """Seeded class samples: (subset, num_classes, repeat, species), and last all classes.
+
+    Steps that reach the number of classes are replaced by the one with all of them.
+    """
     names = gallery.select("species").distinct()
-    total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    variants = [(i * repeats + r, s, r) for i, s in enumerate(steps) for r in range(repeats)]
+    total = names.count()
+    variants = [(i * repeats + r, s, r) for i, s in enumerate(steps) if s < total for r in range(repeats)]
+    variants.append((len(steps) * repeats, total, 0))
     grid = F.array(
         *[
-            F.struct(F.lit(v).alias("subset"), F.lit(s).alias("step"), F.lit(r).alias("repeat"))
+            F.struct(F.lit(v).alias("subset"), F.lit(s).alias("num_classes"), F.lit(r).alias("repeat"))
             for v, s, r in variants
         ]
     )
-    rows = names.withColumn("_total", total).select("species", "_total", F.inline(grid))
+    rows = names.select("species", F.inline(grid))
     order = Window.partitionBy("subset").orderBy(digest(seed, F.col("subset"), F.col("species")))
-    picked = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("step"))
-    return picked.select(
-        "subset", F.least("step", "_total").cast("int").alias("num_classes"), "repeat", "species"
-    )
+    picked = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= F.col("num_classes"))
+    return picked.select("subset", "num_classes", "repeat", "species")
 
 
 def scalability(
@@ -75,7 +72,7 @@ def scalability(
     found = search.nearest_per_subset(
         centroid.normalised(queries).join(flags, "species"),
         means.join(flags, "species"),
-        len(steps) * repeats,
+        len(steps) * repeats + 1,
     ).withColumnsRenamed({"species": "y_true", "neighbour": "y_pred"})
     cells = materialize(
         found.groupBy("subset", "y_true", "y_pred").agg(
@@ -97,8 +94,6 @@ def scalability(
 def incremental_cost(gallery: DataFrame, base: int, added: int, item_ms: float, shots: int = 5) -> DataFrame:
     """Shots and ingest time of each class added after the first ``base`` classes."""
     counts = gallery.groupBy("species").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(F.lit(0)).orderBy("species")
-    ranked = counts.withColumn("_r", F.row_number().over(order))
-    new = ranked.where(F.col("_r").between(base + 1, base + added))
+    new = counts.orderBy("species").offset(base).limit(added)
     used = F.least(F.lit(shots), F.col("n"))
     return new.select("species", used.alias("shots"), (used * item_ms / 1000.0).alias("seconds"))

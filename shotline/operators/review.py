@@ -105,6 +105,18 @@ def category_counts(records: DataFrame) -> DataFrame:
     return axis.join(counts, "category", "left").select("category", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def name_range(rows: DataFrame, name: str, parts: int = 256) -> Column:
+    """Number of the range a name falls into; cut points are ``parts`` names drawn by hash.
+
+    Names with a long common beginning are divided as evenly as any others.
+    """
+    drawn = rows.select(name).distinct().orderBy(F.xxhash64(name), name).limit(parts)
+    cuts = sorted(r[0] for r in drawn.collect() if r[0] is not None)
+    if not cuts:
+        return F.lit(0)
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(name)))
+
+
 def unknown_species(records: DataFrame, per_row: int = 1000) -> DataFrame:
     """Typed species outside the catalogue with their record count and sorted files.
 
@@ -118,7 +130,7 @@ def unknown_species(records: DataFrame, per_row: int = 1000) -> DataFrame:
     ).withColumnRenamed("custom_species", "especie_ingresada")
     per_file = rows.groupBy("especie_ingresada", "filename").agg(F.count(F.lit(1)).alias("n"))
     numbered = running(
-        per_file, ["especie_ingresada"], ["filename"], F.substring("filename", 1, 8), sums={"_pos": F.lit(1)}
+        per_file, ["especie_ingresada"], ["filename"], name_range(per_file, "filename"), sums={"_pos": F.lit(1)}
     )
     listed = numbered.groupBy(
         "especie_ingresada", F.floor((F.col("_pos") - 1) / per_row).alias("part")

@@ -39,9 +39,36 @@ def _side(df: DataFrame, extra: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in ("item_id", "species", "vec", *extra)])
 
 
+class Gallery:
+    """A gallery whose size is checked once: small ones are kept as a broadcast block.
+
+    Rows are counted and their bytes summed before any vector reaches the driver. Pass
+    it in place of a DataFrame to search the same gallery again and again.
+    """
+
+    def __init__(
+        self,
+        df: DataFrame,
+        extra: tuple[str, ...] = (),
+        width: int = 0,
+        broadcast_rows: int = BROADCAST_ROWS,
+    ):
+        self.df, self.schema = df, df.schema
+        self.rows = _side(df, list(extra) + (["subsets"] if width else []))
+        self.shared = None
+        size = F.coalesce(F.sum(F.size("vec").cast("long") * 8), F.lit(0))
+        self.count, self.bytes = self.rows.agg(F.count(F.lit(1)), size).first()
+        if self.count <= broadcast_rows and self.bytes <= BROADCAST_BYTES:
+            block = blocks.by_id(blocks.block(self.rows.toArrow(), width))
+            self.shared = df.sparkSession.sparkContext.broadcast(block)
+
+    def select(self, *columns) -> DataFrame:
+        return self.df.select(*columns)
+
+
 def compare(
     queries: DataFrame,
-    gallery: DataFrame,
+    gallery: DataFrame | Gallery,
     kernel: Kernel,
     added: list[T.StructField],
     width: int = 0,
@@ -51,12 +78,12 @@ def compare(
 ) -> tuple[DataFrame, bool]:
     """Run ``kernel`` for all queries against the gallery; True if one pass saw it all."""
     names = list(extra) + (["subsets"] if width else [])
-    q, g = _side(queries, names), _side(gallery, names)
+    if not isinstance(gallery, Gallery):
+        gallery = Gallery(gallery, extra, width, broadcast_rows)
+    q, g = _side(queries, names), gallery.rows
     schema = T.StructType([q.schema["item_id"], q.schema["species"], *added])
-    head = g.limit(broadcast_rows + 1).toArrow()
-    if head.num_rows <= broadcast_rows and head.nbytes <= BROADCAST_BYTES:
-        whole = blocks.by_id(blocks.block(head, width))
-        shared = queries.sparkSession.sparkContext.broadcast(whole)
+    if gallery.shared is not None:
+        shared = gallery.shared
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -67,7 +94,7 @@ def compare(
         return q.mapInArrow(scan, schema), True
 
     q_blocks = max(1, math.ceil(queries.count() / block_rows))
-    g_blocks = max(1, math.ceil(gallery.count() / block_rows))
+    g_blocks = max(1, math.ceil(gallery.count / block_rows))
     left = q.withColumn("_qb", F.pmod(F.xxhash64("item_id"), F.lit(q_blocks))).withColumn(
         "_gb", F.explode(F.sequence(F.lit(0), F.lit(g_blocks - 1)))
     )
@@ -136,6 +163,33 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosin
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def farthest(queries: DataFrame, gallery: DataFrame, metric: str = "cosine", **sizes) -> DataFrame:
+    """The farthest gallery row of every query: item_id, species, neighbour, distance.
+
+    One row per query leaves each block; ties go to the larger label.
+    """
+    added = [
+        T.StructField("neighbour", gallery.schema["species"].dataType),
+        T.StructField("distance", T.DoubleType()),
+    ]
+
+    def kernel(batch, q: blocks.Block, g: blocks.Block) -> pa.Table:
+        found = list(blocks.farthest(q, g, metric))
+        cols = _join([f[1] for f in found], int)
+        return _rows(
+            batch,
+            _join([f[0] for f in found], int),
+            neighbour=pa.array(g.labels[cols].tolist(), type=pa.string()),
+            distance=pa.array(_join([f[2] for f in found], float)),
+        )
+
+    out, complete = compare(queries, gallery, kernel, added, **sizes)
+    if complete:
+        return out
+    best = F.max_by(F.struct("neighbour", "distance"), F.struct("distance", "neighbour"))
+    return out.groupBy("item_id", "species").agg(best.alias("b")).select("item_id", "species", "b.*")
+
+
 def label_minima(queries: DataFrame, gallery: DataFrame, metric: str = "cosine", **sizes) -> DataFrame:
     """Nearest distance inside the query's own class and to any other class.
 

@@ -590,15 +590,33 @@ def a23(spark, d):
     return rows.agg(F.round(F.corr("d_same", "d_centroid"), 6).alias("correlation"))
 
 
+cte(
+    "sided",
+    """SELECT 'intra' AS side, round(d_same, 6) AS value FROM dist WHERE d_same IS NOT NULL
+    UNION ALL SELECT 'inter', round(d_other, 6) FROM dist WHERE d_other IS NOT NULL""",
+    "dist",
+)
+
+
 @query(
     "a24_histogram",
-    """SELECT event_type AS side, bin, n, round(n / (sum(n) OVER (PARTITION BY event_type) * 10.0::DOUBLE), 8) AS density FROM (
-      SELECT event_type, least(floor(value / 10.0::DOUBLE), 59)::INT AS bin, count(*) AS n FROM events WHERE value BETWEEN 0 AND 600 GROUP BY 1, 2)""",
+    twin(
+        """SELECT side, bin, n, round(n / (sum(n) OVER (PARTITION BY side) * width), 6) AS density FROM (
+          SELECT side, least(floor((value - low) / width), 59)::INT AS bin, width, count(*) AS n FROM sided, (
+            SELECT min(value) AS low, (max(value) - min(value)) / 60.0::DOUBLE AS width FROM sided) GROUP BY ALL)""",
+        "sided",
+    ),
 )
 def a24(spark, d):
-    rows = base.table(spark, d, "events").select(F.col("event_type").alias("side"), "value")
-    counts = calibrate.histogram(rows, F.col("value"), 0.0, 600.0, 60, ["side"])
-    return calibrate.density(counts, 0.0, 600.0, 60, ["side"]).withColumn("density", F.round("density", 8))
+    """Densities of the intra and inter distances over their common range."""
+    near = distances(spark, d)
+    rows = near.select(F.inline(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.round(column, 6).alias("value"))
+        for side, column in (("intra", "d_same"), ("inter", "d_other"))
+    ]))).where("value IS NOT NULL")
+    low, high = calibrate.value_range(rows, "value")
+    counts = calibrate.histogram(rows, F.col("value"), low, high, 60, ["side"])
+    return calibrate.density(counts, low, high, 60, ["side"]).withColumn("density", F.round("density", 6))
 
 
 # --- leaderboards over the (model, classifier) summary ---------------------------------
@@ -788,7 +806,7 @@ def j9(spark, d):
     twin("SELECT * FROM summ WHERE lower(model) NOT LIKE '%\\_gap%' ESCAPE '\\' AND lower(classifier) NOT LIKE '%faiss%'", "summ"),
 )
 def p8(spark, d):
-    return leaderboard.exclude_patterns(summary(spark, d))
+    return summary(spark, d).where(leaderboard.lacks("model", "_gap") & leaderboard.lacks("classifier", "faiss"))
 
 
 @query(
@@ -830,7 +848,7 @@ def p30(spark, d):
 @query(
     "l5_custom_order",
     twin(
-        """SELECT category, row_number() OVER (ORDER BY coalesce(list_position(['Crítico', 'Alto', 'Medio', 'Bajo', 'Nulo'], category), 99), category) AS position
+        """SELECT category, row_number() OVER (ORDER BY coalesce(list_position(['Crítico', 'Alto', 'Medio', 'Bajo', 'Nulo'], category), 6), category) AS position
         FROM (SELECT DISTINCT category FROM catc)""",
         "catc",
     ),
@@ -876,7 +894,7 @@ cte("cacc", "SELECT *, Correct / (Correct + Incorrect)::DOUBLE * 100 AS acc FROM
 
 def category_accuracy(spark, d):
     counts = taxonomy.with_combined(category_counts(spark, d))
-    kept = leaderboard.exclude_patterns(counts, models=False)
+    kept = counts.where(leaderboard.lacks("classifier", "faiss"))
     total = kept.groupBy("model", "classifier", "category").agg(
         F.sum("Correct").alias("Correct"), F.sum("Incorrect").alias("Incorrect")
     )
@@ -991,17 +1009,17 @@ def u5(spark, d):
 
 # --- bootstrap -------------------------------------------------------------------------
 
-ITERATIONS = 20
+ITERATIONS = 1_000
 
 cte(
     "joint",
     """SELECT item_id, y_true, string_agg(model || '|' || classifier || '=' || y_pred, ',' ORDER BY model || '|' || classifier) AS cell FROM preds
-    WHERE model = 'm1' AND classifier <> 'Faiss NN' GROUP BY item_id, y_true""",
+    GROUP BY item_id, y_true""",
     "preds",
 )
 cte(
     "placed",
-    """SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY cell, item_id) - 1 AS slot, count(*) OVER (PARTITION BY y_true) AS n_class FROM joint""",
+    """SELECT *, row_number() OVER (PARTITION BY y_true ORDER BY md5(cell), cell, item_id) - 1 AS slot, count(*) OVER (PARTITION BY y_true) AS n_class FROM joint""",
     "joint",
 )
 cte(
@@ -1017,8 +1035,8 @@ cte(
 )
 cte(
     "bcells",
-    """SELECT iteration, p.model || '|' || p.classifier AS series, d.y_true, p.y_pred, count(*) AS n FROM drawn d JOIN preds p ON p.item_id = d.item_id
-    WHERE p.model = 'm1' AND p.classifier <> 'Faiss NN' GROUP BY ALL""",
+    """SELECT iteration, p.model || '|' || p.classifier AS series, d.y_true, p.y_pred, count(*) AS n FROM drawn d JOIN preds p ON p.item_id = d.item_id AND p.y_true = d.y_true
+    GROUP BY ALL""",
     "drawn",
     "preds",
 )
@@ -1035,20 +1053,17 @@ _CI = """SELECT {by}, round(avg(value), 6) AS mean, round(quantile_cont(value, 0
   round(quantile_cont(value, 0.975), 6) AS ci_upper, round(quantile_cont(value, 0.975) - quantile_cont(value, 0.025), 6) AS ci_width FROM {t} GROUP BY {by}"""
 
 
-def one_model(spark, d):
-    return predictions(spark, d).where("model = 'm1' AND classifier <> 'Faiss NN'")
-
-
 def _rounded_ci(df):
     return df.withColumns({c: F.round(c, 6) for c in ("mean", "ci_lower", "ci_upper", "ci_width")})
 
 
 def joint(spark, d):
-    return materialize(bootstrap.joint_cells(one_model(spark, d), ["model", "classifier"]))
+    return materialize(bootstrap.joint_cells(predictions(spark, d), ["model", "classifier"]))
 
 
 def _cells_of(spark, d):
-    return bootstrap.resampled_cells(bootstrap.hash_draws(joint(spark, d), ITERATIONS, 29))
+    cells_of = joint(spark, d)
+    return bootstrap.resampled_cells(bootstrap.hash_draws(cells_of, ITERATIONS, 29), cells_of)
 
 
 def _scores(spark, d):
@@ -1063,10 +1078,10 @@ def b1(spark, d):
 
 @query("b1_bootstrap_multinomial")
 def b1_multinomial(spark, d):
-    """A thousand iterations whose cost does not grow with the items."""
-    scores = bootstrap.iteration_scores(
-        materialize(bootstrap.multinomial_cells(joint(spark, d), 1000, 29))
-    )
+    """A thousand iterations drawn per range of a class, not item by item."""
+    cells_of = joint(spark, d)
+    draws = bootstrap.multinomial_cells(cells_of, ITERATIONS, 29)
+    scores = bootstrap.iteration_scores(materialize(bootstrap.resampled_cells(draws, cells_of)))
     return _rounded_ci(bootstrap.interval(scores, ["series", "metric"]))
 
 
@@ -1139,7 +1154,7 @@ def b4(spark, d):
 def a45(spark, d):
     scores = _scores(spark, d)
     ci = _rounded_ci(bootstrap.interval(scores.where("metric = 'accuracy'"), ["series", "metric"]))
-    points = metrics.accuracy(metrics.confusion(one_model(spark, d), ["model", "classifier"]), ["model", "classifier"])
+    points = metrics.accuracy(metrics.confusion(predictions(spark, d), ["model", "classifier"]), ["model", "classifier"])
     points = points.select(F.concat_ws("|", "model", "classifier").alias("series"), "accuracy")
     lower, upper = bootstrap.basic_interval(F.col("accuracy"), F.col("ci_lower"), F.col("ci_upper"))
     return ci.join(points, "series").select(
@@ -1200,15 +1215,16 @@ def b6(spark, d):
     return out.select(*r6("threshold"), "tn", "fp", "fn", "tp", *r6("precision", "recall", "f1", "false_alarm_rate"))
 
 
-STEPS, REPEATS = [3, 5, 8, 10], 3
+STEPS, REPEATS = [3, 5, 8, 10, 20, 30, 50, 70], 5
 _steps = ", ".join(
-    f"({i * REPEATS + r}, {s})" for i, s in enumerate(STEPS) for r in range(REPEATS)
+    [f"({i * REPEATS + r}, {s})" for i, s in enumerate(STEPS) for r in range(REPEATS)]
+    + [f"({len(STEPS) * REPEATS}, NULL)"]
 )
 cte(
     "chosen",
-    f"""SELECT subset, least(step, n) AS num_classes, species FROM (SELECT subset, step, species, count(*) OVER (PARTITION BY subset) AS n,
+    f"""SELECT subset, coalesce(step, n) AS num_classes, species FROM (SELECT subset, step, species, count(*) OVER (PARTITION BY subset) AS n,
       row_number() OVER (PARTITION BY subset ORDER BY md5('29~' || subset || '~' || species)) AS r FROM (SELECT DISTINCT species FROM gal), (VALUES {_steps}) v(subset, step))
-    WHERE r <= step""",
+    WHERE step IS NULL OR (step < n AND r <= step)""",
     "gal",
 )
 cte(
@@ -1276,18 +1292,18 @@ _METRICS = {
     "euclidean_l2norm": "list_distance(q.vn, g.vn)",
     "manhattan": "list_sum(list_transform(list_zip(q.vec, g.vec), lambda p: abs(p[1] - p[2])))",
 }
-for _model, _dim in (("full", 64), ("half", 32)):
+for _model, _vec in (("full", "vec"), ("weighted", "list_transform(vec, lambda x, i: x * (1 + (i - 1) / 16.0::DOUBLE))")):
     cte(
         f"v_{_model}",
         f"""SELECT item_id, species, split, v AS vec, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS vn
-        FROM (SELECT *, vec[1:{_dim}] AS v FROM split2)""",
+        FROM (SELECT * EXCLUDE (vec), {_vec} AS v FROM split2)""",
         "split2",
     )
 _grid = " UNION ALL ".join(
     f"""SELECT '{m}' AS model, '{n}' AS metric, avg(CASE WHEN y_pred = species THEN 1.0::DOUBLE ELSE 0 END) AS accuracy FROM (
       SELECT q.item_id, q.species, arg_min(g.species, struct_pack(d := round({e}, 10), i := g.item_id)) AS y_pred FROM v_{m} q, v_{m} g
       WHERE q.split = 'query' AND g.split = 'gallery' GROUP BY q.item_id, q.species)"""
-    for m in ("full", "half")
+    for m in ("full", "weighted")
     for n, e in _METRICS.items()
 )
 
@@ -1297,14 +1313,15 @@ _grid = " UNION ALL ".join(
     twin(
         f"SELECT model, metric, round(accuracy, 6) AS accuracy, row_number() OVER (PARTITION BY model ORDER BY round(accuracy, 6) DESC, metric) = 1 AS is_best FROM ({_grid})",
         "v_full",
-        "v_half",
+        "v_weighted",
     ),
 )
 def b8(spark, d):
     rows = base.split2(spark, d)
     parts = []
-    for model, dims in (("full", 64), ("half", 32)):
-        cut = rows.withColumn("vec", F.slice("vec", 1, dims))
+    weighted = F.transform("vec", lambda x, i: x * (1 + i / F.lit(16.0)))
+    for model, vec in (("full", F.col("vec")), ("weighted", weighted)):
+        cut = rows.withColumn("vec", vec)
         for metric in _METRICS:
             near = search.nearest(cut.where("split = 'query'"), cut.where("split = 'gallery'"), 1, metric=metric)
             parts.append(
@@ -1355,16 +1372,14 @@ def b9(spark, d):
 )
 def x2(spark, d):
     """A caller's classifier is a function (gallery, queries) -> predictions."""
-    from shotline.operators.classifiers import REGISTRY, evaluate
+    from shotline.operators.classifiers import evaluate
 
     def farthest(gallery, queries):
         cents = centroid.centroids(gallery, gallery_only=False)
-        near = search.nearest(queries, cents, 10_000)
-        last = F.max_by("neighbour", F.struct("distance", "neighbour")).alias("y_pred")
-        return near.groupBy("item_id", F.col("species").alias("y_true")).agg(last)
+        far = search.farthest(queries, cents)
+        return far.select("item_id", F.col("species").alias("y_true"), F.col("neighbour").alias("y_pred"))
 
-    REGISTRY["Farthest Centroid"] = farthest
-    out = evaluate(base.split2(spark, d), "full", ["Farthest Centroid"])
+    out = evaluate(base.split2(spark, d), "full", ["Farthest Centroid"], own={"Farthest Centroid": farthest})
     return out.select("item_id", "y_true", "y_pred")
 
 

@@ -167,10 +167,15 @@ def t6(spark, d):
     ),
 )
 def t7(spark, d):
-    files = stream(spark, d, "lineitem").where("l_returnflag = 'R'").select(
+    """Arrivals in four unordered files and batches, so that names come again much later."""
+    target = shared_folder(spark)
+    arrived = base.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
         F.concat(F.lit("cam"), "l_suppkey", F.lit("_"), "l_partkey", F.lit(".mp4")).alias("filename"),
-        F.col("l_shipdate").cast("timestamp").alias("ts"),
+        "l_orderkey",
     )
+    for i in range(4):
+        arrived.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == i).write.parquet(f"{target}/{i}")
+    files = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
     return drain(aggregates.new_files(files, operation_queries.latency(spark, d))).select("filename")
 
 
@@ -217,6 +222,7 @@ def t10(spark, d):
         F.concat(F.lit("sp"), "label").alias("species"), F.col("embedding").alias("vec")
     )
     sums = drain(aggregates.live_class_sums(rows), "complete")
-    return sums.select(
-        "species", "n", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round(F.col("total") / F.col("n"), 6).alias("value")
+    long = sums.select("species", "n", F.posexplode("total").alias("pos", "x"))
+    return long.select(
+        "species", "n", (F.col("pos") + 1).cast("bigint").alias("pos"), F.round(F.col("x") / F.col("n"), 6).alias("value")
     )

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Settings the library is tuned for. None of them is needed for right results.
 RECOMMENDED = {
@@ -36,36 +38,62 @@ def local_session(cores: int = 8, shuffle: int = 8, memory: str = "8g", **extra:
     return spark
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; only a local session may do without it."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = _own_folders.get(context.applicationId)
+        if folder is None:
+            folder = _own_folders[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='shotline-')}"
+            delete_at_exit(spark, folder)
+    return folder.rstrip("/")
+
+
+_own_folders: dict[str, str] = {}
+
+
+def delete_at_exit(spark: SparkSession, folder: str) -> None:
+    """Have Spark's JVM remove a folder when it ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Store ``df`` once in the shared checkpoint folder and read it from there.
+    """Store ``df`` once as Parquet in the shared folder and read it from there.
 
-    Used where one table feeds several aggregates. The folder is the one named
-    by ``spark.checkpoint.dir``; only a local session without that setting gets
-    a folder of its own.
+    Used where one table feeds several aggregates: later reads prune columns, know the
+    table's size, and depend on no earlier task.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="shotline-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_root(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    delete_at_exit(spark, folder)
+    return spark.read.schema(df.schema).parquet(folder)
 
 
 LOOKUP_ROWS = 100_000
+LOOKUP_BYTES = 64 << 20
 
 
 def lookup(df: DataFrame, limit: int = LOOKUP_ROWS) -> DataFrame:
-    """Dimension side of a join, broadcast only when it is counted to be small.
+    """Dimension side of a join, broadcast only when it is counted and measured to be small.
 
-    The rows are stored once, so counting and joining do not compute them twice.
-    Above the limit the join is left to the optimizer and its skew handling.
+    A table above the row limit is never stored; counting it stops at the limit.
+    A table of few but wide rows is stored and left to the optimizer.
     """
+    if df.limit(limit + 1).count() > limit:
+        return df
     stored = materialize(df)
-    return F.broadcast(stored) if stored.limit(limit + 1).count() <= limit else stored
+    wide = [F.size(f.name).cast("long") * 8 for f in df.schema if isinstance(f.dataType, T.ArrayType)]
+    wide += [F.length(f.name).cast("long") for f in df.schema if isinstance(f.dataType, T.StringType)]
+    if wide:
+        size = sum((F.coalesce(w, F.lit(0)) for w in wide), F.lit(0))
+        if (stored.agg(F.sum(size)).first()[0] or 0) > LOOKUP_BYTES:
+            return stored
+    return F.broadcast(stored)
 
 
 def side_by_side(*frames: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shotline.operators import cascade, centroid, history
+from shotline.operators import cascade, centroid, history, search
 from shotline.streaming import drain
 
 
@@ -23,16 +23,21 @@ def runs_per_day(runs: DataFrame, delay: str = "1 day") -> DataFrame:
     return windows.agg(F.count(F.lit(1)).alias("n")).select(F.to_date("window.start").alias("day"), "n")
 
 
-def new_files(files: DataFrame, known: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Files not processed before, each once; ``ts`` is the arrival time."""
+def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files not processed before, each once, however late it is seen again.
+
+    The state holds one name per file ever seen, as the promise needs.
+    """
     fresh = files.join(known.select("filename").distinct(), "filename", "left_anti")
-    return fresh.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["filename"])
+    return fresh.dropDuplicates(["filename"])
 
 
 def live_class_sums(rows: DataFrame) -> DataFrame:
-    """Growing class sums of a stream of vectors (query them in update or complete mode)."""
-    long = centroid.normalised(rows).select("species", F.posexplode("vec").alias("pos", "x"))
-    return long.groupBy("species", "pos").agg(F.sum("x").alias("total"), F.count(F.lit(1)).alias("n"))
+    """Growing class sums (species, n, total) of a stream of vectors, for update or complete mode.
+
+    Each task adds its vectors before the shuffle; one row per class and task leaves it.
+    """
+    return centroid.class_sums(centroid.normalised(rows))
 
 
 def classify_stream(
@@ -48,8 +53,10 @@ def classify_stream(
     Results go to ``folder``/data, one sub-folder per batch.
     """
 
+    prepared = search.Gallery(gallery), search.Gallery(centroids)  # collected once, not once per batch
+
     def classify(batch: DataFrame, batch_id: int) -> None:
-        out = cascade.three_zone(batch, centroids, gallery, confident, rejected)
+        out = cascade.three_zone(batch, prepared[1], prepared[0], confident, rejected)
         out.write.mode("overwrite").parquet(f"{folder}/data/batch={batch_id}")
 
     return (

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from shotline.session import delete_at_exit, shared_root
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local session may use its own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="shotline-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """The name of a new folder in the shared one, removed when Spark ends."""
+    folder = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
+    delete_at_exit(spark, folder)
+    return folder
 
 
 def start(stream: DataFrame, folder: str, mode: str, partitions: int | None = None):

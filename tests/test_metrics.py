@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shotline.operators import bootstrap, calibrate, metrics, openset, splits, taxonomy
+from shotline.operators import bootstrap, calibrate, leaderboard, metrics, openset, splits, taxonomy
 
 TRUE = list("aaaaabbbbccc")
 PRED = list("aaabzbbbacca")  # z never occurs as truth
@@ -122,7 +122,7 @@ def test_forced_rows_are_never_dropped(spark):
     assert len(splits.forced_sample(rows, "grp", "item", "forced", 10).where("grp = 'a'").collect()) == 10
 
 
-def test_bootstrap_plans_agree_and_cover_the_point(spark):
+def test_bootstrap_plans_agree_and_cover_the_point(spark, monkeypatch):
     rng = np.random.default_rng(1)
     truth = np.where(rng.random(1500) < 0.6, "hot", rng.choice(list("xyz"), 1500))
     rows = [
@@ -130,8 +130,9 @@ def test_bootstrap_plans_agree_and_cover_the_point(spark):
     ]
     preds = spark.createDataFrame(rows, "item_id bigint, y_true string, model string, classifier string, y_pred string")
     joint = bootstrap.joint_cells(preds, ["model", "classifier"]).cache()
-    by_hash = bootstrap.resampled_cells(bootstrap.hash_draws(joint, 150, 29)).cache()
-    by_class = bootstrap.multinomial_cells(joint, 150, 29).cache()
+    by_hash = bootstrap.resampled_cells(bootstrap.hash_draws(joint, 150, 29), joint).cache()
+    monkeypatch.setattr(bootstrap, "SLOTS", 200)  # the hot class is drawn in several ranges
+    by_class = bootstrap.resampled_cells(bootstrap.multinomial_cells(joint, 150, 29), joint).cache()
     sizes = {k: int((truth == k).sum()) for k in set(truth)}
     for drawn in (by_hash, by_class):
         for r in drawn.groupBy("iteration", "series", "y_true").agg(F.sum("n").alias("n")).collect():
@@ -154,6 +155,27 @@ def test_histogram_puts_the_upper_edge_into_the_last_bin(spark):
     assert got == {0: 1, 1: 3}
 
 
+def test_ranges_follow_the_data(spark):
+    rows = spark.createDataFrame([(3.0,), (250.0,), (9.0,)], "v double")
+    assert calibrate.value_range(rows, "v") == (3.0, 250.0)
+    assert calibrate.value_range(rows.where("v > 100"), "v") == (250.0, 251.0)
+    assert calibrate.value_range(rows.where("v > 1000"), "v") == (0.0, 1.0)
+
+
+def test_order_of_more_than_a_hundred_listed_values(spark):
+    names = [f"n{i:03d}" for i in range(120)]
+    rows = spark.createDataFrame([(n,) for n in [*names, "a-unlisted"]], "c string")
+    got = {r["c"]: r["position"] for r in leaderboard.custom_order(rows, "c", names).collect()}
+    assert got["a-unlisted"] == 121 and [got[n] for n in names] == list(range(1, 121))
+
+
+def test_scalability_takes_all_classes_last(spark):
+    gallery = spark.createDataFrame([(f"c{i}",) for i in range(7)], "species string")
+    got = openset.class_choices(gallery, [3, 5, 7, 50], 5, 29).groupBy("subset", "num_classes").count().collect()
+    sizes = sorted((r["num_classes"], r["count"]) for r in got)
+    assert sizes == [(3, 3)] * 5 + [(5, 5)] * 5 + [(7, 7)]
+
+
 def test_open_set_flags_far_queries(spark):
     rng = np.random.default_rng(7)
     axis = {f"c{i}": np.eye(6)[i] for i in range(5)}

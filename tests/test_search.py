@@ -158,3 +158,39 @@ def test_store_loading_and_missing_scoring(spark):
     scored = embed_missing(items, store, "text", lambda s: np.array([[len(t), 1] for t in s]))
     counts = {r["status"]: r["n"] for r in embedding_status(items, store, scored).collect()}
     assert counts == {"skip": 2, "ok": 5, "error": 1}
+
+
+@pytest.mark.parametrize("scale", [1.0, 100.0, 1e5])
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_rows": 0, "block_rows": 7}, {"broadcast_rows": 0, "block_rows": 33}])
+def test_near_copies_find_themselves_in_every_plan(spark, scale, sizes):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=768)
+    base *= scale / np.linalg.norm(base)
+    matrix = np.stack([base + scale * 1e-7 * rng.normal(size=768) for _ in range(36)] + [base] * 4)
+    labels = [f"s{i % 5}" for i in range(40)]
+    rows = table(spark, matrix, labels)
+    full = distances(matrix, matrix, "euclidean")
+    best = {r["item_id"]: r for r in search.nearest(rows, rows, 1, "euclidean", **sizes).collect()}
+    assert all(best[i]["neighbour_id"] == min(i, 36) and best[i]["distance"] == 0 for i in range(40))
+    minima = {r["item_id"]: r for r in search.label_minima(rows, rows, "euclidean", **sizes).collect()}
+    far = {r["item_id"]: r for r in search.farthest(rows, rows, "euclidean", **sizes).collect()}
+    flagged = rows.withColumn("subsets", F.array(F.lit(0), F.lit(1)))
+    subset = {(r["item_id"], r["subset"]): r for r in search.nearest_per_subset(flagged, flagged, 2, **sizes).collect()}
+    names = np.array(labels)
+    for i in range(40):
+        other = full[i][names != labels[i]].min()
+        assert minima[i]["d_same"] == 0 and minima[i]["d_other"] == pytest.approx(other, abs=2e-10)
+        assert far[i]["distance"] == pytest.approx(full[i].max(), abs=2e-10)
+        assert far[i]["neighbour"] == max(names[full[i] >= full[i].max()])
+        for s in (0, 1):
+            assert subset[i, s]["distance"] == 0
+            assert subset[i, s]["neighbour"] == (min(names[36:]) if i >= 36 else labels[i])
+
+
+def test_a_gallery_is_collected_once(spark, sample):
+    q, g, gl, ql = sample
+    queries, gallery = table(spark, q, ql), table(spark, g, gl, 1000)
+    kept = search.Gallery(gallery)
+    assert kept.shared is not None and kept.count == 60
+    want = sorted(map(tuple, search.nearest(queries, gallery, 3).collect()))
+    assert sorted(map(tuple, search.nearest(queries, kept, 3).collect())) == want

@@ -1,8 +1,9 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
-from shotline.operators import events
+from shotline.operators import centroid, events
 from shotline.streaming import aggregates
 from shotline.streaming.drain import drain
 from shotline.streaming.events import detect_events, window_events
@@ -56,9 +57,23 @@ def test_windows_on_a_stream_equal_batch(spark, tmp_path):
 
 
 def test_each_new_file_passes_once(spark, tmp_path):
+    """Names that come again in the same batch, in the next one, and long after any delay."""
     schema = "filename string, ts timestamp"
-    for i, names in enumerate((["a", "b", "b"], ["b", "c", "a"])):
-        spark.createDataFrame([(n, START) for n in names], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    later = START + dt.timedelta(days=40)
+    for i, (names, at) in enumerate(((["a", "b", "b"], START), (["b", "c", "a"], START), (["c", "b", "d"], later), (["d", "b"], START))):
+        spark.createDataFrame([(n, at) for n in names], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
     known = spark.createDataFrame([("a",)], "filename string")
-    assert sorted(r["filename"] for r in drain(aggregates.new_files(stream, known)).collect()) == ["b", "c"]
+    assert sorted(r["filename"] for r in drain(aggregates.new_files(stream, known)).collect()) == ["b", "c", "d"]
+
+
+def test_live_class_sums_equal_batch(spark, tmp_path):
+    rows = [(f"s{i % 3}", [float(i), float(i * i % 7), 1.0]) for i in range(40)]
+    schema = "species string, vec array<double>"
+    for i in range(4):
+        spark.createDataFrame(rows[i::4], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    got = {r["species"]: r for r in drain(aggregates.live_class_sums(stream), "complete").collect()}
+    want = {r["species"]: r for r in centroid.class_sums(centroid.normalised(spark.createDataFrame(rows, schema))).collect()}
+    for s in want:
+        assert got[s]["n"] == want[s]["n"] and got[s]["total"] == pytest.approx(want[s]["total"])
