@@ -330,8 +330,7 @@ def repeated_ranges(
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(doc_id, text, spans) for every row of ``docs``."""
-    few = spans.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0] <= 1_000_000
-    rows = named(docs, "doc_id").join(F.broadcast(spans) if few else spans, ["t1", "t2"], "left")
+    rows = named(docs, "doc_id").join(spans, ["t1", "t2"], "left")
     return rows.select("doc_id", "text", "spans")
 
 
