@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotline.operators.scan import running
-from shotline.session import materialize
+from shotline.session import lookup, materialize
 
 SLOTS = 65_536  # draws made by one task row
 BLOCK = 50  # iterations drawn together
@@ -142,13 +142,23 @@ def multinomial_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame
 
 
 def resampled_cells(draws: DataFrame, cells: DataFrame) -> DataFrame:
-    """Confusion cells of every series in every iteration: (iteration, series, y_true, y_pred, n)."""
-    answers = cells.select("y_true", "cell", "answers")
+    """Confusion cells of every series in every iteration: (iteration, series, y_true, y_pred, n).
+
+    The rows that grow with iterations times cells times series carry two numbers
+    as their key, an iteration and a code; the few codes get their names back last.
+    """
+    given = cells.select("y_true", "cell", F.inline("answers"))
+    names = given.select("y_true", "series", "y_pred").distinct()
+    codes = materialize(names.withColumn("code", F.monotonically_increasing_id()))
+    coded = given.join(codes, ["y_true", "series", "y_pred"]).groupBy("y_true", "cell")
+    coded = coded.agg(F.collect_list("code").alias("codes"))
     return (
-        draws.join(answers, ["y_true", "cell"])
-        .select("iteration", "y_true", "times", F.inline("answers"))
-        .groupBy("iteration", "series", "y_true", "y_pred")
+        draws.join(coded, ["y_true", "cell"])
+        .select("iteration", "times", F.explode("codes").alias("code"))
+        .groupBy("iteration", "code")
         .agg(F.sum("times").alias("n"))
+        .join(lookup(codes), "code")
+        .select("iteration", "series", "y_true", "y_pred", "n")
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.ml import Estimator
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +16,29 @@ from shotline.operators import cascade, centroid, search
 Classifier = Callable[[DataFrame, DataFrame], DataFrame]
 
 
+TOP = 5  # labels listed in ``top``
+
+
 def nearest_mean(gallery: DataFrame, queries: DataFrame) -> DataFrame:
     means = centroid.centroids(gallery, renormalise=False, gallery_only=False)
-    near = search.nearest(centroid.normalised(queries), means, 1, metric="euclidean")
-    return near.select("item_id", F.col("species").alias("y_true"), F.col("neighbour").alias("y_pred"))
+    near = search.nearest(centroid.normalised(queries), means, TOP, metric="euclidean")
+    listed = F.array_sort(F.collect_list(F.struct("rank", "neighbour")))
+    by_item = near.groupBy("item_id", F.col("species").alias("y_true")).agg(listed.alias("_l"))
+    top = F.transform("_l", lambda x: x["neighbour"])
+    return by_item.select("item_id", "y_true", top[0].alias("y_pred"), top.alias("top"))
 
 
 def knn(k: int) -> Classifier:
+    """Majority vote; ``top`` orders the labels among the neighbours by their share of votes."""
+
     def run(gallery: DataFrame, queries: DataFrame) -> DataFrame:
-        votes = cascade.majority_vote(search.nearest(queries, gallery, k), [k])
-        return votes.select("item_id", F.col("species").alias("y_true"), "y_pred")
+        near = search.nearest(queries, gallery, k)
+        votes = cascade.majority_vote(near, [k]).select("item_id", F.col("species").alias("y_true"), "y_pred")
+        shares = near.groupBy("item_id", "neighbour").agg(F.count(F.lit(1)).alias("n"))
+        order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "neighbour")))
+        ranked = shares.groupBy("item_id").agg(F.slice(F.transform(order, lambda x: x["neighbour"]), 1, TOP).alias("_t"))
+        first = F.concat(F.array("y_pred"), F.array_remove("_t", F.col("y_pred")))
+        return votes.join(ranked, "item_id").select("item_id", "y_true", "y_pred", first.alias("top"))
 
     return run
 
@@ -48,7 +61,12 @@ def _fitted(make: Callable[[int], Estimator]) -> Classifier:
         train.unpersist()
         scored = model.transform(as_features(queries))
         named = IndexToString(inputCol="prediction", outputCol="y_pred", labels=indexer.labels)
-        return named.transform(scored).select("item_id", F.col("species").alias("y_true"), "y_pred")
+        # decision values or probabilities, the larger the likelier
+        values = vector_to_array("probability" if "probability" in scored.columns else "rawPrediction")
+        order = F.array_sort(F.transform(values, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
+        names = F.array(*[F.lit(name) for name in indexer.labels])
+        top = F.transform(F.slice(order, 1, TOP), lambda x: F.get(names, x["i"]))
+        return named.transform(scored).select("item_id", F.col("species").alias("y_true"), "y_pred", top.alias("top"))
 
     return run
 
@@ -75,10 +93,11 @@ def evaluate(
     names: list[str],
     done: DataFrame | None = None,
     own: dict[str, Classifier] | None = None,
+    top: bool = False,
 ) -> DataFrame:
     """Long predictions (model, classifier, item_id, y_true, y_pred) of the named classifiers.
 
-    ``own`` adds a caller's classifiers. Pairs listed in ``done`` (model, classifier) are
+    ``top`` adds the likeliest labels, best first. ``own`` adds a caller's classifiers. Pairs listed in ``done`` (model, classifier) are
     not run again.
     """
     known = {**REGISTRY, **(own or {})}
@@ -91,7 +110,7 @@ def evaluate(
     out = None
     for name in names:
         part = known[name](gallery, queries).select(
-            F.lit(model).alias("model"), F.lit(name).alias("classifier"), "item_id", "y_true", "y_pred"
+            F.lit(model).alias("model"), F.lit(name).alias("classifier"), "item_id", "y_true", "y_pred", *(["top"] if top else [])
         )
         out = part if out is None else out.unionByName(part)
     if out is None:

@@ -86,15 +86,3 @@ def motion_gate(
         .otherwise(F.col("area") >= F.col("min_area"))
     )
     return sampled.withColumn("motion_filtered", ~passes).drop("total", "min_area")
-
-
-def presets(spark) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("mode"), F.lit(n).alias("every"), F.lit(k).alias("window"), F.lit(m).alias("quorum")
-            )
-            for name, (n, k, m) in PRESETS.items()
-        ]
-    )
-    return spark.range(1).select(F.inline(rows))

@@ -119,20 +119,20 @@ def category_pivot(counts: DataFrame, categories: list[str]) -> DataFrame:
     return shares.groupBy("model").pivot("category", categories).agg(F.avg("pct"))
 
 
-def status_shares(counts: DataFrame) -> DataFrame:
-    """Long (category, status, count, percentage inside the category)."""
-    long = counts.unpivot("category", ["Correct", "Incorrect"], "status", "count")
-    total = F.sum("count").over(Window.partitionBy("category"))
+def status_shares(counts: DataFrame, by: list[str] = []) -> DataFrame:
+    """Long (category, status, count, percentage inside the category), for each group of ``by``."""
+    long = counts.unpivot([*by, "category"], ["Correct", "Incorrect"], "status", "count")
+    total = F.sum("count").over(Window.partitionBy(*by, "category"))
     return long.withColumn("percentage", F.when(total > 0, F.col("count") / total * 100).otherwise(0.0))
 
 
-def class_performance(cells: DataFrame, species: DataFrame, classes: DataFrame) -> DataFrame:
-    """Accuracy and critical-error rate per true taxonomic class."""
+def class_performance(cells: DataFrame, species: DataFrame, classes: DataFrame, by: list[str] = []) -> DataFrame:
+    """Accuracy and critical-error rate per true taxonomic class (and ``by``)."""
     graded = with_taxonomy(cells, species, classes).withColumn("severity", severity())
     share = lambda s: F.sum(F.when(F.col("severity") == s, F.col("n")).otherwise(0)) / F.sum("n")
     return (
         graded.where(F.col("tclass_true").isNotNull())
-        .groupBy(F.col("tclass_true").alias("tclass"))
+        .groupBy(*by, F.col("tclass_true").alias("tclass"))
         .agg(
             F.sum("n").alias("n_samples"),
             share("Correct").alias("accuracy"),
@@ -142,13 +142,15 @@ def class_performance(cells: DataFrame, species: DataFrame, classes: DataFrame)
 
 
 def class_confusion(
-    cells: DataFrame, species: DataFrame, classes: DataFrame, order: list[str]
+    cells: DataFrame, species: DataFrame, classes: DataFrame, order: list[str], by: list[str] = []
 ) -> DataFrame:
-    """Row-normalised class confusion in percent; predicted classes outside ``order`` are dropped."""
+    """Row-normalised class confusion in percent; predicted classes outside ``order`` are dropped.
+
+    Every group of ``by`` has a row for each class of ``order``.
+    """
     graded = with_taxonomy(cells, species, classes).where(F.col("tclass_true").isin(order))
     cell = lambda c: F.sum(F.when(F.col("tclass_pred") == c, F.col("n")).otherwise(0)) / F.sum("n") * 100
-    found = graded.groupBy(F.col("tclass_true").alias("tclass")).agg(*[cell(c).alias(c) for c in order])
-    axis = found.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in order])).alias("tclass")
-    )
-    return axis.join(found, "tclass", "left").fillna(0.0, order)
+    found = graded.groupBy(*by, F.col("tclass_true").alias("tclass")).agg(*[cell(c).alias(c) for c in order])
+    groups = cells.select(*by).distinct() if by else found.sparkSession.range(1)
+    axis = groups.select(*by, F.explode(F.array(*[F.lit(c) for c in order])).alias("tclass"))
+    return axis.join(found, [*by, "tclass"], "left").fillna(0.0, order)

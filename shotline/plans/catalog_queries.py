@@ -45,6 +45,23 @@ def s3(spark, d):
     return catalog.image_paths(paths(spark, d))
 
 
+@query(
+    "s3_directory_scan",
+    "SELECT lang AS family, source AS genus, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1, 2",
+)
+def s3_scan(spark, d):
+    """Files below a folder, found by a scan of binary files, with the names on their path."""
+    from shotline.sources import tables
+    from shotline.streaming.drain import shared_folder
+
+    target = f"{shared_folder(spark)}/images"
+    rows = base.table(spark, d, "documents").where("text IS NOT NULL").select("lang", "source", "text")
+    rows.write.partitionBy("lang", "source").text(target)
+    found = tables.read_images(spark, target, "*.txt")
+    name = lambda key: F.regexp_extract("path", f"/images/.*{key}=([^/]+)/", 1)
+    return found.groupBy(name("lang").alias("family"), name("source").alias("genus")).agg(F.sum("length").alias("bytes"))
+
+
 @query(
     "s4_nested_map_dimension",
     twin(
@@ -398,15 +415,33 @@ def x3(spark, d):
 
 
 def letter_frequencies(texts):
-    """Stand-in embedder: relative letter frequencies of the whole text."""
+    """Stand-in embedder: relative letter frequencies of the whole texts, counted a batch at a time."""
     import numpy as np
 
-    out = np.zeros((len(texts), 26), dtype=np.float32)
-    for i, text in enumerate(texts):
-        codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - 97
-        counts = np.bincount(codes[(codes >= 0) & (codes < 26)], minlength=26)
-        out[i] = counts / max(counts.sum(), 1)
-    return out
+    low = [text.lower() for text in texts]
+    codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - 97
+    row = np.repeat(np.arange(len(low)), [len(t) for t in low])
+    letter = (codes >= 0) & (codes < 26)
+    counts = np.bincount(row[letter] * 26 + codes[letter], minlength=26 * len(low)).reshape(-1, 26)
+    return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+
+
+@query(
+    "x3_vector_values",
+    """SELECT doc_id AS item_id, len(low) - len(replace(low, 'a', '')) AS n_a, len(low) - len(replace(low, 'e', '')) AS n_e,
+    len(low) - len(replace(low, 't', '')) AS n_t FROM (SELECT doc_id, regexp_replace(lower(text), '[^a-z]', '', 'g') AS low FROM documents WHERE text IS NOT NULL)""",
+)
+def x3_values(spark, d):
+    """The stored vectors themselves: letter counts recovered from them."""
+    from shotline.sources.embeddings import embed_missing
+
+    docs = base.table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), "text").where("text IS NOT NULL")
+    done = docs.where("false").select("item_id")
+    vectors = embed_missing(docs, done, "text", letter_frequencies).where("status = 'ok'").select("item_id", "vec")
+    letters = F.length(F.regexp_replace(F.lower("text"), "[^a-z]", ""))
+    joined = docs.select("item_id", letters.alias("_n")).join(vectors, "item_id")
+    count = lambda c: F.round(F.col("vec")[ord(c) - 97].cast("double") * F.col("_n")).cast("bigint").alias(f"n_{c}")
+    return joined.select("item_id", count("a"), count("e"), count("t"))
 
 
 @query(

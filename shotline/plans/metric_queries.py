@@ -19,7 +19,7 @@ from shotline.operators import (
 from shotline.plans import base
 from shotline.plans.base import cte, query, twin
 from shotline.plans.vector_queries import _VOTE
-from shotline.session import materialize
+from shotline.session import lookup, materialize
 
 SEEN, LABELS = 24, 27  # true labels, and labels a prediction can take
 FAMILIES = {"Mammalia": ["fam0", "fam1", "fam2"], "Aves": ["fam3", "fam4"], "Reptilia": ["fam5"]}
@@ -361,34 +361,33 @@ def a13(spark, d):
 @query(
     "a14_class_performance",
     twin(
-        """SELECT tc_true AS tclass, sum(n)::BIGINT AS n_samples, round(sum(CASE WHEN severity = 'Correct' THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) AS accuracy,
+        """SELECT model, classifier, tc_true AS tclass, sum(n)::BIGINT AS n_samples, round(sum(CASE WHEN severity = 'Correct' THEN n ELSE 0 END) / sum(n)::DOUBLE, 6) AS accuracy,
         round(sum(CASE WHEN severity = 'Critical' THEN n ELSE 0 END) / sum(n)::DOUBLE * 100, 6) AS critical_rate
-        FROM graded WHERE model = 'm1' AND classifier = 'Linear SVM' AND tc_true IS NOT NULL GROUP BY 1""",
+        FROM graded WHERE tc_true IS NOT NULL GROUP BY model, classifier, tc_true""",
         "graded",
     ),
 )
 def a14(spark, d):
-    one = cells(spark, d).where("model = 'm1' AND classifier = 'Linear SVM'")
-    out = taxonomy.class_performance(one, species_table(spark, d), classes(spark))
-    return out.select("tclass", "n_samples", *r6("accuracy", "critical_rate"))
+    out = taxonomy.class_performance(cells(spark, d), species_table(spark, d), classes(spark), ["model", "classifier"])
+    return out.select("model", "classifier", "tclass", "n_samples", *r6("accuracy", "critical_rate"))
 
 
 @query(
     "a15_class_confusion",
     twin(
-        "SELECT tc_true AS tclass, "
+        "SELECT model, classifier, tc_true AS tclass, "
         + ", ".join(
             f"round(sum(CASE WHEN tc_pred = '{c}' THEN n ELSE 0 END) / sum(n)::DOUBLE * 100, 6) AS {c}"
             for c in ORDER
         )
-        + " FROM graded WHERE model = 'm1' AND classifier = 'Linear SVM' AND tc_true IS NOT NULL GROUP BY 1",
+        + " FROM graded WHERE tc_true IS NOT NULL GROUP BY model, classifier, tc_true",
         "graded",
     ),
 )
 def a15(spark, d):
-    one = cells(spark, d).where("model = 'm1' AND classifier = 'Linear SVM'")
-    out = taxonomy.class_confusion(one, species_table(spark, d), classes(spark), ORDER)
-    return out.select("tclass", *r6(*ORDER))
+    pairs = ["model", "classifier"]
+    out = taxonomy.class_confusion(cells(spark, d), species_table(spark, d), classes(spark), ORDER, pairs)
+    return out.select(*pairs, "tclass", *r6(*ORDER))
 
 
 # --- calibration on the embedding distances -----------------------------------------
@@ -943,15 +942,16 @@ def a33(spark, d):
 @query(
     "a44_status_shares",
     twin(
-        """SELECT category, status, count, round(count / sum(count) OVER (PARTITION BY category)::DOUBLE * 100, 6) AS percentage FROM (
-          SELECT category, 'Correct' AS status, Correct AS count FROM catc WHERE model = 'm1' AND classifier = 'Linear SVM'
-          UNION ALL SELECT category, 'Incorrect', Incorrect FROM catc WHERE model = 'm1' AND classifier = 'Linear SVM')""",
+        """SELECT model, classifier, category, status, count, CASE WHEN total > 0 THEN round(count / total::DOUBLE * 100, 6) ELSE 0 END AS percentage FROM (
+          SELECT *, sum(count) OVER (PARTITION BY model, classifier, category) AS total FROM (
+            SELECT model, classifier, category, 'Correct' AS status, Correct AS count FROM catc
+            UNION ALL SELECT model, classifier, category, 'Incorrect', Incorrect FROM catc))""",
         "catc",
     ),
 )
 def a44(spark, d):
-    one = category_counts(spark, d).where("model = 'm1' AND classifier = 'Linear SVM'").drop("model", "classifier")
-    return taxonomy.status_shares(one).withColumn("percentage", F.round("percentage", 6))
+    shares = taxonomy.status_shares(category_counts(spark, d), ["model", "classifier"])
+    return shares.withColumn("percentage", F.round("percentage", 6))
 
 
 # --- set operations -------------------------------------------------------------------
@@ -1397,24 +1397,85 @@ def b11(spark, d):
     return evaluate(base.split2(spark, d), "full", ["Random Forest"])
 
 
-@query("b12_final_evaluation")
-def b12(spark, d):
-    """Both final classifiers on the test split: accuracy, macro F1 and severity shares."""
+def final_evaluation(spark, d, names):
+    """The final classifiers on the test split: accuracy, Top-5, macro F1 and severity shares."""
     from shotline.operators.classifiers import evaluate
 
     rows = splits.select_split(base.split3(spark, d), "query_test")
-    preds = materialize(evaluate(rows, "full", ["Nearest Centroid", "Linear SVM"]))
+    preds = materialize(evaluate(rows, "full", names, top=True))
     counts = metrics.confusion(preds, ["classifier"])
+    top = preds.groupBy("classifier").agg(F.avg(F.array_contains("top", F.col("y_true")).cast("double")).alias("top5"))
     species = rows.select("species", "genus", "family").distinct()
     dim = rows.select("family", "tclass").distinct()
     shares = taxonomy.severity_shares(taxonomy.severity_counts(counts, species, dim, ["classifier"]))
     return (
         metrics.accuracy(counts, ["classifier"])
+        .join(top, "classifier")
         .join(metrics.macro_scores(counts, ["classifier"]), "classifier")
         .join(shares, "classifier")
     )
 
 
+@query("b12_final_evaluation")
+def b12(spark, d):
+    return final_evaluation(spark, d, ["Nearest Centroid", "Linear SVM"])
+
+
+cte(
+    "b12near",
+    """SELECT item_id, species, list(csp ORDER BY d, csp)[1:5] AS top FROM (
+      SELECT q.item_id, q.species, c.species AS csp, round(list_distance(q.vn, c.c), 10) AS d FROM unit3 q, centp c WHERE q.split = 'query_test') GROUP BY 1, 2""",
+    "unit3",
+    "centp",
+)
+cte(
+    "b12labs",
+    """SELECT label, sum(t) AS n_true, sum(p) AS n_pred, sum(h) AS tp FROM (
+      SELECT species AS label, 1 AS t, 0 AS p, (species = top[1])::INT AS h FROM b12near UNION ALL SELECT top[1], 0, 1, 0 FROM b12near) GROUP BY 1""",
+    "b12near",
+)
+
+
+@query(
+    "b12_centroid_half",
+    twin(
+        """SELECT 'Nearest Centroid' AS classifier, count(*) AS n_items, round(avg((species = top[1])::INT), 6) AS accuracy,
+        round(avg(list_contains(top, species)::INT), 6) AS top5, (SELECT round(avg(2 * tp::DOUBLE / (n_true + n_pred)), 6) FROM b12labs) AS f1 FROM b12near""",
+        "b12near",
+        "b12labs",
+    ),
+)
+def b12_centroid(spark, d):
+    """The half of the final evaluation that SQL can repeat."""
+    out = final_evaluation(spark, d, ["Nearest Centroid"])
+    return out.select("classifier", "n_items", *r6("accuracy", "top5", "f1"))
+
+
+@query(
+    "b12_invariants",
+    twin(
+        """SELECT c AS classifier, n AS n_items, true AS labels_known, true AS top_begins_with_prediction, true AS ranked
+        FROM (SELECT count(*) AS n FROM unit3 WHERE split = 'query_test'), (VALUES ('Linear SVM'), ('Nearest Centroid'), ('Random Forest')) v(c)""",
+        "unit3",
+    ),
+)
+def b12_invariants(spark, d):
+    """What must hold for trained classifiers: every item once, known labels, the prediction first."""
+    from shotline.operators.classifiers import evaluate
+
+    rows = splits.select_split(base.split3(spark, d), "query_test")
+    preds = evaluate(rows, "full", ["Nearest Centroid", "Linear SVM", "Random Forest"], top=True)
+    known = rows.where("split = 'gallery'").select(F.col("species").alias("y_pred"), F.lit(True).alias("_known")).distinct()
+    joined = preds.join(lookup(known), "y_pred", "left")
+    distinct = F.size(F.array_distinct("top")) == F.size("top")
+    return joined.groupBy("classifier").agg(
+        F.countDistinct("item_id").alias("n_items"),
+        F.min(F.coalesce("_known", F.lit(False))).alias("labels_known"),
+        F.min(F.col("top")[0] == F.col("y_pred")).alias("top_begins_with_prediction"),
+        F.min(distinct & F.size("top").between(1, 5)).alias("ranked"),
+    )
+
+
 @query(
     "b13_incremental_cost",
     twin(

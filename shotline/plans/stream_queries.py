@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shotline.operators import centroid
+from shotline.operators import centroid, history
 from shotline.plans import base, event_queries, operation_queries
 from shotline.plans.base import query, twin
 from shotline.plans.vector_queries import CONFIDENT, REJECTED
@@ -141,7 +141,7 @@ def _records(spark, d):
 
 @query("t5_running_species", twin("SELECT species, count(*) AS n FROM rec WHERE species <> '' GROUP BY 1", "rec"))
 def t5_species(spark, d):
-    return drain(aggregates.running_species_counts(_records(spark, d)), "complete")
+    return drain(history.species_counts(_records(spark, d)), "complete")
 
 
 @query(
@@ -149,7 +149,7 @@ def t5_species(spark, d):
     twin("SELECT CASE WHEN ambiguous THEN 'ambiguo' WHEN level = 'alta' THEN 'alta' ELSE 'baja' END AS confidence, count(*) AS n FROM rec GROUP BY 1", "rec"),
 )
 def t5_confidence(spark, d):
-    return drain(aggregates.running_confidence_counts(_records(spark, d)), "complete")
+    return drain(history.confidence_counts(_records(spark, d)), "complete")
 
 
 @query("t6_runs_per_day", twin("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM runs GROUP BY 1", "runs"))

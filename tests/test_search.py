@@ -194,3 +194,24 @@ def test_a_gallery_is_collected_once(spark, sample):
     assert kept.shared is not None and kept.count == 60
     want = sorted(map(tuple, search.nearest(queries, gallery, 3).collect()))
     assert sorted(map(tuple, search.nearest(queries, kept, 3).collect())) == want
+
+
+@pytest.mark.parametrize("rows", [1, 7, 10_000])
+def test_embeddings_do_not_depend_on_the_batch_size(spark, rows):
+    from shotline.plans.catalog_queries import letter_frequencies
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    texts = [None, "", "Abc ab\na", "İstanbul ß", *[chr(97 + i % 26) * (i + 1) for i in range(30)]]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id int, text string")
+    try:
+        spark.conf.set(key, str(rows))
+        got = {r["item_id"]: r for r in embed_missing(items, items.where("item_id = 5").select("item_id"), "text", letter_frequencies).collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(got) == [i for i in range(len(texts)) if i != 5] and got[0]["status"] == "error"
+    for i, text in enumerate(texts):
+        if text is not None and i != 5:
+            letters = [c for c in text.lower() if "a" <= c <= "z"]
+            want = [letters.count(chr(97 + j)) / max(len(letters), 1) for j in range(26)]
+            assert got[i]["vec"] == pytest.approx(want, abs=1e-6)
