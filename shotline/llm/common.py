@@ -21,6 +21,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def long_texts(df: DataFrame, rows: int = 500) -> DataFrame:
+    """Lower the session's Arrow batch size to ``rows``: batches of whole texts stay small in JVM and Python.
+
+    Results do not depend on it; a smaller setting of the caller stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if now <= 0 or now > rows:
+        df.sparkSession.conf.set(key, str(rows))
+    return df
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken = {c.lower() for c in df.columns}
@@ -72,6 +84,13 @@ def text_bytes(column: pa.Array) -> Iterator[bytes | None]:
         yield value.as_py()
 
 
+def sliced(batches: Iterator[tuple[pa.Array, ...]], rows: int = 1_000) -> Iterator[tuple[pa.Array, ...]]:
+    """The same rows in smaller batches, so that results are handed on before a batch is done."""
+    for columns in batches:
+        for at in range(0, len(columns[0]), rows):
+            yield tuple(c.slice(at, rows) for c in columns)
+
+
 def text_slices(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes | None]]:
     """Lists of consecutive texts of about ``most`` bytes; a longer text is a list of its own."""
     held: list[bytes | None] = []

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotline.llm.common import text_bytes
+from shotline.llm.common import long_texts, text_bytes
 from shotline.llm.rules import COUNTS, RATIOS, count_text, sampled
 
 SAMPLE = 8_000
@@ -164,9 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE, usable: Callable
     parts = []
     for value in (0, 1):
         picked = sampled(labels.where(F.col("quality") == value), "quality", size // 2)
-        rows = docs.select("doc_id", "text", "n_chars").join(picked, "doc_id")
-        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(size // 2)
-        parts.append(rows.select("_label", inputs("text", F.col("n_chars").cast("long")).alias("i")).toArrow())
+        rows = long_texts(docs).select("doc_id", "text", "n_chars").join(picked, "doc_id")
+        rows = rows.select("doc_id", "_label", inputs("text", F.col("n_chars").cast("long")).alias("i"))
+        # repeated ids could make more rows than ids
+        rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "i").limit(size // 2)
+        parts.append(rows.select("_label", "i").toArrow())
     data = pa.concat_tables(parts).to_pydict()
     words = [(np.array(i["at"], np.int32), np.array(i["weight"], np.float32)) for i in data["i"]]
     stats = np.array([i["statistics"] for i in data["i"]], float).reshape(-1, STATISTICS)
@@ -194,5 +196,5 @@ def score(model: Machine, text: Column, n_chars: Column) -> Column:
 
 def classify(docs: DataFrame, model: Machine, bound: float = 0.3) -> DataFrame:
     """doc_id, score and predicted (1 if score >= bound) for every row."""
-    rows = docs.select("doc_id", score(model, F.col("text"), F.col("n_chars")).alias("score"))
+    rows = long_texts(docs).select("doc_id", score(model, F.col("text"), F.col("n_chars")).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= bound).cast("int"))

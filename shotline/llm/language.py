@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import text_slices
+from shotline.llm.common import long_texts, text_slices
 
 SAMPLE = 3_000
 PER_ROW = 4
@@ -164,7 +164,7 @@ def fit(
     hash order in each language; only the chosen texts leave the scan, as windows.
     """
     usable = usable or (lambda doc_id: F.lit(True))
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = long_texts(docs).where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     rows = rows.where(usable(F.col("doc_id"))).select("doc_id", "lang", "text")
     languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     if not languages:
@@ -218,4 +218,4 @@ def identify(docs: DataFrame, net: Network) -> DataFrame:
                 [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"]
             )
 
-    return docs.select("doc_id", of("text").alias("_p")).select("doc_id", "_p.lang_pred", "_p.score")
+    return long_texts(docs).select("doc_id", of("text").alias("_p")).select("doc_id", "_p.lang_pred", "_p.score")

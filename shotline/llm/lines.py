@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotline.llm.common import broadcast_small, fresh, stored, text_bytes
+from shotline.llm.common import broadcast_small, fresh, long_texts, sliced, stored, text_bytes
 from shotline.llm.hashing import mix, xxh64
 
 SHORT = 10  # words from which one edit is allowed
@@ -41,7 +41,7 @@ SHORT = 10  # words from which one edit is allowed
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 INVERSES = tuple(pow(b, -1, 1 << 64) for b in BASES)
 LENGTH, GAP, LEFT, RIGHT = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 3, 5))
-PIECE = 200_000  # words hashed together
+PIECE = 64_000  # words hashed together
 LAST = (1 << 63) - 1  # order of a null doc_id
 
 
@@ -156,7 +156,7 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         at = 0
         while at < len(items):
             words, part, size = [], [], 0
-            while at < len(items) and size < PIECE // 8:
+            while at < len(items) and size < PIECE // 4:
                 found = items[at][0].split()
                 words += found
                 part.append((*items[at][1][0], len(found), items[at][1][1]))
@@ -191,7 +191,7 @@ def _variant_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(
+    return long_texts(docs).select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"), F.xxhash64("text").alias("tid"), "text"
     )
 
@@ -260,7 +260,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     )
 )
 def _without(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, gone in batches:
+    for texts, gone in sliced(batches):
         out: list[bytes | None] = []
         counts: list[tuple[int, int]] = []
         for text, numbers in zip(text_bytes(texts), gone.to_pylist()):

@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import text_bytes
+from shotline.llm.common import long_texts, text_bytes
 
 TOKENS = 4096
 SEGMENTS = 128
 RUN_TOKENS = 1 << 20
 RUN_PIECES = 2_000
 END = 2
-CACHE = 500_000  # words whose ids a worker remembers
+CACHE = 200_000  # words whose ids a worker remembers
 
 #: Letters whose lower case and composition do not depend on their neighbours.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -90,7 +90,7 @@ class Encoder:
         letters = [c for c in map(chr, range(0xC0, 0x100)) if PLAIN.fullmatch(c)]
         self.letters = str.maketrans({c: mapped.pre_tokenize_str(c)[0][0] for c in letters})
         self.model = self.whole.model
-        self.of_piece = Remembered(self._piece, cache // 4)
+        self.of_piece = Remembered(self._piece, cache // 2)
         self.of_word = Remembered(self._word, cache)
 
     def _piece(self, piece: str) -> bytes:
@@ -250,7 +250,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
         if ids:
             yield place(True)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = long_texts(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, PIECES)
 
 

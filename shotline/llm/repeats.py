@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import broadcast_small, stored, text_bytes, text_slices
+from shotline.llm.common import broadcast_small, long_texts, stored, text_bytes, text_slices
 from shotline.llm.hashing import mix
 
 MOST = 4_096
@@ -261,7 +261,7 @@ def _each_window(unit: Unit, window: int):
 
 def named(docs: DataFrame, *columns: Column | str) -> DataFrame:
     """Texts with their two hashes."""
-    return docs.select(
+    return long_texts(docs).select(
         *columns, F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), F.col("text")).alias("t2"), "text"
     )
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotline.llm.common import fresh, text_bytes
+from shotline.llm.common import fresh, long_texts, text_bytes
 
 SAMPLE = 20_000
 SYMBOLS = b"#*$%&|<>"
@@ -217,7 +217,7 @@ def sampled(labels: DataFrame, label: str, size: int) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[Rule]:
     """Rules that reject what ``labels.quality`` marks 0, learned where the base rule passes."""
     names = list(RATIOS)
-    known = docs.select("doc_id", "text").join(sampled(labels, "quality", size), "doc_id")
+    known = long_texts(docs).select("doc_id", "text").join(sampled(labels, "quality", size), "doc_id")
     known = known.select("doc_id", "_label", counts("text").alias("_counts"))
     rows = (
         known.where(~base_failed(F.col("_counts")))
@@ -244,7 +244,7 @@ def fired(rules: list[Rule], of: Column) -> Column:
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, the base counts, base_failed, the rule that fired and kept, for every row."""
-    rows = docs.select("doc_id", counts("text").alias("_counts"))
+    rows = long_texts(docs).select("doc_id", counts("text").alias("_counts"))
     of = F.col("_counts")
     rows = rows.select(
         "doc_id",
@@ -259,4 +259,4 @@ def kept_documents(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows of ``docs`` that pass, with their columns."""
     name = fresh(docs, "_counts")
     of = F.col(name)
-    return docs.withColumn(name, counts("text")).where(~base_failed(of) & fired(rules, of).isNull()).drop(name)
+    return long_texts(docs).withColumn(name, counts("text")).where(~base_failed(of) & fired(rules, of).isNull()).drop(name)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import broadcast_small, components, fresh, stored, text_slices
+from shotline.llm.common import broadcast_small, components, fresh, long_texts, stored, text_slices
 from shotline.llm.hashing import xxh64
 
 HEAD_ROWS = 16_384
@@ -40,6 +40,7 @@ FAN = 8  # members of a node
 CHUNK = 65_536  # rows indexed together
 LANES = np.uint64(0x0001000100010001)
 SEGMENT = 60_000  # shingles counted in 16-bit lanes
+PAIRS = 8_192  # pairs of nodes opened together, each into FAN * FAN pairs
 
 
 def fingerprint_texts(texts: list[bytes | None], words: int = 3, seed: int = 42) -> np.ndarray:
@@ -119,7 +120,7 @@ def gray_links(codes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.nd
     stack = [(len(levels) - 1, a, b)]
     while stack:
         level, a, b = stack.pop()
-        if len(a) > 200_000:
+        if len(a) > PAIRS:
             half = len(a) // 2
             stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
             continue
@@ -265,7 +266,7 @@ def _classes(distinct: DataFrame, bits: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, bits: int = 2, words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``."""
-    marked = stored(docs.select("doc_id", fingerprint(F.col("text"), words, seed).alias("fp")), "fingerprints")
+    marked = stored(long_texts(docs).select("doc_id", fingerprint(F.col("text"), words, seed).alias("fp")), "fingerprints")
     named = _classes(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), bits)
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = stored(named.join(smallest, "root").select("fp", "component_id"), "members")
@@ -279,7 +280,7 @@ def representatives(docs: DataFrame, bits: int = 2, words: int = 3, seed: int =
     oid, tid = fresh(docs, "_oid"), fresh(docs, "_tid")
     key = {oid: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), tid: F.xxhash64("text")}
     marked = stored(
-        docs.select(key[oid].alias("oid"), key[tid].alias("tid"), fingerprint(F.col("text"), words, seed).alias("fp")),
+        long_texts(docs).select(key[oid].alias("oid"), key[tid].alias("tid"), fingerprint(F.col("text"), words, seed).alias("fp")),
         "fingerprints",
     )
     named = _classes(marked.groupBy("fp").agg(F.min(F.struct("oid", "tid")).alias("least")), bits)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotline.llm import repeats
-from shotline.llm.common import text_bytes
+from shotline.llm.common import sliced, text_bytes
 from shotline.llm.hashing import xxh64
 
 WINDOW = 35
@@ -92,7 +92,7 @@ def resolve(group: np.ndarray, anchor: np.ndarray, stretches: list[bytes], windo
     )
 )
 def cut_words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, spans in batches:
+    for texts, spans in sliced(batches):
         rows = []
         for text, found in zip(text_bytes(texts), spans.to_pylist()):
             words = (text or b"").split()

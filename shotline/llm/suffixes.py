@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shotline.llm import repeats
-from shotline.llm.common import text_bytes
+from shotline.llm.common import sliced, text_bytes
 from shotline.llm.hashing import mix
 
 THRESHOLD = 400
@@ -156,7 +156,7 @@ def resolve(_: np.ndarray, __: np.ndarray, stretches: list[bytes], window: int)
     )
 )
 def cut_spans(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    for texts, spans in batches:
+    for texts, spans in sliced(batches):
         rows = []
         for text, found in zip(text_bytes(texts), spans.to_pylist()):
             text, gone = text or b"", repeats.merged(found)
