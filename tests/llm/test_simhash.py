@@ -69,3 +69,47 @@ def test_links_connect_what_is_near(spark, head_rows):
     b = np.array([place[v] for _, v in edges])
     assert near[a, b].any() and (want[a] == want[b]).all()
     assert np.array_equal(simhash.merged(np.arange(len(fp)), a, b), want)
+
+
+def copies(groups=60, size=4, hot=150, seed=11):
+    """Texts with copies of every similarity, one large group, and the indices of each text's words."""
+    rng = np.random.default_rng(seed)
+    texts = []
+    for g in range(groups + 1):
+        base = [f"w{x}" for x in rng.integers(0, 3_000, rng.integers(60, 400))]
+        for _ in range(hot if g == groups else size):
+            words = list(base)
+            for at in rng.choice(len(words), int(len(words) * rng.uniform(0, 0.03)), replace=False):
+                words[at] = f"n{rng.integers(0, 10**9)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def jaccard_groups(texts, words=5, similarity=0.8):
+    sets = [set(zip(*(t.lower().split()[i:] for i in range(words)))) for t in texts]
+    i, j = np.triu_indices(len(sets), 1)
+    keep = []
+    for a, b in zip(i, j):
+        both = len(sets[a] & sets[b])
+        keep.append(both and both >= similarity * (len(sets[a]) + len(sets[b]) - both))
+    keep = np.array(keep, bool)
+    return i[keep], j[keep], simhash.merged(np.arange(len(sets)), i[keep], j[keep])
+
+
+def test_representatives_equal_jaccard_join(spark):
+    """One row of each group that pairs of five-word Jaccard similarity 0.8 or more connect."""
+    texts = copies()
+    _, _, want = jaccard_groups(texts)
+    docs = frame(spark, [(i, t, None, "s", len(t)) for i, t in enumerate(texts)])
+    got = sorted(r.doc_id for r in simhash.representatives(docs).collect())
+    assert got == sorted(set(want.tolist()))
+    assert len(got) < len(texts) / 2
+
+
+def test_unlike_texts_are_not_linked(spark):
+    """Equal fingerprints or a chain of near ones do not drop a text that is not similar."""
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([f"x{k}-{i}" if i % 12 == 0 else w for i, w in enumerate(base)]) for k in range(8)]
+    assert len(jaccard_groups(texts)[0]) == 0
+    docs = frame(spark, [(i, t, None, "s", len(t)) for i, t in enumerate(texts)])
+    assert simhash.representatives(docs, bits=8).count() == len(texts)
