@@ -1,15 +1,17 @@
 """Mixing sources to target weights: a proportionate-fair schedule of blocks.
 
 A source's documents, in seeded hash order, are cut into blocks of ``BLOCK`` characters.
-With weight w, its k-th block (from 1) is released in slot floor((k - 1) / w) and due by
-slot ceil(k / w); in each slot the released block with the earliest deadline goes out.
-Every source then stays within less than one block of weight times slots.
-
-Weights are whole numbers of slots of a period, so one period's schedule (a bounded
-table) gives the slot of any block in closed form. When a source is used up, a new
-phase begins with the weights of those left, in the same proportions: no document is dropped
-or repeated. Only per-source totals reach the driver, for at most ``STREAMS`` streams;
-if there are more sources, hash groups of sources are the streams.
+At a constant rate of one block a slot, shared among the sources that are not used up in proportion to
+their weights, a source's k-th block (from 1) begins at some time and is full at another.
+It is released in the slot of the one and due by the slot of the other; in each slot the
+released block with the earliest deadline goes out. Such a schedule always meets its
+deadlines, so every source stays within less than one block of its share at every slot.
+
+Times are exact: weights are taken as the rational numbers they are, with no period to
+round them to. A source that is used up leaves its share to the others in the same
+proportions: no document is dropped or repeated. The schedule is written by one task that
+holds a few numbers a source and hands on ``PERIOD`` slots at a time; a slot is 65,536
+characters of text, so this task is short beside the rest.
 
 Running positions inside a source come from chunked running sums, so a source that
 holds a third of all rows is spread over many tasks. Texts do not take part; they are
@@ -25,7 +27,10 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +39,7 @@ from shotline.operators import scan
 
 BLOCK = 1 << 16
 STREAMS = 256
-PERIOD = 1_024  # slots of a period, at least four a stream
+PERIOD = 1_024  # slots handed on together
 TEMPER = 0.5
 SEED = 29
 CHUNK_ROWS = 20_000
@@ -42,7 +47,10 @@ LAST = (1 << 63) - 1
 
 
 def parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each stream: at least one, the rest by largest remainder."""
+    """Slots of a period for each stream: at least one, the rest by largest remainder.
+
+    A rounded table for callers that want one; ``schedule`` uses the weights themselves.
+    """
     period = max(period, 4 * len(weights))
     low = min((w for w in weights.values() if w > 0), default=1.0) * 1e-6
     clean = {s: max(w, low) for s, w in weights.items()}
@@ -55,45 +63,113 @@ def parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    low = min((Fraction(w) for w in weights.values() if w > 0), default=Fraction(1)) / 1_000_000
+    ratios = {s: max(Fraction(w), low) for s, w in weights.items()}
+    common = math.lcm(*(w.denominator for w in ratios.values()))
+    return {s: int(w * common) for s, w in ratios.items()}
+
+
+def turns(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
+    """(stream, block from 0) for each slot, earliest deadline first."""
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    if not names:
+        return
+    whole = exact({s: weights[s] for s in names})
+    n, w = [blocks[s] for s in names], [whole[s] for s in names]
+    # time is the blocks handed out at constant rates: gone[j] + rate[j] * share while j streams are used up
+    last = sorted(range(len(names)), key=lambda i: Fraction(n[i], w[i]))
+    gone, rate = [0], [sum(w)]
+    for i in last:
+        gone.append(gone[-1] + n[i])
+        rate.append(rate[-1] - w[i])
+    ended = [0] * len(names)  # streams used up when the next block of a stream is full
+
+    def full(i: int, k: int) -> tuple[int, int]:
+        """The time at which stream i's first k blocks are full, rounded down and up."""
+        low, high = ended[i], len(last) - 1
+        while low < high:
+            mid = (low + high) // 2
+            if n[last[mid]] * w[i] < k * w[last[mid]]:
+                low = mid + 1
+            else:
+                high = mid
+        ended[i] = low
+        time = rate[low] * k
+        return gone[low] + time // w[i], gone[low] - (-time // w[i])
+
+    done, released, ready, waiting = [0] * len(names), [0] * len(names), [], []
+    for i in range(len(names)):
+        released[i], deadline = full(i, 1)
+        ready.append((deadline, i))
+    heapq.heapify(ready)
+    for slot in range(sum(n)):
+        while waiting and waiting[0][0] <= slot:
+            _, deadline, i = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, i))
+        _, i = heapq.heappop(ready)
+        yield names[i], done[i]
+        done[i] += 1
+        if done[i] < n[i]:
+            release = released[i]
+            released[i], deadline = full(i, done[i] + 1)
+            heapq.heappush(waiting, (release, deadline, i))
+
+
 def one_period(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each stream's blocks in a period, earliest deadline first."""
-    period = sum(share.values())
-    release: list[list[tuple[int, str, int]]] = [[] for _ in range(period)]
-    for s, n in share.items():
-        for k in range(1, n + 1):
-            release[(k - 1) * period // n].append((-(-k * period // n), s, k))
-    ready: list[tuple[int, str, int]] = []
+    """Slots of each stream's blocks when the streams' blocks are their weights."""
     slots: dict[str, list[int]] = {s: [] for s in share}
-    for t in range(period):
-        for job in release[t]:
-            heapq.heappush(ready, job)
-        _, s, _ = heapq.heappop(ready)
-        slots[s].append(t)
+    for slot, (s, _) in enumerate(turns(share, share)):
+        slots[s].append(slot)
     return slots
 
 
 def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """Phases: start slot, period, and for each stream its first block, blocks and slots of a period."""
-    left, done, start, out = {s: n for s, n in blocks.items() if n > 0}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        share = parts({s: weights[s] for s in left}, period)
-        slots, size = one_period(share), sum(share.values())
-        # the slot behind the last block of the stream that ends first
-        length = min(
-            (n - 1) // share[s] * size + slots[s][(n - 1) % share[s]] + 1 for s, n in left.items()
-        )
-        full, rest = divmod(length, size)
-        used = {s: full * share[s] + sum(t < rest for t in slots[s]) for s in left}
-        out.append(
-            {"start": start, "period": size, "streams": {s: (done[s], used[s], slots[s]) for s in left}}
-        )
-        for s, n in used.items():
-            done[s] += n
-        left = {s: left[s] - used[s] for s in left if left[s] > used[s]}
-        start += length
+    """The schedule in pieces of ``period`` slots: start, and for each stream its first block, blocks and slots."""
+    out: list[dict] = []
+    for slot, (s, block) in enumerate(turns(blocks, weights)):
+        if slot % period == 0:
+            out.append({"start": slot, "period": period, "streams": {}})
+        first, used, slots = out[-1]["streams"].get(s, (block, 0, []))
+        slots.append(slot % period)
+        out[-1]["streams"][s] = (first, used + 1, slots)
     return out
 
 
+def _turns(weights: dict[str, float] | None, block: int, period: int):
+    """Slots of all blocks from the streams' totals, which come in one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, tuple[int, str | None]] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                totals[row["stream"]] = (row["total"], row["source"])
+        if weights is None:
+            target = {s: total**TEMPER for s, (total, _) in totals.items()}
+        else:
+            least = min(weights.values(), default=1.0)
+            target = {s: weights.get(source, least) for s, (_, source) in totals.items()}
+        held: list[tuple[str, int, int]] = []
+
+        def emit() -> pa.RecordBatch:
+            streams, ks, slots = zip(*held)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(streams, pa.string()), pa.array(ks, pa.int64()), pa.array(slots, pa.int64())],
+                names=["stream", "block", "slot"],
+            )
+
+        for slot, (s, k) in enumerate(turns({s: -(-total // block) for s, (total, _) in totals.items()}, target)):
+            held.append((s, k, slot))
+            if len(held) >= period:
+                yield emit()
+                held.clear()
+        if held:
+            yield emit()
+
+    return run
+
+
 def _stream(docs: DataFrame, streams: int) -> Column:
     name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
     if docs.select("source").distinct().count() <= streams:
@@ -112,9 +188,8 @@ def schedule(
 
     ``weights`` maps sources to weights; without it they are the sources' sizes to the
     power ``TEMPER``. Read in the order of (slot, place), every prefix holds the sources in
-    proportion to the weights of the phase.
+    proportion to the weights of those not used up.
     """
-    spark = docs.sparkSession
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
     items = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"),
@@ -125,42 +200,16 @@ def schedule(
     )
     items = items.groupBy("stream", "source", "oid", "tid").agg(F.sum("size").alias("size"))
     items = stored(items.withColumn("h", F.xxhash64(F.lit(SEED), "oid", "tid")), "mix-items")
-    totals = {
-        r.stream: (r.total, r.source)
-        for r in items.groupBy("stream").agg(F.sum("size").alias("total"), F.min("source").alias("source")).collect()
-    }
-    if weights is None:
-        target = {s: total**TEMPER for s, (total, _) in totals.items()}
-    else:
-        least = min(weights.values(), default=1.0)
-        target = {s: weights.get(source, least) for s, (_, source) in totals.items()}
-    plan = phases({s: -(-total // block) for s, (total, _) in totals.items()}, target, period)
-    # bounded tables: a row per phase and stream, and one per slot of each phase's period
-    spans, places = [], []
-    for number, phase in enumerate(plan):
-        for s, (first, used, slots) in phase["streams"].items():
-            spans.append((s, number, first, first + used, phase["start"], phase["period"], len(slots)))
-            places += [(s, number, k, t) for k, t in enumerate(slots)]
-    spans = spark.createDataFrame(
-        spans, "stream string, phase int, first long, behind long, start long, period long, share long"
+    totals = stored(
+        items.groupBy("stream").agg(F.sum("size").alias("total"), F.min("source").cast("string").alias("source")), "mix-totals"
     )
-    places = stored(spark.createDataFrame(places, "stream string, phase int, k long, at long"), "mix-period")
+    blocks = totals.coalesce(1).mapInArrow(_turns(weights, block, period), "stream string, block long, slot long")
 
     # chunks of the hash range, each of about CHUNK_ROWS rows
     bits = max(1, math.ceil(math.log2(max(items.count() / CHUNK_ROWS, 1) + 1)) + 1)
     chunk = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 64 - bits)
     signed = scan.running(items, ["stream"], ["h", "oid", "tid", "source"], chunk, sums={"upto": F.col("size")})
     cut = stored(signed.withColumn("block", F.floor((F.col("upto") - F.col("size")) / block)), "mix-blocks")
-    k = F.col("block") - F.col("first")
-    blocks = (
-        cut.select("stream", "block")
-        .distinct()
-        .join(F.broadcast(spans), "stream")
-        .where((F.col("block") >= F.col("first")) & (F.col("block") < F.col("behind")))
-        .withColumns({"turn": F.floor(k / F.col("share")), "k": k % F.col("share")})
-        .join(places, ["stream", "phase", "k"])
-        .select("stream", "block", (F.col("start") + F.col("turn") * F.col("period") + F.col("at")).alias("slot"))
-    )
     order = Window.partitionBy("stream", "block").orderBy("h", "oid", "tid", "source")
     placed = cut.withColumn("place", F.row_number().over(order))
     return placed.join(stored(blocks, "mix-slots"), ["stream", "block"]).select(

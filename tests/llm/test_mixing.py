@@ -82,3 +82,30 @@ def test_documents_keep_rows_and_columns(spark):
     assert sorted(map(str, out.collect())) == sorted(map(str, docs.collect()))
     assert mixing.report(docs).count() == len(rows())
     assert mixing.report(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize(
+    "weights", [{"a": 0.5, **{f"s{i}": 0.5 / 199 for i in range(199)}}, {"a": 0.5, "b": 0.49999, "c": 0.00001}, {"a": 1 / 3, "b": 0.7, "c": 2}]
+)
+def test_every_slot_is_within_one_block_of_the_stated_weights(weights):
+    """Against exact shares, with no rounding to a period; sources that are used up leave theirs to the rest."""
+    from fractions import Fraction
+
+    rng = random.Random(7)
+    blocks = {s: 20_000 if s == "a" else rng.randint(1, 90) for s in weights}
+    out = list(mixing.turns(blocks, weights))
+    assert sorted(out) == sorted((s, k) for s, n in blocks.items() for k in range(n))
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total, fluid, at = sum(blocks.values()), dict.fromkeys(blocks, Fraction(0)), Fraction(0)
+    done, left = dict.fromkeys(blocks, 0), set(blocks)
+    for slot, (s, _) in enumerate(out[:3_000], 1):
+        done[s] += 1
+        while at < slot and left:
+            rate = sum(exact[x] for x in left)
+            step = min(slot - at, *((blocks[x] - fluid[x]) * rate / exact[x] for x in left))
+            for x in left:
+                fluid[x] += step * exact[x] / rate
+            at += step
+            left -= {x for x in left if fluid[x] == blocks[x]}
+        assert all(abs(done[x] - fluid[x]) < 1 for x in blocks)
+    assert len(out) == total
