@@ -38,7 +38,6 @@ from shotline.llm.common import fresh, stored
 from shotline.operators import scan
 
 BLOCK = 1 << 16
-STREAMS = 256
 PERIOD = 1_024  # slots handed on together
 TEMPER = 0.5
 SEED = 29
@@ -170,9 +169,9 @@ def _turns(weights: dict[str, float] | None, block: int, period: int):
     return run
 
 
-def _stream(docs: DataFrame, streams: int) -> Column:
+def _stream(docs: DataFrame, streams: int | None) -> Column:
     name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    if docs.select("source").distinct().count() <= streams:
+    if streams is None or docs.select("source").distinct().count() <= streams:
         return name
     return F.concat(F.lit("g"), F.pmod(F.xxhash64("source"), F.lit(streams)).cast("string"))
 
@@ -182,12 +181,14 @@ def schedule(
     weights: dict[str, float] | None = None,
     block: int = BLOCK,
     period: int = PERIOD,
-    streams: int = STREAMS,
+    streams: int | None = None,
 ) -> DataFrame:
     """(oid, tid, source, stream, block, slot, place), one row for each distinct doc_id, text and source.
 
     ``weights`` maps sources to weights; without it they are the sources' sizes to the
-    power ``TEMPER``. Read in the order of (slot, place), every prefix holds the sources in
+    power ``TEMPER``. Every source has its own weight and stream, however many there are; only a
+    caller that sets ``streams`` gets hash groups of sources beyond that number, each at the
+    weight of its first source. Read in the order of (slot, place), every prefix holds the sources in
     proportion to the weights of those not used up.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1

@@ -109,3 +109,17 @@ def test_every_slot_is_within_one_block_of_the_stated_weights(weights):
             left -= {x for x in left if fluid[x] == blocks[x]}
         assert all(abs(done[x] - fluid[x]) < 1 for x in blocks)
     assert len(out) == total
+
+
+def test_each_of_many_sources_keeps_its_weight(spark):
+    """More than 256 sources: a stream each, within one block of its own share."""
+    docs = frame(spark, [(i, "x" * 99, None, f"s{i % 300}", None) for i in range(3_000)])
+    weights = {f"s{i}": 5.0 if i < 10 else 1.0 for i in range(300)}
+    got = mixing.schedule(docs, weights, block=100).collect()
+    assert {r.stream for r in got} == {f"ss{i}" for i in range(300)}
+    assert sorted(r.slot for r in got) == list(range(3_000))
+    total = sum(weights.values())
+    for s, w in weights.items():
+        mine = sorted(r.slot for r in got if r.source == s)
+        for upto in range(1, int(10 * total / 5)):  # until the heavy sources are used up
+            assert abs(sum(x < upto for x in mine) - w / total * upto) < 1
