@@ -113,3 +113,90 @@ def op4_pfair_mixing(spark: SparkSession, folder: str) -> DataFrame:
     from shotline.llm import mixing
 
     return mixing.report(table(spark, folder, "documents"))
+
+
+@query
+def op11_pii(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import privacy
+
+    return privacy.report(table(spark, folder, "documents"))
+
+
+def _pii_sql() -> str:
+    from shotline.llm.privacy import ACCESS_KEY, BASE, IBAN_LENGTH, KEEP, KINDS, NEARBY, PATTERN, REACH, START, context_pattern
+
+    def literal(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    proposed = "\n  UNION ALL ".join(
+        f"SELECT r, text, '{kind}' AS kind, {k} AS k, unnest(range(1, len(m) + 1)) AS i, m, s FROM ("
+        f"SELECT r, text, regexp_extract_all(text, {literal(PATTERN[kind])}) AS m, "
+        f"regexp_split_to_array(text, {literal(PATTERN[kind])}) AS s FROM t)"
+        for k, kind in enumerate(KINDS)
+    )
+    near = " ".join(
+        f"WHEN kind = '{kind}' THEN regexp_matches(before, {literal(context_pattern(kind))}) "
+        f"OR regexp_matches(after, {literal(context_pattern(kind))})"
+        for kind in KINDS
+    )
+    start = " ".join(f"WHEN kind = '{kind}' THEN {START[kind]}" for kind in KINDS)
+    country = " ".join(f"WHEN left(f, 2) = '{c}' THEN {n}" for c, n in IBAN_LENGTH.items())
+    base = ", ".join(f"'{kind}'" for kind in BASE)
+    numbers = ", ".join(
+        f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE
+    )
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p AS (
+  {proposed}),
+q AS (
+  SELECT r, text, kind, k, m[i] AS f,
+    CAST(list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+  FROM p),
+n AS (
+  SELECT *, regexp_replace(f, '[^0-9]', '', 'g') AS d, replace(f, ' ', '') AS c,
+    CASE {country} ELSE 99 END AS size,
+    substr(text, a, CASE WHEN a = 0 THEN 0 ELSE 1 END) || substr(text, a + length(f) + 1, 1) AS around
+  FROM q),
+v AS (
+  SELECT *, CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN len(list_filter(string_split(f, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST(left('0' || ltrim(x, '0'), 4) AS INTEGER) > 255)) = 0
+    WHEN 'card' THEN length(d) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(d)), lambda j:
+      CASE WHEN j % 2 = 0 THEN CAST(substr(d, length(d) - j, 1) AS INTEGER)
+        ELSE CAST(substr(d, length(d) - j, 1) AS INTEGER) * 2 - CASE WHEN CAST(substr(d, length(d) - j, 1) AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    WHEN 'phone' THEN length(d) BETWEEN 9 AND 15
+    WHEN 'iban' THEN length(c) >= size AND list_reduce(list_transform(
+      string_split(array_to_string(list_transform(string_split(substr(c, 5, size - 4) || left(c, 4), ''), lambda x:
+        CASE WHEN x BETWEEN '0' AND '9' THEN x ELSE CAST(ascii(x) - 55 AS VARCHAR) END), ''), ''), lambda x: CAST(x AS INTEGER)),
+      lambda x, y: (x * 10 + y) % 97) = 1
+    WHEN 'secret' THEN length(d) > 0 AND length(d) < length(f)
+    ELSE NOT regexp_matches(around, '[0-9-]') END AS ok
+  FROM n),
+e AS (
+  SELECT *, a + CASE WHEN kind = 'iban' THEN length(regexp_extract(f, '^( ?[A-Z0-9]){{' || size || '}}')) ELSE length(f) END AS z
+  FROM v WHERE ok),
+w AS (
+  SELECT *, substr(text, greatest(a - {REACH}, 0) + 1, a - greatest(a - {REACH}, 0)) AS before, substr(text, z + 1, {REACH}) AS after FROM e),
+g AS (
+  SELECT r, kind, k, a, z, least(1, CASE WHEN kind = 'secret' AND regexp_full_match(f, 'AKIA[0-9A-Z]{{16}}') THEN {ACCESS_KEY} {start} END
+    + CASE WHEN CASE {near} END THEN {NEARBY} ELSE 0 END) AS score
+  FROM w),
+b AS (
+  SELECT * FROM g WHERE kind IN ({base})
+  UNION ALL
+  SELECT * FROM g WHERE kind NOT IN ({base}) AND score >= {KEEP}
+    AND NOT EXISTS (SELECT 1 FROM g h WHERE h.r = g.r AND h.kind IN ({base}) AND h.a < g.z AND g.a < h.z)),
+x AS (
+  SELECT r, {numbers},
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) FILTER (kind IN ({base})) AS base_spans,
+    string_agg(kind || ':' || a || ':' || z, ',' ORDER BY k, a) AS spans,
+    string_agg(printf('%.1f', score), ',' ORDER BY k, a) AS scores
+  FROM b GROUP BY r)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)},
+  sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
+FROM t LEFT JOIN x USING (r)
+"""
+
+
+SQL["op11_pii"] = _pii_sql()

@@ -61,3 +61,19 @@ def frame(spark, data=None, parts=3):
 
 def crc(doc_id):
     return zlib.crc32(str(doc_id).encode())
+
+
+def twin(name, folder, **tables):
+    """A registered query and its SQL over the given tables (arrow), stored as Parquet in ``folder``; sorted rows of both."""
+    import duckdb
+    import pyarrow.parquet as pq
+
+    from shotline.llm.queries import SQL
+
+    con = duckdb.connect()
+    for table, data in tables.items():
+        pq.write_table(data, f"{folder}/{table}.parquet")
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    result = con.execute(SQL[name])
+    columns = [c[0] for c in result.description]
+    return columns, sorted(result.fetchall(), key=str)
