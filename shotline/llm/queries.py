@@ -200,3 +200,48 @@ FROM t LEFT JOIN x USING (r)
 
 
 SQL["op11_pii"] = _pii_sql()
+
+
+@query
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import audit
+
+    return audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+SQL["op12_filter_audit"] = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words
+  FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+s AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text),
+m AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 3 * length(d.text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(d.text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN first_id < d.doc_id THEN 16 ELSE 0 END AS bits
+  FROM d JOIN s ON d.text = s.text LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM m GROUP BY part, bits),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS own),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order
+  FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f)
+    JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+p AS (
+  SELECT filter_order, CAST(instr(filter_order, f.f) AS INTEGER) AS step, f.own,
+    (SELECT coalesce(sum(g.own), 0) FROM f g WHERE instr(filter_order, g.f) < instr(filter_order, f.f)) AS before
+  FROM o CROSS JOIN f)
+SELECT part, filter_order, step,
+  CAST(coalesce(sum(n) FILTER (bits & CAST(own + before AS INTEGER) = 0), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(n) FILTER (bits & own <> 0 AND bits & CAST(before AS INTEGER) = 0), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (bits & own <> 0 AND bits & CAST(before AS INTEGER) <> 0), 0) AS BIGINT) AS redundant,
+  CAST(coalesce(sum(n) FILTER (bits = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(c.good) FILTER (bits & own <> 0 AND bits & CAST(before AS INTEGER) = 0), 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(sum(c.toxic) FILTER (bits & own <> 0 AND bits & CAST(before AS INTEGER) = 0), 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(n * 120 // nullif(bit_count(bits), 0)) FILTER (bits & own <> 0), 0) AS BIGINT) AS shapley
+FROM c CROSS JOIN p GROUP BY part, filter_order, step
+"""
