@@ -245,3 +245,41 @@ SELECT part, filter_order, step,
   CAST(coalesce(sum(n * 120 // nullif(bit_count(bits), 0)) FILTER (bits & own <> 0), 0) AS BIGINT) AS shapley
 FROM c CROSS JOIN p GROUP BY part, filter_order, step
 """
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from shotline.llm import centroids
+
+    return centroids.report(table(spark, folder, "embeddings")).drop("scans")
+
+
+def _clusters_sql(rounds: int = 3) -> str:
+    parts = ["""
+WITH v AS (
+  SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m
+  FROM (SELECT v, sha256('1:' || vec_id) AS h FROM v WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT 16))"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+  SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (
+    SELECT r, c, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - m[i]) * (v[i] - m[i]))) AS BIGINT) AS d FROM v CROSS JOIN c{i})
+  GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""s{i} AS (
+  SELECT c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT best.c AS c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i} JOIN v USING (r)) GROUP BY c, i),
+m{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{i} GROUP BY c),
+c{i + 1} AS (SELECT c{i}.c, coalesce(m{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN m{i} USING (c))""")
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
+  CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} ON c{rounds}.c = best.c
+"""
+
+
+SQL["op13_centroid_clusters"] = _clusters_sql()
