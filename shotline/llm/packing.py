@@ -23,96 +23,182 @@ sequence of its own, marked ``oversize``.
 
 from __future__ import annotations
 
+import json
+import os
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import long_texts, text_bytes
+from shotline.llm.common import long_texts, text_slices
 
 TOKENS = 4096
 SEGMENTS = 128
 RUN_TOKENS = 1 << 20
 RUN_PIECES = 2_000
 END = 2
-CACHE = 200_000  # words whose ids a worker remembers
+CACHE = 300_000  # pieces of words whose ids a worker remembers
+CHUNK = 4 << 20  # bytes of text whose words are encoded together
+GAP = re.compile(rb"[ \t-\r]")
 
 #: Letters whose lower case and composition do not depend on their neighbours.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(f"[!-~{LETTERS}]+")
 
 
-class Remembered(dict):
-    """Values of ``make`` by key; of ``most`` keys and more, those not used lately are forgotten."""
+class Pieces(dict):
+    """A number for each piece, in order of appearance; ``fresh`` holds those that have no ids yet."""
 
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most, self.older = make, most, {}
+    def __init__(self) -> None:
+        super().__init__({" ": 0})
+        self.fresh: list[str] = []
 
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
-        return value
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        self.fresh.append(piece)
+        return number
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after another."""
+    ends = np.cumsum(lengths)
+    return flat[np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Encoder:
-    """Ids of a text by a tokenizer that never joins across white space.
+    """Ids of texts by a tokenizer that never joins across white space.
 
-    A text's ids are those of its words in order, so each distinct word is encoded
-    once. Words of plain letters go straight to the merges, piece by piece; any
-    other word runs through the whole tokenizer.
+    A text's ids are those of its words in order, so each distinct word of a batch is cut
+    into pieces once, and each distinct piece goes through the merges once for as long as
+    it is remembered. Words of plain letters skip the tokenizer's own frame; any other
+    word runs through the whole tokenizer.
     """
 
     def __init__(self, definition: str, cache: int = CACHE):
-        import json
-
-        from tokenizers import Tokenizer, pre_tokenizers
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.whole = Tokenizer.from_str(definition)
         steps = json.loads(definition)
         pattern = steps["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         # among plain words the classes of the pattern are these characters
-        self.pieces = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9"))
-        self.special = re.compile("|".join(re.escape(t["content"]) for t in steps["added_tokens"]) or "(?!)")
+        self.pieces = re.compile(pattern.replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9") + "| ")
+        self.special = "|".join(re.escape(t["content"]) for t in steps["added_tokens"])
         mapped = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [c for c in map(chr, range(0xC0, 0x100)) if PLAIN.fullmatch(c)]
-        self.letters = str.maketrans({c: mapped.pre_tokenize_str(c)[0][0] for c in letters})
-        self.model = self.whole.model
-        self.of_piece = Remembered(self._piece, cache // 2)
-        self.of_word = Remembered(self._word, cache)
-
-    def _piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        plain = text.isprintable() if text.isascii() else PLAIN.fullmatch(text)
-        if plain and not ("<" in text and self.special.search(text)):
-            low = text.lower()
-            if text.isascii() and low.isalpha():
-                return self.of_piece[low]
-            if text.isascii() and low[:-1].isalpha():  # one mark or digit at the end
-                return self.of_piece[low[:-1]] + self.of_piece[low[-1]]
-            return b"".join([self.of_piece[p] for p in self.pieces.findall(low)])
-        ids = self.whole.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        pairs = {b for c in letters for b in zip(c.encode().decode("latin-1"), mapped.pre_tokenize_str(c)[0][0])}
+        self.odd = sorted((a, b) for a, b in pairs if a != b)  # bytes the tokenizer writes as another character
+        # the same merges without the library's own cache, which new pieces only slow down
+        model = {k: v for k, v in steps["model"].items() if k != "type" and v is not None}
+        model["merges"] = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        self.merges = Tokenizer(models.BPE(**model, cache_capacity=0))
+        self.cache = cache
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number = Pieces()
+        self.ids, self.lengths = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # of the numbered pieces
+
+    def _learn(self) -> None:
+        """Ids of the fresh pieces, all in one call."""
+        fresh, self.number.fresh = self.number.fresh, []
+        if fresh:
+            low = " ".join(fresh).encode().decode("latin-1")  # a character for each byte
+            for byte, letter in self.odd:
+                low = low.replace(byte, letter)
+            low = low.split(" ")
+            found = self.merges.encode(low, is_pretokenized=True, add_special_tokens=False)
+            self.lengths = np.concatenate((self.lengths, np.bincount(np.array(found.word_ids, np.int64), minlength=len(low))))
+            self.ids = np.concatenate((self.ids, np.array(found.ids, "<u4")))
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words (UTF-8) in order and how many each has."""
+        text = words.view(pa.string())
+        plain = pc.match_substring_regex(text, f"^[!-~{LETTERS}]+$")
+        if self.special:
+            plain = pc.and_not(plain, pc.match_substring_regex(text, self.special))
+        plain = plain.to_numpy(zero_copy_only=False)
+        if len(self.number) > self.cache:
+            self._forget()
+        some = words.filter(pa.array(plain))
+        joined = pc.binary_join(pa.ListArray.from_arrays([0, len(some)], some), b" ")[0].as_py().decode().lower()
+        found = self.pieces.findall(joined)
+        code = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        self._learn()
+        starts = np.cumsum(self.lengths) - self.lengths
+        count = self.lengths[code]
+        ids = gathered(self.ids, starts[code], count)
+        cut = np.flatnonzero(code == 0)
+        upto = np.concatenate(([0], np.cumsum(count)))
+        lengths = np.zeros(len(words), np.int64)
+        if plain.any():
+            lengths[plain] = np.diff(np.concatenate(([0], upto[cut], [upto[-1]])))
+        others = np.flatnonzero(~plain)
+        if not len(others):
+            return ids, lengths
+        rest = [w.decode("utf-8", "replace") for w in words.take(pa.array(others)).to_pylist()]
+        rest = [np.array(e.ids, "<u4") for e in self.whole.encode_batch_fast(rest, add_special_tokens=False)]
+        lengths[others] = [len(x) for x in rest]
+        order = np.argsort(np.concatenate((np.flatnonzero(plain), others)), kind="stable")
+        flat = np.concatenate((ids, *rest))
+        sizes = np.concatenate((lengths[plain], lengths[others]))
+        return gathered(flat, (np.cumsum(sizes) - sizes)[order], lengths), lengths
+
+    def _batch(self, texts: list[bytes]) -> list[np.ndarray]:
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = split.flatten().view(pa.large_binary()).cast(pa.binary()).dictionary_encode()
+        flat, lengths = self._words(words.dictionary)
+        starts = np.cumsum(lengths) - lengths
+        at = words.indices.to_numpy()
+        ids = gathered(flat, starts[at], lengths[at])
+        upto = np.concatenate(([0], np.cumsum(lengths[at])))
+        ends = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(ends[:-1], ends[1:])]
+
+    def encode_all(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Little-endian unsigned 32-bit ids of each text; a long text is cut at white space on the way."""
+        parts: list[bytes] = []
+        owner: list[int] = []
+        for i, text in enumerate(texts):
+            text, at = text or b"", 0
+            while len(text) - at > CHUNK and (gap := GAP.search(text, at + CHUNK)):
+                parts.append(text[at : gap.start()])
+                owner.append(i)
+                at = gap.start()
+            parts.append(text[at:])
+            owner.append(i)
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        first = 0
+        while first < len(parts):
+            size, last = 0, first
+            while last < len(parts) and (last == first or size + len(parts[last]) <= CHUNK):
+                size += len(parts[last])
+                last += 1
+            for i, ids in zip(owner[first:last], self._batch(parts[first:last])):
+                out[i].append(ids)
+            first = last
+        return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def encode(self, text: bytes | None) -> np.ndarray:
-        """Little-endian unsigned 32-bit ids."""
-        return np.frombuffer(b"".join(map(self.of_word.__getitem__, (text or b"").split())), "<u4")
+        return self.encode_all([text])[0]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(definition: str) -> Encoder:
+    """The worker's encoder: tasks that follow each other in one process share it."""
+    if definition not in _encoders:
+        _encoders.clear()
+        _encoders[definition] = Encoder(definition)
+    return _encoders[definition]
 
 
 @dataclass
@@ -211,7 +297,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
         definition = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(definition.value), Packer(limits)
+        encoder, packer = encoder_of(definition.value), Packer(limits)
         base, count = TaskContext.get().partitionId() << 36, 0
         ids: list[np.ndarray] = []  # of the documents in hand, from where they are not yet placed
         head: list[tuple[int | None, int, int]] = []  # (doc_id, first token in hand, all tokens)
@@ -239,14 +325,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, limits: tuple[int, int, int]
 
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), text_bytes(batch["text"])):
-                tokens = np.concatenate((encoder.encode(text), np.array([END], "<u4")))
-                ids.append(tokens)
-                head.append((doc_id, 0, len(tokens)))
-                held += len(tokens)
-                if held >= RUN_TOKENS or len(ids) >= RUN_PIECES:
-                    yield place(False)
-                    held = sum(map(len, ids))
+            doc_ids = iter(batch["doc_id"].to_pylist())
+            for texts in text_slices(batch["text"]):
+                for tokens in encoder.encode_all(texts):
+                    ids.append(np.concatenate((tokens, np.array([END], "<u4"))))
+                    head.append((next(doc_ids), 0, len(ids[-1])))
+                    held += len(ids[-1])
+                    if held >= RUN_TOKENS or len(ids) >= RUN_PIECES:
+                        yield place(False)
+                        held = sum(map(len, ids))
         if ids:
             yield place(True)
 
