@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shotline.llm.common import fresh, long_texts, text_bytes
+from shotline.llm.common import fresh, long_texts, stored, text_bytes
 
 SAMPLE = 20_000
 SYMBOLS = b"#*$%&|<>"
@@ -218,7 +218,8 @@ def fit(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> list[Rule]:
     """Rules that reject what ``labels.quality`` marks 0, learned where the base rule passes."""
     names = list(RATIOS)
     known = long_texts(docs).select("doc_id", "text").join(sampled(labels, "quality", size), "doc_id")
-    known = known.select("doc_id", "_label", counts("text").alias("_counts"))
+    # stored, since a filter on the counts would be moved below the join and count every text
+    known = stored(known.select("doc_id", "_label", counts("text").alias("_counts")), "rule-sample")
     rows = (
         known.where(~base_failed(F.col("_counts")))
         .select("doc_id", "_label", *[ratio(n, F.col("_counts")).alias(n) for n in names])

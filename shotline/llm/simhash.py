@@ -21,7 +21,11 @@
 candidates there, and two bits reach few pairs of Jaccard similarity 0.8 (they differ
 in about ten), so pairs also meet by bands of minimum hashes: 25 keys of 6 hashes, by which a
 pair at 0.8 meets with probability 0.9995. In a key each id meets its 16 neighbours in Gray
-order and the first one. Each link is verified on the texts' shingle sets.
+order and the first one, and each such pair is verified on the texts' shingle sets. Keys of more
+ids are then closed (``closing_links``): all their pairs that are not yet in one group are
+compared in blocks of bounded size, whose overlaps are matrix products over the shingles (64-bit
+hashes) both sides have, and of which only star edges come back. A large group of near copies is
+one group by then and has no such pair.
 
 Nulls and edge cases: a null or word-less text has fingerprint zero and is linked
 like any other; a null doc_id takes part but is never a component_id unless its
@@ -49,7 +53,9 @@ LANES = np.uint64(0x0001000100010001)
 SEGMENT = 60_000  # shingles counted in 16-bit lanes
 BANDS = 25  # keys of a text, each of ROWS minimum hashes
 ROWS = 6
-NEAR = 16  # neighbours of an id among those of a key
+NEAR = 16  # neighbours of an id among those of a key, before larger keys are closed
+BLOCK = 256  # ids of a key compared with as many others in one task
+COLUMNS = 8_192  # shingles in a matrix product
 PAIRS = 8_192  # pairs of nodes opened together, each into FAN * FAN pairs
 
 
@@ -404,7 +410,119 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     return stored(long_texts(both, 200).mapInArrow(_similar(words, similarity), "u long, v long"), "similar")
 
 
-def similar_groups(classes: DataFrame, texts: DataFrame, bits: int, words: int, similarity: float) -> DataFrame:
+def _shingle_sets(words: int, seed: int):
+    """(id, set): the sorted hashes of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in text_slices(batch["text"]):
+                used, shingles, h = _shingles(texts, words, seed)
+                sets = [np.zeros(0, np.uint64)] * len(texts)
+                for i, part in zip(used, np.split(h, np.cumsum(shingles)[:-1])):
+                    sets[i] = np.unique(part)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch["id"].slice(at, len(texts)), lists], names=["id", "set"])
+                at += len(texts)
+
+    return run
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets of a and b (sorted, no repeats)."""
+    out = np.zeros((len(a), len(b)), np.float32)
+    flat = [np.concatenate(x) for x in (a, b)]
+    common = np.intersect1d(*flat)
+    marked = []  # (row, column) of the shingles both sides have
+    for x, sets in zip(flat, (a, b)):
+        row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        column = np.searchsorted(common, x)
+        shared = np.isin(x, common, assume_unique=False)
+        marked.append((row[shared], column[shared]))
+    for at in range(0, len(common), COLUMNS):
+        sides = []
+        for (row, column), sets in zip(marked, (a, b)):
+            inside = (column >= at) & (column < at + COLUMNS)
+            matrix = np.zeros((len(sets), min(COLUMNS, len(common) - at)), np.float32)
+            matrix[row[inside], column[inside] - at] = 1
+            sides.append(matrix)
+        out += sides[0] @ sides[1].T
+    return out
+
+
+def _close(similarity: float):
+    """Star edges of the links between the two sides of a block pair, or within a block if there is one side."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, root, side = (table[c].to_numpy() for c in ("id", "root", "side"))
+        column = table["set"].combine_chunks()
+        flat, ends = column.flatten().to_numpy().view(np.uint64), np.cumsum([0, *column.value_lengths().to_pylist()])
+        sets = [flat[x:y] for x, y in zip(ends[:-1], ends[1:])]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        labels = np.arange(len(ids))
+        if len(left):
+            a, b = [sets[i] for i in left], [sets[i] for i in right]
+            both = overlaps(a, b)
+            sizes = [np.array(list(map(len, x)), float) for x in (a, b)]
+            linked = both + 1e-9 >= similarity * (sizes[0][:, None] + sizes[1][None, :] - both)
+            linked &= root[left][:, None] != root[right][None, :]
+            i, j = np.nonzero(linked)
+            labels = merged(labels, left[i], right[j])
+        other = labels != np.arange(len(ids))
+        return pa.table({"u": ids[other], "v": ids[labels[other]]})
+
+    return run
+
+
+def closing_links(
+    classes: DataFrame, texts: DataFrame, roots: DataFrame, words: int, similarity: float, seed: int, block: int = BLOCK
+) -> DataFrame | None:
+    """Links between ids of one key that are in different groups so far, for the keys of more than NEAR + 1 ids.
+
+    The ids of a key's largest group are compared with the rest only, the rest also with
+    each other, each pair of blocks in a task of its own.
+    """
+    keys = classes.where("id <> 0").select(F.explode("bands").alias("key"), "id")
+    hot = stored(keys.groupBy("key").count().where(F.col("count") > NEAR + 1).select("key"), "hot-keys")
+    if hot.isEmpty():
+        return None
+    members = keys.join(hot, "key", "left_semi").join(roots.toDF("id", "root"), "id", "left")
+    members = stored(members.select("key", "id", F.coalesce("root", "id").alias("root")), "members-of-keys")
+    groups = members.groupBy("key", "root").count()
+    main = groups.groupBy("key").agg(F.max(F.struct("count", "root")).alias("main"), F.sum("count").alias("n"))
+    main = main.where("main.count < n").select(
+        "key", F.col("main.root").alias("main"), F.ceil(F.col("main.count") / block).cast("int").alias("mains"),
+        F.ceil((F.col("n") - F.col("main.count")) / block).cast("int").alias("rests"),
+    )
+    main = stored(main, "open-keys")
+    if main.isEmpty():
+        return None
+    rows = members.join(main, "key").withColumn("in_main", F.col("root") == F.col("main"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+
+    def pairs(others, make):
+        return F.transform(F.sequence(F.lit(0), others - 1), make)
+
+    def task(kind, a, b, side):
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"), side.cast("int").alias("side"))
+
+    own, zero, one = F.col("own"), F.lit(0), F.lit(1)
+    rest = F.concat(
+        pairs(F.col("rests"), lambda x: task(0, F.least(own, x), F.greatest(own, x), own > x)),
+        pairs(F.col("mains"), lambda x: task(1, own, x, zero)),
+    )
+    mains = pairs(F.col("rests"), lambda x: task(1, x, own, one))
+    dealt = rows.select("key", "id", "root", F.inline(F.when(F.col("in_main"), mains).otherwise(rest)))
+    sets = long_texts(texts.join(rows.select("id").distinct(), "id", "left_semi")).mapInArrow(_shingle_sets(words, seed), "id long, set array<long>")
+    together = dealt.join(stored(sets, "shingle-sets"), "id").select("key", "kind", "a", "b", "side", "id", "root", "set")
+    return stored(together.groupBy("key", "kind", "a", "b").applyInArrow(_close(similarity), "u long, v long"), "closing")
+
+
+def similar_groups(
+    classes: DataFrame, texts: DataFrame, bits: int, words: int, similarity: float, seed: int = 42
+) -> DataFrame:
     """(node, root) for the ids that verified links connect.
 
     The pairs are tested in rounds, the likeliest of each id first: pairs whose ids are
@@ -414,6 +532,13 @@ def similar_groups(classes: DataFrame, texts: DataFrame, bits: int, words: int,
     texts = stored(
         texts.join(open_pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), "id", "left_semi"), "texts"
     )
+    found, roots = _linked(open_pairs, texts, words, similarity)
+    closing = closing_links(classes, texts, roots, words, similarity, seed)
+    return roots if closing is None else components(found.union(closing), "closed")
+
+
+def _linked(open_pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The verified links of ``open_pairs``, up to those inside a group, and the groups (node, root)."""
     found, roots = None, None
     for most in (1, 4, None):
         if most is None:
@@ -427,14 +552,15 @@ def similar_groups(classes: DataFrame, texts: DataFrame, bits: int, words: int,
         found = links_now if found is None else found.union(links_now)
         roots = components(found, "similar")
         if most is None:
-            return roots
+            break
         left = open_pairs.join(chosen, ["u", "v"], "left_anti")
         for side in ("u", "v"):
             left = left.join(roots.toDF(side, f"_{side}"), side, "left")
         left = left.where(F.coalesce("_u", "u") != F.coalesce("_v", "v"))
         open_pairs = stored(left.select("u", "v", "n"), "candidates")
         if open_pairs.isEmpty():
-            return roots
+            break
+    return found, roots
 
 
 def representatives(
@@ -457,7 +583,7 @@ def representatives(
         "classes",
     )
     texts = plain.join(broadcast_small(same), ["oid", "tid"]).select("id", "text")
-    roots = similar_groups(classes, texts, bits, words, similarity)
+    roots = similar_groups(classes, texts, bits, words, similarity, seed)
     rooted = same.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     chosen = rooted.groupBy("root").agg(F.min(F.struct("oid", "tid")).alias("one")).select("one.*")
     chosen = stored(chosen, "chosen")

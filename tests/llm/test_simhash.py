@@ -86,7 +86,8 @@ def copies(groups=60, size=4, hot=150, seed=11):
 
 
 def jaccard_groups(texts, words=5, similarity=0.8):
-    sets = [set(zip(*(t.lower().split()[i:] for i in range(words)))) for t in texts]
+    split = [re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
+    sets = [set(zip(*(w[i:] for i in range(words)))) if len(w) > words else {tuple(w)} for w in split]
     i, j = np.triu_indices(len(sets), 1)
     keep = []
     for a, b in zip(i, j):
@@ -113,3 +114,27 @@ def test_unlike_texts_are_not_linked(spark):
     assert len(jaccard_groups(texts)[0]) == 0
     docs = frame(spark, [(i, t, None, "s", len(t)) for i, t in enumerate(texts)])
     assert simhash.representatives(docs, bits=8).count() == len(texts)
+
+
+def test_overlaps_equal_set_intersections(monkeypatch):
+    monkeypatch.setattr(simhash, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 60, rng.integers(0, 40)).astype(np.uint64)) for _ in range(n)] for n in (9, 12))
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+    assert simhash.overlaps(a, b).tolist() == want
+
+
+@pytest.mark.parametrize("block", [simhash.BLOCK, 16])
+def test_a_large_family_just_below_the_threshold_loses_no_link(spark, monkeypatch, block):
+    """Boilerplate makes all texts meet in all keys; only the two texts of a pair are similar enough."""
+    monkeypatch.setattr(simhash.closing_links, "__defaults__", (block,))
+    common = [f"c{i}" for i in range(176)]
+    texts = []
+    for pair in range(150):
+        for k in range(2):
+            texts.append(" ".join(common + [f"p{pair}-{i}" for i in range(8)] + [f"t{pair}-{k}-{i}" for i in range(20)]))
+    texts += [" ".join(common + [f"e{k}" for k in range(60)] + [f"d{i}"]) for i in range(100)]  # near copies in the same keys
+    i, j, want = jaccard_groups(texts)
+    assert len(set(want.tolist())) == 151
+    docs = frame(spark, [(i, t, None, "s", len(t)) for i, t in enumerate(texts)])
+    assert sorted(r.doc_id for r in simhash.representatives(docs).collect()) == sorted(set(want.tolist()))
