@@ -20,7 +20,7 @@
 ``representatives`` takes fingerprints of five-word shingles. Pairs within two bits are only
 candidates there, and two bits reach few pairs of Jaccard similarity 0.8 (they differ
 in about ten), so pairs also meet by bands of minimum hashes: 25 keys of 6 hashes, by which a
-pair at 0.8 meets with probability 0.9995. In a key each id meets its 16 neighbours in Gray
+pair at 0.8 meets with probability 0.9995. In a key each id meets its 4 neighbours in Gray
 order and the first one, and each such pair is verified on the texts' shingle sets. Keys of more
 ids are then closed (``closing_links``): all their pairs that are not yet in one group are
 compared in blocks of bounded size, whose overlaps are matrix products over the shingles (64-bit
@@ -53,7 +53,7 @@ LANES = np.uint64(0x0001000100010001)
 SEGMENT = 60_000  # shingles counted in 16-bit lanes
 BANDS = 25  # keys of a text, each of ROWS minimum hashes
 ROWS = 6
-NEAR = 16  # neighbours of an id among those of a key, before larger keys are closed
+NEAR = 4  # neighbours of an id among those of a key, before larger keys are closed
 BLOCK = 256  # ids of a key compared with as many others in one task
 COLUMNS = 8_192  # shingles in a matrix product
 PAIRS = 8_192  # pairs of nodes opened together, each into FAN * FAN pairs
