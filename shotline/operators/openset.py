@@ -91,9 +91,31 @@ def scalability(
     )
 
 
-def incremental_cost(gallery: DataFrame, base: int, added: int, item_ms: float, shots: int = 5) -> DataFrame:
-    """Shots and ingest time of each class added after the first ``base`` classes."""
+def _initial(gallery: DataFrame, base: int, added: int) -> int:
+    """Classes to begin with: ``base``, or fewer so that ``added`` classes are left to add."""
+    names = gallery.select("species").distinct().count()
+    return min(base, max(0, names - added))
+
+
+def incremental_cost(
+    gallery: DataFrame, item_ms: float, base: int = 10, added: int = 5, shots: int = 5
+) -> DataFrame:
+    """Shots and ingest time of each of the ``added`` classes that follow the first ``base`` ones."""
     counts = gallery.groupBy("species").agg(F.count(F.lit(1)).alias("n"))
-    new = counts.orderBy("species").offset(base).limit(added)
+    new = counts.orderBy("species").offset(_initial(gallery, base, added)).limit(added)
     used = F.least(F.lit(shots), F.col("n"))
     return new.select("species", used.alias("shots"), (used * item_ms / 1000.0).alias("seconds"))
+
+
+def incremental_summary(
+    gallery: DataFrame, item_ms: float, base: int = 10, added: int = 5, shots: int = 5
+) -> DataFrame:
+    """Classes before and added, their shots, and the ingest time in all and per added class."""
+    cost = incremental_cost(gallery, item_ms, base, added, shots)
+    return cost.agg(
+        F.lit(_initial(gallery, base, added)).cast("bigint").alias("initial_classes"),
+        F.count(F.lit(1)).alias("added_classes"),
+        F.coalesce(F.sum("shots"), F.lit(0)).alias("shots"),
+        F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("total_seconds"),
+        F.coalesce(F.avg("seconds"), F.lit(0.0)).alias("seconds_per_class"),
+    )

@@ -7,6 +7,7 @@ DataFrame function and as a common table expression.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +56,25 @@ def twin(body: str, *needs: str) -> str:
     return f"WITH {heads}\n{body}"
 
 
+def clone(names: list[str], suffix: str, root: str, body: str) -> None:
+    """Define the named common table expressions and what they need once more, with ``root`` replaced by ``body``."""
+    ordered: list[str] = []
+
+    def visit(name: str) -> None:
+        for inner in CTES[name][1]:
+            visit(inner)
+        if name not in ordered:
+            ordered.append(name)
+
+    for name in names:
+        visit(name)
+    mentioned = re.compile(r"\b(" + "|".join(ordered) + r")\b")
+    for name in ordered:
+        text, needs = (body, ()) if name == root else CTES[name]
+        if name + suffix not in CTES:
+            cte(name + suffix, mentioned.sub(lambda m: m[1] + suffix, text), *[n + suffix for n in needs])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from shotline.operators import (
@@ -9,6 +11,7 @@ from shotline.operators import (
     calibrate,
     cascade,
     centroid,
+    grid,
     leaderboard,
     metrics,
     openset,
@@ -19,7 +22,7 @@ from shotline.operators import (
 from shotline.plans import base
 from shotline.plans.base import cte, query, twin
 from shotline.plans.vector_queries import _VOTE
-from shotline.session import lookup, materialize
+from shotline.session import delete_at_exit, lookup, materialize, shared_root
 
 SEEN, LABELS = 24, 27  # true labels, and labels a prediction can take
 FAMILIES = {"Mammalia": ["fam0", "fam1", "fam2"], "Aves": ["fam3", "fam4"], "Reptilia": ["fam5"]}
@@ -533,27 +536,22 @@ def final_distances(spark, d):
     )
 
 
-@query(
-    "a20_frozen_threshold",
-    twin(
-        """SELECT round(t, 6) AS threshold, round(avg(CASE WHEN d_centroid <= t THEN 1.0::DOUBLE ELSE 0 END) FILTER (ok), 6) AS coverage,
+cte(
+    "frozen",
+    """SELECT round(t, 6) AS threshold, round(avg(CASE WHEN d_centroid <= t THEN 1.0::DOUBLE ELSE 0 END) FILTER (ok), 6) AS coverage,
         round(avg(CASE WHEN d_other <= t THEN 1.0::DOUBLE ELSE 0 END) FILTER (ok), 6) AS inter_contamination,
         round(median(d_other) FILTER (ok) - t, 6) AS separation_gap, count(*) FILTER (ok) AS n_included, count(*) FILTER (NOT ok) AS n_excluded
         FROM (SELECT *, species NOT IN (SELECT species FROM excl) AND d_centroid IS NOT NULL AS ok FROM final WHERE split = 'query_test'),
           (SELECT quantile_cont(d_centroid, 0.95) AS t FROM final WHERE split = 'query_dev' AND species NOT IN (SELECT species FROM excl))
         GROUP BY t""",
-        "final",
-        "excl",
-    ),
+    "final",
+    "excl",
 )
+
+
+@query("a20_frozen_threshold", twin("SELECT * FROM frozen", "frozen"))
 def a20(spark, d):
-    rows = materialize(final_distances(spark, d))
-    out = materialize(excluded_classes(spark, d))
-    dev = calibrate.included(rows.where("split = 'query_dev'"), out, "d_centroid")
-    threshold = calibrate.global_percentiles(dev, "d_centroid").first()["p95"]
-    test = rows.where("split = 'query_test'")
-    stats = calibrate.frozen_validation(test, out, threshold)
-    return stats.select(*r6("threshold"), *_STATS, "n_included", "n_excluded")
+    return frozen_threshold(spark, d).select(*r6("threshold"), *_STATS, "n_included", "n_excluded")
 
 
 @query(
@@ -1335,32 +1333,126 @@ def b8(spark, d):
 
 
 cte("votes", _VOTE, "topg")
+_B9_PREDS = """SELECT 'Nearest Centroid' AS classifier, item_id, species AS y_true, list(csp ORDER BY d, csp)[1] AS y_pred,
+      list_contains(list(csp ORDER BY d, csp)[1:5], species) AS hit FROM qcp GROUP BY item_id, species
+    UNION ALL SELECT 'KNN (k=' || k || ')', v.item_id, v.species, y_pred,
+      EXISTS (SELECT 1 FROM topg t WHERE t.item_id = v.item_id AND t.rk <= k AND t.gsp = v.species) FROM votes v"""
+cte("b9preds", _B9_PREDS, "qcp", "votes", "topg")
+# the second model: the first half of each vector
+base.clone(["b9preds", "unitall", "means"], "_h", "idx", base.CTES["idx"][0].replace("embedding::", "embedding[1:32]::"))
+cte("b9all", "SELECT 'full' AS model, * FROM b9preds UNION ALL SELECT 'half', * FROM b9preds_h", "b9preds", "b9preds_h")
 cte(
-    "b9preds",
-    """SELECT 'Nearest Centroid' AS classifier, item_id, species AS y_true, arg_min(csp, struct_pack(d := d, s := csp)) AS y_pred FROM qcp GROUP BY item_id, species
-    UNION ALL SELECT 'KNN (k=' || k || ')', item_id, species, y_pred FROM votes""",
-    "qcp",
-    "votes",
+    "b9labs",
+    """SELECT model, classifier, label, sum(t) AS n_true, sum(p) AS n_pred, sum(h) AS tp FROM (
+      SELECT model, classifier, y_true AS label, 1 AS t, 0 AS p, (y_true = y_pred)::INT AS h FROM b9all
+      UNION ALL SELECT model, classifier, y_pred, 0, 1, 0 FROM b9all) GROUP BY ALL""",
+    "b9all",
 )
+TRAINED = ["Linear SVM", "Random Forest"]
+
+
+def grid_models(spark, d):
+    rows = base.split2(spark, d)
+    return {"full": rows, "half": rows.withColumn("vec", F.slice("vec", 1, 32))}
+
+
+def stored_grid(spark, d):
+    """Models and the folder of their grid; a folder of its own for each content of the catalogue."""
+    models = grid_models(spark, d)
+    mark = models["full"].agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("item_id", "species", "split", "vec")), F.lit(0)).alias("h")
+    ).first()
+    path = f"{shared_root(spark)}/grid-{mark['n']}-{mark['h'] & (1 << 64) - 1:016x}"
+    delete_at_exit(spark, path)
+    grid.run_grid(models, path)
+    return models, path
 
 
 @query(
     "b9_classifier_grid",
     twin(
-        """SELECT classifier, count(*) AS n_items, round(avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy FROM b9preds GROUP BY classifier""",
-        "b9preds",
+        """SELECT model, classifier, n_items, accuracy, top5, precision, recall, f1 FROM (
+          SELECT model, classifier, count(*) AS n_items, round(avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy,
+            round(avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END), 6) AS top5 FROM b9all GROUP BY model, classifier)
+        JOIN (SELECT model, classifier, round(avg(CASE WHEN n_pred > 0 THEN tp::DOUBLE / n_pred ELSE 0 END), 6) AS precision,
+            round(avg(CASE WHEN n_true > 0 THEN tp::DOUBLE / n_true ELSE 0 END), 6) AS recall,
+            round(avg(2 * tp::DOUBLE / (n_true + n_pred)), 6) AS f1 FROM b9labs GROUP BY model, classifier) USING (model, classifier)""",
+        "b9all",
+        "b9labs",
     ),
 )
 def b9(spark, d):
-    from shotline.operators.classifiers import evaluate
+    """All classifiers over all models, run or read from the store; the rows that SQL can repeat."""
+    _, path = stored_grid(spark, d)
+    out = grid.summary(grid.predictions(spark, path)).where(~F.col("classifier").isin(TRAINED))
+    return out.select("model", "classifier", "n_items", *r6("accuracy", "top5", "precision", "recall", "f1"))
 
-    rows = base.split2(spark, d)
-    done = rows.select(F.lit("full").alias("model"), F.lit("Random Forest").alias("classifier")).distinct()
-    names = ["Nearest Centroid", "KNN (k=1)", "KNN (k=3)", "KNN (k=5)", "Random Forest"]
-    preds = evaluate(rows, "full", names, done)
-    return metrics.accuracy(metrics.confusion(preds, ["classifier"]), ["classifier"]).select(
-        "classifier", "n_items", *r6("accuracy")
+
+@query("b9_trained_scores")
+def b9_trained(spark, d):
+    """The rows of the trained classifiers from the same store."""
+    _, path = stored_grid(spark, d)
+    out = grid.summary(grid.predictions(spark, path)).where(F.col("classifier").isin(TRAINED))
+    return out.select("model", "classifier", "n_items", *r6("accuracy", "top5", "precision", "recall", "f1"))
+
+
+@query(
+    "b9_resumed_grid",
+    twin(
+        """SELECT model, c AS classifier, n AS n_items, n AS n_distinct, true AS labels_known, true AS top_begins_with_prediction, true AS timed, false AS run_again
+        FROM (SELECT count(*) AS n FROM qry), (VALUES ('full'), ('half')) m(model),
+          (VALUES ('Nearest Centroid'), ('KNN (k=1)'), ('KNN (k=3)'), ('KNN (k=5)'), ('Linear SVM'), ('Random Forest')) v(c)""",
+        "qry",
+    ),
+)
+def b9_resumed(spark, d):
+    """Every pair is stored whole, and a second call over the store runs nothing."""
+    models, path = stored_grid(spark, d)
+    again = grid.run_grid(models, path)
+    known = models["full"].where("split = 'gallery'").select(F.col("species").alias("y_pred"), F.lit(True).alias("_known")).distinct()
+    checked = grid.predictions(spark, path).join(lookup(known), "y_pred", "left").groupBy(*grid.PAIR).agg(
+        F.count(F.lit(1)).alias("n_items"),
+        F.countDistinct("item_id").alias("n_distinct"),
+        F.min(F.coalesce("_known", F.lit(False))).alias("labels_known"),
+        F.min((F.col("top")[0] == F.col("y_pred")) & F.size("top").between(1, 5)).alias("top_begins_with_prediction"),
     )
+    timed = grid.latency(spark, path).select(*grid.PAIR, (F.col("ms_per_item") > 0).alias("timed"))
+    pairs = F.array(F.lit(""), *[F.lit(f"{m}/{c}") for m, c in again])
+    return checked.join(lookup(timed), grid.PAIR).withColumn("run_again", F.array_contains(pairs, F.concat_ws("/", *grid.PAIR)))
+
+
+def _space(model, suffix, dim):
+    own = lambda text: re.sub(r"\b(unitall|means)\b", rf"\1{suffix}", text)
+    return own(f"""SELECT '{model}' AS model, {dim}::BIGINT AS dim, (SELECT round(avg(CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) FROM (
+          SELECT item_id, any_value(n) AS n, max(CASE WHEN own THEN s / (n - 1) END) AS a, min(CASE WHEN NOT own THEN s / nc END) AS b FROM (
+            SELECT x.item_id, y.species = x.species AS own, sum(1 - list_inner_product(x.vn, y.vn)) AS s, count(*) AS nc, any_value(k.n) AS n
+            FROM unitall x, unitall y, (SELECT species, count(*) AS n FROM unitall GROUP BY 1) k
+            WHERE k.species = x.species GROUP BY x.item_id, y.species, x.species) GROUP BY item_id)) AS silhouette,
+        (SELECT round(avg(r), 6) FROM (SELECT a.species, max((a.s + b.s) / list_distance(a.c, b.c)) AS r FROM sc{suffix} a JOIN sc{suffix} b ON a.species <> b.species
+          GROUP BY a.species)) AS davies_bouldin,
+        (SELECT round((between_ss / (k - 1)) / (within_ss / (n - k)), 5) FROM
+          (SELECT count(*) AS k, sum(m.n) AS n, sum(m.n * power(list_distance(m.c, g.c), 2)) AS between_ss FROM means m,
+            (SELECT list(m ORDER BY pos) AS c FROM (SELECT pos, avg(x) AS m FROM (SELECT unnest(vn) AS x, generate_subscripts(vn, 1) AS pos FROM unitall) GROUP BY pos)) g),
+          (SELECT sum(power(list_distance(u.vn, m.c), 2)) AS within_ss FROM unitall u JOIN means m USING (species))) AS calinski_harabasz""")
+
+
+for _suffix in ("", "_h"):
+    cte(
+        f"sc{_suffix}",
+        f"""SELECT m.species, any_value(m.c) AS c, avg(list_distance(u.vn, m.c)) AS s FROM unitall{_suffix} u JOIN means{_suffix} m USING (species)
+        GROUP BY m.species""",
+        f"unitall{_suffix}",
+        f"means{_suffix}",
+    )
+
+
+@query(
+    "b9_space_metrics",
+    twin(_space("full", "", 64) + "\nUNION ALL " + _space("half", "_h", 32), "unitall", "means", "sc", "unitall_h", "means_h", "sc_h"),
+)
+def b9_spaces(spark, d):
+    out = grid.space_metrics(grid_models(spark, d))
+    return out.select("model", "dim", *r6("silhouette", "davies_bouldin"), F.round("calinski_harabasz", 5).alias("calinski_harabasz"))
 
 
 @query(
@@ -1416,9 +1508,24 @@ def final_evaluation(spark, d, names):
     )
 
 
+def frozen_threshold(spark, d):
+    """The dev percentile frozen and applied to the test split, as one row."""
+    rows = materialize(final_distances(spark, d))
+    out = materialize(excluded_classes(spark, d))
+    dev = calibrate.included(rows.where("split = 'query_dev'"), out, "d_centroid")
+    threshold = calibrate.global_percentiles(dev, "d_centroid").first()["p95"]
+    return calibrate.frozen_validation(rows.where("split = 'query_test'"), out, threshold)
+
+
+def with_frozen_threshold(spark, d, scores):
+    """The scores with the frozen threshold's columns beside each classifier."""
+    frozen = frozen_threshold(spark, d).select(*r6("threshold"), *_STATS, "n_included", "n_excluded").first()  # one row
+    return scores.withColumns({name: F.lit(value) for name, value in frozen.asDict().items()})
+
+
 @query("b12_final_evaluation")
 def b12(spark, d):
-    return final_evaluation(spark, d, ["Nearest Centroid", "Linear SVM"])
+    return with_frozen_threshold(spark, d, final_evaluation(spark, d, ["Nearest Centroid", "Linear SVM"]))
 
 
 cte(
@@ -1440,15 +1547,19 @@ cte(
     "b12_centroid_half",
     twin(
         """SELECT 'Nearest Centroid' AS classifier, count(*) AS n_items, round(avg((species = top[1])::INT), 6) AS accuracy,
-        round(avg(list_contains(top, species)::INT), 6) AS top5, (SELECT round(avg(2 * tp::DOUBLE / (n_true + n_pred)), 6) FROM b12labs) AS f1 FROM b12near""",
+        round(avg(list_contains(top, species)::INT), 6) AS top5, (SELECT round(avg(2 * tp::DOUBLE / (n_true + n_pred)), 6) FROM b12labs) AS f1,
+        any_value(z.threshold) AS threshold, any_value(z.coverage) AS coverage, any_value(z.inter_contamination) AS inter_contamination,
+        any_value(z.separation_gap) AS separation_gap, any_value(z.n_included) AS n_included, any_value(z.n_excluded) AS n_excluded
+        FROM b12near, frozen z""",
         "b12near",
         "b12labs",
+        "frozen",
     ),
 )
 def b12_centroid(spark, d):
-    """The half of the final evaluation that SQL can repeat."""
-    out = final_evaluation(spark, d, ["Nearest Centroid"])
-    return out.select("classifier", "n_items", *r6("accuracy", "top5", "f1"))
+    """The half of the final evaluation that SQL can repeat, the frozen threshold beside it."""
+    out = final_evaluation(spark, d, ["Nearest Centroid"]).select("classifier", "n_items", *r6("accuracy", "top5", "f1"))
+    return with_frozen_threshold(spark, d, out)
 
 
 @query(
@@ -1476,14 +1587,29 @@ def b12_invariants(spark, d):
     )
 
 
+cte(
+    "added",
+    """SELECT species, least(5, n) AS shots, least(5, n) * 141.66 / 1000 AS seconds, base, cnt FROM (
+      SELECT species, count(*) AS n, row_number() OVER (ORDER BY species) AS r, count(*) OVER () AS cnt,
+        least(10, greatest(count(*) OVER () - 5, 0)) AS base FROM gal GROUP BY species) WHERE r BETWEEN base + 1 AND base + 5""",
+    "gal",
+)
+
+
+@query("b13_incremental_cost", twin("SELECT species, shots, round(seconds, 6) AS seconds FROM added", "added"))
+def b13(spark, d):
+    out = openset.incremental_cost(base.gallery(spark, d), 141.66)
+    return out.select("species", "shots", *r6("seconds"))
+
+
 @query(
-    "b13_incremental_cost",
+    "b13_incremental_summary",
     twin(
-        """SELECT species, least(5, n) AS shots, round(least(5, n) * 141.66 / 1000, 6) AS seconds FROM (SELECT species, count(*) AS n, row_number() OVER (ORDER BY species) AS r
-        FROM gal GROUP BY species) WHERE r BETWEEN 6 AND 10""",
-        "gal",
+        """SELECT least(any_value(base), any_value(cnt)) AS initial_classes, count(*) AS added_classes, sum(shots)::BIGINT AS shots,
+        round(sum(seconds), 6) AS total_seconds, round(avg(seconds), 6) AS seconds_per_class FROM added""",
+        "added",
     ),
 )
-def b13(spark, d):
-    out = openset.incremental_cost(base.gallery(spark, d), 5, 5, 141.66)
-    return out.select("species", "shots", *r6("seconds"))
+def b13_summary(spark, d):
+    out = openset.incremental_summary(base.gallery(spark, d), 141.66)
+    return out.select("initial_classes", "added_classes", "shots", *r6("total_seconds", "seconds_per_class"))
