@@ -32,16 +32,21 @@ def _frames(rows):
     )
 
 
-def frame_stream(spark, d):
-    """Frames of all videos, then one row far in the future that moves the watermark on."""
+DISORDER = "400 days"  # the supplied events span one year
+
+
+def frame_stream(spark, d, parts=4):
+    """Frames of all videos in ``parts`` shuffled sets of files, one file a batch, then one row that moves the watermark on."""
     target = shared_folder(spark)
-    last = base.table(spark, d, "events").orderBy(F.desc("ts")).limit(1)
-    closing = last.withColumns(
-        {"user_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 10 DAYS"), "value": F.lit(0.0)}
+    rows = base.table(spark, d, "events")
+    for i in range(parts):
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).write.parquet(f"{target}/{i}")
+    far = rows.orderBy(F.desc("ts")).limit(1).withColumns(
+        {"user_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 900 DAYS"), "value": F.lit(0.0)}
     )
-    closing.write.parquet(target)
-    tail = spark.readStream.schema(last.schema).parquet(target)
-    return _frames(stream(spark, d, "events").unionByName(tail))
+    far.write.parquet(f"{target}/{parts}")
+    shuffled = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
+    return _frames(shuffled)
 
 
 def _kept(rows):
@@ -49,6 +54,12 @@ def _kept(rows):
     return rows.where("motion_filtered OR level <> 'rechazado'")
 
 
+def _events(spark, d):
+    return detect_events(
+        _kept(frame_stream(spark, d)), event_queries.QUORUM, event_queries.CLOSING, event_queries.THRESHOLD, DISORDER
+    )
+
+
 @query(
     "t1_stream_events",
     twin(
@@ -59,9 +70,7 @@ def _kept(rows):
     ),
 )
 def t1(spark, d):
-    found = detect_events(
-        _kept(frame_stream(spark, d)), event_queries.QUORUM, event_queries.CLOSING, event_queries.THRESHOLD
-    )
+    found = _events(spark, d)
     return drain(found).select(
         "video_id",
         "species",
@@ -83,7 +92,7 @@ def t1(spark, d):
     ),
 )
 def t2(spark, d):
-    found = window_events(_kept(frame_stream(spark, d)), event_queries.WINDOW, event_queries.QUORUM + 1)
+    found = window_events(_kept(frame_stream(spark, d)), event_queries.WINDOW, event_queries.QUORUM + 1, DISORDER)
     return drain(found).select(
         "video_id",
         "window_no",
@@ -97,9 +106,7 @@ def t2(spark, d):
 @query("t3_end_of_video_flush", twin("SELECT video_id, species, n_hits FROM sev2 WHERE ambiguous", "sev2"))
 def t3(spark, d):
     """Events that exist only because a video ended before the quorum."""
-    found = detect_events(
-        _kept(frame_stream(spark, d)), event_queries.QUORUM, event_queries.CLOSING, event_queries.THRESHOLD
-    )
+    found = _events(spark, d)
     return drain(found).where("ambiguous").select("video_id", "species", "n_hits")
 
 
@@ -108,24 +115,8 @@ def t3(spark, d):
     twin("SELECT video_id, species, ambiguous, n_frames, n_hits FROM sev2", "sev2"),
 )
 def t4(spark, d):
-    """All frames in four shuffled batches; the watermark delay covers the disorder."""
-    target = shared_folder(spark)
-    rows = base.table(spark, d, "events")
-    for i in range(4):
-        mine = F.pmod(F.xxhash64("event_id"), F.lit(4)) == i
-        rows.where(mine).write.parquet(f"{target}/{i}")
-    far = rows.orderBy(F.desc("ts")).limit(1).withColumns(
-        {"user_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 900 DAYS"), "value": F.lit(0.0)}
-    )
-    far.write.parquet(f"{target}/4")
-    shuffled = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
-    found = detect_events(
-        _kept(_frames(shuffled)),
-        event_queries.QUORUM,
-        event_queries.CLOSING,
-        event_queries.THRESHOLD,
-        delay="400 days",
-    )
+    """Events from frames that come in any order; the watermark delay covers the disorder."""
+    found = _events(spark, d)
     return drain(found).select("video_id", "species", "ambiguous", "n_frames", "n_hits")
 
 

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from shotline.session import delete_at_exit, shared_root
 
@@ -27,13 +30,37 @@ def start(stream: DataFrame, folder: str, mode: str, partitions: int | None = No
         target = f"{folder}/data/batch={0 if mode == 'complete' else batch_id}"
         batch.write.mode("overwrite").parquet(target)
 
-    return (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", f"{folder}/progress")
-        .foreachBatch(store)
-        .trigger(availableNow=True)
-        .start()
-    )
+    with rocks_state(stream.sparkSession):
+        return (
+            stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", f"{folder}/progress")
+            .foreachBatch(store)
+            .trigger(availableNow=True)
+            .start()
+        )
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def rocks_state(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, on disk and beyond the heap; typed state needs it."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(STORE)
+        else:
+            spark.conf.set(STORE, before)
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows a query has dropped behind its watermark, over the batches it remembers."""
+    return sum(op["numRowsDroppedByWatermark"] for batch in query.recentProgress for op in batch["stateOperators"])
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 from shotline.streaming.ordered import replay
 
@@ -78,6 +81,56 @@ def detector_finish(own: dict) -> list[dict]:
     return [_emit(own, not own.get("active"))] if own else []
 
 
+OPEN = ["active", "species", "start", "end", "misses", "run", "n_frames", "n_hits"]
+BEST = ["frame_idx", "ts", "dist", "level"]
+
+
+@dataclass
+class Detector:
+    """The event detector as a machine: the pending event is one value, its votes a map by species."""
+
+    quorum: int
+    closing: int
+    threshold: float
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.event = handle.getValueState(
+            "event",
+            "active boolean, species string, start double, end double, misses bigint, run bigint, n_frames bigint, n_hits bigint",
+        )
+        self.votes = handle.getMapState(
+            "votes", "species string", "n bigint, first bigint, frame_idx bigint, ts double, dist double, level string"
+        )
+
+    def read(self) -> dict:
+        self.kept = {}
+        if not self.event.exists():
+            return {}
+        own = dict(zip(OPEN, self.event.get()))
+        self.kept = {k[0]: tuple(v) for k, v in self.votes.iterator()}
+        own["votes"] = {k: {"n": n, "first": first, "best": dict(zip(BEST, best))} for k, (n, first, *best) in self.kept.items()}
+        return own
+
+    def write(self, own: dict) -> None:
+        if not own:
+            self.event.clear()
+            self.votes.clear()
+            return
+        self.event.update(tuple(own.get(name) for name in OPEN))
+        now = {k: (v["n"], v["first"], *(v["best"][name] for name in BEST)) for k, v in own["votes"].items()}
+        for species in self.kept.keys() - now.keys():
+            self.votes.removeKey((species,))
+        for species, value in now.items():
+            if self.kept.get(species) != value:
+                self.votes.updateValue((species,), value)
+
+    def step(self, own: dict, frame: dict) -> list[dict]:
+        return detector_step(own, frame, self.quorum, self.closing, self.threshold)
+
+    def finish(self, own: dict) -> list[dict]:
+        return detector_finish(own)
+
+
 def detect_events(
     frames: DataFrame,
     quorum: int,
@@ -87,14 +140,7 @@ def detect_events(
     gap_ms: int = 60_000,
 ) -> DataFrame:
     """Confirm/close events of a frame stream; rejected frames must be filtered out before."""
-    return replay(
-        frames,
-        lambda own, frame: detector_step(own, frame, quorum, closing, threshold),
-        detector_finish,
-        EVENT_SCHEMA,
-        delay,
-        gap_ms,
-    )
+    return replay(frames, Detector(quorum, closing, threshold), EVENT_SCHEMA, delay, gap_ms)
 
 
 WINDOW_SCHEMA = (
@@ -133,15 +179,45 @@ def window_step(own: dict, frame: dict, window: int, quorum: int) -> list[dict]:
     return [_close_window(own, quorum)] if len(own["rows"]) == window else []
 
 
+MEMBER = ["frame_idx", "ts", "species", "dist"]
+
+
+@dataclass
+class Windows:
+    """Count windows as a machine: the open window is a list of at most ``window`` frames, its number a value."""
+
+    window: int
+    quorum: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.number = handle.getValueState("number", "number bigint")
+        self.rows = handle.getListState("rows", "frame_idx bigint, ts double, species string, dist double")
+
+    def read(self) -> dict:
+        number = self.number.get()[0] if self.number.exists() else 0
+        return {"number": number, "rows": [dict(zip(MEMBER, r)) for r in self.rows.get()]}
+
+    def write(self, own: dict) -> None:
+        if not own:
+            self.number.clear()
+            self.rows.clear()
+            return
+        self.number.update((own["number"],))
+        rows = [tuple(r[name] for name in MEMBER) for r in own["rows"]]
+        if rows:
+            self.rows.put(rows)
+        else:
+            self.rows.clear()
+
+    def step(self, own: dict, frame: dict) -> list[dict]:
+        return window_step(own, frame, self.window, self.quorum)
+
+    def finish(self, own: dict) -> list[dict]:
+        return [_close_window(own, self.quorum)] if own.get("rows") else []
+
+
 def window_events(
     frames: DataFrame, window: int, quorum: int, delay: str = "10 minutes", gap_ms: int = 60_000
 ) -> DataFrame:
     """Tumbling windows of ``window`` accepted frames of a stream."""
-    return replay(
-        frames,
-        lambda own, frame: window_step(own, frame, window, quorum),
-        lambda own: [_close_window(own, quorum)] if own.get("rows") else [],
-        WINDOW_SCHEMA,
-        delay,
-        gap_ms,
-    )
+    return replay(frames, Windows(window, quorum), WINDOW_SCHEMA, delay, gap_ms)

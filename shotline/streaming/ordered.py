@@ -1,70 +1,114 @@
 """Per-video state over frames replayed in order.
 
-Frames may arrive late or out of order. They wait in the state of their video
-until the watermark has passed them and are then replayed by frame_idx; rows
-behind the watermark are dropped by the engine and counted in its progress. A
-video is flushed when no frame has come for ``gap`` of event time.
+Frames may arrive late or out of order. They wait in the state of their video until the
+watermark has passed them and are then replayed by frame_idx; rows behind the watermark are
+dropped by the engine and counted in its progress (``drain.late_rows``). A video is
+flushed when no frame has come for ``gap`` of event time.
+
+The state is typed and kept in the state store: waiting frames are a list that is only
+appended to while none of them is due, a clock holds the newest time and the earliest waiting one, and
+the machine keeps its own variables. Timers wake a video when a frame or its flush is due. Queries need
+the RocksDB state store (``drain.start`` sets it).
 """
 
 from __future__ import annotations
 
-import json
-import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-# step(state, frame) -> finished rows; both are plain dicts
-Step = Callable[[dict, dict], list[dict]]
-Finish = Callable[[dict], list[dict]]
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 FRAME = ["frame_idx", "ts", "species", "dist", "level", "motion_filtered"]
+WAITING = "due bigint, frame_idx bigint, ts double, species string, dist double, level string, motion_filtered boolean"
 
 
-def replay(
-    frames: DataFrame, step: Step, finish: Finish, schema: str, delay: str, gap_ms: int
-) -> DataFrame:
-    """Apply ``step`` to the ordered frames of each video_id of a stream.
+class Machine(Protocol):
+    """What is done with a video's frames; ``own`` is the machine's state in memory."""
 
-    ``frames`` has video_id, event_time (timestamp) and the columns in FRAME;
-    ``schema`` describes the rows returned, beginning with video_id.
-    """
-    names = [part.split()[0] for part in schema.split(",")]
-    # pandas warns when the worker joins the empty outputs of quiet videos
-    quiet = {"action": "ignore", "category": FutureWarning}
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        warnings.filterwarnings(**quiet)
-        saved = json.loads(state.get[0]) if state.exists else {"wait": [], "newest": 0, "own": {}}
-        wait = saved["wait"]
-        for batch in batches:
-            times = batch["event_time"].astype("datetime64[ms]").astype("int64")
-            rows = batch[FRAME].astype(object).where(batch[FRAME].notna(), None)
-            wait.extend([int(t), *row] for t, row in zip(times, rows.values.tolist()))
-        if wait:
-            saved["newest"] = max(saved["newest"], max(w[0] for w in wait))
-        mark = state.getCurrentWatermarkMs()
-        ready = sorted((w for w in wait if w[0] <= mark), key=lambda w: w[1])
-        saved["wait"] = [w for w in wait if w[0] > mark]
+    def init(self, handle: StatefulProcessorHandle) -> None: ...
+
+    def read(self) -> dict: ...
+
+    def write(self, own: dict) -> None: ...
+
+    def step(self, own: dict, frame: dict) -> list[dict]: ...
+
+    def finish(self, own: dict) -> list[dict]: ...
+
+
+class Replay(StatefulProcessor):
+    def __init__(self, machine: Machine, names: list[str], gap_ms: int):
+        self.machine, self.names, self.gap_ms = machine, names, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.clock = handle.getValueState("clock", "newest bigint, due bigint")
+        self.machine.init(handle)
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new: list[tuple] = []
+        for batch in rows:
+            due = batch["event_time"].astype("datetime64[ms]").astype("int64").tolist()
+            frames = batch[FRAME].astype(object).where(batch[FRAME].notna(), None)
+            new += [(d, *f) for d, f in zip(due, frames.values.tolist())]
+        newest, first = self.clock.get() if self.clock.exists() else (0, None)
+        newest = max([newest, *(r[0] for r in new)])
+        first = min([r[0] for r in new] + ([] if first is None else [first]), default=None)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), newest, first, new)
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.clock.exists():
+            yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), *self.clock.get(), [])
+
+    def _advance(self, key: Any, mark: int, newest: int, first: int | None, new: list[tuple]) -> Iterator[pd.DataFrame]:
         out: list[dict] = []
-        for _, *values in ready:
-            out += step(saved["own"], dict(zip(FRAME, values)))
-        if not saved["wait"] and mark > saved["newest"] + gap_ms:
-            out += finish(saved["own"])
-            state.remove()
+        own = None
+        if first is not None and first <= mark:
+            rows = [tuple(r) for r in self.waiting.get()] + new
+            rest = [r for r in rows if r[0] > mark]
+            own = self.machine.read()
+            for _, *values in sorted((r for r in rows if r[0] <= mark), key=lambda r: r[1]):
+                out += self.machine.step(own, dict(zip(FRAME, values)))
+            first = min((r[0] for r in rest), default=None)
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        elif new:
+            self.waiting.appendList(new)
+        over = first is None and mark > newest + self.gap_ms
+        if over:
+            own = self.machine.read() if own is None else own
+            out += self.machine.finish(own)
+            own = {}
+            self.clock.clear()
         else:
-            state.update((json.dumps(saved),))
-            due = min((w[0] for w in saved["wait"]), default=saved["newest"] + gap_ms)
-            state.setTimeoutTimestamp(max(due, mark) + 1)
+            self.clock.update((newest, first))
+        if own is not None:
+            self.machine.write(own)
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if not over:
+            self.handle.registerTimer(newest + self.gap_ms + 1 if first is None else first)
         if out:
-            yield pd.DataFrame([{"video_id": key[0], **row} for row in out], columns=names)
+            yield pd.DataFrame([{"video_id": key[0], **row} for row in out], columns=self.names)
+
+    def close(self) -> None:
+        pass
+
 
+def replay(frames: DataFrame, machine: Machine, schema: str, delay: str, gap_ms: int) -> DataFrame:
+    """Run ``machine`` over the ordered frames of each video_id of a stream.
+
+    ``frames`` has video_id, event_time (timestamp) and the columns in FRAME;
+    ``schema`` describes the rows returned, beginning with video_id.
+    """
+    names = [part.split()[0] for part in schema.split(",")]
     return (
         frames.withWatermark("event_time", delay)
         .groupBy("video_id")
-        .applyInPandasWithState(
-            run, schema, "payload string", "append", GroupStateTimeout.EventTimeTimeout
-        )
+        .transformWithStateInPandas(Replay(machine, names, gap_ms), schema, "append", "eventTime")
     )

@@ -5,7 +5,7 @@ import pytest
 
 from shotline.operators import centroid, events
 from shotline.streaming import aggregates
-from shotline.streaming.drain import drain
+from shotline.streaming.drain import drain, late_rows, start
 from shotline.streaming.events import detect_events, window_events
 from tests.test_events import SCHEMA, THRESHOLD, random_frames, result
 
@@ -43,8 +43,43 @@ def test_late_frames_are_dropped_not_replayed(spark, tmp_path):
     marker = lambda s: (8, 0, 0.0, START + dt.timedelta(seconds=s), "a", 0.9, "alta", False)
     batches = [[frame(i, 0.1) for i in (0, 1, 2)], [marker(7200)], [marker(7250)], [frame(3, 0.1)], [marker(7300)]]
     stream = feed(spark, str(tmp_path / "in"), batches)
-    out = drain(detect_events(stream, 2, 2, THRESHOLD, delay="10 seconds", gap_ms=1000)).where("video_id = 7").collect()
+    folder = f"{tmp_path}/out"
+    found = detect_events(stream, 2, 2, THRESHOLD, delay="10 seconds", gap_ms=1000)
+    query = start(found, folder, "append")
+    query.awaitTermination()
+    out = spark.read.schema(found.schema).parquet(f"{folder}/data/*").where("video_id = 7").collect()
     assert [(r["n_frames"], r["ambiguous"]) for r in out] == [(3, False)]
+    assert late_rows(query) == 1
+
+
+def test_a_delay_too_short_for_the_disorder_counts_what_it_loses(spark, tmp_path):
+    """Every frame is in an event or counted as late; the engine drops behind the watermark of the batch before."""
+    at = lambda i: (i % 3, i, float(i), START + dt.timedelta(seconds=i), "a", 0.1, "alta", False)
+    batches = [[at(i) for i in range(60, 90)], [at(i) for i in range(0, 30)], [at(i) for i in range(90, 120)], [at(i) for i in range(30, 60)]]
+    stream = feed(spark, str(tmp_path / "in"), batches)
+    found = detect_events(stream, 2, 2, THRESHOLD, delay="20 seconds", gap_ms=1000)
+    query = start(found, f"{tmp_path}/out", "append")
+    query.awaitTermination()
+    kept = spark.read.schema(found.schema).parquet(f"{tmp_path}/out/data/*").where("video_id >= 0")
+    late = late_rows(query)
+    assert late == 30 and sum(r["n_frames"] for r in kept.collect()) == 120 - late
+
+
+def test_state_survives_a_restart(spark, tmp_path):
+    """A query that ends and starts again from its checkpoint goes on with the waiting frames and votes."""
+    rows = random_frames(12, seed=4)
+    order = np.random.default_rng(2).permutation(len(rows))
+    halves = [timed([rows[i] for i in part]) for part in np.array_split(order, 2)]
+    far = (-1, 0, 0.0, START + dt.timedelta(days=2), "a", 0.0, "alta", False)
+    folder = f"{tmp_path}/out"
+    for i, batch in enumerate([*halves, [far]]):
+        spark.createDataFrame(batch, STREAM).coalesce(1).write.parquet(f"{tmp_path}/in/{i:03d}")
+        stream = spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        found = detect_events(stream, 2, 2, THRESHOLD, delay="1 hour", gap_ms=1000)
+        start(found, folder, "append").awaitTermination()
+    got = result(spark.read.schema(found.schema).parquet(f"{folder}/data/*"))
+    members = events.sliding_members(spark.createDataFrame(rows, SCHEMA), 2, 2, THRESHOLD)
+    assert got == result(events.sliding_events(members))
 
 
 def test_windows_on_a_stream_equal_batch(spark, tmp_path):
