@@ -11,11 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.operators.frames import SPAN, chunk_of
-from shotline.operators.scan import running
+from shotline.operators.scan import LARGE, running, sampled_chunks
 from shotline.session import materialize
 
-SECONDS = 86_400  # width of a time chunk in the interval counts
-
 
 def interleave(classified: DataFrame, filtered: DataFrame) -> DataFrame:
     """One stream of classified and motion-filtered frames; classified wins on equal index."""
@@ -325,14 +323,15 @@ def motion_islands(filtered: DataFrame, every: int, span: int = SPAN) -> DataFra
 
 
 def count_inside(
-    events: DataFrame, points: DataFrame, key: str, counts: dict[str, Column], seconds: float = SECONDS
+    events: DataFrame, points: DataFrame, key: str, counts: dict[str, Column], large: int = LARGE
 ) -> DataFrame:
     """How many points fall into each event's closed interval, by kind.
 
     The count inside an interval is the running count at its end minus the running
     count before its start, so points and interval bounds are sorted together
-    once; no point is paired with an interval. Result: video_id, key, one column
-    per entry of ``counts``.
+    once; no point is paired with an interval. A video of more than ``large`` rows is
+    cut at sampled times, so that one long video is many tasks. Result: video_id, key, one
+    column per entry of ``counts``.
     """
     none = {n: F.lit(0).alias(n) for n in counts}
     key_type = events.schema[key].dataType
@@ -353,18 +352,15 @@ def count_inside(
         F.lit(1).alias("_place"),
         *[c.cast("int").alias(n) for n, c in counts.items()],
     )
+    both, chunk = sampled_chunks(marks.unionByName(spots), ["video_id"], "ts", large)
     swept = running(
-        marks.unionByName(spots),
-        ["video_id"],
-        ["ts", "_place"],
-        F.floor(F.col("ts") / F.lit(float(seconds))),
-        sums={f"_{n}": F.col(n) for n in counts},
+        both, ["video_id"], ["ts", "_place"], chunk, sums={f"_{n}": F.col(n) for n in counts}
     ).where(F.col("_place") != 1)
     sign = F.when(F.col("_place") == 2, 1).otherwise(-1)
     return swept.groupBy("video_id", key).agg(*[F.sum(sign * F.col(f"_{n}")).alias(n) for n in counts])
 
 
-def with_counts(events: DataFrame, points: DataFrame, key: str, seconds: float = SECONDS) -> DataFrame:
+def with_counts(events: DataFrame, points: DataFrame, key: str, large: int = LARGE) -> DataFrame:
     """Add rejected_frames and motion_filtered_frames; points carry motion_filtered."""
     counts = count_inside(
         events,
@@ -374,7 +370,7 @@ def with_counts(events: DataFrame, points: DataFrame, key: str, seconds: float =
             "rejected_frames": ~F.col("motion_filtered"),
             "motion_filtered_frames": F.col("motion_filtered"),
         },
-        seconds,
+        large,
     )
     return events.join(counts, ["video_id", key])
 

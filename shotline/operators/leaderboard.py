@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotline.operators import metrics
 from shotline.operators.percentiles import exact_percentiles
+from shotline.operators.scan import across
 
 # Column spellings are fixed by the stored result files; the right side is the one name used afterwards.
 CANONICAL = {
@@ -48,8 +49,7 @@ def flag_best(rows: DataFrame, group: list[str], metric: str, tie: str) -> DataF
 
 def rows_by_mean(rows: DataFrame, metric: str) -> DataFrame:
     means = rows.groupBy("model").agg(F.round(F.avg(metric), 6).alias("row_mean"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("row_mean"), "model")
-    return means.withColumn("position", F.row_number().over(order).cast("bigint"))
+    return across(means, [F.desc("row_mean"), F.col("model")], {"position": F.lit(1)})
 
 
 def target_models(summary: DataFrame, times: DataFrame, n: int) -> DataFrame:
@@ -63,9 +63,7 @@ def pareto(summary: DataFrame, times: DataFrame) -> DataFrame:
     """Best row per model with its time; flagged when no model is both better and faster."""
     best = best_per_group(summary, ["model"], "f1", "classifier").join(times, "model")
     per_time = best.groupBy("time_ms").agg(F.max("f1").alias("_level"))
-    order = Window.partitionBy(F.lit(0)).orderBy("time_ms")
-    faster = F.max("_level").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    best = best.join(per_time.withColumn("_faster", faster), "time_ms")
+    best = best.join(across(per_time, [F.col("time_ms")], maxes_before={"_faster": F.col("_level")}), "time_ms")
     return (
         best.withColumn(
             "non_dominated",
@@ -112,8 +110,8 @@ def architecture(rows: DataFrame) -> DataFrame:
 def custom_order(rows: DataFrame, column: str, first: list[str]) -> DataFrame:
     """Listed values first, in list order; the rest after them by name."""
     place = F.array_position(F.array(*[F.lit(v) for v in first]), F.col(column))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.when(place > 0, place).otherwise(len(first) + 1), column)
-    return rows.withColumn("position", F.row_number().over(order).cast("bigint"))
+    order = [F.when(place > 0, place).otherwise(len(first) + 1), F.col(column)]
+    return across(rows, order, {"position": F.lit(1)})
 
 
 def mean_latency(timings: DataFrame) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotline.session import lookup, materialize
+
 CHUNK = "_chunk"
 
 
@@ -64,6 +66,74 @@ def running(
     ).drop(CHUNK)
 
 
+CUT = 255  # cut points of a key
+LARGE = 16_384  # rows from which a key is cut
+
+
+def sampled_chunks(rows: DataFrame, keys: list[str], order: str, large: int = LARGE) -> tuple[DataFrame, Column]:
+    """The rows and a chunk for ``running``: keys of more than ``large`` rows are cut at sketched quantiles of ``order``.
+
+    The chunks follow the data, whatever the unit or the density of ``order``. Equal
+    values share a chunk; nulls come first.
+    """
+    rows = materialize(rows)
+    many = materialize(rows.groupBy(*keys).count().where(F.col("count") > large).select(*keys))
+    if many.isEmpty():
+        return rows, F.lit(0)
+    marks = [i / (CUT + 1) for i in range(1, CUT + 1)]
+    hot = rows.join(lookup(many), keys, "left_semi")
+    cuts = hot.groupBy(*keys).agg(F.percentile_approx(order, marks, 16 * (CUT + 1)).alias("_cuts"))
+    # binary search in plain comparisons; a key without cuts is one chunk
+    found = rows.join(lookup(cuts), keys, "left").withColumn("_nth", F.lit(0))
+    half = (CUT + 1) // 2
+    while half:
+        above = F.col(order) > F.get("_cuts", F.col("_nth") + (half - 1))
+        found = found.withColumn("_nth", F.col("_nth") + F.when(above, half).otherwise(0))
+        half //= 2
+    return found.drop("_cuts"), F.col("_nth")
+
+
+def across(
+    rows: DataFrame,
+    order: list[Column],
+    sums: dict[str, Column] | None = None,
+    maxes_before: dict[str, Column] | None = None,
+) -> DataFrame:
+    """Inclusive running sums, and maxima of the rows before, over the whole table in ``order``.
+
+    The rows are dealt into ranges of the order and stored; windows run inside a range, and what the
+    ranges before add up to (a few numbers per range) is joined on. Equal rows of the order share a
+    range, so the order should be unique.
+    """
+    sums, maxes = sums or {}, maxes_before or {}
+    spark = rows.sparkSession
+    cut = materialize(rows.repartitionByRange(*order).withColumn(CHUNK, F.spark_partition_id()))
+    inside = Window.partitionBy(CHUNK).orderBy(*order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    local = cut.select(
+        "*",
+        *[F.sum(c).over(upto).alias(f"_s_{n}") for n, c in sums.items()],
+        *[F.max(c).over(before).alias(f"_m_{n}") for n, c in maxes.items()],
+    )
+    totals = cut.groupBy(CHUNK).agg(
+        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()], *[F.max(c).alias(f"_x_{n}") for n, c in maxes.items()]
+    )
+    carry, so_far = [], {n: None for n in totals.columns[1:]}
+    for r in sorted(totals.collect(), key=lambda r: r[CHUNK]):  # one row per range
+        carry.append((r[CHUNK], *so_far.values()))
+        for n, held in so_far.items():
+            if r[n] is not None:
+                so_far[n] = r[n] if held is None else held + r[n] if n.startswith("_t_") else max(held, r[n])
+    offsets = F.broadcast(spark.createDataFrame(carry, totals.schema))
+    joined = local.join(offsets, CHUNK)
+    return joined.select(
+        *rows.columns,
+        *[(F.coalesce(f"_s_{n}", F.lit(0)) + F.coalesce(f"_t_{n}", F.lit(0))).alias(n) for n in sums],
+        *[F.greatest(f"_m_{n}", f"_x_{n}").alias(n) for n in maxes],
+    )
+
+
 def digest(seed: int, *ids: Column) -> Column:
     """Reproducible pseudo-random text, the same in any SQL engine with md5."""
     return F.md5(F.concat_ws("~", F.lit(str(seed)), *[i.cast("string") for i in ids]))

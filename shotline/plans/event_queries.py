@@ -321,6 +321,25 @@ def j7(spark, d):
     )
 
 
+@query(
+    "j7_one_video",
+    twin(
+        """SELECT e.video_id * 1000000 + e.start_rn AS event,
+        (SELECT count(*) FROM fr f WHERE NOT f.motion_filtered AND f.level = 'rechazado' AND f.ts BETWEEN e.start_time AND e.end_time) AS rejected_frames,
+        (SELECT count(*) FROM fr f WHERE f.motion_filtered AND f.ts BETWEEN e.start_time AND e.end_time) AS motion_filtered_frames FROM sev2 e""",
+        "sev2",
+        "fr",
+    ),
+)
+def j7_one(spark, d):
+    """The frames of all videos as those of a single one, cut at sampled times."""
+    event = (F.col("video_id") * 1_000_000 + F.col("start_rn")).alias("event")
+    one = F.lit(0).cast("bigint").alias("video_id")
+    found = events.sliding_events(members(spark, d)).select(one, event, "start_time", "end_time")
+    points = all_frames(spark, d).where("motion_filtered OR level = 'rechazado'").select(one, "ts", "motion_filtered")
+    return events.with_counts(found, points, "event", large=1_000).select("event", "rejected_frames", "motion_filtered_frames")
+
+
 @query(
     "w19_merged_events",
     twin(

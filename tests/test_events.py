@@ -148,8 +148,8 @@ def test_static_windows_equal_a_plain_loop(spark, span):
     assert got == want
 
 
-@pytest.mark.parametrize("seconds", [2, 10_000])
-def test_interval_counts_equal_pairwise_counting(spark, seconds):
+@pytest.mark.parametrize("large", [2, 10_000])
+def test_interval_counts_equal_pairwise_counting(spark, large):
     rng = np.random.default_rng(4)
     points = [(int(v), float(t) / 2, bool(m)) for v, t, m in zip(rng.integers(0, 3, 300), rng.integers(0, 80, 300), rng.random(300) < 0.4)]
     spans = [(int(v), i, float(a) / 2, float(a + w) / 2) for i, (v, a, w) in enumerate(zip(rng.integers(0, 4, 60), rng.integers(0, 80, 60), rng.integers(0, 30, 60)))]
@@ -157,7 +157,7 @@ def test_interval_counts_equal_pairwise_counting(spark, seconds):
         spark.createDataFrame(spans, "video_id bigint, event bigint, start_time double, end_time double"),
         spark.createDataFrame(points, "video_id bigint, ts double, motion_filtered boolean"),
         "event",
-        seconds,
+        large,
     ).collect()
     assert len(out) == len(spans)
     for r in out:
