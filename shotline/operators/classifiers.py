@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml import Estimator
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shotline.functions.vectors import dot
 from shotline.operators import cascade, centroid, search
+from shotline.session import lookup, shared_root
 
 Classifier = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -46,44 +49,57 @@ def knn(k: int) -> Classifier:
 ROWS_PER_PARTITION = 20_000
 
 
+def _as_features(rows: DataFrame) -> DataFrame:
+    return centroid.normalised(rows).withColumn("features", array_to_vector("vec"))
+
+
+def trained(make: Callable[[int], Estimator], gallery: DataFrame) -> tuple[Model, list[str]]:
+    """Spark ML model of the gallery and its labels by index; ``make`` receives the number of training rows."""
+    indexer = StringIndexer(inputCol="species", outputCol="label", stringOrderType="alphabetAsc").fit(gallery)
+    train = indexer.transform(_as_features(gallery)).select("label", "features").persist()
+    n = train.count()
+    # solvers run one job per iteration: no more partitions than the rows deserve
+    compact = train.coalesce(n // ROWS_PER_PARTITION + 1).persist()
+    model = make(n).fit(compact)
+    compact.unpersist()
+    train.unpersist()
+    return model, indexer.labels
+
+
 def _fitted(make: Callable[[int], Estimator]) -> Classifier:
-    """Spark ML estimator over the gallery; ``make`` receives the number of training rows."""
+    """Spark ML estimator over the gallery."""
 
     def run(gallery: DataFrame, queries: DataFrame) -> DataFrame:
-        as_features = lambda df: centroid.normalised(df).withColumn("features", array_to_vector("vec"))
-        indexer = StringIndexer(inputCol="species", outputCol="label", stringOrderType="alphabetAsc").fit(gallery)
-        train = indexer.transform(as_features(gallery)).select("label", "features").persist()
-        n = train.count()
-        # solvers run one job per iteration: no more partitions than the rows deserve
-        compact = train.coalesce(n // ROWS_PER_PARTITION + 1).persist()
-        model = make(n).fit(compact)
-        compact.unpersist()
-        train.unpersist()
-        scored = model.transform(as_features(queries))
-        named = IndexToString(inputCol="prediction", outputCol="y_pred", labels=indexer.labels)
+        model, labels = trained(make, gallery)
+        scored = model.transform(_as_features(queries))
+        named = IndexToString(inputCol="prediction", outputCol="y_pred", labels=labels)
         # decision values or probabilities, the larger the likelier
         values = vector_to_array("probability" if "probability" in scored.columns else "rawPrediction")
         order = F.array_sort(F.transform(values, lambda x, i: F.struct((-x).alias("x"), i.alias("i"))))
-        names = F.array(*[F.lit(name) for name in indexer.labels])
+        names = F.array(*[F.lit(name) for name in labels])
         top = F.transform(F.slice(order, 1, TOP), lambda x: F.get(names, x["i"]))
         return named.transform(scored).select("item_id", F.col("species").alias("y_true"), "y_pred", top.alias("top"))
 
     return run
 
 
-def _linear_svm(n: int) -> Estimator:
+def linear_svm(n: int) -> Estimator:
     # the solver averages the loss, so a cost of 1 is a penalty of 1 / n
     solver = LinearSVC(maxIter=2_000, tol=1e-4, regParam=1.0 / max(n, 1), standardization=False)
     return OneVsRest(classifier=solver, parallelism=8)
 
 
+def forest(n: int) -> Estimator:
+    return RandomForestClassifier(numTrees=100, seed=29)
+
+
 REGISTRY: dict[str, Classifier] = {
     "Nearest Centroid": nearest_mean,
     "KNN (k=1)": knn(1),
     "KNN (k=3)": knn(3),
     "KNN (k=5)": knn(5),
-    "Linear SVM": _fitted(_linear_svm),
-    "Random Forest": _fitted(lambda n: RandomForestClassifier(numTrees=100, seed=29)),
+    "Linear SVM": _fitted(linear_svm),
+    "Random Forest": _fitted(forest),
 }
 
 
@@ -116,3 +132,104 @@ def evaluate(
     if out is None:
         raise ValueError("every classifier has been evaluated already")
     return out
+
+
+# --- what must hold for trained models, by plain sums over the rows ---------------------------
+
+
+def svm_weights(model: Model, labels: list[str], spark) -> DataFrame:
+    """(label, species, w, b): the separating plane of each class, as many rows as the model has."""
+    planes = [
+        (i, name, [float(x) for x in m.coefficients], float(m.intercept))
+        for i, (name, m) in enumerate(zip(labels, model.models))
+    ]
+    return spark.createDataFrame(planes, "label int, species string, w array<double>, b double")
+
+
+def _against_planes(rows: DataFrame, planes: DataFrame, classes: int) -> DataFrame:
+    """Every row with the decision value of every class."""
+    each = centroid.normalised(rows).withColumn("label", F.explode(F.sequence(F.lit(0), F.lit(classes - 1))))
+    named = planes.withColumnRenamed("species", "class")
+    return each.join(lookup(named), "label").withColumn("value", dot(F.col("vec"), F.col("w")) + F.col("b"))
+
+
+def model_labels(model: Model, labels: list[str], queries: DataFrame) -> DataFrame:
+    """(item_id, y_true, y_pred) as the model itself answers."""
+    names = F.array(*[F.lit(name) for name in labels])
+    answer = F.get(names, F.col("prediction").cast("int")).alias("y_pred")
+    return model.transform(_as_features(queries)).select("item_id", F.col("species").alias("y_true"), answer)
+
+
+def svm_optimality(gallery: DataFrame, planes: DataFrame, edge: float = 1e-2, slack: float = 1e-3) -> DataFrame:
+    """Per class: training rows, the objective, the one of the zero plane, and whether the plane is optimal.
+
+    The objective is the mean hinge loss plus half the squared length of w over n (cost 1). A plane
+    is optimal when its subgradient can be zero: rows inside the margin pull with their
+    whole vector, rows on the margin (within ``edge``) with any share of it, each component to
+    within ``slack``.
+    """
+    n, classes = gallery.count(), planes.count()
+    sign = F.when(F.col("species") == F.col("class"), 1.0).otherwise(-1.0)
+    rows = _against_planes(gallery, planes, classes).withColumn("_sign", sign)
+    margin = rows.withColumn("_margin", F.col("_sign") * F.col("value"))
+    on = F.abs(F.col("_margin") - 1) <= edge
+
+    def pulled(which: Column, part) -> Column:
+        vec = F.transform("vec", lambda x: F.when(which, part(x * F.col("_sign"))).otherwise(0.0))
+        return vector_to_array(Summarizer.sum(array_to_vector(vec)))
+
+    sums = margin.groupBy("label", F.col("class").alias("species")).agg(
+        F.count(F.lit(1)).alias("n_train"),
+        F.count_if(F.col("_sign") > 0).alias("n_positive"),
+        F.avg(F.greatest(F.lit(0.0), 1 - F.col("_margin"))).alias("loss"),
+        F.first("w").alias("w"),
+        pulled(~on & (F.col("_margin") < 1), lambda x: x).alias("inside"),
+        pulled(on, lambda x: F.greatest(x, F.lit(0.0))).alias("most"),
+        pulled(on, lambda x: F.least(x, F.lit(0.0))).alias("least"),
+    )
+    at = lambda name, i: F.get(name, i)
+    low = F.transform("w", lambda x, i: (x - at("inside", i) - at("most", i)) / n)
+    high = F.transform("w", lambda x, i: (x - at("inside", i) - at("least", i)) / n)
+    zero = F.forall(low, lambda x: x <= slack) & F.forall(high, lambda x: x >= -slack)
+    return sums.select(
+        "species",
+        "n_train",
+        "n_positive",
+        (F.col("loss") + dot(F.col("w"), F.col("w")) / (2 * n)).alias("objective"),
+        F.lit(1.0).alias("objective_at_zero"),
+        zero.alias("optimal"),
+    )
+
+
+def svm_labels(queries: DataFrame, planes: DataFrame) -> DataFrame:
+    """(item_id, y_true, y_pred): the class of the largest decision value, from the weights alone."""
+    rows = _against_planes(queries, planes, planes.count())
+    best = F.max_by("class", F.struct("value", -F.col("label")))
+    return rows.groupBy("item_id", F.col("species").alias("y_true")).agg(best.alias("y_pred"))
+
+
+def forest_leaves(model: Model, spark) -> DataFrame:
+    """(tree, leaf, share): the class shares of every leaf, read from the stored model; leaves count in pre-order."""
+    path = f"{shared_root(spark)}/forest-{model.uid}"
+    model.write().overwrite().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select(F.col("treeID").alias("tree"), "nodeData.*")
+    number = F.row_number().over(Window.partitionBy("tree").orderBy("id")) - 1
+    leaves = nodes.where("leftChild < 0").withColumn("leaf", number)
+    total = F.aggregate("impurityStats", F.lit(0.0), lambda s, x: s + x)
+    return leaves.select("tree", "leaf", F.transform("impurityStats", lambda x: x / total).alias("share"))
+
+
+def forest_votes(model: Model, labels: list[str], queries: DataFrame) -> DataFrame:
+    """(item_id, y_true, y_pred, trees, votes, y_votes): the forest's answer and what its trees' leaves add up to."""
+    scored = model.copy().setLeafCol("leaves").transform(_as_features(queries))
+    names = F.array(*[F.lit(name) for name in labels])
+    rows = scored.select(
+        "item_id", F.col("species").alias("y_true"), F.get(names, F.col("prediction").cast("int")).alias("y_pred"),
+        F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"),
+    ).withColumn("leaf", F.col("leaf").cast("int"))
+    met = rows.join(lookup(forest_leaves(model, queries.sparkSession)), ["tree", "leaf"])
+    sums = met.groupBy("item_id", "y_true", "y_pred").agg(
+        F.countDistinct("tree").alias("trees"), vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("votes")
+    )
+    first = F.array_position(F.transform("votes", lambda x: F.round(x, 9)), F.round(F.array_max("votes"), 9)) - 1
+    return sums.withColumn("y_votes", F.get(names, first.cast("int")))

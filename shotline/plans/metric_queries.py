@@ -1489,6 +1489,49 @@ def b11(spark, d):
     return evaluate(base.split2(spark, d), "full", ["Random Forest"])
 
 
+@query(
+    "b10_svm_optimality",
+    twin(
+        """SELECT species, sum(count(*)) OVER ()::BIGINT AS n_train, count(*) AS n_positive, 1.0::DOUBLE AS objective_at_zero, true AS better_than_zero, true AS optimal,
+        (SELECT count(*) FROM qry) AS n_queries, 0::BIGINT AS other_answers FROM gal GROUP BY species""",
+        "gal",
+        "qry",
+    ),
+)
+def b10_optimality(spark, d):
+    """Each plane of the SVM is optimal by sums over the rows, and its weights give the model's answers."""
+    from shotline.operators.classifiers import linear_svm, model_labels, svm_labels, svm_optimality, svm_weights, trained
+
+    queries, gallery = base.parts(spark, d)
+    model, labels = trained(linear_svm, gallery)
+    planes = svm_weights(model, labels, spark)
+    given = model_labels(model, labels, queries).select("item_id", F.col("y_pred").alias("_given"))
+    answers = svm_labels(queries, planes).join(given, "item_id")
+    counts = answers.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y_pred") != F.col("_given")).alias("other")).first()
+    out = svm_optimality(gallery, planes)
+    return out.select(
+        "species", "n_train", "n_positive", "objective_at_zero", (F.col("objective") < F.col("objective_at_zero")).alias("better_than_zero"),
+        "optimal", F.lit(counts["n"]).alias("n_queries"), F.lit(counts["other"]).alias("other_answers"),
+    )
+
+
+@query(
+    "b11_forest_votes",
+    twin(
+        "SELECT item_id, species AS y_true, 100::BIGINT AS trees, 100.0::DOUBLE AS votes, true AS agrees FROM qry",
+        "qry",
+    ),
+)
+def b11_votes(spark, d):
+    """The forest's answer is the class its hundred trees' leaves add up to."""
+    from shotline.operators.classifiers import forest, forest_votes, trained
+
+    queries, gallery = base.parts(spark, d)
+    out = forest_votes(*trained(forest, gallery), queries)
+    votes = F.round(F.aggregate("votes", F.lit(0.0), lambda s, x: s + x), 6)
+    return out.select("item_id", "y_true", "trees", votes.alias("votes"), (F.col("y_pred") == F.col("y_votes")).alias("agrees"))
+
+
 def final_evaluation(spark, d, names):
     """The final classifiers on the test split: accuracy, Top-5, macro F1 and severity shares."""
     from shotline.operators.classifiers import evaluate

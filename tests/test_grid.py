@@ -1,9 +1,11 @@
 """The stored classifier grid: what a restart runs, what a failed pair leaves behind."""
 
+import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from shotline.operators import grid
+from shotline.operators import classifiers, grid
 
 
 def rows(spark, queries=6):
@@ -59,3 +61,32 @@ def test_empty_store_and_no_queries(spark, tmp_path):
     own = {"c": constant("sp0", [])}
     assert grid.run_grid({"a": rows(spark, 0)}, path, ["c"], own=own) == [("a", "c")]
     assert grid.predictions(spark, path).count() == 0
+
+
+def cloud(spark, seed, n=60):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (3, 5))
+    data = [(i, f"sp{i % 3}", "gallery", [float(x) for x in centres[i % 3] + rng.normal(0, 0.6, 5)]) for i in range(n)]
+    return spark.createDataFrame(data, "item_id long, species string, split string, vec array<double>")
+
+
+def test_only_the_optimal_plane_passes(spark):
+    rows = cloud(spark, 3)
+    model, labels = classifiers.trained(classifiers.linear_svm, rows)
+    planes = classifiers.svm_weights(model, labels, spark)
+    found = {r.species: r for r in classifiers.svm_optimality(rows, planes).collect()}
+    assert all(r.optimal and r.objective < 1 and r.n_train == 60 and r.n_positive == 20 for r in found.values())
+    for moved in (planes.withColumn("b", F.col("b") + 0.3), planes.withColumn("w", F.transform("w", lambda x: x * 1.3))):
+        worse = {r.species: r for r in classifiers.svm_optimality(rows, moved).collect()}
+        assert all(not worse[s].optimal and worse[s].objective > found[s].objective for s in found)
+    given = {r.item_id: r.y_pred for r in classifiers.model_labels(model, labels, rows).collect()}
+    assert {r.item_id: r.y_pred for r in classifiers.svm_labels(rows, planes).collect()} == given
+
+
+def test_forest_answers_are_the_sum_of_its_trees(spark):
+    rows = cloud(spark, 4)
+    model, labels = classifiers.trained(lambda n: RandomForestClassifier(numTrees=9, maxDepth=3, seed=1), rows)
+    out = classifiers.forest_votes(model, labels, rows).collect()
+    given = {r.item_id: r.y_pred for r in classifiers.model_labels(model, labels, rows).collect()}
+    assert len(out) == 60
+    assert all(r.trees == 9 and abs(sum(r.votes) - 9) < 1e-9 and r.y_votes == r.y_pred == given[r.item_id] for r in out)
