@@ -5,7 +5,7 @@ import pytest
 
 from shotline.operators import centroid, events
 from shotline.streaming import aggregates
-from shotline.streaming.drain import drain, late_rows, start
+from shotline.streaming.drain import drain, late_rows, newest, start
 from shotline.streaming.events import detect_events, window_events
 from tests.test_events import SCHEMA, THRESHOLD, random_frames, result
 
@@ -112,3 +112,25 @@ def test_live_class_sums_equal_batch(spark, tmp_path):
     want = {r["species"]: r for r in centroid.class_sums(centroid.normalised(spark.createDataFrame(rows, schema))).collect()}
     for s in want:
         assert got[s]["n"] == want[s]["n"] and got[s]["total"] == pytest.approx(want[s]["total"])
+
+
+@pytest.mark.parametrize("every", [2, 3, 50])
+def test_upsert_keeps_the_newest_row_of_each_key(spark, tmp_path, every):
+    """Over seven batches, with bases in between, a batch stored twice, and a restart."""
+    rng = np.random.default_rng(6)
+    words = [str(w) for w in rng.choice(list("abcdefgh"), 70)]
+    folder, schema = f"{tmp_path}/out", "word string"
+    for i in range(7):
+        spark.createDataFrame([(w,) for w in words[i * 10 : i * 10 + 10]], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        if i in (3, 6):
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+            counts = stream.groupBy("word").count()
+            start(counts, folder, "update", ["word"], every).awaitTermination()
+    want = {w: words.count(w) for w in set(words)}
+    read = lambda: {r["word"]: r["count"] for r in newest(spark, folder, ["word"], counts.schema).collect()}
+    assert read() == want
+    last = spark.read.parquet(f"{folder}/data/batch=6").collect()
+    spark.createDataFrame(last, counts.schema).write.mode("overwrite").parquet(f"{folder}/data/batch=6")
+    assert read() == want
+    kept = sorted(int(p.name.partition("=")[2]) for p in (tmp_path / "out/data").iterdir())
+    assert kept[-1] == 6 and len(kept) <= 2 * every
