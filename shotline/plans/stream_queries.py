@@ -35,7 +35,7 @@ def _frames(rows):
 DISORDER = "400 days"  # the supplied events span one year
 
 
-def frame_stream(spark, d, parts=4):
+def frame_stream(spark, d, parts=2):
     """Frames of all videos in ``parts`` shuffled sets of files, one file a batch, then one row that moves the watermark on."""
     target = shared_folder(spark)
     rows = base.table(spark, d, "events")
@@ -54,9 +54,9 @@ def _kept(rows):
     return rows.where("motion_filtered OR level <> 'rechazado'")
 
 
-def _events(spark, d):
+def _events(spark, d, parts=2):
     return detect_events(
-        _kept(frame_stream(spark, d)), event_queries.QUORUM, event_queries.CLOSING, event_queries.THRESHOLD, DISORDER
+        _kept(frame_stream(spark, d, parts)), event_queries.QUORUM, event_queries.CLOSING, event_queries.THRESHOLD, DISORDER
     )
 
 
@@ -116,7 +116,7 @@ def t3(spark, d):
 )
 def t4(spark, d):
     """Events from frames that come in any order; the watermark delay covers the disorder."""
-    found = _events(spark, d)
+    found = _events(spark, d, 4)
     return drain(found).select("video_id", "species", "ambiguous", "n_frames", "n_hits")
 
 
