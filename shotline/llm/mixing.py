@@ -10,8 +10,8 @@ deadlines, so every source stays within less than one block of its share at ever
 Times are exact: weights are taken as the rational numbers they are, with no period to
 round them to. A source that is used up leaves its share to the others in the same
 proportions: no document is dropped or repeated. The schedule is written by one task that
-holds a few numbers a source and hands on ``PERIOD`` slots at a time; a slot is 65,536
-characters of text, so this task is short beside the rest.
+holds a few numbers a source and computes ``WINDOW`` slots at a time in numpy: floats of extended
+precision with a bound on their error, whole numbers where the bound leaves the rounding open.
 
 Running positions inside a source come from chunked running sums, so a source that
 holds a third of all rows is spread over many tasks. Texts do not take part; they are
@@ -30,113 +30,149 @@ import math
 from collections.abc import Iterator
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotline.llm.common import fresh, stored
 from shotline.operators import scan
 
 BLOCK = 1 << 16
-PERIOD = 1_024  # slots handed on together
+WINDOW = 1 << 16  # slots computed and handed on together
 TEMPER = 0.5
 SEED = 29
 CHUNK_ROWS = 20_000
 LAST = (1 << 63) - 1
 
 
-def parts(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Slots of a period for each stream: at least one, the rest by largest remainder.
-
-    A rounded table for callers that want one; ``schedule`` uses the weights themselves.
-    """
-    period = max(period, 4 * len(weights))
-    low = min((w for w in weights.values() if w > 0), default=1.0) * 1e-6
-    clean = {s: max(w, low) for s, w in weights.items()}
-    total = sum(clean.values())
-    exact = {s: w / total * (period - len(clean)) for s, w in clean.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    left = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))[:left]:
-        out[s] += 1
-    return out
-
-
 def exact(weights: dict[str, float]) -> dict[str, int]:
     """Whole numbers in exactly the proportions of the weights."""
     low = min((Fraction(w) for w in weights.values() if w > 0), default=Fraction(1)) / 1_000_000
     ratios = {s: max(Fraction(w), low) for s, w in weights.items()}
     common = math.lcm(*(w.denominator for w in ratios.values()))
-    return {s: int(w * common) for s, w in ratios.items()}
-
-
-def turns(blocks: dict[str, int], weights: dict[str, float]) -> Iterator[tuple[str, int]]:
-    """(stream, block from 0) for each slot, earliest deadline first."""
-    names = sorted(s for s, n in blocks.items() if n > 0)
-    if not names:
-        return
-    whole = exact({s: weights[s] for s in names})
-    n, w = [blocks[s] for s in names], [whole[s] for s in names]
-    # time is the blocks handed out at constant rates: gone[j] + rate[j] * share while j streams are used up
-    last = sorted(range(len(names)), key=lambda i: Fraction(n[i], w[i]))
-    gone, rate = [0], [sum(w)]
-    for i in last:
-        gone.append(gone[-1] + n[i])
-        rate.append(rate[-1] - w[i])
-    ended = [0] * len(names)  # streams used up when the next block of a stream is full
-
-    def full(i: int, k: int) -> tuple[int, int]:
+    whole = {s: int(w * common) for s, w in ratios.items()}
+    shared = math.gcd(*whole.values())
+    return {s: w // shared for s, w in whole.items()}
+
+
+class _Shares:
+    """The constant-rate shares: when the first k blocks of a stream are full, as whole slots."""
+
+    def __init__(self, n: list[int], w: list[int]):
+        self.n, self.w = n, w
+        # time is the blocks handed out at constant rates: gone[j] + rate[j] * share while j streams are used up
+        self.last = sorted(range(len(n)), key=lambda i: Fraction(n[i], w[i]))
+        self.gone, self.rate = [0], [sum(w)]
+        for i in self.last:
+            self.gone.append(self.gone[-1] + n[i])
+            self.rate.append(self.rate[-1] - w[i])
+        total = self.rate[0]
+        self.unit = _extended([Fraction(total, x) for x in w])
+        self.ends = _extended([Fraction(n[i] * total, w[i]) for i in self.last])
+        self.start = _extended([Fraction(x) for x in self.gone[:-1]])
+        self.speed = _extended([Fraction(x, total) for x in self.rate[:-1]])
+
+    def exactly(self, i: int, k: int) -> tuple[int, int]:
         """The time at which stream i's first k blocks are full, rounded down and up."""
-        low, high = ended[i], len(last) - 1
+        low, high = 0, len(self.last) - 1
         while low < high:
             mid = (low + high) // 2
-            if n[last[mid]] * w[i] < k * w[last[mid]]:
+            if self.n[self.last[mid]] * self.w[i] < k * self.w[self.last[mid]]:
                 low = mid + 1
             else:
                 high = mid
-        ended[i] = low
-        time = rate[low] * k
-        return gone[low] + time // w[i], gone[low] - (-time // w[i])
-
-    done, released, ready, waiting = [0] * len(names), [0] * len(names), [], []
-    for i in range(len(names)):
-        released[i], deadline = full(i, 1)
-        ready.append((deadline, i))
-    heapq.heapify(ready)
-    for slot in range(sum(n)):
-        while waiting and waiting[0][0] <= slot:
-            _, deadline, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (deadline, i))
-        _, i = heapq.heappop(ready)
-        yield names[i], done[i]
-        done[i] += 1
-        if done[i] < n[i]:
-            release = released[i]
-            released[i], deadline = full(i, done[i] + 1)
-            heapq.heappush(waiting, (release, deadline, i))
-
-
-def one_period(share: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each stream's blocks when the streams' blocks are their weights."""
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    for slot, (s, _) in enumerate(turns(share, share)):
-        slots[s].append(slot)
-    return slots
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[dict]:
-    """The schedule in pieces of ``period`` slots: start, and for each stream its first block, blocks and slots."""
-    out: list[dict] = []
-    for slot, (s, block) in enumerate(turns(blocks, weights)):
-        if slot % period == 0:
-            out.append({"start": slot, "period": period, "streams": {}})
-        first, used, slots = out[-1]["streams"].get(s, (block, 0, []))
-        slots.append(slot % period)
-        out[-1]["streams"][s] = (first, used + 1, slots)
-    return out
-
-
-def _turns(weights: dict[str, float] | None, block: int, period: int):
+        time = self.rate[low] * k
+        return self.gone[low] + time // self.w[i], self.gone[low] - (-time // self.w[i])
+
+    def full(self, i: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``exactly`` for many blocks: in extended floats, and again in whole numbers where these round unsurely."""
+        share = k * self.unit[i]
+        low = np.minimum(np.searchsorted(self.ends, share), len(self.ends) - 1)
+        time = self.start[low] + self.speed[low] * share
+        down, up = np.floor(time).astype(np.int64), np.ceil(time).astype(np.int64)
+        grain = 64 * np.finfo(time.dtype).eps
+        unsure = np.flatnonzero(np.abs(time - np.rint(time)) <= grain * (time + 1))
+        before = self.ends[np.maximum(low - 1, 0)]
+        edge = (np.abs(self.ends[low] - share) <= grain * share) | (np.abs(before - share) <= grain * share)
+        part = (unsure, i[unsure], k[unsure], low[unsure], edge[unsure])
+        for at, stream, block, ended, near in zip(*(x.tolist() for x in part)):
+            if near:
+                down[at], up[at] = self.exactly(stream, block)
+            else:
+                time_up, rest = divmod(self.rate[ended] * block, self.w[stream])
+                down[at] = self.gone[ended] + time_up
+                up[at] = down[at] + (rest > 0)
+        return down, up
+
+
+def _extended(values: list[Fraction]) -> np.ndarray:
+    high = [float(x) for x in values]
+    return np.array(high, np.longdouble) + np.array([float(x - Fraction(h)) for x, h in zip(values, high)], np.longdouble)
+
+
+def windows(blocks: dict[str, int], weights: dict[str, float], slots: int = WINDOW) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    """(names, stream number of each slot, its block from 0) for ``slots`` slots at a time.
+
+    The blocks released in a window are computed together; only taking the earliest deadline
+    of those at hand goes slot by slot. Held are a few numbers a stream and the blocks of a window.
+    """
+    names = sorted(s for s, n in blocks.items() if n > 0)
+    if not names:
+        return
+    whole = exact({s: weights[s] for s in names})
+    shares = _Shares([blocks[s] for s in names], [whole[s] for s in names])
+    n = np.array(shares.n, np.int64)
+    total, streams = int(n.sum()), np.arange(len(names))
+    known = np.zeros(len(names), np.int64)  # blocks at hand or placed
+    release = np.zeros(len(names), np.int64)  # slot of each stream's next block
+    done = np.zeros(len(names), np.int64)
+    ready: list[int] = []
+    for first in range(0, total, slots):
+        end = min(first + slots, total)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        more = streams[(known < n) & (release < end)]
+        step = np.ones(len(names), np.int64)
+        while len(more):  # a few blocks of each stream, twice as many each time
+            count = np.minimum(step[more], n[more] - known[more])
+            i = np.repeat(more, count)
+            nth = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+            down, up = shares.full(i, known[i] + nth + 1)
+            opened = np.where(nth == 0, release[i], np.roll(down, 1))
+            taken = opened < end
+            held.append((opened[taken], up[taken] * len(names) + i[taken]))
+            kept = np.bincount(i[taken], minlength=len(names))[more]
+            at = np.cumsum(count) - count + kept - 1
+            release[more] = down[at]
+            known[more] += kept
+            step[more] *= 2
+            more = more[(known[more] < n[more]) & (release[more] < end)]
+        opened = np.concatenate([o for o, _ in held]) if held else np.zeros(0, np.int64)
+        keys = np.concatenate([d for _, d in held]) if held else opened
+        order = np.argsort(opened, kind="stable")
+        keys = keys[order].tolist()
+        out, at = [], 0
+        for upto in np.searchsorted(opened[order], np.arange(first, end), side="right").tolist():
+            while at < upto:
+                heapq.heappush(ready, keys[at])
+                at += 1
+            out.append(heapq.heappop(ready))
+        stream = np.array(out, np.int64) % len(names)
+        by = np.argsort(stream, kind="stable")
+        used = np.bincount(stream, minlength=len(names))
+        block = np.empty(len(out), np.int64)
+        block[by] = np.arange(len(out)) - np.repeat(np.cumsum(used) - used - done, used)
+        done += used
+        yield names, stream, block
+
+
+def turns(blocks: dict[str, int], weights: dict[str, float], slots: int = WINDOW) -> Iterator[tuple[str, int]]:
+    """(stream, block from 0) for each slot, earliest deadline first."""
+    for names, stream, block in windows(blocks, weights, slots):
+        yield from zip((names[i] for i in stream.tolist()), block.tolist())
+
+
+def _turns(weights: dict[str, float] | None, size: int):
     """Slots of all blocks from the streams' totals, which come in one partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,54 +185,32 @@ def _turns(weights: dict[str, float] | None, block: int, period: int):
         else:
             least = min(weights.values(), default=1.0)
             target = {s: weights.get(source, least) for s, (_, source) in totals.items()}
-        held: list[tuple[str, int, int]] = []
-
-        def emit() -> pa.RecordBatch:
-            streams, ks, slots = zip(*held)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(streams, pa.string()), pa.array(ks, pa.int64()), pa.array(slots, pa.int64())],
+        slot = 0
+        for names, stream, block in windows({s: -(-total // size) for s, (total, _) in totals.items()}, target):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()).take(pa.array(stream)), pa.array(block), pa.array(np.arange(slot, slot + len(block)))],
                 names=["stream", "block", "slot"],
             )
-
-        for slot, (s, k) in enumerate(turns({s: -(-total // block) for s, (total, _) in totals.items()}, target)):
-            held.append((s, k, slot))
-            if len(held) >= period:
-                yield emit()
-                held.clear()
-        if held:
-            yield emit()
+            slot += len(block)
 
     return run
 
 
-def _stream(docs: DataFrame, streams: int | None) -> Column:
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))
-    if streams is None or docs.select("source").distinct().count() <= streams:
-        return name
-    return F.concat(F.lit("g"), F.pmod(F.xxhash64("source"), F.lit(streams)).cast("string"))
-
-
 def schedule(
-    docs: DataFrame,
-    weights: dict[str, float] | None = None,
-    block: int = BLOCK,
-    period: int = PERIOD,
-    streams: int | None = None,
+    docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK
 ) -> DataFrame:
     """(oid, tid, source, stream, block, slot, place), one row for each distinct doc_id, text and source.
 
     ``weights`` maps sources to weights; without it they are the sources' sizes to the
-    power ``TEMPER``. Every source has its own weight and stream, however many there are; only a
-    caller that sets ``streams`` gets hash groups of sources beyond that number, each at the
-    weight of its first source. Read in the order of (slot, place), every prefix holds the sources in
-    proportion to the weights of those not used up.
+    power ``TEMPER``. Every source has its own weight and stream, however many there are. Read in the
+    order of (slot, place), every prefix holds the sources in proportion to the weights of those not used up.
     """
     size = F.coalesce(F.length("text"), F.lit(0)).cast("long") + 1
     items = docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("oid"),
         F.xxhash64("text").alias("tid"),
         F.col("source"),
-        _stream(docs, streams).alias("stream"),
+        F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null")).alias("stream"),
         size.alias("size"),
     )
     items = items.groupBy("stream", "source", "oid", "tid").agg(F.sum("size").alias("size"))
@@ -204,7 +218,7 @@ def schedule(
     totals = stored(
         items.groupBy("stream").agg(F.sum("size").alias("total"), F.min("source").cast("string").alias("source")), "mix-totals"
     )
-    blocks = totals.coalesce(1).mapInArrow(_turns(weights, block, period), "stream string, block long, slot long")
+    blocks = totals.coalesce(1).mapInArrow(_turns(weights, block), "stream string, block long, slot long")
 
     # chunks of the hash range, each of about CHUNK_ROWS rows
     bits = max(1, math.ceil(math.log2(max(items.count() / CHUNK_ROWS, 1) + 1)) + 1)

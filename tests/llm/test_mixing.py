@@ -1,4 +1,6 @@
+import math
 import random
+from fractions import Fraction
 
 import pytest
 from cases import frame, rows
@@ -6,33 +8,38 @@ from cases import frame, rows
 from shotline.llm import mixing
 
 
-@pytest.mark.parametrize("weights", [{"a": 1, "b": 1}, {"a": 5, "b": 3, "c": 1.3}, {chr(97 + i): (i + 1) ** 2 for i in range(12)}])
-def test_every_prefix_is_within_one_block(weights):
-    share = mixing.parts(weights, 200)
-    slots, period = mixing.one_period(share), sum(share.values())
-    assert sorted(t for s in slots.values() for t in s) == list(range(period))
-    for s, n in share.items():
-        assert abs(n / period - weights[s] / sum(weights.values())) < 0.1
-        for t in range(1, period + 1):
-            assert abs(sum(x < t for x in slots[s]) - n * t / period) < 1
+def naive(blocks, weights):
+    """Slot by slot: of the released blocks the one with the earliest deadline, all in fractions."""
+    weight = {s: Fraction(weights[s]) for s, n in blocks.items() if n}
+    ends = sorted((blocks[s] / weight[s], s) for s in weight)
+
+    def full(s, k):
+        share, time, before, left = k / weight[s], Fraction(0), Fraction(0), sum(weight.values())
+        for end, x in ends:
+            time += (min(end, share) - before) * left
+            before, left = min(end, share), left - weight[x]
+        return time
+
+    done, out = dict.fromkeys(weight, 0), []
+    for slot in range(sum(blocks.values())):
+        open_ = [s for s in weight if done[s] < blocks[s] and math.floor(full(s, done[s])) <= slot]
+        best = min(open_, key=lambda s: (math.ceil(full(s, done[s] + 1)), s))
+        out.append((best, done[best]))
+        done[best] += 1
+    return out
 
 
-def test_phases_place_every_block_once():
+@pytest.mark.parametrize("slots", [7, 64, mixing.WINDOW])
+def test_schedule_equals_a_naive_earliest_deadline_scheduler(slots):
     rng = random.Random(2)
-    blocks = {f"s{i}": rng.choice([0, 1, 7, 300, 2_000]) for i in range(9)}
-    weights = {s: rng.random() + 0.1 for s in blocks}
-    plan = mixing.phases(blocks, weights, 100)
-    seen = set()
-    for number, phase in enumerate(plan):
-        end = plan[number + 1]["start"] if number + 1 < len(plan) else sum(blocks.values())
-        for s, (first, used, slots) in phase["streams"].items():
-            for b in range(used):
-                slot = phase["start"] + b // len(slots) * phase["period"] + slots[b % len(slots)]
-                assert phase["start"] <= slot < end
-                seen.add(slot)
-    assert seen == set(range(sum(blocks.values())))
-    for s, n in blocks.items():
-        assert sum(p["streams"][s][1] for p in plan if s in p["streams"]) == n
+    cases = [({"a": 40, "b": 40}, {"a": 1, "b": 1}), ({"a": 9}, {"a": 0.3}), ({}, {}), ({"a": 0, "b": 3}, {"a": 2, "b": 1})]
+    cases += [({chr(97 + i): 20 for i in range(12)}, {chr(97 + i): (i + 1) ** 2 for i in range(12)})]
+    cases += [({f"s{i}": 12 for i in range(20)}, {f"s{i}": 0.1 for i in range(20)})]
+    for _ in range(8):
+        blocks = {f"s{i}": rng.choice([0, 1, 7, 60, 150]) for i in range(rng.randint(1, 9))}
+        cases.append((blocks, {s: rng.choice([rng.random() + 0.01, 1 / 3, 1, 5]) for s in blocks}))
+    for blocks, weights in cases:
+        assert list(mixing.turns(blocks, weights, slots)) == naive(blocks, weights)
 
 
 def data(n=600):
@@ -43,12 +50,11 @@ def data(n=600):
     return out
 
 
-@pytest.mark.parametrize("streams", [256, 2])
-def test_schedule_equals_brute_force(spark, streams, monkeypatch):
-    """Blocks by running sums, slots by replaying the phases block by block."""
+def test_schedule_equals_brute_force(spark, monkeypatch):
+    """Blocks by running sums, slots by the naive scheduler."""
     monkeypatch.setattr(mixing, "CHUNK_ROWS", 50)
     docs = frame(spark, data() + [data()[5]])
-    got = mixing.schedule(docs, {"hot": 1.0, "b": 2.0, "c": 1.0}, block=1_000, period=40, streams=streams).collect()
+    got = mixing.schedule(docs, {"hot": 1.0, "b": 2.0, "c": 1.0}, block=1_000).collect()
     assert sorted(r.oid for r in got) == list(range(600))
     sizes = {i: len(t) + 1 for i, t, *_ in data()}
     sizes[5] *= 2  # the repeated row
@@ -56,7 +62,7 @@ def test_schedule_equals_brute_force(spark, streams, monkeypatch):
     by_stream = {}
     for r in got:
         by_stream.setdefault(r.stream, []).append(r)
-    assert len(by_stream) == (4 if streams == 256 else 2)
+    assert len(by_stream) == 4
     target = {}
     for s, members in by_stream.items():
         members.sort(key=lambda r: (r.slot, r.place))
@@ -66,11 +72,8 @@ def test_schedule_equals_brute_force(spark, streams, monkeypatch):
             upto += sizes[r.oid]
         totals[s] = upto
         target[s] = {"hot": 1.0, "b": 2.0, "c": 1.0}.get(min((r.source for r in members if r.source), default=None), 1.0)
-    slot_of = {}
-    for phase in mixing.phases({s: -(-n // 1_000) for s, n in totals.items()}, target, 40):
-        for s, (first, used, slots) in phase["streams"].items():
-            for b in range(used):
-                slot_of[s, first + b] = phase["start"] + b // len(slots) * phase["period"] + slots[b % len(slots)]
+    turns = naive({s: -(-n // 1_000) for s, n in totals.items()}, target)
+    slot_of = {turn: slot for slot, turn in enumerate(turns)}
     assert all(r.slot == slot_of[r.stream, r.block] for r in got)
     assert len({(r.slot, r.place) for r in got}) == len(got)
 
@@ -89,8 +92,6 @@ def test_documents_keep_rows_and_columns(spark):
 )
 def test_every_slot_is_within_one_block_of_the_stated_weights(weights):
     """Against exact shares, with no rounding to a period; sources that are used up leave theirs to the rest."""
-    from fractions import Fraction
-
     rng = random.Random(7)
     blocks = {s: 20_000 if s == "a" else rng.randint(1, 90) for s in weights}
     out = list(mixing.turns(blocks, weights))
