@@ -51,6 +51,12 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def removed_at_exit(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it from there.
 
@@ -62,9 +68,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/shotline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(place)
+    removed_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

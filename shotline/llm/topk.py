@@ -11,8 +11,9 @@ and the longest vector of a bucket, is the local cosine threshold of that bucket
 * otherwise: length pruning. Rows shorter than t / |query| are left out.
 
 What remains is verified by exact integer products. Queries are broadcast in blocks of
-at most ``BLOCK_BYTES``, candidates are never shuffled for a query, and each partition
-hands on at most k rows per query, from which the k best are taken.
+at most ``BLOCK_BYTES``, one after the other: a block's best rows are written to the shared folder and
+its broadcast is given back before the next one. Candidates are never shuffled for a query, and
+each partition hands on at most k rows per query, from which the k best are taken.
 
 Nulls and edge cases: rows whose vec_id or vector is null, or whose vector holds a
 null or non-finite component, take no part; a shorter vector counts as padded with
@@ -22,6 +23,7 @@ candidate; a repeated query row is one query; a repeated candidate row is one ca
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotline.llm.common import stored
+from shotline.llm.common import removed_at_exit, shared_folder, stored
 
 BUCKET = 4_096
 BLOCK_BYTES = 32 << 20
@@ -165,13 +167,16 @@ def top_k(
     count, width = wanted.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
     blocks = max(1, -(-count * 8 * max(width, 1) // block_bytes))
     sorted_rows = ready.repartitionByRange(F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    out = None
-    for number in range(blocks):
+    if blocks > 1:
+        sorted_rows = stored(sorted_rows, "vectors-by-length")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    folder = f"{shared_folder(spark)}/shotline-best-{uuid.uuid4().hex}"
+    removed_at_exit(spark, folder)
+    for number in range(blocks):  # one block of queries at a time is held, by the driver and by the executors
         block = wanted.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == number).select("vec_id", "v").toArrow()
         data = spark.sparkContext.broadcast((block["vec_id"].to_numpy(), _matrix(block["v"], max(width, 1))))
         found = sorted_rows.select("vec_id", "v").mapInArrow(_search(data, k, bucket), "query_id long, vec_id long, score long")
-        out = found if out is None else out.union(found)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", "score"
-    )
+        best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best.select("query_id", "rank", "vec_id", "score").write.parquet(f"{folder}/block={number}")
+        data.destroy()
+    return spark.read.schema("query_id long, rank int, vec_id long, score long").parquet(f"{folder}/block=*")
