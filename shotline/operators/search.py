@@ -5,8 +5,9 @@ the same answer:
 
 * a gallery proven small (row and byte limits are checked) is broadcast once and
   the queries are scanned without any shuffle;
-* otherwise both sides are hashed into blocks, each pair of blocks becomes one
-  bounded task, and only the best rows of a pair of blocks leave it.
+* otherwise ``pruned`` cuts both sides around pivots and leaves out pairs of blocks that the triangle
+  inequality rules out; searches other than ``nearest`` hash both sides into blocks, each pair of blocks
+  becomes one bounded task, and only the best rows of a pair of blocks leave it.
 
 Distances are rounded to ten decimals before ranking and ties go to the smaller
 gallery id.
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shotline.functions import blocks
+from shotline.operators import pruned
 
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 128 << 20
@@ -134,6 +136,11 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosin
     Result: item_id, species (of the query), neighbour_id, neighbour (its
     species), distance, rank.
     """
+    if metric in pruned.METRICS:
+        if not isinstance(gallery, Gallery):
+            gallery = Gallery(gallery, broadcast_rows=sizes.get("broadcast_rows", BROADCAST_ROWS))
+        if gallery.shared is None:
+            return pruned.nearest(queries, gallery.rows, k, metric, sizes.get("block_rows", BLOCK_ROWS))
     id_type = gallery.schema["item_id"].dataType
     text_ids = isinstance(id_type, T.StringType)
     added = [

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotline.functions import vectors
-from shotline.operators import cascade, centroid, search
+from shotline.operators import cascade, centroid, pruned, search
 from shotline.sources.embeddings import embed_missing, embedding_status, load_embeddings
 
 SCHEMA = "item_id bigint, species string, vec array<double>"
@@ -51,6 +51,33 @@ def test_nearest_equals_brute_force(spark, sample, metric, sizes):
             assert (hit, label) == (j, str(gl[j])) and d == pytest.approx(full[i, j], abs=1e-9)
 
 
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_pruned_search_skips_pairs_and_keeps_all_results(spark, monkeypatch, metric):
+    """Far groups never meet; one group holds a third of the rows, zero vectors and copies; few blocks a task."""
+    monkeypatch.setattr(pruned, "RUN", 2)
+    monkeypatch.setattr(pruned, "PIECE", 20)
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(12, 8)) * 10
+    of = np.concatenate([np.zeros(300, int), rng.integers(0, 12, 600)])
+    g = middles[of] + rng.normal(size=(900, 8)) * 0.05
+    g[10:60], g[880:884] = g[5], 0.0
+    q = middles[rng.integers(0, 12, 200)] + rng.normal(size=(200, 8)) * 0.05
+    q[7], q[8] = g[5], 0.0
+    found, report = pruned.search(table(spark, q, of[:200]), table(spark, g, of, 1000), 4, metric, 32)
+    full = distances(q, g, metric)
+    want = [(i, r, int(j) + 1000) for i in range(200) for r, j in enumerate(np.lexsort((np.arange(900), full[i]))[:4], 1)]
+    assert sorted((r["item_id"], r["rank"], r["neighbour_id"]) for r in found.collect()) == want
+    counts = report.first()
+    assert counts["pairs"] == counts["query_blocks"] * counts["gallery_blocks"]
+    assert counts["met"] < counts["pairs"] * 0.5
+
+
+def test_pruned_search_of_few_and_no_rows(spark):
+    one, none = table(spark, [[1.0, 0.0]], ["a"]), table(spark, [], [])
+    assert [r["distance"] for r in pruned.nearest(one, one, 3, "cosine", 8).collect()] == [0.0]
+    assert pruned.nearest(one, none, 3, "cosine", 8).count() == pruned.nearest(none, one, 3, "euclidean", 8).count() == 0
+
+
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_rows": 0, "block_rows": 16}])
 def test_label_minima_and_missing_class(spark, sample, sizes):
     q, g, gl, ql = sample
