@@ -16,11 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotline.operators import draws
 from shotline.operators.scan import running
 from shotline.session import lookup, materialize
 
-SLOTS = 65_536  # draws made by one task row
-BLOCK = 50  # iterations drawn together
+SLOTS = 65_536  # hashed draws made by one task row
+BELOW = 8  # levels of the tree below a task: 256 cells
+BLOCK = 250  # iterations drawn together
 
 
 def joint_cells(predictions: DataFrame, series: list[str]) -> DataFrame:
@@ -50,7 +52,7 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     Slot i of a class draws a position below its size; positions number the items
     of the class in cell order. Slots are generated in bounded runs and found
     again by an equi-join on (class, position), so a large class is spread over
-    many tasks. The work is iterations times items; ``multinomial_cells`` is the
+    many tasks. The work is iterations times items; ``tree_cells`` is the
     plan for large inputs.
     """
     groups = cells.groupBy("y_true").agg(F.sum("n").alias("n_class"))
@@ -96,70 +98,103 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     )
 
 
-def multinomial_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
-    """Draws (iteration, y_true, cell, times) with the distribution of ``hash_draws``.
+def tree_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """Confusion cells of resamples drawn through a tree: (iteration, series, y_true, y_pred, n).
 
-    A class is cut into ranges of about ``SLOTS`` items. One multinomial draw divides the
-    class among its ranges, one more divides each range among its cells; a task holds
-    the cells of one range and a block of iterations, never a whole class.
+    The cells of a class are numbered in the order of md5(cell) and drawn as in ``draws``. A
+    task holds 2**BELOW cells, the splits above them (one a level) and BLOCK iterations, never a
+    whole class; it adds up its draws by answer before anything is shuffled. The work follows
+    cells times iterations; items are only counted, beforehand.
     """
-    ranged = placed_cells(cells.select("y_true", "cell", "n")).withColumn(
-        "range", F.floor((F.col("upto") - 1) / SLOTS)
+    coded, codes = _coded(cells)
+    numbered = running(
+        cells.select("y_true", "cell", "n").withColumn("_h", F.md5("cell")),
+        ["y_true"],
+        ["_h", "cell"],
+        F.substring("_h", 1, 2),
+        sums={"upto": F.lit(1)},
     )
-    ranged = materialize(ranged.drop("upto"))
-    totals = ranged.groupBy("y_true", "range").agg(F.sum("n").alias("size"))
-    per_class = totals.groupBy("y_true").agg(F.array_sort(F.collect_list(F.struct("range", "size"))).alias("ranges"))
-    inside = ranged.groupBy("y_true", "range").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-    tasks = inside.join(per_class, "y_true").withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK)))
+    place = F.col("upto") - 1
+    numbered = materialize(
+        numbered.select("y_true", "cell", "n", place.alias("place"), F.shiftright(place, BELOW).alias("part"))
     )
+    parts = numbered.groupBy("y_true", "part").agg(F.sum("n").alias("w"))
+    top = max(1, int(parts.agg(F.max("part")).first()[0] or 0).bit_length())
+    level = F.explode(F.sequence(F.lit(1), F.lit(top))).alias("level")
+    half = F.expr("shiftright(part, level - 1)")
+    splits = (
+        parts.select("y_true", "part", "w", level)
+        .groupBy("y_true", "level", F.expr("shiftright(part, level)").alias("node"))
+        .agg(
+            F.sum(F.when(half % 2 == 0, F.col("w")).otherwise(0)).alias("a"),
+            F.sum(F.when(half % 2 == 1, F.col("w")).otherwise(0)).alias("b"),
+        )
+    )
+    paths = (
+        parts.select("y_true", "part", level)
+        .withColumn("node", F.expr("shiftright(part, level)"))
+        .join(lookup(splits), ["y_true", "level", "node"])
+        .groupBy("y_true", "part")
+        .agg(F.collect_list(F.struct("level", "a", "b")).alias("path"))
+    )
+    inside = (
+        numbered.join(coded, ["y_true", "cell"])
+        .groupBy("y_true", "part")
+        .agg(F.array_sort(F.collect_list(F.struct("place", "n", "codes"))).alias("members"))
+    )
+    block = F.explode(F.sequence(F.lit(0), F.lit((iterations - 1) // BLOCK))).alias("block")
+    tasks = inside.join(paths, ["y_true", "part"]).select("y_true", "part", "members", "path", block)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                first = row.block * BLOCK
-                rounds = min(BLOCK, iterations - first)
-                sizes = np.array([r["size"] for r in row.ranges], dtype=np.int64)
-                mine = [r["range"] for r in row.ranges].index(row.range)
-                # the same class draw in every task of the class
-                rng = np.random.default_rng([seed, row.block, *row.y_true.encode()])
-                share = rng.multinomial(sizes.sum(), sizes / sizes.sum(), size=rounds)[:, mine]
-                rng = np.random.default_rng([seed, row.block, row.range + 1, *row.y_true.encode()])
-                n = np.array([c["n"] for c in row.cells], dtype=np.int64)
-                times = np.stack([rng.multinomial(k, n / n.sum()) for k in share])
-                it, col = np.nonzero(times)
-                yield pd.DataFrame(
-                    {
-                        "iteration": (it + first).astype(np.int32),
-                        "y_true": row.y_true,
-                        "cell": np.array([c["cell"] for c in row.cells], dtype=object)[col],
-                        "times": times[it, col],
-                    }
-                )
-
-    spread = tasks.select("y_true", "range", "cells", "ranges", "block").repartition("y_true", "range", "block")
-    return spread.mapInPandas(draw, "iteration int, y_true string, cell string, times bigint")
-
-
-def resampled_cells(draws: DataFrame, cells: DataFrame) -> DataFrame:
+                rounds = np.arange(row.block * BLOCK, min((row.block + 1) * BLOCK, iterations))
+                path = [(s["level"], s["a"], s["b"]) for s in row.path]
+                drawn = draws.descend(path, row.part, BELOW, rounds, seed, row.y_true)
+                first = row.part << BELOW
+                weights = np.zeros(1 << BELOW)
+                weights[[c["place"] - first for c in row.members]] = [c["n"] for c in row.members]
+                times = draws.subtree(weights, drawn, rounds, seed, row.y_true, first, BELOW)
+                names, where = np.unique(np.concatenate([c["codes"] for c in row.members]), return_inverse=True)
+                owner = np.repeat([c["place"] - first for c in row.members], [len(c["codes"]) for c in row.members])
+                holds = np.zeros((1 << BELOW, len(names)))
+                np.add.at(holds, (owner, where), 1)
+                n = (times @ holds).astype(np.int64)  # whole numbers below 2**53: exact
+                at, column = np.nonzero(n)
+                yield pd.DataFrame({"iteration": rounds[at], "code": names[column], "n": n[at, column]})
+
+    spread = tasks.repartition("y_true", "part", "block")
+    counted = spread.mapInPandas(draw, "iteration int, code bigint, n bigint")
+    return _named(counted.groupBy("iteration", "code").agg(F.sum("n").alias("n")), codes)
+
+
+def _coded(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(y_true, cell, codes) and the stored codes (series, y_true, y_pred, code) of the answers."""
+    given = cells.select("y_true", "cell", F.inline("answers"))
+    names = given.select("y_true", "series", "y_pred").distinct()
+    codes = materialize(names.withColumn("code", F.monotonically_increasing_id()))
+    coded = given.join(codes, ["y_true", "series", "y_pred"]).groupBy("y_true", "cell")
+    return coded.agg(F.collect_list("code").alias("codes")), codes
+
+
+def _named(counted: DataFrame, codes: DataFrame) -> DataFrame:
+    return counted.join(lookup(codes), "code").select("iteration", "series", "y_true", "y_pred", "n")
+
+
+def resampled_cells(draws_of: DataFrame, cells: DataFrame) -> DataFrame:
     """Confusion cells of every series in every iteration: (iteration, series, y_true, y_pred, n).
 
     The rows that grow with iterations times cells times series carry two numbers
     as their key, an iteration and a code; the few codes get their names back last.
     """
-    given = cells.select("y_true", "cell", F.inline("answers"))
-    names = given.select("y_true", "series", "y_pred").distinct()
-    codes = materialize(names.withColumn("code", F.monotonically_increasing_id()))
-    coded = given.join(codes, ["y_true", "series", "y_pred"]).groupBy("y_true", "cell")
-    coded = coded.agg(F.collect_list("code").alias("codes"))
-    return (
-        draws.join(coded, ["y_true", "cell"])
+    coded, codes = _coded(cells)
+    counted = (
+        draws_of.join(coded, ["y_true", "cell"])
         .select("iteration", "times", F.explode("codes").alias("code"))
         .groupBy("iteration", "code")
         .agg(F.sum("times").alias("n"))
-        .join(lookup(codes), "code")
-        .select("iteration", "series", "y_true", "y_pred", "n")
     )
+    return _named(counted, codes)
 
 
 def iteration_scores(cells: DataFrame) -> DataFrame:

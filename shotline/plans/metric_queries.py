@@ -11,6 +11,7 @@ from shotline.operators import (
     calibrate,
     cascade,
     centroid,
+    draws,
     grid,
     leaderboard,
     metrics,
@@ -1038,15 +1039,87 @@ cte(
     "drawn",
     "preds",
 )
+# the tree of operators/draws.py: cells numbered in each class, weights of its nodes, splits from the root down
 cte(
-    "bscores",
-    """SELECT iteration, series, 'accuracy' AS metric, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n)::DOUBLE AS value FROM bcells GROUP BY ALL
+    "tcell",
+    "SELECT y_true, cell, count(*) AS n, row_number() OVER (PARTITION BY y_true ORDER BY md5(cell), cell) - 1 AS place FROM joint GROUP BY y_true, cell",
+    "joint",
+)
+cte(
+    "tnode",
+    """SELECT y_true, h, (place >> h) AS p, sum(n)::BIGINT AS w FROM tcell, (SELECT unnest(range(
+      (SELECT greatest(1, length(bin(max(place)))) FROM tcell) + 1))::INTEGER AS h) GROUP BY ALL""",
+    "tcell",
+)
+_MIXED = "xor({x}_4, {x}_4 >> 16)"
+
+
+def _mixing(x: str, start: str) -> str:
+    """Columns x_0 to x_4 of the 32-bit mixing of ``draws.mixed``; its result is ``_MIXED``."""
+    m1, m2 = draws.MULTIPLIERS
+    return f"""{start} AS {x}_0, xor({x}_0, {x}_0 >> 16) AS {x}_1, ({x}_1 * {m1}::UBIGINT) & 4294967295::UBIGINT AS {x}_2,
+      xor({x}_2, {x}_2 >> 13) AS {x}_3, ({x}_3 * {m2}::UBIGINT) & 4294967295::UBIGINT AS {x}_4"""
+
+
+cte(
+    "tsplit",
+    f"""SELECT y_true, h, p, a, b, ('0x' || substr(s, 1, 8))::UBIGINT AS s1, ('0x' || substr(s, 9, 8))::UBIGINT AS s2
+    FROM (SELECT l.y_true, l.h + 1 AS h, l.p >> 1 AS p, l.w AS a, coalesce(r.w, 0) AS b,
+      md5('29~' || l.y_true || '~' || (l.h + 1) || '~' || (l.p >> 1)) AS s
+      FROM tnode l LEFT JOIN tnode r ON r.y_true = l.y_true AND r.h = l.h AND r.p = l.p + 1 WHERE l.p % 2 = 0)""",
+    "tnode",
+)
+cte(
+    "titer",
+    f"""SELECT iteration, {_MIXED.format(x='t')} AS turn FROM (SELECT iteration, {_mixing('t', '(iteration + 1)::UBIGINT')}
+      FROM (SELECT unnest(range({ITERATIONS})) AS iteration))""",
+)
+_UP = "s.up * (((m - (mode + (i - 1))) * a) / ((mode + (i - 1) + 1.0::DOUBLE) * b))"
+_DOWN = "s.down * (((mode - (i - 1)) * b) / ((m - (mode - (i - 1)) + 1.0::DOUBLE) * a))"
+_WALK = f"""list_reduce(range(1, steps + 1), lambda s, i: {{{{'up': {_UP}, 'down': {_DOWN}, {{rest}}}}}},
+  {{{{'up': 1.0::DOUBLE, 'down': 1.0::DOUBLE, {{start}}}}}})"""
+_TOTAL = _WALK.format(rest=f"'sums': (s.sums + {_UP}) + {_DOWN}", start="'sums': 1.0::DOUBLE")
+_PICK = _WALK.format(
+    rest=f"""'sums': (s.sums + {_UP}) + {_DOWN},
+  'pick': CASE WHEN s.pick IS NOT NULL THEN s.pick WHEN s.sums + {_UP} > goal THEN mode + i WHEN (s.sums + {_UP}) + {_DOWN} > goal THEN mode - i END""",
+    start="'sums': 1.0::DOUBLE, 'pick': CASE WHEN 1.0::DOUBLE > goal THEN mode END",
+)
+cte(
+    "tdraw",
+    f"""WITH RECURSIVE walk AS (
+      SELECT iteration, turn, y_true, h, p, w AS m FROM titer, tnode WHERE h = (SELECT max(h) FROM tnode)
+      UNION ALL
+      SELECT iteration, turn, y_true, h - 1, unnest([2 * p, 2 * p + 1]), unnest([k, m - k]) FROM (
+        SELECT * EXCLUDE (m), m::BIGINT AS m, CASE WHEN b = 0 THEN m ELSE ({_PICK}).pick END::BIGINT AS k FROM (
+          SELECT *, ((high * 1048576::UBIGINT + (low >> 12))::DOUBLE / 4503599627370496::DOUBLE) * CASE WHEN b = 0 THEN 0 ELSE ({_TOTAL}).sums END AS goal FROM (
+            SELECT iteration, turn, y_true, h, p, m, a, b, {_MIXED.format(x='x')} AS high, {_MIXED.format(x='y')} AS low,
+              least(m, floor((m + 1.0::DOUBLE) * a / (a + b))) AS mode,
+              CASE WHEN b = 0 THEN 0 ELSE least(m, ceil(10.0::DOUBLE * sqrt(m * a * b) / (a + b)) + 20.0::DOUBLE) END::BIGINT AS steps FROM (
+              SELECT iteration, turn, y_true, h, p, m::DOUBLE AS m, a::DOUBLE AS a, b::DOUBLE AS b,
+                {_mixing('x', 'xor(s1, turn)')}, {_mixing('y', 'xor(s2, turn)')}
+              FROM walk JOIN tsplit USING (y_true, h, p) WHERE m > 0)))))
+    SELECT iteration, y_true, p AS place, m AS times FROM walk WHERE h = 0 AND m > 0""",
+    "titer",
+    "tnode",
+    "tsplit",
+)
+cte(
+    "tcells",
+    """SELECT iteration, series, y_true, y_pred, sum(times)::BIGINT AS n FROM tdraw JOIN tcell USING (y_true, place)
+    JOIN (SELECT DISTINCT j.y_true, j.cell, p.model || '|' || p.classifier AS series, p.y_pred FROM joint j JOIN preds p USING (item_id, y_true)) USING (y_true, cell)
+    GROUP BY ALL""",
+    "tdraw",
+    "tcell",
+    "joint",
+    "preds",
+)
+_SCORES = """SELECT iteration, series, 'accuracy' AS metric, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n)::DOUBLE AS value FROM {t} GROUP BY ALL
     UNION ALL SELECT iteration, series, 'f1', avg(2 * tp::DOUBLE / (n_true + n_pred)) FROM (
       SELECT iteration, series, label, sum(nt) AS n_true, sum(np) AS n_pred, sum(tp) AS tp FROM (
-        SELECT iteration, series, y_true AS label, n AS nt, 0 AS np, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp FROM bcells
-        UNION ALL SELECT iteration, series, y_pred, 0, n, 0 FROM bcells) GROUP BY ALL) WHERE n_true > 0 GROUP BY iteration, series""",
-    "bcells",
-)
+        SELECT iteration, series, y_true AS label, n AS nt, 0 AS np, CASE WHEN y_true = y_pred THEN n ELSE 0 END AS tp FROM {t}
+        UNION ALL SELECT iteration, series, y_pred, 0, n, 0 FROM {t}) GROUP BY ALL) WHERE n_true > 0 GROUP BY iteration, series"""
+cte("bscores", _SCORES.format(t="bcells"), "bcells")
+cte("tscores", _SCORES.format(t="tcells"), "tcells")
 _CI = """SELECT {by}, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.025), 6) AS ci_lower,
   round(quantile_cont(value, 0.975), 6) AS ci_upper, round(quantile_cont(value, 0.975) - quantile_cont(value, 0.025), 6) AS ci_width FROM {t} GROUP BY {by}"""
 
@@ -1074,26 +1147,31 @@ def b1(spark, d):
     return _rounded_ci(bootstrap.interval(scores, ["series", "metric"]))
 
 
-@query("b1_bootstrap_multinomial")
+def _tree_cells(spark, d):
+    return bootstrap.tree_cells(joint(spark, d), ITERATIONS, 29)
+
+
+def _tree_scores(spark, d):
+    return bootstrap.iteration_scores(materialize(_tree_cells(spark, d)))
+
+
+@query("b1_bootstrap_multinomial", twin(_CI.format(by="series, metric", t="tscores"), "tscores"))
 def b1_multinomial(spark, d):
-    """A thousand iterations drawn per range of a class, not item by item."""
-    cells_of = joint(spark, d)
-    draws = bootstrap.multinomial_cells(cells_of, ITERATIONS, 29)
-    scores = bootstrap.iteration_scores(materialize(bootstrap.resampled_cells(draws, cells_of)))
-    return _rounded_ci(bootstrap.interval(scores, ["series", "metric"]))
+    """A thousand iterations drawn through a tree of cells, not item by item."""
+    return _rounded_ci(bootstrap.interval(_tree_scores(spark, d), ["series", "metric"]))
 
 
 @query(
     "b2_paired_difference",
     twin(
         """SELECT iteration, metric, round(max(CASE WHEN series = 'm1|Linear SVM' THEN value END) - max(CASE WHEN series = 'm1|KNN (k=1)' THEN value END), 6) AS difference
-        FROM bscores GROUP BY iteration, metric""",
-        "bscores",
+        FROM tscores GROUP BY iteration, metric""",
+        "tscores",
     ),
 )
 def b2(spark, d):
     """Difference of two classifiers on the same resamples."""
-    scores = _scores(spark, d)
+    scores = _tree_scores(spark, d)
     pick = lambda s: F.max(F.when(F.col("series") == s, F.col("value")))
     return scores.groupBy("iteration", "metric").agg(
         F.round(pick("m1|Linear SVM") - pick("m1|KNN (k=1)"), 6).alias("difference")
@@ -1104,9 +1182,9 @@ cte(
     "catv",
     """SELECT iteration, category, avg(acc) AS value FROM (
       SELECT iteration, series, category, sum(CASE WHEN y_true = y_pred THEN n ELSE 0 END) / sum(n)::DOUBLE * 100 AS acc FROM (
-        SELECT b.*, CASE WHEN category IN ('Doméstica', 'Exótica/Invasora') THEN 'Nulo' ELSE category END AS category FROM bcells b JOIN sps ON species = y_true
-        UNION ALL SELECT b.*, 'Medio+Bajo' FROM bcells b JOIN sps ON species = y_true WHERE category IN ('Medio', 'Bajo')) GROUP BY ALL) GROUP BY ALL""",
-    "bcells",
+        SELECT b.*, CASE WHEN category IN ('Doméstica', 'Exótica/Invasora') THEN 'Nulo' ELSE category END AS category FROM tcells b JOIN sps ON species = y_true
+        UNION ALL SELECT b.*, 'Medio+Bajo' FROM tcells b JOIN sps ON species = y_true WHERE category IN ('Medio', 'Bajo')) GROUP BY ALL) GROUP BY ALL""",
+    "tcells",
     "sps",
 )
 
@@ -1116,13 +1194,13 @@ def b3(spark, d):
     dim = taxonomy.with_combined(collapsed_species(spark, d)).select(
         F.col("species").alias("y_true"), "category"
     )
-    cells_by = _cells_of(spark, d).join(dim, "y_true")
+    cells_by = _tree_cells(spark, d).join(dim, "y_true")
     by_series = metrics.accuracy(cells_by, ["iteration", "series", "category"])
     values = by_series.groupBy("iteration", "category").agg((F.avg("accuracy") * 100).alias("value"))
     return _rounded_ci(bootstrap.interval(values, ["category"]))
 
 
-cte("ci", _CI.format(by="series, metric", t="bscores"), "bscores")
+cte("ci", _CI.format(by="series, metric", t="tscores"), "tscores")
 
 
 @query(
@@ -1134,7 +1212,7 @@ cte("ci", _CI.format(by="series, metric", t="bscores"), "bscores")
     ),
 )
 def b4(spark, d):
-    scores = _scores(spark, d)
+    scores = _tree_scores(spark, d)
     ci = _rounded_ci(bootstrap.interval(scores.where("metric = 'accuracy'"), ["series", "metric"]))
     return leaderboard.forest_table(ci).select("series", "mean", *r6("err_lo", "err_hi"), "best_mean")
 
@@ -1150,7 +1228,7 @@ def b4(spark, d):
     ),
 )
 def a45(spark, d):
-    scores = _scores(spark, d)
+    scores = _tree_scores(spark, d)
     ci = _rounded_ci(bootstrap.interval(scores.where("metric = 'accuracy'"), ["series", "metric"]))
     points = metrics.accuracy(metrics.confusion(predictions(spark, d), ["model", "classifier"]), ["model", "classifier"])
     points = points.select(F.concat_ws("|", "model", "classifier").alias("series"), "accuracy")

@@ -1,8 +1,11 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shotline.operators import bootstrap, calibrate, leaderboard, metrics, openset, splits, taxonomy
+from shotline.operators import bootstrap, calibrate, draws, leaderboard, metrics, openset, splits, taxonomy
 
 TRUE = list("aaaaabbbbccc")
 PRED = list("aaabzbbbacca")  # z never occurs as truth
@@ -131,8 +134,11 @@ def test_bootstrap_plans_agree_and_cover_the_point(spark, monkeypatch):
     preds = spark.createDataFrame(rows, "item_id bigint, y_true string, model string, classifier string, y_pred string")
     joint = bootstrap.joint_cells(preds, ["model", "classifier"]).cache()
     by_hash = bootstrap.resampled_cells(bootstrap.hash_draws(joint, 150, 29), joint).cache()
-    monkeypatch.setattr(bootstrap, "SLOTS", 200)  # the hot class is drawn in several ranges
-    by_class = bootstrap.resampled_cells(bootstrap.multinomial_cells(joint, 150, 29), joint).cache()
+    by_class = bootstrap.tree_cells(joint, 150, 29).cache()
+    monkeypatch.setattr(bootstrap, "BELOW", 1)  # the cells of a class lie in several tasks
+    monkeypatch.setattr(bootstrap, "BLOCK", 40)
+    cut = bootstrap.tree_cells(joint, 150, 29)
+    assert sorted(map(tuple, by_class.collect())) == sorted(map(tuple, cut.collect()))
     sizes = {k: int((truth == k).sum()) for k in set(truth)}
     for drawn in (by_hash, by_class):
         for r in drawn.groupBy("iteration", "series", "y_true").agg(F.sum("n").alias("n")).collect():
@@ -149,6 +155,55 @@ def test_bootstrap_plans_agree_and_cover_the_point(spark, monkeypatch):
         assert a["ci_width"] == pytest.approx(b["ci_width"], rel=0.35)
 
 
+def test_bootstrap_of_no_predictions(spark):
+    preds = spark.createDataFrame([], "item_id bigint, y_true string, model string, classifier string, y_pred string")
+    assert bootstrap.tree_cells(bootstrap.joint_cells(preds, ["model", "classifier"]), 10, 29).isEmpty()
+
+
+@pytest.mark.parametrize(("m", "a", "b"), [(1, 1, 9), (7, 2, 3), (40, 1, 1000), (300, 999, 1), (4000, 5, 7)])
+def test_binomials_are_inverted_exactly(m, a, b):
+    p = Fraction(a, a + b)
+    exact = [math.comb(m, k) * p**k * (1 - p) ** (m - k) for k in range(m + 1)] if m <= 300 else None
+    u = (np.arange(20_000) + 0.5) / 20_000
+    got = draws.binomials(np.full(len(u), m), np.full(len(u), a), np.full(len(u), b), u)
+    assert got.min() >= 0 and got.max() <= m
+    assert got.mean() == pytest.approx(float(m * p), rel=1e-3, abs=1e-3)
+    assert got.var() == pytest.approx(float(m * p * (1 - p)), rel=0.02, abs=1e-3)
+    if exact:  # the evenly spaced numbers fall into each value's share, to within one of them
+        counts = np.bincount(got, minlength=m + 1)
+        assert max(abs(c - float(e) * len(u)) for c, e in zip(counts, exact)) <= 1.01
+
+
+def test_binomials_do_not_depend_on_their_neighbours():
+    rng = np.random.default_rng(5)
+    m, a, b = rng.integers(0, 500, 300), rng.integers(1, 50, 300), rng.integers(1, 50, 300)
+    u = rng.random(300)
+    alone = [int(draws.binomials(*(np.array([v[i]]) for v in (m, a, b, u)))[0]) for i in range(300)]
+    assert draws.binomials(m, a, b, u).tolist() == alone
+
+
+def test_uniforms_are_even_and_unrelated():
+    u = draws.uniforms(draws.node_seeds(29, "k", 3, list(range(300))), np.arange(1000))
+    assert abs(u.mean() - 0.5) < 0.003 and u.var() == pytest.approx(1 / 12, rel=0.01)
+    assert np.histogram(u, 64, (0, 1))[0].std() < 2 * (u.size / 64) ** 0.5
+    assert abs(np.corrcoef(u[:, 1:].ravel(), u[:, :-1].ravel())[0, 1]) < 0.01
+
+
+def test_tree_draws_any_part_alike():
+    rounds, weights = np.arange(40), np.random.default_rng(2).integers(0, 30, 64)
+    whole = draws.subtree(weights, np.full(40, weights.sum()), rounds, 7, "k", 0, 6)
+    assert (whole.sum(axis=1) == weights.sum()).all() and not whole[:, weights == 0].any()
+    for part in range(8):  # 8 cells each, reached by the splits above them
+        path = []
+        for level in (1, 2, 3):
+            at, span = part >> level << level, 8 << (level - 1)
+            halves = weights[at * 8 : at * 8 + span].sum(), weights[at * 8 + span : at * 8 + 2 * span].sum()
+            path.append((level, *map(int, halves)))
+        m = draws.descend(path, part, 3, rounds, 7, "k")
+        mine = draws.subtree(weights[part * 8 : part * 8 + 8], m, rounds, 7, "k", part * 8, 3)
+        assert (mine == whole[:, part * 8 : part * 8 + 8]).all()
+
+
 def test_histogram_puts_the_upper_edge_into_the_last_bin(spark):
     rows = spark.createDataFrame([(0.0,), (0.5,), (0.999,), (1.0,)], "v double")
     got = {r["bin"]: r["n"] for r in calibrate.histogram(rows, F.col("v"), 0.0, 1.0, 2, []).collect()}
