@@ -72,12 +72,18 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+def small(df: DataFrame, most: int = 32 << 20) -> bool:
+    """Whether a stored table of fixed-width columns takes at most ``most`` bytes, by its counted rows."""
+    width = 16 + sum({"bigint": 8, "double": 8, "int": 4, "boolean": 1}.get(kind, 32) for _, kind in df.dtypes)
+    return df.count() * width <= most
+
+
+def broadcast_small(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     """A stored table of narrow rows, marked for broadcast only if it is counted to be small.
 
     Above the bound the join shuffles both sides and leaves skew to the optimizer.
     """
-    return F.broadcast(df) if df.count() <= rows else df
+    return F.broadcast(df) if small(df, most) else df
 
 
 def text_bytes(column: pa.Array) -> Iterator[bytes | None]:

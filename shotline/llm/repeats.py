@@ -6,12 +6,10 @@ at equal places. Consecutive windows with one anchor form a stretch; every windo
 a text lies in exactly one.
 
 1. ``stretches``: one narrow row per stretch: hash of the anchor, hash of the stretch.
-2. An anchor hash that occurs once ends there: its windows are unique. Where all stretches
-   of an anchor are equal, all their windows are repeated. This leaves the anchors with
-   different stretches.
-3. Of these, equal stretches are repeated as a whole and stand for one. The symbols of one
-   stretch of each kind are fetched from its text, brought together by anchor, and a
-   resolver (the operator's method) finds the windows they share.
+2. An anchor hash that occurs once ends there: its windows are unique.
+3. Equal stretches of the other anchors are one kind. The symbols of a kind are fetched once from
+   a text and brought together by anchor; a kind that occurs again takes part as two
+   stretches. A resolver (the operator's method) finds the windows they share.
 4. An anchor with more than ``MOST`` different stretches is not gathered: the hashes of its
    windows are counted by Spark instead, window by window.
 5. The repeated windows, as ranges of symbols, go back to the texts.
@@ -30,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shotline.llm.common import broadcast_small, long_texts, stored, text_bytes, text_slices
+from shotline.llm.common import broadcast_small, long_texts, small, stored, text_bytes, text_slices
 from shotline.llm.hashing import mix
 
 MOST = 4_096
@@ -149,16 +147,16 @@ def _stretches(unit: Unit, window: int, gram: int):
     return run
 
 
-FOUND = "ah long, ch long, anchor int, data binary"
+FOUND = "ah long, ch long, anchor int, twins int, data binary"
 
 
 def _fetch(unit: Unit):
-    """The symbols of the wanted stretches of each text; a text that comes again is passed over."""
+    """The symbols of the wanted stretches of each text; a text that comes again in a task is passed over."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            seen: set[tuple[int, int]] = set()
-            rows: list[tuple[int, int, int, bytes]] = []
+            rows: list[tuple[int, int, int, int, bytes]] = []
             size = 0
             marked = zip(*(batch[c].to_pylist() for c in ("t1", "t2", "wanted")), text_bytes(batch["text"]))
             for t1, t2, wanted, text in marked:
@@ -168,7 +166,7 @@ def _fetch(unit: Unit):
                 symbols = unit.split(text)
                 for w in wanted:
                     data = unit.join(symbols[w["s0"] : w["s0"] + w["size"]])
-                    rows.append((w["ah"], w["ch"], w["anchor"], data))
+                    rows.append((w["ah"], w["ch"], w["anchor"], w["twins"], data))
                     size += len(data)
                 if size > 8 << 20:
                     yield _found(rows)
@@ -179,11 +177,10 @@ def _fetch(unit: Unit):
     return run
 
 
-def _found(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    a, b, c, d = zip(*rows)
+def _found(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     return pa.RecordBatch.from_arrays(
-        [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())],
-        names=["ah", "ch", "anchor", "data"],
+        [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["ah", "ch", "anchor", "twins", "data"]
     )
 
 
@@ -201,12 +198,18 @@ def ranges(starts: np.ndarray, window: int) -> list[tuple[int, int]]:
 
 
 def _resolve(resolver: Resolver, window: int, most_bytes: int):
-    """Run the resolver on runs of whole anchors of a partition sorted by anchor."""
+    """Run the resolver on runs of whole anchors of a partition sorted by anchor.
 
-    def emit(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        ah = np.array([r[0] for r in rows], np.int64)
-        found = resolver(ah, np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], window)
-        out = [(r[0], r[1], lo, hi) for r, starts in zip(rows, found) for lo, hi in ranges(starts, window)]
+    A kind that occurs again is given twice, so that the resolver decides about it as well;
+    what it finds for both is reported once.
+    """
+
+    def emit(rows: list[tuple[int, int, int, int, bytes]]) -> pa.RecordBatch:
+        given = [r for r in rows for _ in range(r[3])]
+        ah = np.array([r[0] for r in given], np.int64)
+        found = resolver(ah, np.array([r[2] for r in given], np.int64), [r[4] for r in given], window)
+        first = np.cumsum([0, *(r[3] for r in rows)])
+        out = [(r[0], r[1], lo, hi) for r, i in zip(rows, first) for lo, hi in ranges(found[i], window)]
         a, c, lo, hi = zip(*out) if out else ([], [], [], [])
         return pa.RecordBatch.from_arrays(
             [pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32())],
@@ -214,25 +217,24 @@ def _resolve(resolver: Resolver, window: int, most_bytes: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, int, bytes]] = []
-        size, begun = 0, 0  # where the last anchor's rows begin
+        rows: list[tuple[int, int, int, int, bytes]] = []
+        size = 0
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("ah", "ch", "anchor", "data"))):
+            for row in zip(*(batch[c].to_pylist() for c in ("ah", "ch", "anchor", "twins", "data"))):
                 if rows and row[:2] == rows[-1][:2]:
                     continue  # fetched twice
-                if rows and row[0] != rows[-1][0]:
-                    if size >= most_bytes:
-                        yield emit(rows)
-                        rows, size = [], 0
+                if rows and row[0] != rows[-1][0] and size >= most_bytes:
+                    yield emit(rows)
+                    rows, size = [], 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4]) * row[3]
         if rows:
             yield emit(rows)
 
     return run
 
 
-WINDOWS = "w1 long, w2 long, ah long, ch long, at int"
+WINDOWS = "w1 long, w2 long, ah long, ch long, at int, twins int"
 
 
 def _each_window(unit: Unit, window: int):
@@ -241,7 +243,7 @@ def _each_window(unit: Unit, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers(0), Powers(1)
         for batch in batches:
-            for ah, ch, data in zip(batch["ah"].to_pylist(), batch["ch"].to_pylist(), text_bytes(batch["data"])):
+            for ah, ch, twins, data in zip(*(batch[c].to_pylist() for c in ("ah", "ch", "twins")), text_bytes(batch["data"])):
                 values = unit.values(unit.split(data))
                 a, b = mix(Sums(values, powers[0]).all(window)), mix(Sums(mix(values), powers[1]).all(window))
                 n = len(a)
@@ -252,6 +254,7 @@ def _each_window(unit: Unit, window: int):
                         pa.array(np.full(n, ah)),
                         pa.array(np.full(n, ch)),
                         pa.array(np.arange(n, dtype=np.int32)),
+                        pa.array(np.full(n, twins, np.int32)),
                     ],
                     names=[c.split()[0] for c in WINDOWS.split(", ")],
                 )
@@ -279,27 +282,19 @@ def repeated_ranges(
     """(t1, t2, spans): ranges [lo, hi) of symbols that repeated windows cover, for texts that have some."""
     texts = named(docs)
     every = stored(texts.mapInArrow(_stretches(unit, window, gram), STRETCH), f"{label}-stretches")
-    anchors = every.groupBy("ah").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("ch") == F.max("ch")).alias("alike")
-    )
-    anchors = stored(anchors.where("n > 1").select("ah", "alike"), f"{label}-anchors")
+    anchors = every.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("ah")
+    anchors = stored(anchors, f"{label}-anchors")
     again = stored(every.join(broadcast_small(anchors), "ah"), f"{label}-again")
-    end = (F.col("s0") + F.col("size")).alias("hi")
-    marks = again.where("alike").select("t1", "t2", F.col("s0").alias("lo"), end)
 
-    mixed = again.where("not alike")
-    kinds = mixed.groupBy("ah", "ch").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("t1", "t2", "s0", "size", "anchor")).alias("one")
+    kinds = again.groupBy("ah", "ch").agg(
+        F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("twins"),
+        F.min(F.struct("t1", "t2", "s0", "size", "anchor")).alias("one"),
     )
-    kinds = stored(kinds.select("ah", "ch", "n", "one.*"), f"{label}-kinds")
-    many = stored(kinds.where("n > 1").select("ah", "ch"), f"{label}-many")
-    marks = marks.union(
-        mixed.join(broadcast_small(many), ["ah", "ch"]).select("t1", "t2", F.col("s0").alias("lo"), end)
-    )
-
+    kinds = stored(kinds.select("ah", "ch", "twins", "one.*"), f"{label}-kinds")
     hot = stored(kinds.groupBy("ah").count().where(F.col("count") > most).select("ah"), f"{label}-hot")
-    few = kinds.count() <= 1_000_000
-    by_text = kinds.groupBy("t1", "t2").agg(F.collect_list(F.struct("ah", "ch", "s0", "size", "anchor")).alias("wanted"))
+    members = F.collect_list(F.struct("ah", "ch", "s0", "size", "anchor", "twins"))
+    by_text = kinds.groupBy("t1", "t2").agg(members.alias("wanted"))
+    few = small(kinds)
     wanted = texts.join(F.broadcast(by_text) if few else by_text, ["t1", "t2"])
     found = wanted.select("t1", "t2", "wanted", "text").mapInArrow(_fetch(unit), FOUND)
     if hot.isEmpty():
@@ -314,15 +309,12 @@ def repeated_ranges(
         windows = stored(
             found.join(broadcast_small(hot), "ah").mapInArrow(_each_window(unit, window), WINDOWS), f"{label}-windows"
         )
-        twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
+        twice = windows.groupBy("w1", "w2").agg(F.sum("twins").alias("n")).where("n > 1").select("w1", "w2")
         counted = windows.join(stored(twice, f"{label}-twice"), ["w1", "w2"])
         shared = shared.union(counted.select("ah", "ch", F.col("at").alias("lo"), (F.col("at") + window).alias("hi")))
-    alone = kinds.where("n = 1").select("ah", "ch", "t1", "t2", "s0")
     shared = stored(shared, f"{label}-shared")
-    marks = marks.union(
-        alone.join(broadcast_small(shared), ["ah", "ch"]).select(
-            "t1", "t2", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi")
-        )
+    marks = again.join(broadcast_small(shared), ["ah", "ch"]).select(
+        "t1", "t2", (F.col("s0") + F.col("lo")).alias("lo"), (F.col("s0") + F.col("hi")).alias("hi")
     )
     spans = marks.groupBy("t1", "t2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     return stored(spans, f"{label}-spans")
