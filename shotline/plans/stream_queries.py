@@ -15,8 +15,9 @@ from shotline.streaming.events import detect_events, window_events
 
 
 def stream(spark, folder, name):
+    """A supplied table as a stream; the pattern matches its name alone, be it one file or a folder of parts."""
     schema = base.table(spark, folder, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/[{name[0]}]{name[1:]}.parquet")
 
 
 def _frames(rows):
