@@ -36,18 +36,27 @@ def _frames(rows):
 DISORDER = "400 days"  # the supplied events span one year
 
 
-def frame_stream(spark, d, parts=2):
-    """Frames of all videos in ``parts`` shuffled sets of files, one file a batch, then one row that moves the watermark on."""
+def arrivals(spark, rows, key, parts, last=None):
+    """``rows`` as a stream of ``parts`` shuffled sets, then ``last``; a batch takes as many files as a set has.
+
+    A set has a file for each task that wrote it. The batches follow the sets, however many
+    files a large table is written in.
+    """
     target = shared_folder(spark)
+    sets = [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+    for i, part in enumerate(sets if last is None else [*sets, last]):
+        part.write.parquet(f"{target}/{i}")
+    files = max(len(spark.read.schema(rows.schema).parquet(f"{target}/{i}").inputFiles()) for i in range(parts))
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files)).parquet(f"{target}/*")
+
+
+def frame_stream(spark, d, parts=2):
+    """Frames of all videos in ``parts`` shuffled sets of files, then one row that moves the watermark on."""
     rows = base.table(spark, d, "events")
-    for i in range(parts):
-        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).write.parquet(f"{target}/{i}")
     far = rows.orderBy(F.desc("ts")).limit(1).withColumns(
         {"user_id": F.lit(-1).cast("bigint"), "ts": F.col("ts") + F.expr("INTERVAL 900 DAYS"), "value": F.lit(0.0)}
     )
-    far.write.parquet(f"{target}/{parts}")
-    shuffled = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
-    return _frames(shuffled)
+    return _frames(arrivals(spark, rows, "event_id", parts, far))
 
 
 def _kept(rows):
@@ -124,11 +133,7 @@ def t4(spark, d):
 def _records(spark, d, parts=5):
     """The record columns the history needs, from the event stream in several batches."""
     k = F.get_json_object("props", "$.k").cast("int")
-    target, rows = shared_folder(spark), base.table(spark, d, "events")
-    for i in range(parts):
-        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(parts)) == i).write.parquet(f"{target}/{i}")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
-    return arriving.select(
+    return arrivals(spark, base.table(spark, d, "events"), "event_id", parts).select(
         F.when(k == 99, "").otherwise(F.col("event_type")).alias("species"),
         F.when(F.col("value") <= 30, "alta").otherwise("baja").alias("level"),
         (k % 10 == 0).alias("ambiguous"),
@@ -163,15 +168,12 @@ def t6(spark, d):
     ),
 )
 def t7(spark, d):
-    """Arrivals in four unordered files and batches, so that names come again much later."""
-    target = shared_folder(spark)
+    """Arrivals in four unordered sets of files and batches, so that names come again much later."""
     arrived = base.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(
         F.concat(F.lit("cam"), "l_suppkey", F.lit("_"), "l_partkey", F.lit(".mp4")).alias("filename"),
         "l_orderkey",
     )
-    for i in range(4):
-        arrived.where(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == i).write.parquet(f"{target}/{i}")
-    files = spark.readStream.schema(arrived.schema).option("maxFilesPerTrigger", 1).parquet(f"{target}/*")
+    files = arrivals(spark, arrived, "l_orderkey", 4)
     return drain(aggregates.new_files(files, operation_queries.latency(spark, d))).select("filename")
 
 

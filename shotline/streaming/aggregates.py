@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotline.operators import cascade, centroid, search
+from shotline.session import materialize
 from shotline.streaming import drain
 
 
@@ -18,9 +19,10 @@ def runs_per_day(runs: DataFrame, delay: str = "1 day") -> DataFrame:
 def new_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files not processed before, each once, however late it is seen again.
 
-    The state holds one name per file ever seen, as the promise needs.
+    The state holds one name per file ever seen, as the promise needs. The known names are
+    made once, not once per batch.
     """
-    fresh = files.join(known.select("filename").distinct(), "filename", "left_anti")
+    fresh = files.join(materialize(known.select("filename").distinct()), "filename", "left_anti")
     return fresh.dropDuplicates(["filename"])
 
 

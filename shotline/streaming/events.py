@@ -104,17 +104,20 @@ class Detector:
 
     def read(self) -> dict:
         self.kept = {}
-        if not self.event.exists():
+        event = self.event.get()
+        self.held = event is not None
+        if not self.held:
             return {}
-        own = dict(zip(OPEN, self.event.get()))
+        own = dict(zip(OPEN, event))
         self.kept = {k[0]: tuple(v) for k, v in self.votes.iterator()}
         own["votes"] = {k: {"n": n, "first": first, "best": dict(zip(BEST, best))} for k, (n, first, *best) in self.kept.items()}
         return own
 
     def write(self, own: dict) -> None:
         if not own:
-            self.event.clear()
-            self.votes.clear()
+            if self.held:
+                self.event.clear()
+                self.votes.clear()
             return
         self.event.update(tuple(own.get(name) for name in OPEN))
         now = {k: (v["n"], v["first"], *(v["best"][name] for name in BEST)) for k, v in own["votes"].items()}
@@ -194,13 +197,15 @@ class Windows:
         self.rows = handle.getListState("rows", "frame_idx bigint, ts double, species string, dist double")
 
     def read(self) -> dict:
-        number = self.number.get()[0] if self.number.exists() else 0
-        return {"number": number, "rows": [dict(zip(MEMBER, r)) for r in self.rows.get()]}
+        number = self.number.get()
+        self.held = number is not None
+        return {"number": number[0] if self.held else 0, "rows": [dict(zip(MEMBER, r)) for r in self.rows.get()] if self.held else []}
 
     def write(self, own: dict) -> None:
         if not own:
-            self.number.clear()
-            self.rows.clear()
+            if self.held:
+                self.number.clear()
+                self.rows.clear()
             return
         self.number.update((own["number"],))
         rows = [tuple(r[name] for name in MEMBER) for r in own["rows"]]

@@ -5,10 +5,11 @@ watermark has passed them and are then replayed by frame_idx; rows behind the wa
 dropped by the engine and counted in its progress (``drain.late_rows``). A video is
 flushed when no frame has come for ``gap`` of event time.
 
-The state is typed and kept in the state store: waiting frames are a list that is only
-appended to while none of them is due, a clock holds the newest time and the earliest waiting one, and
-the machine keeps its own variables. Timers wake a video when a frame or its flush is due. Queries need
-the RocksDB state store (``drain.start`` sets it).
+The state is typed and kept in the state store: waiting frames are a list with one entry of
+columns for each batch, only appended to while none of them is due, a clock holds the newest time,
+the earliest waiting one and the timer that is set, and the machine keeps its own variables. Every
+call of the store is a message to another process, so none is made whose answer is known. Timers wake a
+video when a frame or its flush is due. Queries need the RocksDB state store (``drain.start`` sets it).
 """
 
 from __future__ import annotations
@@ -16,12 +17,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any, Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 FRAME = ["frame_idx", "ts", "species", "dist", "level", "motion_filtered"]
-WAITING = "due bigint, frame_idx bigint, ts double, species string, dist double, level string, motion_filtered boolean"
+WAITING = (
+    "due array<bigint>, frame_idx array<bigint>, ts array<double>, species array<string>, dist array<double>, "
+    "level array<string>, motion_filtered array<boolean>"
+)
+UNDATED = -(2**63)  # a frame without a time is due at once
 
 
 class Machine(Protocol):
@@ -45,61 +50,69 @@ class Replay(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", WAITING)
-        self.clock = handle.getValueState("clock", "newest bigint, due bigint")
+        self.clock = handle.getValueState("clock", "newest bigint, due bigint, timer bigint")
         self.machine.init(handle)
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new: list[tuple] = []
-        for batch in rows:
-            due = batch["event_time"].astype("datetime64[ms]").astype("int64").tolist()
-            frames = batch[FRAME].astype(object).where(batch[FRAME].notna(), None)
-            new += [(d, *f) for d, f in zip(due, frames.values.tolist())]
-        newest, first = self.clock.get() if self.clock.exists() else (0, None)
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        # not-a-number counts as missing
+        new = [tuple(None if v != v else v for v in (r["_due"], *(r[name] for name in FRAME))) for r in rows]
+        newest, first, timer = self.clock.get() or (0, None, None)
         newest = max([newest, *(r[0] for r in new)])
         first = min([r[0] for r in new] + ([] if first is None else [first]), default=None)
-        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), newest, first, new)
+        yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), newest, first, timer, new)
 
-    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.clock.exists():
-            yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), *self.clock.get(), [])
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[Row]:
+        clock = self.clock.get()
+        if clock is not None:
+            yield from self._advance(key, timerValues.getCurrentWatermarkInMs(), *clock, [])
 
-    def _advance(self, key: Any, mark: int, newest: int, first: int | None, new: list[tuple]) -> Iterator[pd.DataFrame]:
+    def _advance(
+        self, key: Any, mark: int, newest: int, first: int | None, timer: int | None, new: list[tuple]
+    ) -> Iterator[Row]:
         out: list[dict] = []
         own = None
         if first is not None and first <= mark:
-            rows = [tuple(r) for r in self.waiting.get()] + new
+            before = list(self.waiting.get())
+            rows = [row for columns in before for row in zip(*columns)] + new
             rest = [r for r in rows if r[0] > mark]
             own = self.machine.read()
             for _, *values in sorted((r for r in rows if r[0] <= mark), key=lambda r: r[1]):
                 out += self.machine.step(own, dict(zip(FRAME, values)))
             first = min((r[0] for r in rest), default=None)
             if rest:
-                self.waiting.put(rest)
-            else:
+                self.waiting.put([_columns(rest)])
+            elif before:
                 self.waiting.clear()
         elif new:
-            self.waiting.appendList(new)
+            self.waiting.appendList([_columns(new)])
         over = first is None and mark > newest + self.gap_ms
         if over:
             own = self.machine.read() if own is None else own
             out += self.machine.finish(own)
             own = {}
+            wake = None
             self.clock.clear()
         else:
-            self.clock.update((newest, first))
+            wake = newest + self.gap_ms + 1 if first is None else first
+            self.clock.update((newest, first, wake))
         if own is not None:
             self.machine.write(own)
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if not over:
-            self.handle.registerTimer(newest + self.gap_ms + 1 if first is None else first)
-        if out:
-            yield pd.DataFrame([{"video_id": key[0], **row} for row in out], columns=self.names)
+        if wake != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if wake is not None:
+                self.handle.registerTimer(wake)
+        for row in out:
+            yield Row(**{name: key[0] if name == "video_id" else row[name] for name in self.names})
 
     def close(self) -> None:
         pass
 
 
+def _columns(rows: list[tuple]) -> tuple:
+    return tuple(list(column) for column in zip(*rows))
+
+
 def replay(frames: DataFrame, machine: Machine, schema: str, delay: str, gap_ms: int) -> DataFrame:
     """Run ``machine`` over the ordered frames of each video_id of a stream.
 
@@ -107,8 +120,7 @@ def replay(frames: DataFrame, machine: Machine, schema: str, delay: str, gap_ms:
     ``schema`` describes the rows returned, beginning with video_id.
     """
     names = [part.split()[0] for part in schema.split(",")]
-    return (
-        frames.withWatermark("event_time", delay)
-        .groupBy("video_id")
-        .transformWithStateInPandas(Replay(machine, names, gap_ms), schema, "append", "eventTime")
+    dated = frames.withWatermark("event_time", delay).select(
+        "video_id", "event_time", F.coalesce(F.unix_millis("event_time"), F.lit(UNDATED)).alias("_due"), *FRAME
     )
+    return dated.groupBy("video_id").transformWithState(Replay(machine, names, gap_ms), schema, "append", "eventTime")

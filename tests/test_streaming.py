@@ -134,3 +134,42 @@ def test_upsert_keeps_the_newest_row_of_each_key(spark, tmp_path, every):
     assert read() == want
     kept = sorted(int(p.name.partition("=")[2]) for p in (tmp_path / "out/data").iterdir())
     assert kept[-1] == 6 and len(kept) <= 2 * every
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_a_table_streams_as_a_file_and_as_a_folder(spark, tmp_path, files):
+    """Other tables beside it, also those whose names begin alike, stay out."""
+    from pathlib import Path
+
+    from shotline.plans.stream_queries import stream
+
+    spark.range(30).repartition(files).write.parquet(f"{tmp_path}/made")
+    if files == 1:
+        next(Path(tmp_path, "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    else:
+        Path(tmp_path, "made").rename(tmp_path / "events.parquet")
+    spark.range(100, 200).write.parquet(f"{tmp_path}/events.parquet2")
+    spark.range(200, 300).write.parquet(f"{tmp_path}/orders.parquet")
+    got = drain(stream(spark, str(tmp_path), "events")).collect()
+    assert sorted(r["id"] for r in got) == list(range(30))
+
+
+@pytest.mark.parametrize("files", [1, 6])
+def test_batches_follow_the_sets_not_their_files(spark, tmp_path, files):
+    from shotline.plans.stream_queries import arrivals
+
+    rows = spark.range(0, 400, 1, files)
+    stream = arrivals(spark, rows, "id", 3, spark.range(1000, 1001, 1, 1))
+    query = start(stream, f"{tmp_path}/out", "append")
+    query.awaitTermination()
+    sizes = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    assert sum(sizes) == 401 and len(sizes) == 4
+
+
+def test_frames_wait_as_one_entry_a_batch(spark, tmp_path):
+    """Frames that are not due yet are kept in columns; values that are missing or no number stay missing."""
+    at = lambda i, d, m: (1, i, float(i), START + dt.timedelta(seconds=i), "a", d, None, m)
+    batches = [[at(3, 0.1, False), at(1, 0.1, False)], [at(0, None, None), at(2, float("nan"), True), at(4, 0.1, False)]]
+    stream = feed(spark, str(tmp_path / "in"), batches)
+    found = drain(detect_events(stream, 2, 2, THRESHOLD, delay="1 hour", gap_ms=1000)).where("video_id = 1").collect()
+    assert [(r["n_frames"], r["n_hits"], r["confidence_level"]) for r in found] == [(2, 2, None)]
