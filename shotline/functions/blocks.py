@@ -9,7 +9,8 @@ import pyarrow as pa
 
 EPS = float(np.finfo(float).eps)
 PRECISION = 10  # decimals kept before ranking, so that equal vectors tie exactly
-SLICE = 512  # query rows per matrix product
+SLICE = 512  # query rows per matrix product, at most
+CELLS = 1 << 20  # distances per matrix product, at most: fewer query rows meet a large gallery block
 PAIRS = 200_000  # pairs per exact re-computation
 
 
@@ -137,6 +138,11 @@ def paired(q: np.ndarray, g: np.ndarray, rows: np.ndarray, cols: np.ndarray, met
     return np.round(out, PRECISION)
 
 
+def sliced(g: Block) -> int:
+    """Query rows compared at once with the rows of ``g``."""
+    return max(1, min(SLICE, CELLS // max(1, len(g))))
+
+
 def top_k(q: Block, g: Block, k: int, metric: str):
     """Yield (query rows, gallery rows, distance, rank) of the k nearest, ties by id.
 
@@ -146,8 +152,9 @@ def top_k(q: Block, g: Block, k: int, metric: str):
     if len(q) == 0 or len(g) == 0:
         return
     gm = prepared(g.matrix, metric, True)
-    for start in range(0, len(q), SLICE):
-        qm = prepared(q.matrix[start : start + SLICE], metric, False)
+    step = sliced(g)
+    for start in range(0, len(q), step):
+        qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
         if len(g) > k:
             kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
@@ -166,12 +173,13 @@ def top_k(q: Block, g: Block, k: int, metric: str):
 def same_and_other(q: Block, g: Block, metric: str):
     """Yield (start, nearest distance with equal label, nearest with another label)."""
     gm = prepared(g.matrix, metric, True)
-    for start in range(0, len(q), SLICE):
-        labels = q.labels[start : start + SLICE]
+    step = sliced(g)
+    for start in range(0, len(q), step):
+        labels = q.labels[start : start + step]
         if len(g) == 0:
             yield start, np.full(len(labels), np.nan), np.full(len(labels), np.nan)
             continue
-        qm = prepared(q.matrix[start : start + SLICE], metric, False)
+        qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
         same = labels[:, None] == g.labels[None, :]
         yield start, *(least(qm, gm, np.where(side, rough, np.inf), error, metric) for side in (same, ~same))
@@ -192,8 +200,9 @@ def farthest(q: Block, g: Block, metric: str):
         return
     gm = prepared(g.matrix, metric, True)
     code = np.unique(g.labels.astype(str), return_inverse=True)[1]
-    for start in range(0, len(q), SLICE):
-        qm = prepared(q.matrix[start : start + SLICE], metric, False)
+    step = sliced(g)
+    for start in range(0, len(q), step):
+        qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
         high = rough.max(1)
         rows, cols = np.nonzero(rough >= (high - slack(high, error, metric))[:, None])
@@ -210,11 +219,12 @@ def nearest_per_subset(q: Block, g: Block, metric: str):
         return
     gm = prepared(g.matrix, metric, True)
     code = np.unique(g.labels.astype(str), return_inverse=True)[1]
-    for start in range(0, len(q), SLICE):
-        qm = prepared(q.matrix[start : start + SLICE], metric, False)
+    step = sliced(g)
+    for start in range(0, len(q), step):
+        qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
         for s in range(q.subsets.shape[1]):
-            rows = np.nonzero(q.subsets[start : start + SLICE, s])[0]
+            rows = np.nonzero(q.subsets[start : start + step, s])[0]
             cols = np.nonzero(g.subsets[:, s])[0]
             if not len(rows) or not len(cols):
                 continue
@@ -230,8 +240,9 @@ def nearest_per_subset(q: Block, g: Block, metric: str):
 def worst_ratio(q: Block, g: Block):
     """Largest (scale_i + scale_j) / distance_ij over the other rows (cluster overlap)."""
     out = np.full(len(q), np.nan)
-    for start in range(0, len(q), SLICE):
-        rows = slice(start, start + SLICE)
+    step = sliced(g)
+    for start in range(0, len(q), step):
+        rows = slice(start, start + step)
         gaps, error = screen(q.matrix[rows], g.matrix, "euclidean")
         close = np.nonzero(gaps <= 1e6 * error[:, None])  # too near for the product: measured again
         gaps = np.sqrt(gaps)

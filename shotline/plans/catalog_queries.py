@@ -414,15 +414,33 @@ def x3(spark, d):
     return joined.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count("dims").alias("n_embedded"))
 
 
+LETTERS = 1 << 20  # characters counted together
+
+
 def letter_frequencies(texts):
-    """Stand-in embedder: relative letter frequencies of the whole texts, counted a batch at a time."""
+    """Stand-in embedder: relative letter frequencies of the whole texts, counted LETTERS characters at a time."""
     import numpy as np
 
-    low = [text.lower() for text in texts]
-    codes = np.frombuffer("".join(low).encode("utf-32-le"), dtype=np.uint32).astype(np.int64) - 97
-    row = np.repeat(np.arange(len(low)), [len(t) for t in low])
-    letter = (codes >= 0) & (codes < 26)
-    counts = np.bincount(row[letter] * 26 + codes[letter], minlength=26 * len(low)).reshape(-1, 26)
+    counts = np.zeros((len(texts), 26), dtype=np.int64)
+
+    def add(rows, parts):
+        codes = np.frombuffer("".join(parts).encode("utf-32-le"), dtype=np.uint32) - np.uint32(97)  # others wrap round
+        letter = codes < 26
+        part = np.repeat(np.arange(len(parts)), [len(t) for t in parts])[letter]
+        found = np.bincount(part * 26 + codes[letter], minlength=26 * len(parts)).reshape(-1, 26)
+        np.add.at(counts, rows, found)
+
+    rows, parts, held = [], [], 0
+    for row, text in enumerate(texts):
+        for at in range(0, len(text), LETTERS):
+            rows.append(row)
+            parts.append(text[at : at + LETTERS].lower())
+            held += len(parts[-1])
+            if held >= LETTERS:
+                add(rows, parts)
+                rows, parts, held = [], [], 0
+    if parts:
+        add(rows, parts)
     return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
 
 

@@ -242,3 +242,52 @@ def test_embeddings_do_not_depend_on_the_batch_size(spark, rows):
             letters = [c for c in text.lower() if "a" <= c <= "z"]
             want = [letters.count(chr(97 + j)) / max(len(letters), 1) for j in range(26)]
             assert got[i]["vec"] == pytest.approx(want, abs=1e-6)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_distances_in_memory_stay_below_cells(monkeypatch, metric):
+    """Fewer query rows meet a larger block; what is found does not depend on it."""
+    from shotline.functions import blocks
+
+    rng = np.random.default_rng(3)
+    side = lambda n: blocks.Block(np.arange(n), rng.choice(list("abc"), n).astype(object), np.round(rng.normal(size=(n, 4)), 1))
+    q, g = side(90), side(70)
+    q.scale, g.scale = np.ones(90), np.ones(70)
+    screen, shapes = blocks.screen, []
+
+    def seen(a, b, m):
+        shapes.append(len(a) * len(b))
+        return screen(a, b, m)
+
+    def found():
+        near = [np.concatenate(c) for c in zip(*blocks.top_k(q, g, 5, metric))]
+        least = [np.concatenate(c) for c in zip(*(f[1:] for f in blocks.same_and_other(q, g, metric)))]
+        far = [np.concatenate(c) for c in zip(*blocks.farthest(q, g, metric))]
+        return [*near, *least, *far, blocks.worst_ratio(q, g)]
+
+    monkeypatch.setattr(blocks, "screen", seen)
+    whole = found()
+    shapes.clear()
+    monkeypatch.setattr(blocks, "CELLS", 700)
+    cut = found()
+    assert max(shapes) <= 700
+    for a, b in zip(whole, cut):
+        np.testing.assert_allclose(a, b, rtol=1e-12)
+
+
+def test_letters_are_counted_in_bounded_runs(monkeypatch):
+    import tracemalloc
+
+    from shotline.plans import catalog_queries
+
+    texts = ["", "aAb", "Ünï 7", "zz" * 40, "É" * 9, "abc" * 5]
+    whole = catalog_queries.letter_frequencies(texts)
+    assert whole[1].tolist()[:2] == pytest.approx([2 / 3, 1 / 3]) and whole[0].sum() == 0 and whole[3][25] == 1
+    large = ["abcdefgh" * 125_000] * 20
+    tracemalloc.start()
+    got = catalog_queries.letter_frequencies(large)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:, :8] == pytest.approx(1 / 8) and peak < 120e6
+    monkeypatch.setattr(catalog_queries, "LETTERS", 7)
+    np.testing.assert_array_equal(whole, catalog_queries.letter_frequencies(texts))
