@@ -173,3 +173,18 @@ def test_frames_wait_as_one_entry_a_batch(spark, tmp_path):
     stream = feed(spark, str(tmp_path / "in"), batches)
     found = drain(detect_events(stream, 2, 2, THRESHOLD, delay="1 hour", gap_ms=1000)).where("video_id = 1").collect()
     assert [(r["n_frames"], r["n_hits"], r["confidence_level"]) for r in found] == [(2, 2, None)]
+
+
+def test_frames_without_a_video_stay_apart(spark, tmp_path):
+    """They follow each other like those of one video and take no frames from videos of their batch."""
+    rows = random_frames(3, seed=8)
+    videos = sorted({r[0] for r in rows})
+    nameless = [(None, *r[1:]) if r[0] == videos[0] else tuple(r) for r in rows]
+    stream = feed(spark, str(tmp_path / "in"), [timed(nameless[::2]), timed(nameless[1::2])])
+    got = drain(detect_events(stream, 2, 2, THRESHOLD, delay="1 hour", gap_ms=1000)).collect()
+    members = events.sliding_members(spark.createDataFrame(rows, SCHEMA), 2, 2, THRESHOLD)
+    want = events.sliding_events(members).collect()
+    pick = lambda r, own: (own, r["species"], r["representative_frame_idx"], r["ambiguous"], r["n_frames"], r["n_hits"])
+    named = lambda v: None if v == videos[0] else v
+    key = lambda r: tuple(map(str, r))
+    assert sorted((pick(r, r["video_id"]) for r in got), key=key) == sorted((pick(r, named(r["video_id"])) for r in want), key=key)
