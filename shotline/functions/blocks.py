@@ -11,6 +11,7 @@ EPS = float(np.finfo(float).eps)
 PRECISION = 10  # decimals kept before ranking, so that equal vectors tie exactly
 SLICE = 512  # query rows per matrix product, at most
 CELLS = 1 << 20  # distances per matrix product, at most: fewer query rows meet a large gallery block
+CACHED = 1 << 14  # distances summed together, component by component
 PAIRS = 200_000  # pairs per exact re-computation
 
 
@@ -99,8 +100,14 @@ def screen(q: np.ndarray, g: np.ndarray, metric: str) -> tuple[np.ndarray, np.nd
     dims = q.shape[1] + 8
     if metric == "manhattan":
         total = np.zeros((len(q), len(g)))
-        for j in range(q.shape[1]):
-            total += np.abs(q[:, j, None] - g[None, :, j])
+        columns = np.ascontiguousarray(g.T)
+        step = max(1, CACHED // max(1, len(g)))
+        for start in range(0, len(q), step):  # few rows at a time: sums and differences stay in the cache
+            sums, rows = total[start : start + step], q[start : start + step]
+            gaps = np.empty_like(sums)
+            for j in range(q.shape[1]):
+                np.subtract(rows[:, j, None], columns[j], out=gaps)
+                sums += np.abs(gaps, out=gaps)
         return total, EPS * dims * total.max(1, initial=0.0)
     q2, g2 = (q * q).sum(1), (g * g).sum(1)
     longest = g2.max(initial=0.0)
@@ -157,7 +164,7 @@ def top_k(q: Block, g: Block, k: int, metric: str):
         qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
         if len(g) > k:
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            kth = rough.min(1) if k == 1 else np.partition(rough, k - 1, axis=1)[:, k - 1]
             rows, cols = np.nonzero(candidates(rough, kth, error, metric))
         else:
             rows, cols = np.nonzero(np.ones_like(rough, dtype=bool))

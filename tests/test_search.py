@@ -1,8 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shotline.functions import vectors
+from shotline.functions import blocks, vectors
 from shotline.operators import cascade, centroid, pruned, search
 from shotline.sources.embeddings import embed_missing, embedding_status, load_embeddings
 
@@ -291,3 +293,15 @@ def test_letters_are_counted_in_bounded_runs(monkeypatch):
     assert got[:, :8] == pytest.approx(1 / 8) and peak < 120e6
     monkeypatch.setattr(catalog_queries, "LETTERS", 7)
     np.testing.assert_array_equal(whole, catalog_queries.letter_frequencies(texts))
+
+
+def test_manhattan_screen_needs_little_beside_its_result():
+    rng = np.random.default_rng(5)
+    q, g = rng.normal(size=(300, 16)), rng.normal(size=(2000, 16))
+    tracemalloc.start()
+    found, error = blocks.screen(q, g, "manhattan")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    naive = np.abs(q[:, None, :] - g[None, :, :]).sum(2)
+    assert (np.abs(found - naive) <= error[:, None]).all()
+    assert peak < 2 * found.nbytes  # differences of all pairs at once would be as large as the result, twice
