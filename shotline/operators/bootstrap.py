@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shotline.functions.digests import leading_numbers
 from shotline.operators import draws
 from shotline.operators.scan import running
 from shotline.session import lookup, materialize
@@ -23,6 +25,10 @@ from shotline.session import lookup, materialize
 SLOTS = 65_536  # hashed draws made by one task row
 BELOW = 8  # levels of the tree below a task: 256 cells
 BLOCK = 250  # iterations drawn together
+DRAWN = 1 << 19  # draws held at once
+HASHES = 1 << 25  # hashed draws of one task of ``hash_cells``, or one iteration
+CLASS_CELLS, CLASS_ITEMS = 65_536, 1 << 24  # a larger class is drawn by joins
+TASKS = 1_000  # partitions that draws are dealt over, at most
 
 
 def joint_cells(predictions: DataFrame, series: list[str]) -> DataFrame:
@@ -52,8 +58,8 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     Slot i of a class draws a position below its size; positions number the items
     of the class in cell order. Slots are generated in bounded runs and found
     again by an equi-join on (class, position), so a large class is spread over
-    many tasks. The work is iterations times items; ``tree_cells`` is the
-    plan for large inputs.
+    many tasks. The work is iterations times items, and so are the rows of the join; ``hash_cells``
+    counts the same draws inside tasks, ``tree_cells`` draws cells instead of items.
     """
     groups = cells.groupBy("y_true").agg(F.sum("n").alias("n_class"))
     runs = groups.select(
@@ -98,6 +104,64 @@ def hash_draws(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     )
 
 
+def hash_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
+    """Confusion cells of the resamples of ``hash_draws``: (iteration, series, y_true, y_pred, n).
+
+    A task holds one class's cells and some iterations: it hashes the slots in numpy, finds the cell of
+    every drawn position and adds up by answer, so nothing that grows with the draws is
+    shuffled. Classes of more cells or items than a task may hold go through ``hash_draws``.
+    """
+    cells = cells.where("y_true IS NOT NULL")
+    coded, codes = _coded(cells)
+    sizes = cells.groupBy("y_true").agg(F.sum("n").alias("n_class"), F.count(F.lit(1)).alias("n_cells"))
+    sizes = materialize(sizes.withColumn("held", (F.col("n_cells") <= CLASS_CELLS) & (F.col("n_class") <= CLASS_ITEMS)))
+    counts = sizes.agg(F.sum(F.when(F.col("held"), F.col("n_class"))).alias("held"), F.count_if(~F.col("held")).alias("large")).first()
+    held = lookup(sizes.where("held").select("y_true", "n_class"))
+    placed = placed_cells(cells.select("y_true", "cell", "n").join(held.select("y_true"), "y_true", "left_semi"))
+    step = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(HASHES) / F.col("n_class")))).cast("int")
+    tasks = (
+        placed.join(coded, ["y_true", "cell"], "left")
+        .join(held, "y_true")
+        .select("y_true", "n_class", "n", "upto", "codes", step.alias("step"))
+        .withColumn("first", F.explode(F.expr(f"sequence(0, {iterations - 1}, step)")))
+    )
+
+    def draw(task: pa.Table) -> pa.Table:
+        row = task.select(["y_true", "n_class", "step", "first"]).slice(0, 1).to_pylist()[0]
+        codes_of = task.column("codes").combine_chunks().fill_null([])
+        width = np.diff(codes_of.offsets.to_numpy())
+        names, where = np.unique(codes_of.flatten().to_numpy(), return_inverse=True)
+        owner = np.repeat(np.arange(len(width)), width)
+        ends, n = task.column("upto").to_numpy(), task.column("n").to_numpy()
+        order = np.argsort(ends)
+        cell_at = np.repeat(order.astype(np.uint16), n[order])
+        found = []
+        n_class, n_cells, stop = row["n_class"], len(n), min(row["first"] + row["step"], iterations)
+        together = max(1, DRAWN // max(min(n_class, SLOTS), n_cells))
+        for start in range(row["first"], stop, together):
+            rounds = range(start, min(start + together, stop))
+            times = np.zeros(len(rounds) * n_cells, dtype=np.int64)
+            base = np.arange(len(rounds))[:, None] * n_cells
+            for at in range(0, n_class, SLOTS):
+                number = leading_numbers(f"{seed}~", rounds, f"~{row['y_true']}~", at, min(at + SLOTS, n_class))
+                drawn = cell_at[number % np.uint32(n_class)] + base
+                times += np.bincount(drawn.ravel(), minlength=len(times))
+            for iteration, each in zip(rounds, times.reshape(-1, n_cells)):
+                total = np.bincount(where, each[owner], len(names)).astype(np.int64)  # whole numbers below 2**53: exact
+                column = np.nonzero(total)[0]
+                found.append((np.full(len(column), iteration, dtype=np.int32), names[column], total[column]))
+        columns = [np.concatenate(c) for c in zip(*found)]
+        return pa.table(dict(zip(("iteration", "code", "n"), columns)))
+
+    n_tasks = (counts["held"] or 0) * iterations // HASHES + held.count() * (iterations // BLOCK + 1)
+    dealt = tasks.repartition(max(1, min(TASKS, n_tasks)), "y_true", "first").groupBy("y_true", "first")
+    out = _named(dealt.applyInArrow(draw, "iteration int, code bigint, n bigint"), codes)
+    if counts["large"]:
+        large = cells.join(lookup(sizes.where("NOT held").select("y_true")), "y_true", "left_semi")
+        out = out.unionByName(resampled_cells(hash_draws(large, iterations, seed), large))
+    return out
+
+
 def tree_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
     """Confusion cells of resamples drawn through a tree: (iteration, series, y_true, y_pred, n).
 

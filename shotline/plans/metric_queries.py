@@ -1133,8 +1133,7 @@ def joint(spark, d):
 
 
 def _cells_of(spark, d):
-    cells_of = joint(spark, d)
-    return bootstrap.resampled_cells(bootstrap.hash_draws(cells_of, ITERATIONS, 29), cells_of)
+    return bootstrap.hash_cells(joint(spark, d), ITERATIONS, 29)
 
 
 def _scores(spark, d):

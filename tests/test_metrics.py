@@ -1,3 +1,4 @@
+import hashlib
 import math
 from fractions import Fraction
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shotline.functions.digests import leading_numbers
 from shotline.operators import bootstrap, calibrate, draws, leaderboard, metrics, openset, splits, taxonomy
 
 TRUE = list("aaaaabbbbccc")
@@ -155,6 +157,32 @@ def test_bootstrap_plans_agree_and_cover_the_point(spark, monkeypatch):
         assert a["ci_width"] == pytest.approx(b["ci_width"], rel=0.35)
 
 
+def _uneven_predictions(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(700):
+        truth = "hot" if rng.random() < 0.7 else str(rng.choice(list("xy")))
+        rows += [(i, truth, "s", c, str(rng.choice([truth, "w", "z"]))) for c in ("c1", "c2", "c3")]
+    rows += [(0, "hot", "s", "c1", "w"), (None, "x", "s", "c1", "x"), (None, "x", "s", "c2", "x")]  # a repeated answer, items without id
+    rows += [(900, "x", "s", "c1", None), (900, "x", "s", "c2", "x"), (901, "y", "s", "c1", None), (902, None, "s", "c1", "x")]
+    return spark.createDataFrame(rows, "item_id bigint, y_true string, model string, classifier string, y_pred string")
+
+
+@pytest.mark.parametrize("limits", [{}, {"SLOTS": 64, "DRAWN": 200, "HASHES": 900}, {"CLASS_CELLS": 12}, {"CLASS_ITEMS": 300}])
+def test_hashed_draws_inside_tasks_equal_the_joined_ones(spark, monkeypatch, limits):
+    joint = bootstrap.joint_cells(_uneven_predictions(spark), ["model", "classifier"]).cache()
+    joined = bootstrap.resampled_cells(bootstrap.hash_draws(joint, 23, 29), joint).collect()
+    for name, value in limits.items():
+        monkeypatch.setattr(bootstrap, name, value)
+    assert sorted(map(tuple, bootstrap.hash_cells(joint, 23, 29).collect())) == sorted(map(tuple, joined))
+
+
+def test_numbered_texts_are_hashed_like_md5():
+    for head, middle in (("29~", "~sp1~"), ("", "~" + "é" * 40 + "~"), ("x" * 54, ""), ("", "x" * 130)):
+        want = [[int(hashlib.md5(f"{head}{r}{middle}{i}".encode()).hexdigest()[:8], 16) for i in range(98, 1003)] for r in range(8, 12)]
+        assert leading_numbers(head, range(8, 12), middle, 98, 1003).tolist() == want
+
+
 def test_bootstrap_of_no_predictions(spark):
     preds = spark.createDataFrame([], "item_id bigint, y_true string, model string, classifier string, y_pred string")
     assert bootstrap.tree_cells(bootstrap.joint_cells(preds, ["model", "classifier"]), 10, 29).isEmpty()
