@@ -34,12 +34,20 @@ TASKS = 1_000  # partitions that draws are dealt over, at most
 def joint_cells(predictions: DataFrame, series: list[str]) -> DataFrame:
     """Cells (y_true, cell, answers, n): the answers of all series, as text and as an array.
 
-    Items with the same true label and the same answers are one cell.
+    Items with the same true label and the same answers are one cell. Items are told apart by sums of
+    hashes of their answers (128 bits), which need no lists; one item of each kind is then read for its answers.
     """
+    hashes = [F.xxhash64(F.lit(i), *series, "y_pred") for i in range(2)]
+    halves = [half for h in hashes for half in (h.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(h, 32))]
+    marks = [f"_h{i}" for i in range(len(halves))]
+    items = predictions.groupBy("item_id", "y_true").agg(*[F.sum(half).alias(m) for half, m in zip(halves, marks)])
+    kinds = items.groupBy("y_true", *marks).agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n"))
+    kinds = lookup(kinds.select(F.col("item_id").alias("_i"), F.col("y_true").alias("_y"), "n"))
+    same = F.col("item_id").eqNullSafe(F.col("_i")) & F.col("y_true").eqNullSafe(F.col("_y"))
     answer = F.struct(F.concat_ws("|", *series).alias("series"), F.col("y_pred"))
-    items = predictions.groupBy("item_id", "y_true").agg(F.array_sort(F.collect_list(answer)).alias("answers"))
+    shown = predictions.join(kinds, same).groupBy("item_id", "y_true", "n").agg(F.array_sort(F.collect_list(answer)).alias("answers"))
     text = F.array_join(F.transform("answers", lambda a: F.concat(a["series"], F.lit("="), a["y_pred"])), ",")
-    return items.groupBy("y_true", text.alias("cell")).agg(F.first("answers").alias("answers"), F.count(F.lit(1)).alias("n"))
+    return shown.groupBy("y_true", text.alias("cell")).agg(F.first("answers").alias("answers"), F.sum("n").alias("n"))
 
 
 def placed_cells(cells: DataFrame) -> DataFrame:
@@ -227,7 +235,9 @@ def tree_cells(cells: DataFrame, iterations: int, seed: int) -> DataFrame:
                 at, column = np.nonzero(n)
                 yield pd.DataFrame({"iteration": rounds[at], "code": names[column], "n": n[at, column]})
 
-    spread = tasks.repartition("y_true", "part", "block")
+    # a stated number: left to sizes, many draws of few bytes would be put into one task
+    n_tasks = parts.count() * ((iterations - 1) // BLOCK + 1)
+    spread = tasks.repartition(max(1, min(TASKS, n_tasks)), "y_true", "part", "block")
     counted = spread.mapInPandas(draw, "iteration int, code bigint, n bigint")
     return _named(counted.groupBy("iteration", "code").agg(F.sum("n").alias("n")), codes)
 

@@ -168,6 +168,18 @@ def _uneven_predictions(spark):
     return spark.createDataFrame(rows, "item_id bigint, y_true string, model string, classifier string, y_pred string")
 
 
+def test_joint_cells_are_those_of_listed_answers(spark):
+    preds = _uneven_predictions(spark)
+    answers, n = {}, {}
+    for r in preds.collect():
+        answers.setdefault((r.item_id, r.y_true), []).append((f"{r.model}|{r.classifier}", r.y_pred))
+    for (_, truth), given in answers.items():
+        cell = ",".join(f"{s}={p}" for s, p in sorted(given, key=lambda x: (x[0], x[1] or "")) if p is not None)
+        n[truth, cell] = n.get((truth, cell), 0) + 1
+    got = bootstrap.joint_cells(preds, ["model", "classifier"]).collect()
+    assert {(r.y_true, r.cell): r.n for r in got} == n and len(got) == len(n)
+
+
 @pytest.mark.parametrize("limits", [{}, {"SLOTS": 64, "DRAWN": 200, "HASHES": 900}, {"CLASS_CELLS": 12}, {"CLASS_ITEMS": 300}])
 def test_hashed_draws_inside_tasks_equal_the_joined_ones(spark, monkeypatch, limits):
     joint = bootstrap.joint_cells(_uneven_predictions(spark), ["model", "classifier"]).cache()
@@ -183,6 +195,12 @@ def test_numbered_texts_are_hashed_like_md5():
         assert leading_numbers(head, range(8, 12), middle, 98, 1003).tolist() == want
 
 
+def test_draws_of_a_tree_are_not_put_into_one_task(spark):
+    drawn = bootstrap.tree_cells(bootstrap.joint_cells(_uneven_predictions(spark), ["model", "classifier"]), 1000, 29)
+    # a partitioning by columns alone may be merged by size; a stated number stays
+    assert "REPARTITION_BY_NUM" in drawn._jdf.queryExecution().toString()
+
+
 def test_bootstrap_of_no_predictions(spark):
     preds = spark.createDataFrame([], "item_id bigint, y_true string, model string, classifier string, y_pred string")
     assert bootstrap.tree_cells(bootstrap.joint_cells(preds, ["model", "classifier"]), 10, 29).isEmpty()
