@@ -10,9 +10,9 @@ import pyarrow as pa
 EPS = float(np.finfo(float).eps)
 PRECISION = 10  # decimals kept before ranking, so that equal vectors tie exactly
 SLICE = 512  # query rows per matrix product, at most
-CELLS = 1 << 20  # distances per matrix product, at most: fewer query rows meet a large gallery block
+CELLS = 1 << 18  # distances per matrix product, at most: fewer query rows meet a large gallery block
 CACHED = 1 << 14  # distances summed together, component by component
-PAIRS = 200_000  # pairs per exact re-computation
+NUMBERS = 1 << 20  # components gathered per exact re-computation, at most
 
 
 @dataclass
@@ -133,8 +133,9 @@ def candidates(rough: np.ndarray, bound: np.ndarray, error: np.ndarray, metric:
 def paired(q: np.ndarray, g: np.ndarray, rows: np.ndarray, cols: np.ndarray, metric: str) -> np.ndarray:
     """Exact distances of chosen pairs, rounded for ranking."""
     out = np.empty(len(rows))
-    for start in range(0, len(rows), PAIRS):
-        part = slice(start, start + PAIRS)
+    step = max(1, NUMBERS // max(1, q.shape[1]))
+    for start in range(0, len(rows), step):
+        part = slice(start, start + step)
         a, b = q[rows[part]], g[cols[part]]
         if metric.startswith("cosine"):
             out[part] = 1.0 - np.einsum("ij,ij->i", a, b)
@@ -150,11 +151,12 @@ def sliced(g: Block) -> int:
     return max(1, min(SLICE, CELLS // max(1, len(g))))
 
 
-def top_k(q: Block, g: Block, k: int, metric: str):
+def top_k(q: Block, g: Block, k: int, metric: str, reach: np.ndarray | None = None):
     """Yield (query rows, gallery rows, distance, rank) of the k nearest, ties by id.
 
     ``g`` must be sorted by id. The matrix product only screens; everything within its
-    error of the k-th value is measured again exactly.
+    error of the k-th value is measured again exactly. ``reach`` is the k-th distance of each query
+    in rows seen before (infinite if there are fewer): where all are known, rows beyond it are left out.
     """
     if len(q) == 0 or len(g) == 0:
         return
@@ -163,7 +165,10 @@ def top_k(q: Block, g: Block, k: int, metric: str):
     for start in range(0, len(q), step):
         qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
-        if len(g) > k:
+        seen = None if reach is None else reach[start : start + step]
+        if seen is not None and np.isfinite(seen).all():
+            rows, cols = np.nonzero(candidates(rough, seen**2 if metric.startswith("euclidean") else seen, error, metric))
+        elif len(g) > k:
             kth = rough.min(1) if k == 1 else np.partition(rough, k - 1, axis=1)[:, k - 1]
             rows, cols = np.nonzero(candidates(rough, kth, error, metric))
         else:
@@ -181,14 +186,18 @@ def same_and_other(q: Block, g: Block, metric: str):
     """Yield (start, nearest distance with equal label, nearest with another label)."""
     gm = prepared(g.matrix, metric, True)
     step = sliced(g)
+    # equal labels have equal numbers; a null label equals none but null
+    codes: dict = {}
+    given = np.array([codes.setdefault(x, len(codes)) for x in g.labels], np.int32)
+    asked = np.array([codes.get(x, -1) for x in q.labels], np.int32)
     for start in range(0, len(q), step):
-        labels = q.labels[start : start + step]
+        labels = asked[start : start + step]
         if len(g) == 0:
             yield start, np.full(len(labels), np.nan), np.full(len(labels), np.nan)
             continue
         qm = prepared(q.matrix[start : start + step], metric, False)
         rough, error = screen(qm, gm, metric)
-        same = labels[:, None] == g.labels[None, :]
+        same = labels[:, None] == given[None, :]
         yield start, *(least(qm, gm, np.where(side, rough, np.inf), error, metric) for side in (same, ~same))
 
 

@@ -33,6 +33,7 @@ from shotline.session import lookup, materialize, side_by_side
 PIVOTS = 32
 RINGS = 256
 RUN = 64  # gallery blocks in a task
+TASKS = 2_048  # partitions that runs are dealt over, at most
 PIECE = 4_096  # gallery rows compared together
 METRICS = ("euclidean", "euclidean_l2norm", "cosine", "manhattan")
 FAR = float("inf")
@@ -120,11 +121,14 @@ def _meet(queries: DataFrame, gallery: DataFrame, pairs: DataFrame, k: int, metr
     runs = pairs.withColumn("run", F.floor((F.row_number().over(order) - 1) / RUN))
     runs = materialize(runs.select("qb", "gb", "run"))
     names = ["item_id", "species", "vec"]
-    asked = queries.join(lookup(runs.select("qb", "run").distinct()), F.col("block") == F.col("qb"))
+    own = materialize(runs.select("qb", "run").distinct())
+    # a number that is asked for is kept: runs are few and cost much, their bytes would put them in one task
+    tasks = min(TASKS, 2 * own.count() + 1)
+    asked = queries.join(lookup(own), F.col("block") == F.col("qb"))
     given = gallery.join(lookup(runs), F.col("block") == F.col("gb"))
     rows = asked.select("qb", "run", F.lit(0).alias("side"), *names)
     rows = rows.unionByName(given.select("qb", "run", F.lit(1).alias("side"), *names))
-    rows = rows.repartition("qb", "run").sortWithinPartitions("qb", "run", "side")
+    rows = rows.repartition(tasks, "qb", "run").sortWithinPartitions("qb", "run", "side")
 
     def finish(q: pa.Table, best) -> pa.RecordBatch:
         picked, ids, labels, dist = best
@@ -140,7 +144,11 @@ def _meet(queries: DataFrame, gallery: DataFrame, pairs: DataFrame, k: int, metr
 
     def offer(q: blocks.Block, g: pa.Table, best):
         block = blocks.by_id(blocks.block(g))
-        found = list(blocks.top_k(q, block, k, metric))
+        reach = np.full(len(q), FAR)
+        if best is not None:  # sorted by query and distance, k rows a query at most
+            last = np.flatnonzero(np.arange(len(best[0])) - np.searchsorted(best[0], best[0], side="left") == k - 1)
+            reach[best[0][last]] = best[3][last]
+        found = list(blocks.top_k(q, block, k, metric, reach))
         if not found:
             return best
         cols = np.concatenate([f[1] for f in found])

@@ -305,3 +305,52 @@ def test_manhattan_screen_needs_little_beside_its_result():
     naive = np.abs(q[:, None, :] - g[None, :, :]).sum(2)
     assert (np.abs(found - naive) <= error[:, None]).all()
     assert peak < 2 * found.nbytes  # differences of all pairs at once would be as large as the result, twice
+
+
+def peak(run):
+    tracemalloc.start()
+    run()
+    used = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return used
+
+
+def random_block(rng, n, dims=64):
+    return blocks.Block(np.arange(n), np.array([f"sp{i % 10}" for i in range(n)], object), rng.normal(size=(n, dims)))
+
+
+def test_memory_of_a_comparison_is_bounded():
+    rng = np.random.default_rng(2)
+    q, g = random_block(rng, 600), random_block(rng, 16_384)
+    prepared = blocks.prepared(g.matrix, "cosine", True).nbytes  # one copy of the gallery block
+    assert peak(lambda: list(blocks.same_and_other(q, g, "cosine"))) < prepared * 2 + (16 << 20)
+    assert peak(lambda: list(blocks.top_k(q, g, 5, "cosine"))) < prepared * 2 + (16 << 20)
+    some = rng.integers(0, 600, 150_000)
+    assert peak(lambda: blocks.paired(q.matrix, g.matrix, some, some, "cosine")) < 48 << 20
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean", "manhattan"])
+def test_rows_beyond_what_was_seen_are_left_out_and_none_within(monkeypatch, metric):
+    rng = np.random.default_rng(9)
+    q, g = random_block(rng, 40, 6), random_block(rng, 500, 6)
+    g.matrix[300:340] = g.matrix[7]  # ties with rows seen before
+    full = distances(q.matrix, g.matrix, metric)
+    reach = np.sort(full[:, :250], 1)[:, 3]
+    late = blocks.Block(g.ids[250:], g.labels[250:], g.matrix[250:])
+    found = list(blocks.top_k(q, late, 4, metric, reach))
+    got = {(int(i), int(j)) for f in found for i, j in zip(f[0], f[1])}
+    want = {(i, int(j)) for i in range(40) for j in np.lexsort((np.arange(250), full[i, 250:]))[:4] if full[i, 250 + j] <= reach[i]}
+    assert want <= got and len(got) < 40 * 4
+
+
+def test_labels_compare_by_value_and_null_only_to_null():
+    rng = np.random.default_rng(3)
+    q, g = random_block(rng, 6), random_block(rng, 9)
+    q.labels[:] = ["a", None, "b", "x", None, "a"]
+    g.labels[:] = ["a", "a", None, "b", "b", None, "c", "c", "c"]
+    full = distances(q.matrix, g.matrix, "cosine")
+    (_, same, other), = blocks.same_and_other(q, g, "cosine")
+    for i in range(6):
+        own = np.array([x == q.labels[i] for x in g.labels])
+        assert np.isnan(same[i]) if not own.any() else same[i] == pytest.approx(full[i, own].min(), abs=1e-9)
+        assert other[i] == pytest.approx(full[i, ~own].min(), abs=1e-9)
