@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shotline.functions.vectors import dot
 from shotline.operators import cascade, centroid, search
-from shotline.session import lookup, shared_root
+from shotline.session import lookup, materialize, shared_root
 
 Classifier = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -31,19 +32,44 @@ def nearest_mean(gallery: DataFrame, queries: DataFrame) -> DataFrame:
     return by_item.select("item_id", "y_true", top[0].alias("y_pred"), top.alias("top"))
 
 
-def knn(k: int) -> Classifier:
-    """Majority vote; ``top`` orders the labels among the neighbours by their share of votes."""
+@dataclass(frozen=True)
+class Knn:
+    """Majority vote of ``k``; ``top`` orders the labels among the neighbours by their share of votes."""
 
-    def run(gallery: DataFrame, queries: DataFrame) -> DataFrame:
-        near = search.nearest(queries, gallery, k)
-        votes = cascade.majority_vote(near, [k]).select("item_id", F.col("species").alias("y_true"), "y_pred")
+    k: int
+
+    def __call__(self, gallery: DataFrame, queries: DataFrame) -> DataFrame:
+        return self.vote(search.nearest(queries, gallery, self.k))
+
+    def vote(self, near: DataFrame) -> DataFrame:
+        """The answers from neighbours found before, ``k`` or more of each item."""
+        near = near.where(F.col("rank") <= self.k)
+        votes = cascade.majority_vote(near, [self.k]).select("item_id", F.col("species").alias("y_true"), "y_pred")
         shares = near.groupBy("item_id", "neighbour").agg(F.count(F.lit(1)).alias("n"))
         order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "neighbour")))
         ranked = shares.groupBy("item_id").agg(F.slice(F.transform(order, lambda x: x["neighbour"]), 1, TOP).alias("_t"))
         first = F.concat(F.array("y_pred"), F.array_remove("_t", F.col("y_pred")))
         return votes.join(ranked, "item_id").select("item_id", "y_true", "y_pred", first.alias("top"))
 
-    return run
+
+def knn(k: int) -> Classifier:
+    return Knn(k)
+
+
+def sharing(known: dict[str, Classifier]) -> dict[str, Classifier]:
+    """The classifiers for one set of rows: the neighbours, of the largest k, are searched and stored once for all k."""
+    ks = [c.k for c in known.values() if isinstance(c, Knn)]
+    kept: list[DataFrame] = []
+
+    def voting(one: Knn) -> Classifier:
+        def run(gallery: DataFrame, queries: DataFrame) -> DataFrame:
+            if not kept:
+                kept.append(materialize(search.nearest(queries, gallery, max(ks))))
+            return one.vote(kept[0])
+
+        return run
+
+    return {name: voting(c) if isinstance(c, Knn) else c for name, c in known.items()}
 
 
 ROWS_PER_PARTITION = 20_000

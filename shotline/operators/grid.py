@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotline.operators import metrics
-from shotline.operators.classifiers import REGISTRY, Classifier, evaluate
+from shotline.operators.classifiers import REGISTRY, Classifier, evaluate, sharing
 from shotline.session import materialize, side_by_side
 
 PAIR = ["model", "classifier"]
@@ -67,19 +67,20 @@ def run_grid(
     ``models`` maps a name to its rows (item_id, species, split, vec). A pair that fails does
     not keep the others from running.
     """
-    names = list({**REGISTRY, **(own or {})}) if names is None else names
+    known = {**REGISTRY, **(own or {})}
+    names = list(known) if names is None else names
     ran, failed = [], []
     for model, rows in models.items():
         spark = rows.sparkSession
         held = rows.where(F.col("split") != "gallery").count()
         kind = rows.schema["item_id"].dataType.simpleString()
         done = set() if force else finished(spark, path, {model: held})
-        for name in names:
-            if (model, name) in done:
-                continue
+        wanted = [name for name in names if (model, name) not in done]
+        of_model = sharing({name: known[name] for name in wanted if name in known})
+        for name in wanted:
             start = time.perf_counter()
             try:
-                found = evaluate(rows, model, [name], own=own, top=True)
+                found = evaluate(rows, model, [name], own=of_model, top=True)
                 found = found.select(F.col("item_id").cast(kind), "y_true", "y_pred", "top", *PAIR)
                 _replace(found, f"{path}/predictions")
             except PySparkException as error:

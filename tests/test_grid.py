@@ -90,3 +90,15 @@ def test_forest_answers_are_the_sum_of_its_trees(spark):
     given = {r.item_id: r.y_pred for r in classifiers.model_labels(model, labels, rows).collect()}
     assert len(out) == 60
     assert all(r.trees == 9 and abs(sum(r.votes) - 9) < 1e-9 and r.y_votes == r.y_pred == given[r.item_id] for r in out)
+
+
+def test_neighbours_are_searched_once_a_model_for_every_k(spark, tmp_path, monkeypatch):
+    data, path, names = cloud(spark, 5, 90), f"{tmp_path}/grid", ["KNN (k=1)", "KNN (k=3)", "KNN (k=5)"]
+    data = data.withColumn("split", F.when(F.col("item_id") % 3 == 0, "gallery").otherwise("query"))
+    alone = {tuple(map(str, r)) for r in classifiers.evaluate(data, "a", names, top=True).collect()}
+    asked, search = [], classifiers.search.nearest
+    monkeypatch.setattr(classifiers.search, "nearest", lambda q, g, k, **more: asked.append(k) or search(q, g, k, **more))
+    grid.run_grid({"a": data}, path, names)
+    assert asked == [5]
+    stored = grid.predictions(spark, path).select("model", "classifier", "item_id", "y_true", "y_pred", "top")
+    assert {tuple(map(str, r)) for r in stored.collect()} == alone and len(alone) == 180
