@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
@@ -12,7 +14,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from shotline.functions import blocks
 from shotline.functions.vectors import dot
 from shotline.operators import cascade, centroid, search
 from shotline.session import lookup, materialize, shared_root
@@ -21,6 +25,7 @@ Classifier = Callable[[DataFrame, DataFrame], DataFrame]
 
 
 TOP = 5  # labels listed in ``top``
+VOTED = 256  # rows whose leaves are added up together
 
 
 def nearest_mean(gallery: DataFrame, queries: DataFrame) -> DataFrame:
@@ -246,16 +251,40 @@ def forest_leaves(model: Model, spark) -> DataFrame:
 
 
 def forest_votes(model: Model, labels: list[str], queries: DataFrame) -> DataFrame:
-    """(item_id, y_true, y_pred, trees, votes, y_votes): the forest's answer and what its trees' leaves add up to."""
+    """(item_id, y_true, y_pred, trees, votes, y_votes): the forest's answer and what its trees' leaves add up to.
+
+    The leaves of the model, as many as it has whatever the rows, go to every task; a row adds up its own there.
+    """
+    spark = queries.sparkSession
+    table = forest_leaves(model, spark).toArrow()
+    tree, leaf = (table.column(c).to_numpy() for c in ("tree", "leaf"))
+    shares = np.full((tree.max() + 1, leaf.max() + 1, len(labels)), np.nan)  # nan: no such leaf
+    shares[tree, leaf] = blocks.vectors(table.column("share"))
+    shared = spark.sparkContext.broadcast(shares)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = np.arange(len(shared.value))
+        for whole in batches:
+            for at in range(0, whole.num_rows, VOTED):
+                batch = whole.slice(at, VOTED)
+                each = shared.value[place, blocks.vectors(batch.column("leaves")).astype(int)]
+                met = ~np.isnan(each).any(2)
+                votes = np.nansum(each, 1)
+                offsets = pa.array(np.arange(len(votes) + 1, dtype=np.int32) * votes.shape[1])
+                lists = pa.ListArray.from_arrays(offsets, pa.array(votes.ravel()))
+                columns = [*(batch.column(c) for c in ("item_id", "y_true", "y_pred")), pa.array(met.sum(1)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["item_id", "y_true", "y_pred", "met", "share"])
+
     scored = model.copy().setLeafCol("leaves").transform(_as_features(queries))
     names = F.array(*[F.lit(name) for name in labels])
     rows = scored.select(
         "item_id", F.col("species").alias("y_true"), F.get(names, F.col("prediction").cast("int")).alias("y_pred"),
-        F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"),
-    ).withColumn("leaf", F.col("leaf").cast("int"))
-    met = rows.join(lookup(forest_leaves(model, queries.sparkSession)), ["tree", "leaf"])
-    sums = met.groupBy("item_id", "y_true", "y_pred").agg(
-        F.countDistinct("tree").alias("trees"), vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("votes")
+        vector_to_array("leaves").alias("leaves"),
+    )
+    kinds = T.StructType([rows.schema[c] for c in ("item_id", "y_true", "y_pred")])
+    kinds = kinds.add("met", T.LongType()).add("share", T.ArrayType(T.DoubleType()))
+    sums = rows.mapInArrow(add, kinds).groupBy("item_id", "y_true", "y_pred").agg(
+        F.max("met").alias("trees"), vector_to_array(Summarizer.sum(array_to_vector("share"))).alias("votes")
     )
     first = F.array_position(F.transform("votes", lambda x: F.round(x, 9)), F.round(F.array_max("votes"), 9)) - 1
     return sums.withColumn("y_votes", F.get(names, first.cast("int")))

@@ -102,3 +102,13 @@ def test_neighbours_are_searched_once_a_model_for_every_k(spark, tmp_path, monke
     assert asked == [5]
     stored = grid.predictions(spark, path).select("model", "classifier", "item_id", "y_true", "y_pred", "top")
     assert {tuple(map(str, r)) for r in stored.collect()} == alone and len(alone) == 180
+
+
+def test_forest_votes_make_no_row_a_tree(spark):
+    rows = cloud(spark, 6)
+    model, labels = classifiers.trained(lambda n: RandomForestClassifier(numTrees=9, maxDepth=3, seed=1), rows)
+    twice = rows.unionByName(rows.where("item_id < 10"))
+    out = classifiers.forest_votes(model, labels, twice)
+    assert "Generate" not in out._jdf.queryExecution().toString()
+    # equal rows of one item are added up, as before
+    assert {r.item_id: (r.trees, round(sum(r.votes))) for r in out.collect()} == {i: (9, 18 if i < 10 else 9) for i in range(60)}
