@@ -113,5 +113,5 @@ def cut_words(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, most: int = repeats.MOST) -> DataFrame:
     """doc_id, word counts, digest and kept text of every row of ``docs``."""
     spans = repeats.repeated_ranges(docs, WORDS, resolve, window, gram, "substrings", most)
-    rows = repeats.with_spans(docs, spans)
+    rows = repeats.with_spans(docs, spans, "substrings")
     return rows.select("doc_id", cut_words("text", "spans").alias("_c")).select("doc_id", "_c.*")

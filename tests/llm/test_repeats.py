@@ -5,8 +5,10 @@ from collections import Counter
 import numpy as np
 import pytest
 from cases import frame, prose, rows
+from pyspark.sql import functions as F
 
-from shotline.llm import substrings, suffixes
+from shotline.llm import repeats, substrings, suffixes
+from shotline.llm.common import Sieve
 
 
 def covered(symbols, times, window):
@@ -96,3 +98,61 @@ def test_spans_rebuild_the_text(spark):
 def test_empty_table(spark):
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("most", [64, 1 << 25])
+def test_sieve_parts_rows_and_loses_no_key(spark, most):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 7 > 0, F.col("id") % 5_000).alias("key"))
+    keys = spark.range(0, 5_000, 10).select(F.col("id").alias("key"))
+    sieve = Sieve(keys, ["key"], "sieve-test", most)
+    passed = {r.id: r.key for r in sieve.passing(rows).collect()}
+    failed = {r.id for r in sieve.failing(rows).collect()}
+    assert sieve.passing(rows).columns == ["id", "key"]
+    assert len(passed) + len(failed) == 20_000 and not failed & set(passed)
+    assert {i for i in range(20_000) if i % 7 and i % 5_000 % 10 == 0} <= set(passed)
+    assert sieve.words.count() <= most // 64
+    if most > 64:
+        assert len(passed) < 5_000
+
+
+def test_sieve_of_no_keys_passes_nothing(spark):
+    sieve = Sieve(spark.range(0), ["id"], "sieve-test")
+    assert sieve.passing(spark.range(9)).count() == 0 and sieve.failing(spark.range(9)).count() == 9
+
+
+def _plan(df):
+    return df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple").split("\n")
+
+
+def _exchanges(plan, source):
+    """The subtrees below hash exchanges that read ``source``."""
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    for i, line in enumerate(plan):
+        if "Exchange hashpartitioning" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth[j] <= depth[i]), len(plan))
+            tree = "\n".join(plan[i + 1 : below])
+            if source in tree:
+                yield tree
+
+
+@pytest.mark.parametrize("method, label", [(suffixes, "suffixes"), (substrings, "substrings")])
+def test_shuffles_follow_the_input(spark, monkeypatch, method, label):
+    """Small inputs take the joins that large ones take, and only texts that may have repeats are shuffled."""
+    plans, keep = {}, repeats.stored
+
+    def spy(df, name):
+        plans[name] = _plan(df)
+        return keep(df, name)
+
+    monkeypatch.setattr(repeats, "stored", spy)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        result = _plan(method.remove_repeats(frame(spark, cases())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in ("again", "spans"):
+        assert any("SortMergeJoin" in line for line in plans[f"{label}-{name}"]), name
+    for plan in (plans[f"{label}-shared"], result):
+        of_texts = [t for t in _exchanges(plan, "Scan ExistingRDD") if "xxhash64(1, text" in t]
+        assert of_texts and all("LeftSemi" in t for t in of_texts)
