@@ -151,7 +151,7 @@ def test_shuffles_follow_the_input(spark, monkeypatch, method, label):
         result = _plan(method.remove_repeats(frame(spark, cases())))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    for name in ("again", "spans"):
+    for name in ("kinds", "spans"):
         assert any("SortMergeJoin" in line for line in plans[f"{label}-{name}"]), name
     for plan in (plans[f"{label}-shared"], result):
         of_texts = [t for t in _exchanges(plan, "Scan ExistingRDD") if "xxhash64(1, text" in t]
