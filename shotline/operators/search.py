@@ -7,7 +7,8 @@ the same answer:
   the queries are scanned without any shuffle;
 * otherwise ``pruned`` cuts both sides around pivots and leaves out pairs of blocks that the triangle
   inequality rules out; searches other than ``nearest`` hash both sides into blocks, each pair of blocks
-  becomes one bounded task, and only the best rows of a pair of blocks leave it.
+  becomes one bounded task, and only the best rows of a pair of blocks leave it. ``nearest`` by several
+metrics at once is ``together``.
 
 Distances are rounded to ten decimals before ranking and ties go to the smaller
 gallery id.
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from shotline.functions import blocks
-from shotline.operators import pruned
+from shotline.operators import pruned, together
 
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 128 << 20
@@ -130,12 +131,20 @@ def _join(parts: list[np.ndarray], dtype) -> np.ndarray:
     return np.concatenate(parts) if parts else np.array([], dtype=dtype)
 
 
-def nearest(queries: DataFrame, gallery: DataFrame, k: int, metric: str = "cosine", **sizes) -> DataFrame:
+def nearest(
+    queries: DataFrame, gallery: DataFrame | Gallery, k: int, metric: str | tuple[str, ...] = "cosine", **sizes
+) -> DataFrame:
     """The k nearest gallery rows of every query.
 
     Result: item_id, species (of the query), neighbour_id, neighbour (its
-    species), distance, rank.
+    species), distance, rank. Several metrics are searched in one pass; their rows have ``metric`` too.
     """
+    if not isinstance(metric, str):
+        if unknown := set(metric) - set(pruned.METRICS):
+            raise ValueError(f"unknown metrics {sorted(unknown)}")
+        if not isinstance(gallery, Gallery):
+            gallery = Gallery(gallery, broadcast_rows=sizes.get("broadcast_rows", BROADCAST_ROWS))
+        return together.nearest(queries, gallery, k, tuple(metric), sizes.get("block_rows", BLOCK_ROWS))
     if metric in pruned.METRICS:
         if not isinstance(gallery, Gallery):
             gallery = Gallery(gallery, broadcast_rows=sizes.get("broadcast_rows", BROADCAST_ROWS))

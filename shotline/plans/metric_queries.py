@@ -1397,12 +1397,11 @@ def b8(spark, d):
     weighted = F.transform("vec", lambda x, i: x * (1 + i / F.lit(16.0)))
     for model, vec in (("full", F.col("vec")), ("weighted", weighted)):
         cut = rows.withColumn("vec", vec)
-        for metric in _METRICS:
-            near = search.nearest(cut.where("split = 'query'"), cut.where("split = 'gallery'"), 1, metric=metric)
-            parts.append(
-                near.agg(F.round(F.avg((F.col("neighbour") == F.col("species")).cast("double")), 6).alias("accuracy"))
-                .select(F.lit(model).alias("model"), F.lit(metric).alias("metric"), "accuracy")
-            )
+        near = search.nearest(cut.where("split = 'query'"), cut.where("split = 'gallery'"), 1, metric=tuple(_METRICS))
+        hit = (F.col("neighbour") == F.col("species")).cast("double")
+        scores = near.agg(*[F.round(F.avg(F.when(F.col("metric") == m, hit)), 6).alias(m) for m in _METRICS])
+        lines = [F.struct(F.lit(model).alias("model"), F.lit(m).alias("metric"), F.col(m).alias("accuracy")) for m in _METRICS]
+        parts.append(scores.select(F.inline(F.array(*lines))))
     grid = parts[0]
     for part in parts[1:]:
         grid = grid.unionByName(part)
