@@ -25,6 +25,7 @@ GROUP = 4  # sums of as many steps fit a byte
 SAMPLE = 4_096  # about so many rows of a side place the grid, which decides on speed only
 CROWD = 64  # a query that one gallery row in so many passes for is looked at again
 WAITING = 1 << 18  # pairs that wait for their exact distance before a further tile adds its own
+ALIKE = 1e-3  # where lengths differ by less, the product alone decides
 EPS32 = float(np.finfo(np.float32).eps)
 
 
@@ -51,6 +52,7 @@ class Finder:
             self._place(g.matrix[whole])
         for start in range(0, len(whole), COLUMNS):
             part = whole[start : start + COLUMNS]
+            part = part[_first(g.matrix[part], g.ids[part], self.k)]
             self._piece(blocks.Block(g.ids[part], g.labels[part], g.matrix[part]))
 
     def found(self, metric: str):
@@ -95,6 +97,7 @@ class Finder:
             if set(self.metrics) != {"manhattan"}:
                 asked = self.unit32[rows]
                 product = np.dot(asked, columns, out=self._room("product", len(asked), len(g), np.float32))
+                highest = product.max(1)
             for metric in self.metrics:
                 if metric == "manhattan":
                     score, limit = self._sums(rows, *stepped), self._manhattan_limit
@@ -102,7 +105,8 @@ class Finder:
                     score, limit = product, self._cosine_limit
                 else:
                     score, limit = self._halves(metric, rows, product, length)
-                self._pass(metric, rows, score, limit, given[self._sides(metric)])
+                top = highest if score is product else score.max(1)
+                self._pass(metric, rows, score, top, limit, given[self._sides(metric)])
                 if sum(len(r) for r, _ in self.waiting[metric]) > WAITING:
                     self._settle(metric, g, given[self._sides(metric)])
         for metric in self.metrics:
@@ -112,25 +116,30 @@ class Finder:
         return 1.0 - far - EPS32 * (self.raw.shape[1] + 16)
 
     def _halves(self, metric: str, rows: slice, product: np.ndarray, length: np.ndarray):
-        """Products less half the squared lengths of gallery rows, which fall as Euclidean distances grow."""
+        """What falls as Euclidean distances grow: products less half the squared lengths of gallery rows."""
         here, scale = self.length[rows], 1.0
         if metric == "euclidean":  # lengths up to one: no overflow
             scale = max(length.max(), here.max(), np.finfo(float).tiny)
         else:
             here, length = (here > 0).astype(float), (length > 0).astype(float)
         here, there = here / scale, length / scale
-        apart = 0.5 if (there == 1.0).all() and (here == 1.0).all() else 0.0
-        score = product
-        if not apart:
-            score = self._room("halves", *product.shape, np.float32)
-            np.multiply(product, there.astype(np.float32), out=score)
-            score *= here.astype(np.float32)[:, None]
-            score -= (there * there / 2).astype(np.float32)
-        error = EPS32 * (self.raw.shape[1] + 16) * there.max() * (here + there.max())
+        error = EPS32 * (self.raw.shape[1] + 16)
+        low, high = there.min(), there.max()
 
-        def limit(_: slice, far: np.ndarray) -> np.ndarray:
-            return (here * here - (far / scale) ** 2) / 2 + apart - error
+        def angle(_: slice, far: np.ndarray) -> np.ndarray:
+            gap = here * here - (far / scale) ** 2
+            best = np.clip(np.sqrt(np.maximum(gap, 0.0)), low, high)  # the length that reaches farthest
+            return (gap / best + best) / (2 * here) - error
 
+        def limit(_: slice, far: np.ndarray) -> np.ndarray:
+            return (here * here - (far / scale) ** 2) / 2 - error * high * (here + high)
+
+        if low > high * (1 - ALIKE) and here.min() > 1e-6:
+            return product, angle
+        score = self._room("halves", *product.shape, np.float32)
+        np.multiply(product, there.astype(np.float32), out=score)
+        score *= here.astype(np.float32)[:, None]
+        score -= (there * there / 2).astype(np.float32)
         return score, limit
 
     def _leads(self, matrix: np.ndarray):
@@ -160,7 +169,7 @@ class Finder:
     def _manhattan_limit(self, rows: slice, far: np.ndarray) -> np.ndarray:
         return np.floor((self.marked[rows] - far / self.step - self.lost[rows]) / 2) - 1
 
-    def _pass(self, metric: str, rows: slice, score: np.ndarray, limit, given: np.ndarray) -> None:
+    def _pass(self, metric: str, rows: slice, score: np.ndarray, top: np.ndarray, limit, given: np.ndarray) -> None:
         """Keep the pairs of a tile whose distances can be among the k smallest."""
         asked = (self.raw if self._sides(metric) == "raw" else self.unit)[rows]
         reach = self.reach[metric][rows].copy()
@@ -178,7 +187,7 @@ class Finder:
                 least = np.nextafter(least.astype(np.float32), np.float32(-np.inf))
         else:
             least = np.maximum(least, np.iinfo(score.dtype).min).astype(score.dtype)
-        near = np.flatnonzero(score.max(1) >= least)
+        near = np.flatnonzero(top >= least)
         if not len(near):
             return
         hit = score[near] >= least[near, None]
@@ -210,6 +219,14 @@ class Finder:
         self.reach[metric][new[0][last]] = new[3][last]
 
 
+def _first(matrix: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Rows but those behind k equal vectors of smaller ids, which are nobody's neighbours: one vector may be very common."""
+    whole = np.ascontiguousarray(matrix).view(np.dtype((np.void, matrix.shape[1] * matrix.itemsize))).ravel()
+    of = np.unique(whole, return_inverse=True)[1].ravel()
+    order = np.lexsort((ids, of))
+    return np.sort(order[_places(of[order]) < k])
+
+
 def _places(rows: np.ndarray) -> np.ndarray:
     """Position of each row among equal ones, which lie together."""
     return np.arange(len(rows)) - np.searchsorted(rows, rows, side="left")

@@ -55,6 +55,9 @@ def shapes():
     yield "far outliers", q, g
     yield "large numbers", normal(30, 6) * 1e25, normal(300, 6) * 1e25
     yield "small numbers", normal(30, 6) * 1e-3, normal(300, 6) * 1e-3
+    q, g = blocks.normalised(normal(50, 12)), blocks.normalised(normal(600, 12))
+    g[50:90], q[4] = g[1] + normal(40, 12) * 1e-5, g[1]
+    yield "unit vectors", q * 1.0001, g * rng.uniform(0.9998, 1.0002, 600)[:, None]
     yield "many components", normal(9, 600), normal(200, 600)
     yield "all equal", np.ones((4, 3)), np.ones((9, 3))
     yield "one row", normal(1, 4), normal(1, 4)
@@ -109,6 +112,20 @@ def test_screens_leave_few_pairs(monkeypatch):
     assert sum(measured) < pairs * 0.01 and sum(again) < pairs * 0.05
 
 
+def test_a_common_vector_is_measured_once_a_piece(monkeypatch):
+    rng = np.random.default_rng(7)
+    q, g = rng.normal(size=(200, 16)), rng.normal(size=(3_000, 16))
+    g[500:2_500], q[50:150] = g[5], g[5]  # 200,000 pairs of equal vectors
+    measured, paired = [], blocks.paired
+    monkeypatch.setattr(blocks, "paired", lambda q, g, rows, cols, m: measured.append(len(rows)) or paired(q, g, rows, cols, m))
+    of = finder.Finder(block(q), 2, METRICS)
+    of.offer(block(g))
+    for metric in METRICS:
+        rows, ids, *_ = of.found(metric)
+        assert all(ids[np.isin(rows, np.arange(50, 150))] == np.tile([5, 500], 100))
+    assert sum(measured) < 4 * 200 * 3_000 * 0.02
+
+
 @pytest.mark.parametrize("text", [False, True])
 @pytest.mark.parametrize("sizes", [{}, {"broadcast_rows": 0, "block_rows": 16}])
 def test_several_metrics_in_one_pass(spark, sizes, text):
